@@ -1,55 +1,45 @@
-"""Array helpers built from Spark higher-order functions."""
+"""Array helpers built from Spark higher-order functions, as SQL text.
 
-from __future__ import annotations
+Expressions are produced as SQL strings and parsed once by ``F.expr``: a
+plan with hundreds of nested lambdas built call by call through the Python
+API costs a gateway round trip per node (tens of seconds per plan).
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from __future__ import annotations
 
 # Block size of the two-level prefix sum below.
 BLOCK = 128
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (a lambda binding).
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal holding exactly ``s``."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: str, var: str, body: str) -> str:
+    """Evaluate ``value`` once and bind it to ``var`` inside ``body``.
 
     Spark inlines a projected column into every use, including uses inside a
     lambda, where it would be evaluated once per element; binding through a
     one-element ``transform`` evaluates it exactly once.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return f"element_at(transform(array({value}), {var} -> {body}), 1)"
 
 
-def exclusive_prefix_sums(d: Column) -> Column:
+def exclusive_prefix_sums(d: str, v: str) -> str:
     """``[0, d0, d0+d1, ...]`` (same length as ``d``) for an int array.
 
     Spark has no scan function, and folding with ``array_append`` copies the
     accumulator every step (quadratic). Two levels keep it near linear:
-    block totals, prefix over blocks (n/B elements), then a bounded sum
-    inside each block: O(n·B + (n/B)²).
+    block totals, prefix over the n/B blocks, then a bounded sum inside each
+    block: O(n·B + (n/B)²). ``v`` prefixes the lambda variable names.
     """
-    def body(arr):
-        n = F.size(arr)
-        nb = F.floor((n + (BLOCK - 1)) / BLOCK).cast("int")
-        sums = F.transform(
-            F.sequence(F.lit(0), nb - 1),
-            lambda b: F.aggregate(F.slice(arr, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0),
-                                  lambda acc, x: acc + x))
-        empty = F.array().cast(T.ArrayType(T.IntegerType()))
-        zero = F.struct(F.lit(0).alias("s"), empty.alias("a"))
-        block_start = F.aggregate(
-            sums, zero,
-            lambda acc, x: F.struct((acc["s"] + x).alias("s"),
-                                    F.array_append(acc["a"], acc["s"]).alias("a")))["a"]
-
-        def at(bs, j):
-            b = F.floor(j / BLOCK).cast("int")
-            inner = F.aggregate(F.slice(arr, b * BLOCK + 1, j - b * BLOCK), F.lit(0),
-                                lambda acc, x: acc + x)
-            return F.get(bs, b) + inner
-
-        return let(block_start,
-                   lambda bs: F.transform(F.sequence(F.lit(0), n - 1), lambda j: at(bs, j)))
-
-    return F.when(F.size(d) > 0, let(d, body)).otherwise(
-        F.array().cast(T.ArrayType(T.IntegerType())))
+    a, p, B = f"{v}d", f"{v}p", BLOCK
+    sums = (f"transform(sequence(0, CAST(ceil(size({a}) / {B}) AS INT) - 1), {v}b -> "
+            f"aggregate(slice({a}, {v}b * {B} + 1, {B}), 0, ({v}s, {v}x) -> {v}s + {v}x))")
+    starts = (f"aggregate({sums}, named_struct('s', 0, 'a', CAST(array() AS ARRAY<INT>)), "
+              f"({v}c, {v}y) -> named_struct('s', {v}c.s + {v}y, 'a', array_append({v}c.a, {v}c.s))).a")
+    each = (f"transform(sequence(0, size({a}) - 1), {v}j -> {p}[{v}j div {B}] + "
+            f"aggregate(slice({a}, ({v}j div {B}) * {B} + 1, {v}j % {B}), 0, ({v}t, {v}z) -> {v}t + {v}z))")
+    return let(d, a, f"CASE WHEN size({a}) > 0 THEN {let(starts, p, each)} "
+                     f"ELSE CAST(array() AS ARRAY<INT>) END")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import exclusive_prefix_sums, let
+from tidemark.functions.arrays import exclusive_prefix_sums, let, sql_str
 from tidemark.functions.regex import java_class
 from tidemark.functions.rules import Rule
 from tidemark.functions.rules_data import CONTEXT_WHITESPACE
@@ -37,8 +37,14 @@ FINDING_COLUMNS = [
 ]
 
 
-def context_of(text: Column, start: Column, end: Column) -> Column:
+def context_sql(text: str, start: str, end: str) -> str:
     """Up to 100 characters either side, whitespace runs → one space, trimmed."""
+    cs = f"greatest({start} - {CONTEXT_SPAN}, 0)"
+    ce = f"least({end} + {CONTEXT_SPAN}, length({text}))"
+    return f"trim(regexp_replace(substring({text}, {cs} + 1, {ce} - {cs}), {sql_str(WS_RUN)}, ' '))"
+
+
+def context_of(text: Column, start: Column, end: Column) -> Column:
     cs = F.greatest(start - CONTEXT_SPAN, F.lit(0))
     ce = F.least(end + CONTEXT_SPAN, F.length(text))
     return F.trim(F.regexp_replace(text.substr(cs + 1, ce - cs), WS_RUN, " "))
@@ -49,54 +55,46 @@ def is_javascript(url: Column, text: Column) -> Column:
     return url.contains(".js") | F.substring(text, 1, 100).contains("javascript")
 
 
-def _gate(rule: Rule, lowered: Column) -> Column | None:
-    cond = None
-    for lit in rule.gates:
-        c = lowered.contains(lit)
-        cond = c if cond is None else (cond | c)
-    return cond
-
+def _gate_sql(rule: Rule) -> str | None:
+    if not rule.gates:
+        return None
+    return " OR ".join(f"contains(_lt, {sql_str(g)})" for g in rule.gates)
 
-def _findings_from(text: Column, idx: int, matches: Column, gap_lens: Column) -> Column:
-    """Finding structs for one rule given its matches and the split gaps."""
-    def build(m, g):
-        mlen = F.transform(m, lambda x: F.length(x))
-        d = F.zip_with(F.slice(g, 1, F.size(m)), mlen, lambda a, b: a + b)
 
-        def one(pre):
-            def item(x, j):
-                start = F.get(pre, j) + F.get(g, j)
-                end = start + F.length(x)
-                return F.struct(
-                    F.lit(idx).alias("rule_idx"), j.alias("match_idx"),
-                    start.alias("start"), end.alias("end"),
-                    F.substring(x, 1, MATCH_CAP).alias("match"),
-                    context_of(text, start, end).alias("context"))
-            return F.transform(m, item)
+def _finding(idx, match: str, j: str, start: str) -> str:
+    end = f"{start} + length({match})"
+    return (f"named_struct('rule_idx', {idx}, 'match_idx', {j}, 'start', {start}, "
+            f"'end', {end}, 'match', substring({match}, 1, {MATCH_CAP}), "
+            f"'context', {context_sql('_t', start, end)})")
 
-        return let(exclusive_prefix_sums(d), one)
 
-    return let(matches, lambda m: let(gap_lens, lambda g: build(m, g)))
+def _hit_sql(idx: int, mcol: str, java_rx: str) -> str:
+    """One rule's matches plus gap lengths; the split runs only on a hit."""
+    gaps = f"transform(split(_t, {sql_str(java_rx)}, -1), q -> length(q))"
+    return (f"named_struct('i', {idx}, 'm', {mcol}, "
+            f"'g', CASE WHEN size({mcol}) > 0 THEN {gaps} END)")
 
 
-def _line_findings(text: Column, idx: int, word: str, lines: Column, starts: Column) -> Column:
-    """Missing-header rule: every line (empty ones too) lacking ``word``."""
-    def build(ls, st):
-        keep = F.filter(F.sequence(F.lit(0), F.size(ls) - 1),
-                        lambda j: ~F.lower(F.get(ls, j)).contains(word))
+def _findings_sql(hits: list[str]) -> str:
+    """Finding structs for all rules that matched: gap and match lengths
+    give exact offsets (one shared lambda for every rule)."""
+    d = "zip_with(slice(h.g, 1, size(h.m)), transform(h.m, w -> length(w)), (u, k) -> u + k)"
+    items = "transform(h.m, (x, j) -> " + _finding("h.i", "x", "j", "pre[j] + h.g[j]") + ")"
+    per_hit = let(exclusive_prefix_sums(d, "p_"), "pre", items)
+    return (f"flatten(transform(filter(array({', '.join(hits)}), hh -> hh.g IS NOT NULL), "
+            f"h -> {per_hit}))")
 
-        def item(j, k):
-            x = F.get(ls, j)
-            start = F.get(st, j)
-            end = start + F.length(x)
-            return F.struct(
-                F.lit(idx).alias("rule_idx"), k.alias("match_idx"),
-                start.alias("start"), end.alias("end"),
-                F.substring(x, 1, MATCH_CAP).alias("match"),
-                context_of(text, start, end).alias("context"))
-        return F.transform(keep, item)
 
-    return build(lines, starts)
+def _line_findings_sql(line_rules) -> str:
+    """Missing-header rules: every line (empty ones too) lacking the word."""
+    per_rule = []
+    for idx, r in line_rules:
+        v = f"l{idx}_"
+        keep = f"filter(sequence(0, size(ls) - 1), {v}j -> NOT contains(lower(ls[{v}j]), {sql_str(r.line_word)}))"
+        per_rule.append(f"transform({keep}, ({v}n, {v}k) -> " + _finding(
+            idx, f"ls[{v}n]", f"{v}k", f"st[{v}n]") + ")")
+    starts = exclusive_prefix_sums("transform(ls, lw -> length(lw) + 1)", "ln_")
+    return let("split(_t, '\n', -1)", "ls", let(starts, "st", f"flatten(array({', '.join(per_rule)}))"))
 
 
 def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
@@ -128,39 +126,35 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
     # 1. gated match arrays, one column per rule
     mcols = []
     for i, r in regex_rules:
-        rx = F.lit(r.java(profile))
-        m = F.regexp_extract_all(t, rx, F.lit(0))
-        g = _gate(r, F.col("_lt")) if r.gates else None
-        mcols.append((m if g is None else F.when(g, m)).alias(f"_m{i}"))
+        m = f"regexp_extract_all(_t, {sql_str(r.java(profile))}, 0)"
+        g = _gate_sql(r)
+        mcols.append(F.expr(m if g is None else f"CASE WHEN {g} THEN {m} END").alias(f"_m{i}"))
     keep = ["src_id", "page_url", "_t", *carry]
     step1 = base.select(*keep, *mcols)
 
     # 2. finding structs per rule; split only where the rule matched
     fcols = []
-    for i, r in regex_rules:
-        m = F.col(f"_m{i}")
-        gaps = F.transform(F.split(t, r.java(profile), -1), lambda x: F.length(x))
-        fcols.append(F.when(F.size(m) > 0, _findings_from(t, i, m, gaps)))
+    if regex_rules:
+        fcols.append(_findings_sql([_hit_sql(i, f"_m{i}", r.java(profile)) for i, r in regex_rules]))
     if line_rules:
-        lines = F.split(t, "\n", -1)
-
-        def per_text(ls):
-            st = exclusive_prefix_sums(F.transform(ls, lambda x: F.length(x) + 1))
-            return let(st, lambda s: F.flatten(F.array(*[
-                _line_findings(t, i, r.line_word, ls, s) for i, r in line_rules])))
-        fcols.append(let(lines, per_text))
-    found = F.flatten(F.filter(F.array(*fcols), lambda a: a.isNotNull()))
+        fcols.append(_line_findings_sql(line_rules))
+    found = F.expr(fcols[0] if len(fcols) == 1 else f"concat({', '.join(fcols)})")
     step2 = step1.select("src_id", "page_url", *carry,
                          is_javascript(F.col("page_url"), t).alias("is_javascript"),
                          found.alias("_f"))
 
-    # 3. explode and attach rule metadata from literal arrays
+    # 3. explode and attach rule metadata from literal arrays. A plain
+    # explode makes the optimizer add ``size(array) > 0`` below it, which
+    # re-evaluates every rule a second time; explode_outer + a null filter
+    # on the (small) struct avoids that.
     ex = step2.select("src_id", "page_url", *carry, "is_javascript",
-                      F.explode("_f").alias("f"))
-    names = F.array(*[F.lit(r.name) for r in rules])
-    kits = F.array(*[F.lit(r.kit) for r in rules])
-    cats = F.array(*[F.lit(r.category) for r in rules])
-    sevs = F.array(*[F.lit(r.severity) for r in rules])
+                      F.explode_outer("_f").alias("f")).filter(F.col("f").isNotNull())
+    def lits(vals):
+        return F.expr("array(" + ", ".join(sql_str(x) for x in vals) + ")")
+    names = lits([r.name for r in rules])
+    kits = lits([r.kit for r in rules])
+    cats = lits([r.category for r in rules])
+    sevs = lits([r.severity for r in rules])
     idx = F.col("f.rule_idx")
     url = F.concat(F.col("page_url"), F.lit(url_suffix)) if url_suffix else F.col("page_url")
     out = ex.select(
