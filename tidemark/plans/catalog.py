@@ -1,15 +1,25 @@
 """Registered queries: each a function (spark, sf_dir) → DataFrame, with the
-DuckDB SQL stating the same result for the oracle check."""
+DuckDB SQL stating the same result for the oracle check.
+
+Every query reads the given tables (pages, documents, events) or data Spark
+derives from them; derived inputs are defined once in ``fixtures``.
+"""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import rules as R
 from tidemark.functions.rules import select_rules
+from tidemark.operators import headers as H
+from tidemark.operators import reports as RP
+from tidemark.operators import store as ST
 from tidemark.operators.scan import scan
+from tidemark.plans import fixtures as FX
 from tidemark.plans import oracle as O
-from tidemark.sources.tables import read_pages, spread
+from tidemark.sources.tables import read_pages, read_table, spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -19,29 +29,597 @@ def register(key, sql=None):
     def deco(fn):
         QUERIES[key] = fn
         if sql is not None:
-            SQL[key] = sql() if callable(sql) else sql
+            SQL[key] = sql
         return fn
     return deco
 
 
-# --- sources of scanned text -------------------------------------------------
+def _memo(fn):
+    """Per (session, folder) memo of a shared intermediate, persisted so the
+    queries built on it do not repeat the scan; lineage stays intact, so a
+    lost executor recomputes its share."""
+    cache = {}
+
+    def wrapped(spark, sf_dir):
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+        if key not in cache:
+            cache[key] = fn(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return cache[key]
+    return wrapped
+
+
+# --- inputs ------------------------------------------------------------------
+
+PAGES_SRC_SQL = ("SELECT page_id AS src_id, url AS page_url, substring(html, 1, 10485760) AS t "
+                 "FROM pages")
+LIVE_PAGES_SQL = "SELECT * FROM pages WHERE html IS NOT NULL AND length(html) > 0"
+HDR_ROWS_SQL = FX.header_rows_sql_union()
+HFIRST_SQL = (f"SELECT page_id, name, arg_min(value, seq) AS value FROM ({HDR_ROWS_SQL}) "
+              f"GROUP BY page_id, name")
+
+
+def htext_src_sql(profile="broad"):
+    agg = "string_agg(h.name || ': ' || h.value, chr(10) ORDER BY h.name)"
+    if profile == "strict":
+        agg = f"({agg}) || chr(10)"
+    return (f"SELECT p.page_id AS src_id, p.url AS page_url, {agg} AS t "
+            f"FROM ({LIVE_PAGES_SQL}) p JOIN ({HFIRST_SQL}) h ON p.page_id = h.page_id "
+            f"GROUP BY p.page_id, p.url")
+
+
+def membership_sql(col="src_id"):
+    return (f"CASE WHEN {col} % 5 = 0 THEN [{col} % {FX.N_SCANS}, ({col} + 1) % {FX.N_SCANS}] "
+            f"ELSE [{col} % {FX.N_SCANS}] END")
+
+
+def pages_h(spark, sf_dir, profile="broad"):
+    return spread(FX.pages_with_headers(spark, sf_dir, profile))
+
+
+ALL = select_rules("all")
+ALL_STRICT = select_rules("all", "strict")
+
+
+@_memo
+def page_findings(spark, sf_dir):
+    """Body then header findings of every stored page, broad profile."""
+    return H.scan_page(pages_h(spark, sf_dir), ALL, "broad")
+
+
+def raw_findings(spark, sf_dir):
+    """Findings of every scan, before dedup: a page belongs to one or two
+    scans (fixtures), so its findings repeat in each."""
+    f = page_findings(spark, sf_dir)
+    return f.withColumn("scan_id", F.explode(F.expr(FX.scan_membership_sql("src_id"))))
+
+
+@_memo
+def stored_findings(spark, sf_dir):
+    return ST.dedupe(raw_findings(spark, sf_dir))
 
-def pages_text(spark, sf_dir, profile="broad"):
-    return spread(read_pages(spark, sf_dir, profile))
 
+BODY_SCAN_SQL = O.scan_sql(PAGES_SRC_SQL, ALL, "broad")
+HDR_SCAN_SQL = O.scan_sql(htext_src_sql("broad"), ALL, "broad", part="headers",
+                          url_suffix=" (headers)")
+PAGE_FINDINGS_SQL = f"({BODY_SCAN_SQL}) UNION ALL ({HDR_SCAN_SQL})"
+RAW_SQL = f"SELECT *, unnest({membership_sql()}) AS scan_id FROM ({PAGE_FINDINGS_SQL})"
+STORED_SQL = (
+    "SELECT * EXCLUDE (rn) FROM (SELECT * REPLACE (substring(match, 1, 500) AS match, "
+    "substring(context, 1, 1000) AS context), row_number() OVER (PARTITION BY finding_hash "
+    "ORDER BY scan_id, src_id, part, rule_idx, match_idx) AS rn FROM raw) WHERE rn = 1")
 
-PAGES_SRC_SQL = "SELECT page_id AS src_id, url AS page_url, substring(html, 1, 10485760) AS t FROM pages"
 
+def with_store(body: str) -> str:
+    return f"WITH raw AS ({RAW_SQL}), stored AS ({STORED_SQL}) {body}"
 
-def body_findings(spark, sf_dir, kits="all", profile="broad"):
-    return scan(pages_text(spark, sf_dir, profile), select_rules(kits, profile), profile)
 
+def with_raw(body: str) -> str:
+    return f"WITH raw AS ({RAW_SQL}) {body}"
 
-def _body_sql(kits="all", profile="broad"):
-    return O.scan_sql(PAGES_SRC_SQL, select_rules(kits, profile), profile)
 
+# --- 2.2 scan ----------------------------------------------------------------
 
-@register("scan_body", lambda: _body_sql())
+@register("scan_body", O.scan_sql(PAGES_SRC_SQL, ALL, "broad"))
 def q_scan_body(spark, sf_dir):
     """All 149 broad rules over every stored page body."""
-    return body_findings(spark, sf_dir)
+    return scan(spread(read_pages(spark, sf_dir)), ALL, "broad")
+
+
+@register("scan_headers", HDR_SCAN_SQL)
+def q_scan_headers(spark, sf_dir):
+    """All broad rules over each page's header text; url gets ' (headers)'."""
+    return H.scan_headers(pages_h(spark, sf_dir), ALL, "broad")
+
+
+DOCS_SRC_SQL = FX.planted_documents_sql()
+
+
+def docs(spark, sf_dir):
+    return spread(FX.planted_documents(spark, sf_dir))
+
+
+@register("scan_documents", O.scan_sql(DOCS_SRC_SQL, ALL, "broad"))
+def q_scan_documents(spark, sf_dir):
+    """All broad rules over every document (with planted tokens)."""
+    return scan(docs(spark, sf_dir), ALL, "broad", text_col="text", id_col="doc_id")
+
+
+STRICT_BODY_SQL = O.scan_sql(PAGES_SRC_SQL, ALL_STRICT, "strict")
+STRICT_HDR_SQL = O.scan_sql(htext_src_sql("strict"), ALL_STRICT, "strict", part="headers",
+                            url_suffix=" (headers)")
+
+
+@register("scan_strict", f"({STRICT_BODY_SQL}) UNION ALL ({STRICT_HDR_SQL})")
+def q_scan_strict(spark, sf_dir):
+    """Strict profile (rules as written, per-rule severity; all kits
+    including ``credentials``) over bodies and header text."""
+    return H.scan_page(pages_h(spark, sf_dir, "strict"), ALL_STRICT, "strict")
+
+
+def _kit_query(kit):
+    rules = select_rules([kit])
+
+    def q(spark, sf_dir):
+        return scan(docs(spark, sf_dir), rules, "broad", text_col="text", id_col="doc_id")
+    q.__doc__ = f"Only the {kit} kit over documents."
+    return q, O.scan_sql(DOCS_SRC_SQL, rules, "broad")
+
+
+for _k in R.KIT_KEYS:
+    _q, _s = _kit_query(_k)
+    register(f"scan_by_kit_{_k}", _s)(_q)
+
+
+@register("match_offsets", f"SELECT src_id, pattern, match_idx, start, \"end\", \"end\" - start AS match_len "
+                           f"FROM ({O.scan_sql(DOCS_SRC_SQL, ALL, 'broad')})")
+def q_match_offsets(spark, sf_dir):
+    """Start/end character offsets of every match."""
+    f = scan(docs(spark, sf_dir), ALL, "broad", text_col="text", id_col="doc_id")
+    return f.select("src_id", "pattern", "match_idx", "start", "end",
+                    (F.col("end") - F.col("start")).alias("match_len"))
+
+
+@register("match_truncate", with_raw(
+    "SELECT finding_hash, scan_id, substring(url, 1, 100) AS url_100, substring(match, 1, 100) AS match_100, "
+    "substring(context, 1, 200) AS context_200, substring(match, 1, 500) AS match_500, "
+    "substring(context, 1, 1000) AS context_1000, CAST(length(match) AS INTEGER) AS match_len FROM raw"))
+def q_match_truncate(spark, sf_dir):
+    """The cuts: match ≤200 (scan), ≤500 stored, context ≤1000 stored,
+    table view 100/200, report url ≤100."""
+    f = raw_findings(spark, sf_dir)
+    return f.select("finding_hash", "scan_id", F.substring("url", 1, 100).alias("url_100"),
+                    F.substring("match", 1, 100).alias("match_100"),
+                    F.substring("context", 1, 200).alias("context_200"),
+                    F.substring("match", 1, 500).alias("match_500"),
+                    F.substring("context", 1, 1000).alias("context_1000"),
+                    F.length("match").alias("match_len"))
+
+
+@register("match_context", f"SELECT src_id, part, pattern, match_idx, context FROM ({PAGE_FINDINGS_SQL})")
+def q_match_context(spark, sf_dir):
+    """Context: 100 characters either side, whitespace collapsed, trimmed."""
+    return page_findings(spark, sf_dir).select("src_id", "part", "pattern", "match_idx", "context")
+
+
+def _severity_case_sql(col):
+    hi = " OR ".join(f"contains(lower({col}), {O.q(w)})" for w in R.D.HIGH_WORDS)
+    med = " OR ".join(f"contains(lower({col}), {O.q(w)})" for w in R.D.MEDIUM_WORDS)
+    return f"CASE WHEN {hi} THEN 'high' WHEN {med} THEN 'medium' ELSE 'low' END"
+
+
+@register("rule_severity",
+          f"SELECT pattern, {_severity_case_sql('pattern')} AS severity, count(*) AS n "
+          f"FROM ({PAGE_FINDINGS_SQL}) GROUP BY pattern")
+def q_rule_severity(spark, sf_dir):
+    """Broad severity by keyword in the rule name, per rule that fired."""
+    f = page_findings(spark, sf_dir)
+    return f.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).select(
+        "pattern", R.severity_expr(F.col("pattern")).alias("severity"), "n")
+
+
+def _rules_values_sql():
+    rows = ",\n".join(
+        f"({O.q(k)}, {O.q(n)}, {O.q(R.KIT_TITLES[k])}, {O.q(R.broad_severity(n))}, {O.q(s)})"
+        for k, n, rx, s, g in R.D.RULES)
+    return f"(VALUES {rows}) AS rt(kit, name, category, sev_broad, sev_strict)"
+
+
+@register("severity_divergence",
+          f"SELECT rt.name, rt.sev_broad, rt.sev_strict, coalesce(c.n, 0) AS n_findings "
+          f"FROM {_rules_values_sql()} LEFT JOIN (SELECT pattern, count(*) AS n FROM ({PAGE_FINDINGS_SQL}) "
+          f"GROUP BY pattern) c ON c.pattern = rt.name "
+          f"WHERE rt.sev_strict IS NOT NULL AND rt.sev_broad <> rt.sev_strict")
+def q_severity_divergence(spark, sf_dir):
+    """Rules whose severity differs between profiles, with their finding
+    count on the stored pages."""
+    rt = R.rules_df(spark)
+    diff = rt.filter(F.col("sev_strict").isNotNull() & (F.col("sev_broad") != F.col("sev_strict")))
+    counts = page_findings(spark, sf_dir).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    # the rule table is bounded by the catalogue size: a broadcast side
+    return (counts.join(F.broadcast(diff), counts.pattern == diff.name, "right")
+            .select("name", "sev_broad", "sev_strict", F.coalesce("n", F.lit(0)).alias("n_findings")))
+
+
+CUSTOM = [R.custom_rule("Internal Host", r"[a-z]+\.example\.(?:com|net|org)"),
+          R.custom_rule("Email Address", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b")]
+WITH_CUSTOM = R.add_rules(select_rules(["sensitive"]), CUSTOM)
+
+
+@register("custom_rules", O.scan_sql(PAGES_SRC_SQL, WITH_CUSTOM, "broad"))
+def q_custom_rules(spark, sf_dir):
+    """User rules appended to a kit: a new name gets category Custom; a
+    known name keeps its kit's category and replaces the built-in rule."""
+    return scan(spread(read_pages(spark, sf_dir)), WITH_CUSTOM, "broad")
+
+
+@register("rule_category",
+          f"SELECT pattern, category, count(*) AS n FROM ({O.scan_sql(PAGES_SRC_SQL, WITH_CUSTOM, 'broad')}) "
+          f"GROUP BY pattern, category")
+def q_rule_category(spark, sf_dir):
+    """Category of each rule that fired: first kit holding the name, else Custom."""
+    f = scan(spread(read_pages(spark, sf_dir)), WITH_CUSTOM, "broad")
+    return f.groupBy("pattern", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+SELECTED = select_rules(["api-keys", "financial", "cloud", "financial"], "strict")
+
+
+@register("rule_selection", O.scan_sql(PAGES_SRC_SQL, SELECTED, "strict"))
+def q_rule_selection(spark, sf_dir):
+    """Strict kits chosen by name (a repeated kit adds nothing) over pages."""
+    return scan(spread(read_pages(spark, sf_dir, "strict")), SELECTED, "strict")
+
+
+REMOVED = ["SWIFT Code", "Missing CSP Header", "Bank Account Number"]
+KEPT = [r for r in ALL if r.name not in REMOVED]
+
+
+@register("rule_remove", O.scan_sql(PAGES_SRC_SQL, KEPT, "broad"))
+def q_rule_remove(spark, sf_dir):
+    """The catalogue less three rules, over pages."""
+    rt = R.remove_rules(R.rules_df(spark), REMOVED)
+    names = {r["name"] for r in rt.select("name").collect()}   # bounded: the catalogue
+    return scan(spread(read_pages(spark, sf_dir)), [r for r in ALL if r.name in names], "broad")
+
+
+@register("rule_count",
+          f"SELECT rt.kit, count(*) AS n_rules, sum(coalesce(c.n, 0)) AS n_findings "
+          f"FROM {_rules_values_sql()} LEFT JOIN (SELECT pattern, count(*) AS n FROM ({PAGE_FINDINGS_SQL}) "
+          f"GROUP BY pattern) c ON c.pattern = rt.name GROUP BY rt.kit")
+def q_rule_count(spark, sf_dir):
+    """Loaded rules per kit, with the findings they produced on pages."""
+    rt = R.rules_df(spark)
+    counts = page_findings(spark, sf_dir).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    j = F.broadcast(rt).join(counts, rt.name == counts.pattern, "left")
+    return j.groupBy("kit").agg(F.count(F.lit(1)).alias("n_rules"),
+                                F.sum(F.coalesce("n", F.lit(0))).alias("n_findings"))
+
+
+@register("rules_table",
+          f"SELECT rt.kit, rt.name, rt.category, rt.sev_broad, rt.sev_strict, coalesce(c.n, 0) AS n_findings "
+          f"FROM {_rules_values_sql()} LEFT JOIN (SELECT pattern, count(*) AS n FROM ({PAGE_FINDINGS_SQL}) "
+          f"GROUP BY pattern) c ON c.pattern = rt.name")
+def q_rules_table(spark, sf_dir):
+    """The catalogue as a table, each rule with its findings on pages."""
+    rt = R.rules_df(spark).drop("regex")
+    counts = page_findings(spark, sf_dir).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    return (F.broadcast(rt).join(counts, rt.name == counts.pattern, "left")
+            .select("kit", "name", "category", "sev_broad", "sev_strict",
+                    F.coalesce("n", F.lit(0)).alias("n_findings")))
+
+
+@register("javascript_flag",
+          f"SELECT page_id, (contains(url, '.js') OR contains(substring(html, 1, 100), 'javascript')) "
+          f"AS is_javascript FROM ({LIVE_PAGES_SQL})")
+def q_javascript_flag(spark, sf_dir):
+    """URL holds .js/.json, or 'javascript' in the first 100 characters."""
+    from tidemark.operators.scan import is_javascript
+    p = read_pages(spark, sf_dir)
+    return p.select("page_id", is_javascript(F.col("url"), F.col("body")).alias("is_javascript"))
+
+
+@register("needs_rendering",
+          "SELECT page_id, (" + " OR ".join(f"contains(html, {O.q(m)})" for m in R.D.RENDER_MARKERS)
+          + f") AS needs_js FROM ({LIVE_PAGES_SQL})")
+def q_needs_rendering(spark, sf_dir):
+    """Body holds any of the 15 framework markers (case-sensitive)."""
+    from tidemark.operators.pages import needs_rendering
+    p = read_pages(spark, sf_dir)
+    return p.select("page_id", needs_rendering(F.col("body")).alias("needs_js"))
+
+
+@register("missing_header_lines",
+          O.scan_sql(htext_src_sql("broad"), [r for r in ALL if r.line_word], "broad",
+                     part="headers", url_suffix=" (headers)"))
+def q_missing_header_lines(spark, sf_dir):
+    """The four missing-header rules as the broad tool runs them: one
+    finding per header line lacking the word."""
+    return H.scan_headers(pages_h(spark, sf_dir), [r for r in ALL if r.line_word], "broad")
+
+
+_MISSING_VALUES = ", ".join(f"({O.q(n)}, {O.q(w)})" for n, w in R.D.MISSING_HEADER_RULES)
+
+
+@register("missing_headers",
+          f"SELECT p.page_id, p.url, m.pattern, m.header FROM ({LIVE_PAGES_SQL}) p, "
+          f"(VALUES {_MISSING_VALUES}) m(pattern, header) WHERE NOT EXISTS (SELECT 1 FROM ({HFIRST_SQL}) h "
+          f"WHERE h.page_id = p.page_id AND lower(h.name) = m.header)")
+def q_missing_headers(spark, sf_dir):
+    """Per page, each security header it lacks (the per-page form)."""
+    return H.missing_headers(pages_h(spark, sf_dir))
+
+
+# --- 2.1 sources -------------------------------------------------------------
+
+@register("pages_source",
+          f"SELECT page_id, url, substring(html, 1, 10485760) AS body, {FX.status_expr_sql()} AS status_code, "
+          f"0 AS depth, false AS from_js FROM ({LIVE_PAGES_SQL})")
+def q_pages_source(spark, sf_dir):
+    """Stored pages → Page schema (body cut at 10 MiB; empty dropped)."""
+    return pages_h(spark, sf_dir).drop("headers")
+
+
+@register("headers_first_value", HFIRST_SQL)
+def q_headers_first_value(spark, sf_dir):
+    """Multi-valued header rows → first value per name."""
+    from tidemark.sources.tables import first_headers
+    rows = FX.header_rows(read_table(spark, sf_dir, "pages"))
+    m = first_headers(rows)
+    return m.select("page_id", F.explode("headers").alias("name", "value"))
+
+
+@register("header_text",
+          f"SELECT b.src_id AS page_id, b.t AS text_broad, s.t AS text_strict FROM ({htext_src_sql('broad')}) b "
+          f"JOIN ({htext_src_sql('strict')}) s ON b.src_id = s.src_id")
+def q_header_text(spark, sf_dir):
+    """Header map → sorted ``name: value`` lines, both profiles."""
+    from tidemark.sources.tables import header_text
+    p = FX.pages_with_headers(spark, sf_dir)
+    return p.select("page_id", header_text(F.col("headers"), "broad").alias("text_broad"),
+                    header_text(F.col("headers"), "strict").alias("text_strict"))
+
+
+# --- 2.4 store ---------------------------------------------------------------
+
+@register("finding_hash", with_raw("SELECT url, pattern, match, md5(url || pattern || match) AS finding_hash FROM raw"))
+def q_finding_hash(spark, sf_dir):
+    """MD5 of url + rule + match, no separators."""
+    f = raw_findings(spark, sf_dir)
+    return f.select("url", "pattern", "match",
+                    ST.finding_hash(F.col("url"), F.col("pattern"), F.col("match")).alias("finding_hash"))
+
+
+STORE_COLS = ["finding_hash", "scan_id", "src_id", "url", "page_url", "part", "pattern", "category",
+              "severity", "match_idx", "match", "context"]
+
+
+@register("findings_dedupe", with_store(f"SELECT {', '.join(STORE_COLS)} FROM stored"))
+def q_findings_dedupe(spark, sf_dir):
+    """First finding per hash wins over all scans."""
+    return stored_findings(spark, sf_dir).select(*STORE_COLS)
+
+
+@register("findings_source", with_store(f"SELECT {', '.join(STORE_COLS)} FROM stored"))
+def q_findings_source(spark, sf_dir):
+    """The stored findings table written as parquet and read back."""
+    from tidemark.sources.sinks import roundtrip_tables
+    return roundtrip_tables(spark, sf_dir, stored_findings(spark, sf_dir).select(*STORE_COLS), "findings")
+
+
+@register("findings_append", with_store(
+    "SELECT " + ", ".join(STORE_COLS) + " FROM stored WHERE scan_id = 3 AND finding_hash NOT IN "
+    "(SELECT finding_hash FROM raw WHERE scan_id < 3)"))
+def q_findings_append(spark, sf_dir):
+    """Append scan 3 to a store holding scans 0-2: only unseen hashes."""
+    raw = raw_findings(spark, sf_dir)
+    store = ST.dedupe(raw.filter(F.col("scan_id") < 3))
+    return ST.append(store, raw.filter(F.col("scan_id") == 3)).select(*STORE_COLS)
+
+
+def pages_per_scan(spark, sf_dir):
+    p = FX.pages_with_headers(spark, sf_dir)
+    m = p.select(F.explode(F.expr(FX.scan_membership_sql("page_id"))).alias("scan_id"))
+    return m.groupBy("scan_id").agg(F.count(F.lit(1)).alias("pages_scanned"))
+
+
+PPS_SQL = (f"SELECT scan_id, count(*) AS pages_scanned FROM (SELECT unnest({membership_sql('page_id')}) "
+           f"AS scan_id FROM ({LIVE_PAGES_SQL})) GROUP BY scan_id")
+
+
+def scan_log(spark, sf_dir):
+    """Append-only scan log: a 'running' row at start, a 'complete' row
+    with totals at the end (two events per scan)."""
+    times = FX.scans_times(spark, sf_dir)
+    pps = pages_per_scan(spark, sf_dir)
+    raw = raw_findings(spark, sf_dir).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    base_url = (FX.pages_with_headers(spark, sf_dir)
+                .select(F.explode(F.expr(FX.scan_membership_sql("page_id"))).alias("scan_id"), "page_id", "url")
+                .groupBy("scan_id").agg(F.min_by("url", "page_id").alias("base_url")))
+    start = times.join(base_url, "scan_id").select(
+        "scan_id", F.lit(1).alias("event_no"), "base_url", "start_time",
+        F.lit(None).cast("timestamp_ntz").alias("end_time"), F.lit(0).alias("pages_scanned"),
+        F.lit(0).cast("long").alias("findings_count"), F.lit("running").alias("status"))
+    end = (times.join(base_url, "scan_id").join(pps, "scan_id", "left").join(raw, "scan_id", "left")
+           .select("scan_id", F.lit(2).alias("event_no"), "base_url", "start_time", "end_time",
+                   F.coalesce(F.col("pages_scanned").cast("int"), F.lit(0)).alias("pages_scanned"),
+                   F.coalesce("n", F.lit(0)).cast("long").alias("findings_count"),
+                   F.lit("complete").alias("status")))
+    return start.unionByName(end)
+
+
+BASEURL_SQL = (f"SELECT scan_id, arg_min(url, page_id) AS base_url FROM (SELECT unnest({membership_sql('page_id')}) "
+               f"AS scan_id, page_id, url FROM ({LIVE_PAGES_SQL})) GROUP BY scan_id")
+SCANS_SQL = with_raw(
+    f", t AS ({FX.SCANS_TIMES_SQL}), b AS ({BASEURL_SQL}), pps AS ({PPS_SQL}), "
+    f"n AS (SELECT scan_id, count(*) AS n FROM raw GROUP BY scan_id) "
+    f"SELECT t.scan_id, b.base_url, t.start_time, t.end_time, CAST(coalesce(pps.pages_scanned, 0) AS INTEGER) AS pages_scanned, "
+    f"CAST(coalesce(n.n, 0) AS BIGINT) AS findings_count, 'complete' AS status FROM t JOIN b ON t.scan_id = b.scan_id "
+    f"LEFT JOIN pps ON pps.scan_id = t.scan_id LEFT JOIN n ON n.scan_id = t.scan_id")
+
+
+def scans_table(spark, sf_dir):
+    return ST.scan_log_current(scan_log(spark, sf_dir))
+
+
+@register("scan_start", f"WITH t AS ({FX.SCANS_TIMES_SQL}), b AS ({BASEURL_SQL}) SELECT t.scan_id, b.base_url, "
+                        f"t.start_time, 'running' AS status FROM t JOIN b ON t.scan_id = b.scan_id")
+def q_scan_start(spark, sf_dir):
+    """The 'running' row each scan writes when it starts."""
+    return scan_log(spark, sf_dir).filter("event_no = 1").select("scan_id", "base_url", "start_time", "status")
+
+
+@register("scan_end", SCANS_SQL)
+def q_scan_end(spark, sf_dir):
+    """Current row per scan from the append-only log: the completed one."""
+    return scans_table(spark, sf_dir).select("scan_id", "base_url", "start_time", "end_time",
+                                             "pages_scanned", "findings_count", "status")
+
+
+@register("scans_source", SCANS_SQL)
+def q_scans_source(spark, sf_dir):
+    """The scans table written as parquet and read back."""
+    from tidemark.sources.sinks import roundtrip_tables
+    return roundtrip_tables(spark, sf_dir, q_scan_end(spark, sf_dir), "scans")
+
+
+@register("scan_summary", with_store(
+    f", pps AS ({PPS_SQL}), r AS (SELECT scan_id, count(*) AS n FROM raw GROUP BY scan_id), "
+    f"s AS (SELECT scan_id, count(*) AS n FROM stored GROUP BY scan_id) "
+    f"SELECT pps.scan_id, pps.pages_scanned, coalesce(r.n, 0) AS findings_raw, coalesce(s.n, 0) AS findings_stored "
+    f"FROM pps LEFT JOIN r ON r.scan_id = pps.scan_id LEFT JOIN s ON s.scan_id = pps.scan_id"))
+def q_scan_summary(spark, sf_dir):
+    """Pages visited, findings before dedup, findings stored, per scan."""
+    return ST.summary(pages_per_scan(spark, sf_dir), raw_findings(spark, sf_dir),
+                      stored_findings(spark, sf_dir))
+
+
+@register("page_log",
+          f"SELECT scan_id, page_id, url, {FX.status_expr_sql()} AS status_code, md5(substring(html, 1, 10485760)) AS content_hash, "
+          "(" + " OR ".join(f"contains(html, {O.q(m)})" for m in R.D.RENDER_MARKERS) + ") AS has_javascript "
+          f"FROM (SELECT *, unnest({membership_sql('page_id')}) AS scan_id FROM ({LIVE_PAGES_SQL}))")
+def q_page_log(spark, sf_dir):
+    """One row per fetched page and scan: status, content hash, script flag."""
+    from tidemark.operators.pages import needs_rendering
+    p = FX.pages_with_headers(spark, sf_dir)
+    return p.select(F.explode(F.expr(FX.scan_membership_sql("page_id"))).alias("scan_id"), "page_id", "url",
+                    "status_code", F.md5("body").alias("content_hash"),
+                    needs_rendering(F.col("body")).alias("has_javascript"))
+
+
+
+
+@register("findings_with_scan",
+          f"WITH raw AS ({RAW_SQL}), stored AS ({STORED_SQL}), t AS ({FX.SCANS_TIMES_SQL}), b AS ({BASEURL_SQL}) "
+          "SELECT s.finding_hash, s.scan_id, b.base_url, t.start_time, s.pattern, s.severity "
+          "FROM stored s JOIN t ON s.scan_id = t.scan_id JOIN b ON b.scan_id = s.scan_id")
+def q_findings_with_scan(spark, sf_dir):
+    """Stored findings joined to their scan (the declared foreign key).
+    The scans table has one row per scan: a broadcast side."""
+    sc = scans_table(spark, sf_dir).select("scan_id", "base_url", "start_time")
+    return (stored_findings(spark, sf_dir).join(F.broadcast(sc), "scan_id")
+            .select("finding_hash", "scan_id", "base_url", "start_time", "pattern", "severity"))
+
+
+# --- 2.5 aggregations ----------------------------------------------------------
+
+@register("total_scans", f"WITH t AS ({FX.SCANS_TIMES_SQL}) SELECT count(*) AS total_scans FROM t")
+def q_total_scans(spark, sf_dir):
+    return RP.total(scans_table(spark, sf_dir), "total_scans")
+
+
+@register("total_findings", with_store("SELECT count(*) AS total_findings FROM stored"))
+def q_total_findings(spark, sf_dir):
+    return RP.total(stored_findings(spark, sf_dir), "total_findings")
+
+
+@register("top_patterns_10", with_store(
+    "SELECT pattern, count(*) AS count FROM stored GROUP BY pattern ORDER BY count DESC, pattern LIMIT 10"))
+def q_top_patterns_10(spark, sf_dir):
+    """Stored findings per rule, top 10 (ties by name)."""
+    return RP.top_patterns(stored_findings(spark, sf_dir), 10)
+
+
+@register("top_patterns_20", with_raw(
+    "SELECT pattern, count(*) AS count FROM raw WHERE scan_id = 0 GROUP BY pattern ORDER BY count DESC, pattern LIMIT 20"))
+def q_top_patterns_20(spark, sf_dir):
+    """Current scan (0), before dedup, top 20."""
+    return RP.top_patterns(raw_findings(spark, sf_dir).filter("scan_id = 0"), 20)
+
+
+@register("severity_distribution", with_store("SELECT severity, count(*) AS count FROM stored GROUP BY severity"))
+def q_severity_distribution(spark, sf_dir):
+    return RP.severity_counts(stored_findings(spark, sf_dir))
+
+
+@register("severity_ordered", with_raw(
+    "SELECT severity, count(*) AS count, CAST(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS INTEGER) AS rank "
+    "FROM raw WHERE scan_id = 0 AND severity IN ('high', 'medium', 'low') GROUP BY severity"))
+def q_severity_ordered(spark, sf_dir):
+    """Current scan's counts in order high, medium, low; absent ones omitted."""
+    return RP.severity_counts(raw_findings(spark, sf_dir).filter("scan_id = 0"), ordered=True)
+
+
+@register("category_counts", with_raw(
+    "SELECT category, count(*) AS count FROM raw WHERE scan_id = 0 GROUP BY category ORDER BY count DESC, category"))
+def q_category_counts(spark, sf_dir):
+    return RP.category_counts(raw_findings(spark, sf_dir).filter("scan_id = 0"))
+
+
+@register("report_summary", with_raw(
+    "SELECT count(*) AS total, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, "
+    "count_if(severity = 'low') AS low FROM raw WHERE scan_id = 0"))
+def q_report_summary(spark, sf_dir):
+    return RP.report_summary(raw_findings(spark, sf_dir).filter("scan_id = 0"))
+
+
+@register("report_rows", with_raw(
+    "SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 1 END, "
+    "src_id, part, rule_idx, match_idx) AS report_pos, url, pattern, upper(severity) AS severity, match, context "
+    "FROM raw WHERE scan_id = 0"))
+def q_report_rows(spark, sf_dir):
+    """Current scan's findings in rank order high, medium, low (unknown =
+    medium), stable in scan order."""
+    return RP.report_rows(raw_findings(spark, sf_dir).filter("scan_id = 0"))
+
+
+@register("findings_by_scan", with_store(
+    "SELECT row_number() OVER (ORDER BY severity DESC, src_id, part, rule_idx, match_idx) AS pos, url, pattern, "
+    "category, match, context, severity FROM stored WHERE scan_id = 1"))
+def q_findings_by_scan(spark, sf_dir):
+    """One scan's stored findings: severity as text descending, then time
+    (scan order)."""
+    return RP.findings_by_scan(stored_findings(spark, sf_dir), 1)
+
+
+@register("scan_history", SCANS_SQL.replace("SELECT t.scan_id", "SELECT * FROM (SELECT t.scan_id", 1)
+          + ") ORDER BY start_time DESC LIMIT 50")
+def q_scan_history(spark, sf_dir):
+    """The 50 latest scans by start time."""
+    return RP.scan_history(q_scan_end(spark, sf_dir), 50)
+
+
+@register("findings_per_page", with_raw("SELECT page_url, count(*) AS n FROM raw GROUP BY page_url"))
+def q_findings_per_page(spark, sf_dir):
+    return RP.per_page(raw_findings(spark, sf_dir))
+
+
+@register("status_counts", f"SELECT {FX.status_expr_sql()} AS status_code, count(*) AS pages FROM ({LIVE_PAGES_SQL}) GROUP BY 1")
+def q_status_counts(spark, sf_dir):
+    return RP.status_counts(FX.pages_with_headers(spark, sf_dir))
+
+
+@register("progress_percent",
+          f"SELECT page_id, CAST(least(100, floor(100.0 * row_number() OVER (ORDER BY page_id) / 100)) AS INTEGER) AS percent "
+          f"FROM ({LIVE_PAGES_SQL}) WHERE page_id % {FX.N_SCANS} = 0 QUALIFY row_number() OVER (ORDER BY page_id) <= 100")
+def q_progress_percent(spark, sf_dir):
+    """int(100 × visited / max_pages) after each page of scan 0 (cap 100)."""
+    p = FX.pages_with_headers(spark, sf_dir).filter(F.col("page_id") % FX.N_SCANS == 0)
+    return RP.progress(p, "page_id", 100)
+
+
+@register("history_union", with_store(
+    f"SELECT {', '.join(STORE_COLS)} FROM stored WHERE scan_id IN (0, 2)"))
+def q_history_union(spark, sf_dir):
+    """Stored findings of two scans put together (union by name)."""
+    s = stored_findings(spark, sf_dir).select(*STORE_COLS)
+    return RP.union_findings(s.filter("scan_id = 0"), s.filter("scan_id = 2"))

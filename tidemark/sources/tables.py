@@ -7,7 +7,6 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import let
 
 BODY_CAP = 10 << 20   # characters kept per body (strict tool: 10 MiB read cap)
 
@@ -61,12 +60,10 @@ def first_headers(header_rows: DataFrame) -> DataFrame:
     """Multi-valued header rows (page_id, name, seq, value) → the first value
     per name, as one map per page (one shuffle, on page_id; a page holds a
     bounded number of header rows)."""
-    def firsts(rows):
-        keep = F.filter(rows, lambda x, i: (i == 0) | (
-            F.get(rows, F.greatest(i - 1, F.lit(0)))["name"] != x["name"]))
-        return F.map_from_entries(F.transform(keep, lambda x: F.struct(x["name"], x["value"])))
-    rows = F.array_sort(F.collect_list(F.struct("name", "seq", "value")))
-    return header_rows.groupBy("page_id").agg(let(rows, firsts).alias("headers"))
+    first = ("element_at(transform(array(array_sort(collect_list(struct(name, seq, value)))), "
+             "rows -> map_from_entries(transform(filter(rows, (x, i) -> i = 0 OR "
+             "rows[greatest(i - 1, 0)].name != x.name), x -> struct(x.name, x.value)))), 1)")
+    return header_rows.groupBy("page_id").agg(F.expr(first).alias("headers"))
 
 
 def header_text(headers: Column, profile: str = "broad") -> Column:
