@@ -163,3 +163,82 @@ def scans_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCANS_TIMES_SQL = (f"SELECT CAST(event_id % {N_SCANS} AS BIGINT) AS scan_id, min(ts) AS start_time, "
                    f"max(ts) AS end_time FROM events GROUP BY 1")
+
+
+# --- links beyond the stored anchors ------------------------------------------
+# Appended to the html by page_id % 6: form, link, fetch, XHR, axios and
+# location shapes; absolute, scheme-relative, query-only, dot-segment,
+# mailto:, data:, javascript: and fragment hrefs. Same text in both engines.
+AUTH_RX_SQL = "'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)'"
+EXTRA_LINKS = [
+    "concat('<form method=\"post\" action=\"/submit?id=', {id}, '\"></form><a href=\"mailto:info@example.com\">m</a>')",
+    "concat('<link rel=\"stylesheet\" href=\"../static/site.css\"><a href=\"data:text/plain,hi\">d</a>"
+    "<script>axios.get(\"/api/v1/items\")</script>')",
+    "concat('<script>fetch(\"/api/items/', {id}, '\"); var x = new XMLHttpRequest(); x.open(\"GET\", \"/xhr/', {id}, "
+    "'\");</script><a href=\"javascript:void(0)\">j</a>')",
+    "concat('<script>window.location.href = \"./next.html\";</script><a href=\"#top\">t</a><a href=\"Sub/Page.PHP\">p</a>')",
+    "concat('<a href=\"https://other.example.org/x/', {id}, '\">x</a><a href=\"//', {auth}, '/proto/', {id}, '#f\">s</a>')",
+    "concat('<a href=\"?page=', {id}, '\">q</a><a href=\"../up/./a/../b.html#frag\">u</a><form action=\"\">f</form>')",
+]
+
+
+def augmented_html_sql(id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> str:
+    ids = f"CAST({id_col} AS STRING)"
+    auth = f"regexp_extract({url_col}, {AUTH_RX_SQL}, 1)"
+    whens = " ".join(f"WHEN {i} THEN {e.format(id=ids, auth=auth)}" for i, e in enumerate(EXTRA_LINKS))
+    return f"concat({html_col}, CASE {id_col} % {len(EXTRA_LINKS)} {whens} END)"
+
+
+def augmented_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", F.expr(augmented_html_sql()).alias("html"))
+
+
+# robots rules per authority, by length(authority) % 3 (line_no, allow, prefix)
+ROBOTS = {0: [(1, False, "/fr/")], 1: [(1, True, "/en/1"), (2, False, "/en/")], 2: []}
+
+
+def robots_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    auths = pages.select(F.expr(f"regexp_extract(url, {AUTH_RX_SQL}, 1)").alias("authority")).distinct()
+    structs = []
+    for k, rows in ROBOTS.items():
+        for line, allow, prefix in rows:
+            structs.append(f"named_struct('k', {k}, 'line_no', {line}, 'allow', {str(allow).lower()}, "
+                           f"'path_prefix', '{prefix}')")
+    arr = F.expr(f"filter(array({', '.join(structs)}), r -> r.k = length(authority) % 3)")
+    return auths.select("authority", F.inline(arr)).select(
+        "authority", F.col("line_no").cast("int").alias("line_no"), "allow", "path_prefix")
+
+
+def robots_rows_sql() -> str:
+    vals = ", ".join(f"({k}, {line}, {str(allow).lower()}, '{prefix}')"
+                     for k, rows in ROBOTS.items() for line, allow, prefix in rows)
+    return (f"SELECT a.authority, CAST(r.line_no AS INTEGER) AS line_no, r.allow, r.path_prefix FROM "
+            f"(SELECT DISTINCT regexp_extract(url, {AUTH_RX_SQL}, 1) AS authority FROM pages) a "
+            f"JOIN (VALUES {vals}) r(k, line_no, allow, path_prefix) ON r.k = length(a.authority) % 3")
+
+
+# link graph with cycles: page p links to pages (7p + j) mod N, j = 0..2, and
+# every fifth page to a URL that has no stored page.
+GRAPH_FANOUT = 3
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    n = pages.count()            # one scalar
+    src = pages.select(F.col("url").alias("src_url"), "page_id",
+                       F.explode(F.sequence(F.lit(0), F.lit(GRAPH_FANOUT - 1))).alias("ord"))
+    src = src.withColumn("dst_id", (F.col("page_id") * 7 + F.col("ord")) % n)
+    tgt = pages.select(F.col("page_id").alias("dst_id"), F.col("url").alias("dst_url"))
+    e = src.join(tgt, "dst_id").select("src_url", "dst_url", F.col("ord").cast("int").alias("ord"))
+    miss = pages.filter(F.col("page_id") % 5 == 0).select(
+        F.col("url").alias("src_url"), F.concat("url", F.lit("missing/")).alias("dst_url"),
+        F.lit(GRAPH_FANOUT).alias("ord"))
+    return e.unionByName(miss)
+
+
+GRAPH_EDGES_SQL = (
+    f"SELECT s.url AS src_url, t.url AS dst_url, CAST(r.j AS INTEGER) AS ord FROM pages s "
+    f"CROSS JOIN range({GRAPH_FANOUT}) r(j) JOIN pages t ON t.page_id = (s.page_id * 7 + r.j) % (SELECT count(*) FROM pages) "
+    f"UNION ALL SELECT url, url || 'missing/', {GRAPH_FANOUT} FROM pages WHERE page_id % 5 = 0")

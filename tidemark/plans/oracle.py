@@ -85,3 +85,47 @@ def scan_sql(src_sql: str, rules: list[Rule], profile: str = "broad", *,
         f"md5({url} || pattern || substring(m, 1, 200)) AS finding_hash" + cc + " FROM allm"
     )
     return body
+
+
+# --- URL resolution in DuckDB --------------------------------------------------
+
+def _dots_duck(segs: str) -> str:
+    fold = (f"list_reduce({segs}, lambda acc, s: CASE WHEN s = '..' THEN acc[1:len(acc) - 1] "
+            f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])")
+    fixed = f"CASE WHEN {segs}[-1] IN ('.', '..') THEN list_append({fold}, '') ELSE {fold} END"
+    return f"coalesce(nullif(array_to_string({fixed}, '/'), ''), '/')"
+
+
+def resolve_duck(base: str, href: str) -> str:
+    """DuckDB: ``href`` resolved against ``base`` (urljoin for http(s))."""
+    from tidemark.operators.links import AUTH_RX, PATH_RX, SCHEME_RX
+    h1 = f"regexp_extract({href}, '^([^#]*)', 1)"
+    hfrag = f"CASE WHEN instr({href}, '#') > 0 THEN '#' || regexp_extract({href}, '#(.*)$', 1) ELSE '' END"
+    hp = f"regexp_extract({h1}, '^([^?]*)', 1)"
+    hq = f"regexp_extract({h1}, '\\?(.*)$', 1)"
+    hq_s = f"CASE WHEN instr({h1}, '?') > 0 AND {hq} <> '' THEN '?' || {hq} ELSE '' END"
+    bs = f"regexp_extract({base}, {q(SCHEME_RX)}, 1)"
+    ba = f"regexp_extract({base}, {q(AUTH_RX)}, 1)"
+    bp = f"regexp_extract({base}, {q(PATH_RX)}, 1)"
+    b1 = f"regexp_extract({base}, '^([^#]*)', 1)"
+    bq = f"regexp_extract({b1}, '\\?(.*)$', 1)"
+    bq_s = f"CASE WHEN instr({b1}, '?') > 0 AND {bq} <> '' THEN '?' || {bq} ELSE '' END"
+    origin = f"({bs} || '://' || {ba})"
+    root_path = _dots_duck(f"string_split({hp}, '/')")
+    bparts = f"string_split({bp}, '/')"
+    bdir = f"CASE WHEN {bparts}[-1] <> '' THEN {bparts}[1:len({bparts}) - 1] ELSE {bparts} END"
+    joined = f"list_concat({bdir}, string_split({hp}, '/'))"
+    middle = f"list_filter({joined}, lambda s, i: i = 1 OR i = len({joined}) OR s <> '')"
+    rel_path = _dots_duck(middle)
+    return (
+        f"CASE WHEN regexp_matches({href}, {q(SCHEME_RX)}) THEN {href} "
+        f"WHEN starts_with({href}, '//') THEN {bs} || ':' || {href} "
+        f"WHEN starts_with({hp}, '/') THEN {origin} || {root_path} || {hq_s} || {hfrag} "
+        f"WHEN {hp} = '' THEN {origin} || {bp} || CASE WHEN {hq_s} <> '' THEN {hq_s} ELSE {bq_s} END || {hfrag} "
+        f"ELSE {origin} || {rel_path} || {hq_s} || {hfrag} END")
+
+
+def extract_duck(src: str, rx: str, group: int, kind: str) -> str:
+    arr = f"regexp_extract_all(html, {q(rx)}, {group})"
+    return (f"SELECT page_id, url, {q(kind)} AS kind, CAST(unnest(range(len({arr}))) AS INTEGER) AS ord, "
+            f"unnest({arr}) AS href FROM ({src})")
