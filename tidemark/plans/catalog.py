@@ -784,3 +784,184 @@ def q_crawl_scan(spark, sf_dir):
     visited = crawl(spark, sf_dir).filter("fetched").select("url")
     pages = read_pages(spark, sf_dir).join(F.broadcast(visited), "url", "left_semi")   # ≤ cap rows
     return scan(spread(pages), ALL, "broad")
+
+
+# --- rendering stand-ins -------------------------------------------------------
+
+from tidemark.operators import pages as PG  # noqa: E402
+
+
+@register("rendered_override",
+          f"SELECT page_id, (r IS NOT NULL) AS from_js, CAST(length(coalesce(r, html)) AS INTEGER) AS body_len, "
+          f"md5(coalesce(r, html)) AS body_md5 FROM (SELECT page_id, html, {FX.rendered_sql()} AS r FROM ({LIVE_PAGES_SQL}))")
+def q_rendered_override(spark, sf_dir):
+    """A rendered body replaces the raw one and sets from_js."""
+    pages = read_pages(spark, sf_dir)
+    raw = read_table(spark, sf_dir, "pages")
+    rendered = raw.select("url", F.expr(FX.rendered_sql()).alias("html")).filter("html IS NOT NULL")
+    out = PG.apply_rendered(pages, rendered)
+    return out.select("page_id", "from_js", F.length("body").alias("body_len"), F.md5("body").alias("body_md5"))
+
+
+_G, _LS, _SS = FX.client_state_sql()
+
+
+def _state_block_sql(label, v):
+    return (f"CASE WHEN {v} IS NOT NULL AND {v} NOT IN ('', 'null', '{{}}') "
+            f"THEN concat(chr(10), '<!-- {label} -->', chr(10), {v}) ELSE '' END")
+
+
+@register("client_state_append",
+          f"SELECT page_id, md5(concat(html, {_state_block_sql('GLOBAL_VARS', _G)}, {_state_block_sql('LOCAL_STORAGE', _LS)}, "
+          f"{_state_block_sql('SESSION_STORAGE', _SS)})) AS body_md5, concat({_state_block_sql('GLOBAL_VARS', _G)}, "
+          f"{_state_block_sql('LOCAL_STORAGE', _LS)}, {_state_block_sql('SESSION_STORAGE', _SS)}) AS appended "
+          f"FROM ({LIVE_PAGES_SQL})")
+def q_client_state_append(spark, sf_dir):
+    """Non-empty client state appended to the rendered body."""
+    p = read_table(spark, sf_dir, "pages").filter(F.col("html").isNotNull() & (F.length("html") > 0))
+    s = p.select("page_id", "html", F.expr(_G).alias("g"), F.expr(_LS).alias("l"), F.expr(_SS).alias("s"))
+    body = PG.append_state(F.col("html"), F.col("g"), F.col("l"), F.col("s"))
+    tail = PG.append_state(F.lit(""), F.col("g"), F.col("l"), F.col("s"))
+    return s.select("page_id", F.md5(body).alias("body_md5"), tail.alias("appended"))
+
+
+@register("inline_scripts", (
+    f"SELECT page_id, url, pos, 'INLINE_SCRIPT: ' || substring(c, 1, 5000) AS script FROM ("
+    f"SELECT page_id, url, unnest(range(len(regexp_extract_all(html, {O.q(PG.SCRIPT_RX)}, 1)))) AS pos, "
+    f"unnest(regexp_extract_all(html, {O.q(PG.SCRIPT_RX)}, 1)) AS a, "
+    f"unnest(regexp_extract_all(html, {O.q(PG.SCRIPT_RX)}, 2)) AS c FROM ({AUG_SQL})) "
+    f"WHERE NOT regexp_matches(a, {O.q(PG.SRC_ATTR_RX)}) AND length(c) > 0"))
+def q_inline_scripts(spark, sf_dir):
+    """Inline script contents without src, ≤5000 characters, labelled."""
+    p = aug(spark, sf_dir).withColumnRenamed("html", "body")
+    return PG.inline_scripts(p).select("page_id", "url", F.col("pos").cast("long").alias("pos"), "script")
+
+
+# --- validation ------------------------------------------------------------------
+
+BAD_RULES = [R.custom_rule("Broken Rule", r"(?i)token=([a-z"), R.custom_rule("Host Name", r"[a-z]+\.example\.org")]
+
+
+@register("rule_validation", O.scan_sql(PAGES_SRC_SQL, [BAD_RULES[1]], "broad"))
+def q_rule_validation(spark, sf_dir):
+    """Rules are compiled by the JVM before planning; an invalid one is set
+    aside with its message and the scan goes on with the rest."""
+    ok, bad = R.validate_rules(spark, BAD_RULES)
+    if [b[0] for b in bad] != ["Broken Rule"]:
+        raise AssertionError(f"validation: {bad}")
+    return scan(spread(read_pages(spark, sf_dir)), ok, "broad")
+
+
+@register("scan_errors")
+def q_scan_errors(spark, sf_dir):
+    """Rejected rules with the compiler message, beside the pages scanned."""
+    ok, bad = R.validate_rules(spark, BAD_RULES)
+    rej = R.rejected_df(spark, bad)
+    n = read_pages(spark, sf_dir).agg(F.count(F.lit(1)).alias("pages_scanned"))
+    return rej.join(F.broadcast(n), how="cross") if False else rej.unionByName(
+        n.select(F.lit("(pages scanned)").alias("pattern"), F.col("pages_scanned").cast("string").alias("error")))
+
+
+# --- sinks -------------------------------------------------------------------------
+
+from tidemark.sources import sinks as SK  # noqa: E402
+
+REPORT_SQL = with_raw(
+    f", t AS ({FX.SCANS_TIMES_SQL}) SELECT strftime(t.start_time, '%Y-%m-%d %H:%M:%S') AS timestamp, r.url, r.category, "
+    "r.pattern, r.severity, r.match, r.context FROM raw r JOIN t ON r.scan_id = t.scan_id WHERE r.scan_id = 0")
+
+
+def report_findings(spark, sf_dir):
+    """Scan 0's findings with the scan's start as their timestamp text."""
+    t = FX.scans_times(spark, sf_dir).select("scan_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
+    return raw_findings(spark, sf_dir).filter("scan_id = 0").join(F.broadcast(t), "scan_id")
+
+
+@register("sink_csv", REPORT_SQL)
+def q_sink_csv(spark, sf_dir):
+    """The seven CSV fields written with a header and read back."""
+    path = SK.write_csv(report_findings(spark, sf_dir), SK.scratch_path(spark, "csv"))
+    return SK.read_csv(spark, path).select(*SK.CSV_FIELDS)
+
+
+@register("sink_json", with_raw("SELECT finding_hash, url, pattern, category, severity, match, context, "
+                                "CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS \"end\", is_javascript "
+                                "FROM raw WHERE scan_id = 0"))
+def q_sink_json(spark, sf_dir):
+    """Findings as JSON lines, read back."""
+    f = raw_findings(spark, sf_dir).filter("scan_id = 0").select(
+        "finding_hash", "url", "pattern", "category", "severity", "match", "context", "start", "end", "is_javascript")
+    path = SK.write_json(f, SK.scratch_path(spark, "json"))
+    return spark.read.json(path).select(*f.columns)
+
+
+def _esc_sql(x):
+    return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+            f"'\"', '&quot;'), '''', '&#x27;')")
+
+
+HTML_ROWS_SQL = with_raw(
+    "SELECT '<tr class=\"severity-' || " + _esc_sql("coalesce(severity, 'medium')") + " || '\"><td>' || "
+    + _esc_sql("upper(coalesce(severity, 'medium'))") + " || '</td><td>' || " + _esc_sql("pattern")
+    + " || '</td><td>' || " + _esc_sql("coalesce(category, '')") + " || '</td><td>' || "
+    + _esc_sql("substring(url, 1, 100)") + " || '</td><td><code>' || " + _esc_sql("substring(match, 1, 100)")
+    + " || '</code></td><td>' || " + _esc_sql("substring(context, 1, 200)") + " || '</td></tr>' AS line "
+    "FROM raw WHERE scan_id = 0 UNION ALL SELECT '<html><head><meta charset=\"utf-8\"><title>Scan report</title></head>"
+    "<body><h1>Scan report</h1><p>Total: ' || count(*) || ' High: ' || count_if(severity = 'high') || ' Medium: ' || "
+    "count_if(severity = 'medium') || ' Low: ' || count_if(severity = 'low') || '</p><table><tr><th>Severity</th>"
+    "<th>Pattern</th><th>Category</th><th>URL</th><th>Match</th><th>Context</th></tr>' FROM raw WHERE scan_id = 0 "
+    "UNION ALL SELECT '</table></body></html>'")
+
+
+@register("sink_html", HTML_ROWS_SQL)
+def q_sink_html(spark, sf_dir):
+    """HTML report (summary, escaped rows in rank order) written as text
+    and read back line by line."""
+    path = SK.write_html(raw_findings(spark, sf_dir).filter("scan_id = 0"), SK.scratch_path(spark, "html"))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@register("statistics_html")
+def q_statistics_html(spark, sf_dir):
+    """Statistics page: totals, categories, severities, top rules."""
+    path = SK.write_statistics(
+        {"total_scans": q_total_scans(spark, sf_dir), "total_findings": q_total_findings(spark, sf_dir)},
+        q_category_counts(spark, sf_dir), q_severity_ordered(spark, sf_dir), q_top_patterns_20(spark, sf_dir),
+        q_top_patterns_10(spark, sf_dir), SK.scratch_path(spark, "stats"))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@register("sink_tables", with_store(
+    f", t AS ({FX.SCANS_TIMES_SQL}) SELECT 'findings' AS table_name, count(*) AS n FROM stored "
+    f"UNION ALL SELECT 'scans', count(*) FROM t "
+    f"UNION ALL SELECT 'pages', count(*) FROM (SELECT unnest({membership_sql('page_id')}) FROM ({LIVE_PAGES_SQL})) "
+    f"UNION ALL SELECT 'custom_patterns', {len(CUSTOM)}"))
+def q_sink_tables(spark, sf_dir):
+    """The four store tables written as parquet (findings and pages
+    partitioned by scan) and counted after reading back."""
+    tables = {"findings": stored_findings(spark, sf_dir).select(*STORE_COLS),
+              "scans": q_scan_end(spark, sf_dir),
+              "pages": q_page_log(spark, sf_dir),
+              "custom_patterns": R.rules_to_df(spark, CUSTOM)}
+    paths = SK.write_tables(tables, SK.scratch_path(spark, "tables"))
+    out = None
+    for name, p in paths.items():
+        c = spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@register("format_check")
+def q_format_check(spark, sf_dir):
+    """Each requested format is checked; stream/json/csv/html write the
+    findings of scan 0, anything else is refused with a message."""
+    f = report_findings(spark, sf_dir)
+    rows = []
+    for fmt in ("stream", "json", "csv", "html", "xml"):
+        try:
+            SK.check_format(fmt)
+            SK.write(f, SK.scratch_path(spark, f"fmt-{fmt}"), fmt)
+            rows.append((fmt, "ok"))
+        except ValueError as exc:
+            rows.append((fmt, str(exc)))
+    return spark.createDataFrame(rows, "format string, status string")

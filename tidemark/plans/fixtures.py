@@ -242,3 +242,22 @@ GRAPH_EDGES_SQL = (
     f"SELECT s.url AS src_url, t.url AS dst_url, CAST(r.j AS INTEGER) AS ord FROM pages s "
     f"CROSS JOIN range({GRAPH_FANOUT}) r(j) JOIN pages t ON t.page_id = (s.page_id * 7 + r.j) % (SELECT count(*) FROM pages) "
     f"UNION ALL SELECT url, url || 'missing/', {GRAPH_FANOUT} FROM pages WHERE page_id % 5 = 0")
+
+
+# --- rendered bodies and client state (stand-ins for a browser render) --------
+def rendered_sql(id_col: str = "page_id", html_col: str = "html") -> str:
+    """Rendered html for every third page: the raw html plus a marker block."""
+    return (f"CASE WHEN {id_col} % 3 = 0 THEN concat({html_col}, '<div id=\"app\" data-rendered=\"', "
+            f"CAST({id_col} AS STRING), '\"></div>') END")
+
+
+def client_state_sql(id_col: str = "page_id"):
+    """(global vars, local storage, session storage) JSON text by residue;
+    'null', '{}' and '' count as empty."""
+    h = f"md5(CAST({id_col} AS STRING))"
+    g = (f"CASE WHEN {id_col} % 2 = 0 THEN concat('{{\"apiKey\":\"', substr({h}, 1, 24), '\"}}') "
+         f"ELSE '{{}}' END")
+    loc = (f"CASE WHEN {id_col} % 3 = 0 THEN concat('{{\"token\":\"', substr({h}, 5, 20), '\"}}') "
+           f"WHEN {id_col} % 3 = 1 THEN 'null' ELSE '' END")
+    ses = f"CASE WHEN {id_col} % 4 = 0 THEN concat('{{\"sid\":\"', substr({h}, 9, 16), '\"}}') ELSE '{{}}' END"
+    return g, loc, ses

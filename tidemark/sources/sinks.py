@@ -34,8 +34,10 @@ def check_format(fmt: str) -> str:
 
 def write_csv(findings: DataFrame, path: str) -> str:
     """The seven report fields with a header line."""
+    # the writer trims values by default; a match may start or end with spaces
     (findings.select(*CSV_FIELDS).write.mode("overwrite")
-     .option("header", True).option("escape", '"').csv(path))
+     .option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -126,3 +128,38 @@ def roundtrip_tables(spark: SparkSession, sf_dir: str, df: DataFrame, name: str)
     paths = write_tables({name: df}, base)
     back = spark.read.parquet(paths[name])
     return back.select(*df.columns)
+
+
+def write_statistics(totals: dict[str, DataFrame], categories: DataFrame, severities: DataFrame,
+                     top_current: DataFrame, top_history: DataFrame, path: str) -> str:
+    """Statistics page: totals, findings by category, severity counts (high,
+    medium, low), top rules of the current scan and of the store."""
+    def table(df: DataFrame, k: int, title: str, key: str, val: str, cls: bool = False) -> DataFrame:
+        cell = (F.concat(F.lit("<td class='severity-"), html_escape(F.col(key)), F.lit("'>"),
+                         html_escape(F.upper(F.col(key))), F.lit("</td>")) if cls
+                else F.concat(F.lit("<td>"), html_escape(F.col(key).cast("string")), F.lit("</td>")))
+        rows = df.select(F.concat(F.lit("<tr>"), cell, F.lit("<td>"), F.col(val).cast("string"),
+                                  F.lit("</td></tr>")).alias("line"), F.lit(k).alias("_k"),
+                         F.row_number().over(Window.orderBy(F.desc(val), F.col(key))).alias("_o"))
+        head = df.sparkSession.range(1).select(
+            F.lit(f"<h3>{title}</h3><table>").alias("line"), F.lit(k).alias("_k"), F.lit(0).alias("_o"))
+        tail = df.sparkSession.range(1).select(
+            F.lit("</table>").alias("line"), F.lit(k).alias("_k"), F.lit(1 << 30).alias("_o"))
+        return head.unionByName(rows).unionByName(tail)
+
+    from pyspark.sql import Window
+    parts = []
+    for i, (name, df) in enumerate(totals.items()):
+        parts.append(df.select(F.concat(F.lit(f"<div class='stat-box'><span class='stat-label'>{name}:</span> "
+                                              "<span class='stat-value'>"), F.col(name).cast("string"),
+                                        F.lit("</span></div>")).alias("line"),
+                               F.lit(i).alias("_k"), F.lit(0).alias("_o")))
+    parts.append(table(categories, 10, "Findings by Category", "category", "count"))
+    parts.append(table(severities.drop("rank"), 11, "Severity Distribution", "severity", "count", cls=True))
+    parts.append(table(top_current, 12, "Top Patterns Found", "pattern", "count"))
+    parts.append(table(top_history, 13, "Historical Top Patterns", "pattern", "count"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    (out.orderBy("_k", "_o").select("line").coalesce(1).write.mode("overwrite").text(path))
+    return path
