@@ -97,6 +97,40 @@ def _line_findings_sql(line_rules) -> str:
     return let("split(_t, '\n', -1)", "ls", let(starts, "st", f"flatten(array({', '.join(per_rule)}))"))
 
 
+def match_columns_sql(rules: list[Rule], profile: str, extra: str | None = None):
+    """(column name, SQL) of each regex rule's gated match array over
+    ``_t``/``_lt``; ``extra(rule)`` may add a condition per rule."""
+    out = []
+    for i, r in enumerate(rules):
+        if r.line_word is not None:
+            continue
+        m = f"regexp_extract_all(_t, {sql_str(r.java(profile))}, 0)"
+        conds = [c for c in (_gate_sql(r), extra(r) if extra else None) if c]
+        cond = " AND ".join(f"({c})" for c in conds)
+        out.append((f"_m{i}", f"CASE WHEN {cond} THEN {m} END" if cond else m))
+    return out
+
+
+def findings_array_sql(rules: list[Rule], profile: str) -> str:
+    """Array of finding structs for one text, given the ``_m{i}`` columns."""
+    regex_rules = [(i, r) for i, r in enumerate(rules) if r.line_word is None]
+    line_rules = [(i, r) for i, r in enumerate(rules) if r.line_word is not None]
+    parts = []
+    if regex_rules:
+        parts.append(_findings_sql([_hit_sql(i, f"_m{i}", r.java(profile)) for i, r in regex_rules]))
+    if line_rules:
+        parts.append(_line_findings_sql(line_rules))
+    return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+
+
+def meta_arrays_sql(rules: list[Rule]) -> dict:
+    """Literal arrays of rule names, kits, categories and severities."""
+    def lits(vals):
+        return "array(" + ", ".join(sql_str(x) for x in vals) + ")"
+    return {"pattern": lits([r.name for r in rules]), "kit": lits([r.kit for r in rules]),
+            "category": lits([r.category for r in rules]), "severity": lits([r.severity for r in rules])}
+
+
 def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
          text_col: str = "body", url_col: str = "url", id_col: str = "page_id",
          part: str = "body", url_suffix: str = "", carry=()) -> DataFrame:
@@ -117,28 +151,16 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
     if profile == "broad":
         base = base.filter(F.length(t) > 0)
 
-    regex_rules = [(i, r) for i, r in enumerate(rules) if r.line_word is None]
-    line_rules = [(i, r) for i, r in enumerate(rules) if r.line_word is not None]
-    gated = any(r.gates for _, r in regex_rules)
-    if gated:
+    if any(r.gates for r in rules if r.line_word is None):
         base = base.withColumn("_lt", F.lower(t))
 
     # 1. gated match arrays, one column per rule
-    mcols = []
-    for i, r in regex_rules:
-        m = f"regexp_extract_all(_t, {sql_str(r.java(profile))}, 0)"
-        g = _gate_sql(r)
-        mcols.append(F.expr(m if g is None else f"CASE WHEN {g} THEN {m} END").alias(f"_m{i}"))
+    mcols = [F.expr(sql).alias(name) for name, sql in match_columns_sql(rules, profile)]
     keep = ["src_id", "page_url", "_t", *carry]
     step1 = base.select(*keep, *mcols)
 
     # 2. finding structs per rule; split only where the rule matched
-    fcols = []
-    if regex_rules:
-        fcols.append(_findings_sql([_hit_sql(i, f"_m{i}", r.java(profile)) for i, r in regex_rules]))
-    if line_rules:
-        fcols.append(_line_findings_sql(line_rules))
-    found = F.expr(fcols[0] if len(fcols) == 1 else f"concat({', '.join(fcols)})")
+    found = F.expr(findings_array_sql(rules, profile))
     step2 = step1.select("src_id", "page_url", *carry,
                          is_javascript(F.col("page_url"), t).alias("is_javascript"),
                          found.alias("_f"))
@@ -149,12 +171,9 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
     # on the (small) struct avoids that.
     ex = step2.select("src_id", "page_url", *carry, "is_javascript",
                       F.explode_outer("_f").alias("f")).filter(F.col("f").isNotNull())
-    def lits(vals):
-        return F.expr("array(" + ", ".join(sql_str(x) for x in vals) + ")")
-    names = lits([r.name for r in rules])
-    kits = lits([r.kit for r in rules])
-    cats = lits([r.category for r in rules])
-    sevs = lits([r.severity for r in rules])
+    meta = meta_arrays_sql(rules)
+    names, kits = F.expr(meta["pattern"]), F.expr(meta["kit"])
+    cats, sevs = F.expr(meta["category"]), F.expr(meta["severity"])
     idx = F.col("f.rule_idx")
     url = F.concat(F.col("page_url"), F.lit(url_suffix)) if url_suffix else F.col("page_url")
     out = ex.select(

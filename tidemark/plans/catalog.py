@@ -7,6 +7,8 @@ derives from them; derived inputs are defined once in ``fixtures``.
 
 from __future__ import annotations
 
+import os
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -965,3 +967,76 @@ def q_format_check(spark, sf_dir):
         except ValueError as exc:
             rows.append((fmt, str(exc)))
     return spark.createDataFrame(rows, "format string, status string")
+
+
+# --- 2.8 streaming -------------------------------------------------------------
+
+from tidemark.streaming import stream as SS  # noqa: E402
+
+_STREAM_RUNS: dict = {}
+
+
+def stream_run(spark, sf_dir):
+    """Stage page visits as one file per scan in a fresh folder under the
+    checkpoint dir, then run the streaming scan once (memoized)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _STREAM_RUNS:
+        pages = FX.pages_with_headers(spark, sf_dir)
+        visits = pages.withColumn("scan_id", F.explode(F.expr(FX.scan_membership_sql("page_id"))))
+        base = SK.scratch_path(spark, "stream")
+        SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"))
+        _STREAM_RUNS[key] = SS.stream_scan(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"))
+    return _STREAM_RUNS[key]
+
+
+RAW_COLS = ["finding_hash", "scan_id", "src_id", "url", "part", "pattern", "match_idx", "start", "match", "context"]
+
+
+@register("stream_scan", with_raw(f"SELECT {', '.join(RAW_COLS)} FROM raw"))
+def q_stream_scan(spark, sf_dir):
+    """Findings leave each micro-batch as its pages arrive; the sink holds
+    exactly the batch result."""
+    return spark.read.parquet(stream_run(spark, sf_dir)["raw"]).select(*RAW_COLS)
+
+
+@register("stream_dedupe", with_store(f"SELECT {', '.join(STORE_COLS)} FROM stored"))
+def q_stream_dedupe(spark, sf_dir):
+    """First finding per hash across micro-batches (store anti join)."""
+    return spark.read.parquet(stream_run(spark, sf_dir)["store"]).select(*STORE_COLS)
+
+
+@register("stream_status", with_raw(
+    f", p AS (SELECT scan_id, count(*) AS pages FROM (SELECT unnest({membership_sql('page_id')}) AS scan_id "
+    f"FROM ({LIVE_PAGES_SQL})) GROUP BY scan_id), f AS (SELECT scan_id, count(*) AS findings FROM raw GROUP BY scan_id) "
+    "SELECT p.scan_id, p.pages, coalesce(f.findings, 0) AS findings, "
+    "sum(p.pages) OVER (ORDER BY p.scan_id) AS pages_total, "
+    "sum(coalesce(f.findings, 0)) OVER (ORDER BY p.scan_id) AS findings_total FROM p LEFT JOIN f ON p.scan_id = f.scan_id"))
+def q_stream_status(spark, sf_dir):
+    """Pages visited and findings per micro-batch, with running totals."""
+    return SS.running_status(spark, stream_run(spark, sf_dir)["status"])
+
+
+@register("stream_summary", with_store(
+    f"SELECT (SELECT count(*) FROM (SELECT unnest({membership_sql('page_id')}) FROM ({LIVE_PAGES_SQL}))) AS pages_total, "
+    "(SELECT count(*) FROM raw) AS findings_raw, (SELECT count(*) FROM stored) AS findings_stored"))
+def q_stream_summary(spark, sf_dir):
+    """Summary only (no finding rows) once the stream has ended."""
+    return SS.summary(spark, stream_run(spark, sf_dir))
+
+
+# --- 2.9 SQL surface -------------------------------------------------------------
+
+from tidemark.functions.sql_function import register_scan_text  # noqa: E402
+
+TEXT_COLS = ["src_id", "pattern", "category", "severity", "match_idx", "start", "end", "match", "context"]
+
+
+@register("scan_text", f"SELECT {', '.join(c if c != 'end' else chr(34) + 'end' + chr(34) for c in TEXT_COLS)} "
+                       f"FROM ({O.scan_sql(DOCS_SRC_SQL, select_rules(['financial']), 'broad')})")
+def q_scan_text(spark, sf_dir):
+    """The scan called from SQL: LATERAL scan_text(text, 'financial')."""
+    fn = register_scan_text(spark)
+    view = f"tm_docs_{abs(hash(sf_dir)) % 10**8}"
+    docs(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT d.doc_id AS src_id, f.pattern, f.category, f.severity, f.match_idx, f.start, "
+                     f"f.`end`, f.match, f.context FROM {view} d, LATERAL {fn}(d.text, 'financial') f")
