@@ -7,8 +7,8 @@ API costs a gateway round trip per node (tens of seconds per plan).
 
 from __future__ import annotations
 
-# Block size of the two-level prefix sum below.
-BLOCK = 128
+# Block size of the chunked fold in ``exclusive_prefix_sums``.
+BLOCK = 32
 
 
 def sql_str(s: str) -> str:
@@ -29,17 +29,18 @@ def let(value: str, var: str, body: str) -> str:
 def exclusive_prefix_sums(d: str, v: str) -> str:
     """``[0, d0, d0+d1, ...]`` (same length as ``d``) for an int array.
 
-    Spark has no scan function, and folding with ``array_append`` copies the
-    accumulator every step (quadratic). Two levels keep it near linear:
-    block totals, prefix over the n/B blocks, then a bounded sum inside each
-    block: O(n·B + (n/B)²). ``v`` prefixes the lambda variable names.
+    Spark has no scan function; a fold that appends to one result array
+    copies it at every step (quadratic). This fold appends to a short
+    current block (≤ BLOCK) and moves full blocks to a list of blocks, so
+    each element costs one lambda call and O(BLOCK) copying, plus
+    O((n/BLOCK)²) block references over the whole array.
+    ``v`` prefixes the lambda variable names.
     """
-    a, p, B = f"{v}d", f"{v}p", BLOCK
-    sums = (f"transform(sequence(0, CAST(ceil(size({a}) / {B}) AS INT) - 1), {v}b -> "
-            f"aggregate(slice({a}, {v}b * {B} + 1, {B}), 0, ({v}s, {v}x) -> {v}s + {v}x))")
-    starts = (f"aggregate({sums}, named_struct('s', 0, 'a', CAST(array() AS ARRAY<INT>)), "
-              f"({v}c, {v}y) -> named_struct('s', {v}c.s + {v}y, 'a', array_append({v}c.a, {v}c.s))).a")
-    each = (f"transform(sequence(0, size({a}) - 1), {v}j -> {p}[{v}j div {B}] + "
-            f"aggregate(slice({a}, ({v}j div {B}) * {B} + 1, {v}j % {B}), 0, ({v}t, {v}z) -> {v}t + {v}z))")
-    return let(d, a, f"CASE WHEN size({a}) > 0 THEN {let(starts, p, each)} "
-                     f"ELSE CAST(array() AS ARRAY<INT>) END")
+    B = BLOCK
+    zero = ("named_struct('s', 0, 'cur', CAST(array() AS ARRAY<INT>), "
+            "'done', CAST(array() AS ARRAY<ARRAY<INT>>))")
+    step = (f"({v}c, {v}x) -> CASE WHEN size({v}c.cur) >= {B} "
+            f"THEN named_struct('s', {v}c.s + {v}x, 'cur', array({v}c.s), 'done', array_append({v}c.done, {v}c.cur)) "
+            f"ELSE named_struct('s', {v}c.s + {v}x, 'cur', array_append({v}c.cur, {v}c.s), 'done', {v}c.done) END")
+    finish = f"{v}f -> flatten(array_append({v}f.done, {v}f.cur))"
+    return f"aggregate({d}, {zero}, {step}, {finish})"

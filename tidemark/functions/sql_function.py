@@ -15,7 +15,8 @@ from pyspark.sql import SparkSession
 
 from tidemark.functions.arrays import sql_str
 from tidemark.functions.rules import Rule, select_rules
-from tidemark.operators.scan import findings_array_sql, match_columns_sql, meta_arrays_sql
+from tidemark.operators.scan import (MATCH_CAP, WS_RUN, findings_array_sql, match_columns_sql,
+                                     meta_arrays_sql)
 
 RETURNS = ("rule_idx INT, kit STRING, pattern STRING, category STRING, severity STRING, "
            "match_idx INT, start INT, `end` INT, match STRING, context STRING")
@@ -34,7 +35,8 @@ def scan_text_sql(rules: list[Rule], profile: str = "broad", name: str = "scan_t
         f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING, kit STRING) RETURNS TABLE ({RETURNS}) RETURN "
         f"SELECT f.rule_idx, get({meta['kit']}, f.rule_idx) AS kit, get({meta['pattern']}, f.rule_idx) AS pattern, "
         f"get({meta['category']}, f.rule_idx) AS category, get({meta['severity']}, f.rule_idx) AS severity, "
-        f"f.match_idx, f.start, f.`end`, f.match, f.context FROM (SELECT _kit, explode_outer({found}) AS f FROM ({inner})) "
+        f"f.match_idx, f.start, f.`end`, substring(f.match, 1, {MATCH_CAP}) AS match, "
+        f"trim(regexp_replace(f.ctx, {sql_str(WS_RUN)}, ' ')) AS context FROM (SELECT _kit, explode_outer({found}) AS f FROM ({inner})) "
         f"WHERE f IS NOT NULL AND (_kit = 'all' OR get({meta['kit']}, f.rule_idx) = _kit)")
 
 

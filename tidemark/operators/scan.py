@@ -62,10 +62,14 @@ def _gate_sql(rule: Rule) -> str | None:
 
 
 def _finding(idx, match: str, j: str, start: str) -> str:
+    """Finding struct inside the lambda: offsets, the whole match and the
+    raw context window. Truncation and whitespace folding run after the
+    explode, as generated code rather than interpreted lambda code."""
     end = f"{start} + length({match})"
+    cs = f"greatest({start} - {CONTEXT_SPAN}, 0)"
+    ce = f"least({end} + {CONTEXT_SPAN}, length(_t))"
     return (f"named_struct('rule_idx', {idx}, 'match_idx', {j}, 'start', {start}, "
-            f"'end', {end}, 'match', substring({match}, 1, {MATCH_CAP}), "
-            f"'context', {context_sql('_t', start, end)})")
+            f"'end', {end}, 'match', {match}, 'ctx', substring(_t, {cs} + 1, {ce} - {cs}))")
 
 
 def _hit_sql(idx: int, mcol: str, java_rx: str) -> str:
@@ -182,7 +186,8 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
         F.get(names, idx).alias("pattern"), F.get(cats, idx).alias("category"),
         F.get(sevs, idx).alias("severity"), F.col("f.match_idx").alias("match_idx"),
         F.col("f.start").alias("start"), F.col("f.end").alias("end"),
-        F.col("f.match").alias("match"), F.col("f.context").alias("context"),
+        F.substring("f.match", 1, MATCH_CAP).alias("match"),
+        F.trim(F.regexp_replace("f.ctx", WS_RUN, " ")).alias("context"),
         "is_javascript", *carry)
     return out.withColumn(
         "finding_hash", F.md5(F.concat(F.col("url"), F.col("pattern"), F.col("match"))))

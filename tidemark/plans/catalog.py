@@ -36,11 +36,24 @@ def register(key, sql=None):
     return deco
 
 
+_MEMOS: list = []
+
+
+def reset_memos() -> None:
+    """Forget memoized intermediates (benchmarks time each query cold)."""
+    for c in _MEMOS:
+        for df in c.values():
+            if hasattr(df, "unpersist"):
+                df.unpersist()
+        c.clear()
+
+
 def _memo(fn):
     """Per (session, folder) memo of a shared intermediate, persisted so the
     queries built on it do not repeat the scan; lineage stays intact, so a
     lost executor recomputes its share."""
     cache = {}
+    _MEMOS.append(cache)
 
     def wrapped(spark, sf_dir):
         key = (id(spark), spark.sparkContext.applicationId, sf_dir)
@@ -974,6 +987,7 @@ def q_format_check(spark, sf_dir):
 from tidemark.streaming import stream as SS  # noqa: E402
 
 _STREAM_RUNS: dict = {}
+_MEMOS.append(_STREAM_RUNS)
 
 
 def stream_run(spark, sf_dir):
