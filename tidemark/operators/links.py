@@ -79,7 +79,9 @@ def _dots(segs: str) -> str:
             f"WHEN s = '.' THEN acc ELSE array_append(acc, s) END)")
     fixed = (f"CASE WHEN element_at({segs}, -1) IN ('.', '..') THEN array_append({fold}, '') "
              f"ELSE {fold} END")
-    return f"coalesce(nullif(array_join({fixed}, '/'), ''), '/')"
+    joined = f"coalesce(nullif(array_join({fixed}, '/'), ''), '/')"
+    # a path under an authority always starts with '/'
+    return f"CASE WHEN startswith({joined}, '/') THEN {joined} ELSE concat('/', {joined}) END"
 
 
 def resolve_sql(base: str, href: str) -> str:
@@ -105,7 +107,7 @@ def resolve_sql(base: str, href: str) -> str:
     middle = f"filter({joined}, (s, i) -> i = 0 OR i = size({joined}) - 1 OR s <> '')"
     rel_path = _dots(middle)
     return (
-        f"CASE WHEN {href} RLIKE {_rx(SCHEME_RX)} THEN {href} "
+        f"CASE WHEN {href} = '' THEN {base} WHEN {href} RLIKE {_rx(SCHEME_RX)} THEN {href} "
         f"WHEN startswith({href}, '//') THEN concat({bs}, ':', {href}) "
         f"WHEN startswith({hp}, '/') THEN concat({origin}, {root_path}, {hq_s}, {hfrag}) "
         f"WHEN {hp} = '' THEN concat({origin}, {bp}, CASE WHEN {hq_s} <> '' THEN {hq_s} ELSE {bq_s} END, {hfrag}) "

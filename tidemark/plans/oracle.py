@@ -93,7 +93,8 @@ def _dots_duck(segs: str) -> str:
     fold = (f"list_reduce({segs}, lambda acc, s: CASE WHEN s = '..' THEN acc[1:len(acc) - 1] "
             f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])")
     fixed = f"CASE WHEN {segs}[-1] IN ('.', '..') THEN list_append({fold}, '') ELSE {fold} END"
-    return f"coalesce(nullif(array_to_string({fixed}, '/'), ''), '/')"
+    joined = f"coalesce(nullif(array_to_string({fixed}, '/'), ''), '/')"
+    return f"CASE WHEN starts_with({joined}, '/') THEN {joined} ELSE '/' || {joined} END"
 
 
 def resolve_duck(base: str, href: str) -> str:
@@ -118,7 +119,7 @@ def resolve_duck(base: str, href: str) -> str:
     middle = f"list_filter({joined}, lambda s, i: i = 1 OR i = len({joined}) OR s <> '')"
     rel_path = _dots_duck(middle)
     return (
-        f"CASE WHEN regexp_matches({href}, {q(SCHEME_RX)}) THEN {href} "
+        f"CASE WHEN {href} = '' THEN {base} WHEN regexp_matches({href}, {q(SCHEME_RX)}) THEN {href} "
         f"WHEN starts_with({href}, '//') THEN {bs} || ':' || {href} "
         f"WHEN starts_with({hp}, '/') THEN {origin} || {root_path} || {hq_s} || {hfrag} "
         f"WHEN {hp} = '' THEN {origin} || {bp} || CASE WHEN {hq_s} <> '' THEN {hq_s} ELSE {bq_s} END || {hfrag} "
