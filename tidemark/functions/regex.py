@@ -20,6 +20,156 @@ _W = "[A-Za-z0-9_]"
 JAVA_WORD_BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 
+_WORD_CHARS = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+
+
+def _tokens(rx: str):
+    """Flat tokens (kind, text): class, esc, open, close, alt, quant, lit."""
+    out, i, n = [], 0, len(rx)
+    while i < n:
+        c = rx[i]
+        if c == "\\" and i + 1 < n:
+            out.append(("esc", rx[i:i + 2]))
+            i += 2
+        elif c == "[":
+            j = i + 1
+            if j < n and rx[j] == "^":
+                j += 1
+            if j < n and rx[j] == "]":
+                j += 1
+            while j < n and rx[j] != "]":
+                j += 2 if rx[j] == "\\" else 1
+            out.append(("class", rx[i:j + 1]))
+            i = j + 1
+        elif c == "(":
+            j = i + 1
+            if rx.startswith("?", j):
+                k = j + 1
+                while k < n and rx[k] not in ":)":
+                    k += 1
+                if k < n and rx[k] == ")":       # inline flags such as (?i)
+                    out.append(("flags", rx[i:k + 1]))
+                    i = k + 1
+                    continue
+                j = k + 1
+            out.append(("open", rx[i:j]))
+            i = j
+        elif c == ")":
+            out.append(("close", c))
+            i += 1
+        elif c == "|":
+            out.append(("alt", c))
+            i += 1
+        elif c in "*+?{":
+            j = i + 1
+            if c == "{":
+                j = rx.index("}", i) + 1
+            if j < n and rx[j] in "?+":
+                j += 1
+            out.append(("quant", rx[i:j]))
+            i = j
+        else:
+            out.append(("lit", c))
+            i += 1
+    return out
+
+
+def _class_is_word(cls: str) -> bool:
+    body = cls[1:-1]
+    if body.startswith("^"):
+        return False
+    i = 0
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            if body[i + 1:i + 2] not in ("d", "w"):
+                return False
+            i += 2
+        elif i + 2 < len(body) and body[i + 1] == "-":
+            lo, hi = c, body[i + 2]
+            if not any(a <= lo <= hi <= b for a, b in (("0", "9"), ("A", "Z"), ("a", "z"))):
+                return False
+            i += 3
+        else:
+            if c not in _WORD_CHARS:
+                return False
+            i += 1
+    return True
+
+
+def _atom_is_word(tok) -> bool:
+    kind, text = tok
+    if kind == "class":
+        return _class_is_word(text)
+    if kind == "esc":
+        return text in ("\\d", "\\w")
+    return kind == "lit" and text in _WORD_CHARS
+
+
+def _min_zero(q: str) -> bool:
+    return q[0] in "*?" or q.startswith("{0")
+
+
+def _starts_with_word(toks, k) -> bool:
+    """Token k begins every possible match with a word character."""
+    if k >= len(toks):
+        return False
+    kind = toks[k][0]
+    if kind in ("class", "esc", "lit"):
+        ok = _atom_is_word(toks[k])
+        return ok and not (k + 1 < len(toks) and toks[k + 1][0] == "quant" and _min_zero(toks[k + 1][1]))
+    if kind != "open":
+        return False
+    depth, starts, j = 0, [k + 1], k + 1
+    while j < len(toks):
+        t = toks[j][0]
+        if t == "open":
+            depth += 1
+        elif t == "close":
+            if depth == 0:
+                break
+            depth -= 1
+        elif t == "alt" and depth == 0:
+            starts.append(j + 1)
+        j += 1
+    if j + 1 < len(toks) and toks[j + 1][0] == "quant" and _min_zero(toks[j + 1][1]):
+        return False
+    return all(toks[s][0] in ("class", "esc", "lit") and _atom_is_word(toks[s]) and not (
+        s + 1 < len(toks) and toks[s + 1][0] == "quant" and _min_zero(toks[s + 1][1])) for s in starts)
+
+
+def _ends_with_word(toks, k) -> bool:
+    """Token k-1 (the one before a boundary) ends every match with a word
+    character."""
+    j = k - 1
+    if j < 0:
+        return False
+    if toks[j][0] == "quant":
+        if _min_zero(toks[j][1]):
+            return False
+        j -= 1
+    return j >= 0 and toks[j][0] in ("class", "esc", "lit") and _atom_is_word(toks[j])
+
+
+def java_boundaries(rx: str) -> str:
+    """Rewrite every ``\\b`` for Java: one-sided look-around where the
+    neighbouring token can only be a word character (half the cost), the
+    two-sided ASCII form otherwise."""
+    toks = _tokens(rx)
+    out = []
+    for k, (kind, text) in enumerate(toks):
+        if kind == "esc" and text == "\\b":
+            if _starts_with_word(toks, k + 1):
+                out.append(f"(?<!{_W})")
+            elif _ends_with_word(toks, k):
+                out.append(f"(?!{_W})")
+            else:
+                out.append(JAVA_WORD_BOUNDARY)
+        else:
+            out.append(text)
+    return "".join(out)
+
+
 def _rewrite(rx: str, boundary: str | None, dollar: str | None) -> str:
     """Replace unescaped ``\\b`` / ``$`` outside character classes."""
     out = []
@@ -62,8 +212,8 @@ def java_regex(rx: str, profile: str = "broad") -> str:
     """Rule text → pattern for Spark's ``regexp_*`` functions."""
     if profile == "broad":
         # the broad tool forces IGNORECASE | MULTILINE on every rule
-        return "(?dim)" + _rewrite(rx, JAVA_WORD_BOUNDARY, None)
-    return "(?d)" + _rewrite(rx, JAVA_WORD_BOUNDARY, r"\z")
+        return "(?dim)" + java_boundaries(rx)
+    return "(?d)" + java_boundaries(_rewrite(rx, None, r"\z"))
 
 
 def re2_regex(rx: str, profile: str = "broad") -> str:
