@@ -137,17 +137,20 @@ def meta_arrays_sql(rules: list[Rule]) -> dict:
 
 def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
          text_col: str = "body", url_col: str = "url", id_col: str = "page_id",
-         part: str = "body", url_suffix: str = "", carry=()) -> DataFrame:
+         part: str = "body", url_suffix: str = "", carry=(),
+         part_col: str | None = None, suffixes: dict | None = None) -> DataFrame:
     """Run ``rules`` over ``df[text_col]``; one row per match.
 
     Output columns: ``FINDING_COLUMNS`` plus ``carry``. ``url`` is the source
     URL (``page_url`` + ``url_suffix``); ``start``/``end`` are 0-based
-    character offsets into the scanned text.
+    character offsets into the scanned text. With ``part_col`` the part
+    comes from that column and the URL suffix from ``suffixes[part]``, so
+    several texts of a page (body, headers) go through one plan.
     The broad profile skips empty texts, as the broad tool does.
     """
     if not rules:
         raise ValueError("no rules to scan with")
-    carry = list(carry)
+    carry = list(carry) + ([part_col] if part_col and part_col not in carry else [])
     t = F.col("_t")
     base = df.select(F.col(id_col).alias("src_id"), F.col(url_col).alias("page_url"),
                      F.col(text_col).alias("_t"), *carry)
@@ -179,9 +182,18 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
     names, kits = F.expr(meta["pattern"]), F.expr(meta["kit"])
     cats, sevs = F.expr(meta["category"]), F.expr(meta["severity"])
     idx = F.col("f.rule_idx")
-    url = F.concat(F.col("page_url"), F.lit(url_suffix)) if url_suffix else F.col("page_url")
+    if part_col:
+        suffix = F.lit("")
+        for k, v in (suffixes or {}).items():
+            suffix = F.when(F.col(part_col) == k, F.lit(v)).otherwise(suffix)
+        url = F.concat(F.col("page_url"), suffix)
+        part_c = F.col(part_col)
+    else:
+        url = F.concat(F.col("page_url"), F.lit(url_suffix)) if url_suffix else F.col("page_url")
+        part_c = F.lit(part)
+    carry = [c for c in carry if c != part_col]
     out = ex.select(
-        "src_id", url.alias("url"), "page_url", F.lit(part).alias("part"),
+        "src_id", url.alias("url"), "page_url", part_c.alias("part"),
         idx.alias("rule_idx"), F.get(kits, idx).alias("kit"),
         F.get(names, idx).alias("pattern"), F.get(cats, idx).alias("category"),
         F.get(sevs, idx).alias("severity"), F.col("f.match_idx").alias("match_idx"),

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from tidemark.functions.rules import Rule
 from tidemark.operators import store as ST
 from tidemark.operators.headers import scan_page
-from tidemark.sources.tables import spread
 
 VISIT_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
@@ -43,27 +42,26 @@ def stage_files(visits: DataFrame, folder: str, split_col: str = "scan_id") -> l
     return keys
 
 
-def _merge_batch(rules: list[Rule], profile: str, paths: dict):
+def _merge_batch(paths: dict):
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        pages = spread(batch)
-        raw = scan_page(pages, rules, profile, carry=["scan_id"]).withColumn("batch", F.lit(batch_id))
-        raw = raw.persist()
-        raw.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        batch = batch.persist()
+        raw = batch.filter(F.col("part") != "visit").withColumn("batch", F.lit(batch_id))
+        raw.drop("_pages").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("batch").parquet(paths["raw"])
-        cand = ST.first_wins(ST.to_store_rows(raw.drop("batch")))
+        cand = ST.first_wins(ST.to_store_rows(raw.drop("batch", "_pages")))
         if _exists(spark, paths["store"]):
             prev = spark.read.parquet(paths["store"]).filter(F.col("batch") < batch_id)
             cand = cand.join(prev.select("finding_hash"), "finding_hash", "left_anti")
         (cand.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(paths["store"]))
-        status = (pages.groupBy("scan_id").agg(F.count(F.lit(1)).alias("pages"))
-                  .join(raw.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings")), "scan_id", "left")
-                  .select("scan_id", "pages", F.coalesce("findings", F.lit(0)).alias("findings"),
-                          F.lit(batch_id).alias("batch")))
+        status = (batch.groupBy("scan_id").agg(
+                      F.count_if(F.col("part") == "visit").alias("pages"),
+                      F.count_if(F.col("part") != "visit").alias("findings"))
+                  .withColumn("batch", F.lit(batch_id)))
         status.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("batch").parquet(paths["status"])
-        raw.unpersist()
+        batch.unpersist()
     return merge
 
 
@@ -75,23 +73,38 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def stream_scan(spark: SparkSession, source: str, rules: list[Rule], out: str,
-                profile: str = "broad", files_per_trigger: int = 1) -> dict:
+                profile: str = "broad", files_per_trigger: int | None = 1,
+                min_partitions: int | None = None) -> dict:
     """Run the streaming scan over the visit files in ``source`` until they
-    are all processed (``availableNow``); returns the output paths."""
+    are all processed (``availableNow``); returns the output paths.
+
+    The scan is part of the streaming plan (analysed once, not per batch);
+    one marker row per visited page rides along so the batch function can
+    count pages without a second read. ``min_partitions`` spreads batches
+    that arrive as a few large files (small inputs); leave it unset when
+    files are many.
+    """
     paths = {k: os.path.join(out, k) for k in ("raw", "store", "status", "checkpoint")}
-    visits = (spark.readStream.schema(VISIT_SCHEMA)
-              .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
-    q = (visits.writeStream.foreachBatch(_merge_batch(rules, profile, paths))
+    reader = spark.readStream.schema(VISIT_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    visits = reader.parquet(source)
+    if min_partitions:
+        visits = visits.repartition(min_partitions)
+    found = scan_page(visits, rules, profile, carry=["scan_id"])
+    marks = visits.select(F.col("page_id").alias("src_id"), "scan_id", F.lit("visit").alias("part"))
+    both = found.unionByName(marks, allowMissingColumns=True)
+    q = (both.writeStream.foreachBatch(_merge_batch(paths))
          .option("checkpointLocation", paths["checkpoint"]).trigger(availableNow=True).start())
     q.awaitTermination()
     return paths
 
 
 def running_status(spark: SparkSession, status_path: str) -> DataFrame:
-    """Status rows with running totals in batch order (one row per batch)."""
+    """Status rows (per batch and scan) with running totals in arrival order."""
     from pyspark.sql import Window
     s = spark.read.parquet(status_path)
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy("batch", "scan_id").rowsBetween(Window.unboundedPreceding, 0)
     return s.select("scan_id", "pages", "findings",
                     F.sum("pages").over(w).alias("pages_total"),
                     F.sum("findings").over(w).alias("findings_total"))
