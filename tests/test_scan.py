@@ -54,6 +54,8 @@ TEXTS = [
     (6, None),
     (7, "écrit 123-45-6789 über ß 0x" + "ab" * 20 + " fin"),
     (8, "password=abcd;pwd=efgh pass=ijkl\tdebug = true\nTODO: fix this\n"),
+    # adjacent tiny matches: the bounded look-around falls back to the text
+    (9, "x" * 300 + "error" * 60 + " y" * 150 + "\n" * 40 + "a\nb"),
 ]
 
 

@@ -36,7 +36,7 @@ def scan_text_sql(rules: list[Rule], profile: str = "broad", name: str = "scan_t
         f"SELECT f.rule_idx, get({meta['kit']}, f.rule_idx) AS kit, get({meta['pattern']}, f.rule_idx) AS pattern, "
         f"get({meta['category']}, f.rule_idx) AS category, get({meta['severity']}, f.rule_idx) AS severity, "
         f"f.match_idx, f.start, f.`end`, substring(f.match, 1, {MATCH_CAP}) AS match, "
-        f"trim(regexp_replace(f.ctx, {sql_str(WS_RUN)}, ' ')) AS context FROM (SELECT _kit, explode_outer({found}) AS f FROM ({inner})) "
+        f"trim(regexp_replace(concat(f.lctx, f.match, f.rctx), {sql_str(WS_RUN)}, ' ')) AS context FROM (SELECT _kit, explode_outer({found}) AS f FROM ({inner})) "
         f"WHERE f IS NOT NULL AND (_kit = 'all' OR get({meta['kit']}, f.rule_idx) = _kit)")
 
 

@@ -61,32 +61,75 @@ def _gate_sql(rule: Rule) -> str | None:
     return " OR ".join(f"contains(_lt, {sql_str(g)})" for g in rule.gates)
 
 
-def _finding(idx, match: str, j: str, start: str) -> str:
+# pieces looked at either side of a match when cutting its context
+CONTEXT_PIECES = 16
+
+
+def _finding(idx, match: str, j: str, start: str, left: str, right: str) -> str:
     """Finding struct inside the lambda: offsets, the whole match and the
-    raw context window. Truncation and whitespace folding run after the
-    explode, as generated code rather than interpreted lambda code."""
-    end = f"{start} + length({match})"
-    cs = f"greatest({start} - {CONTEXT_SPAN}, 0)"
-    ce = f"least({end} + {CONTEXT_SPAN}, length(_t))"
+    context either side. Truncation and whitespace folding run after the
+    explode, as generated code."""
     return (f"named_struct('rule_idx', {idx}, 'match_idx', {j}, 'start', {start}, "
-            f"'end', {end}, 'match', {match}, 'ctx', substring(_t, {cs} + 1, {ce} - {cs}))")
+            f"'end', {start} + length({match}), 'match', {match}, 'lctx', {left}, 'rctx', {right})")
+
+
+def _window(first_s: str, first_n: str, idx: str, piece: str, plen: str, prepend: bool) -> str:
+    """Grow a context window from its first piece by whole neighbouring
+    pieces until it holds CONTEXT_SPAN characters; lengths are carried, so
+    no string is measured or walked from the start of the text."""
+    grow = f"concat({piece}, a.s)" if prepend else f"concat(a.s, {piece})"
+    return (f"aggregate({idx}, named_struct('s', {first_s}, 'n', {first_n}), "
+            f"(a, k) -> CASE WHEN a.n >= {CONTEXT_SPAN} THEN a ELSE named_struct('s', {grow}, "
+            f"'n', a.n + {plen}) END)")
+
+
+def _sides(j: str, n: str, start: str, end: str, lp: str, lpl: str, rp: str, rpl: str,
+           first_l: tuple, first_r: tuple) -> tuple:
+    """(left, right) context of piece ``j`` of ``n``.
+
+    Left starts from ``first_l`` and prepends pieces ``lp[k]`` (k < j);
+    right starts from ``first_r`` and appends ``rp[k]`` (k > j). Where the
+    bounded look-around reaches neither the text edge nor CONTEXT_SPAN
+    characters, the exact substring of the text is taken instead (rare:
+    many tiny pieces in a row). UTF-8 strings are indexed by walking from
+    their start, so cutting from the whole text for every match would cost
+    O(text) per match."""
+    K, C = CONTEXT_PIECES, CONTEXT_SPAN
+    lo = f"greatest(0, {j} - {K})"
+    lw = _window(*first_l, f"reverse(slice(_ix, {lo} + 1, {j} - {lo}))", f"{lp}[k]", f"{lpl}[k]", True)
+    rw = _window(*first_r, f"slice(_ix, {j} + 2, {K})", f"{rp}[k]", f"{rpl}[k]", False)
+    cs = f"greatest({start} - {C}, 0)"
+    left = (f"CASE WHEN lw.n >= {C} THEN substring(lw.s, -{C}) WHEN {lo} = 0 THEN lw.s "
+            f"ELSE substring(_t, {cs} + 1, {start} - {cs}) END")
+    right = (f"CASE WHEN rw.n >= {C} THEN substring(rw.s, 1, {C}) WHEN {j} + {K} >= {n} - 1 THEN rw.s "
+             f"ELSE substring(_t, {end} + 1, {C}) END")
+    return let(lw, "lw", left), let(rw, "rw", right)
 
 
 def _hit_sql(idx: int, mcol: str, java_rx: str) -> str:
-    """One rule's matches plus gap lengths; the split runs only on a hit."""
-    gaps = f"transform(split(_t, {sql_str(java_rx)}, -1), q -> length(q))"
+    """One rule's matches plus the gaps between them (the split runs only
+    on a hit)."""
     return (f"named_struct('i', {idx}, 'm', {mcol}, "
-            f"'g', CASE WHEN size({mcol}) > 0 THEN {gaps} END)")
+            f"'g', CASE WHEN size({mcol}) > 0 THEN split(_t, {sql_str(java_rx)}, -1) END)")
 
 
 def _findings_sql(hits: list[str]) -> str:
-    """Finding structs for all rules that matched: gap and match lengths
-    give exact offsets (one shared lambda for every rule)."""
-    d = "zip_with(slice(h.g, 1, size(h.m)), transform(h.m, w -> length(w)), (u, k) -> u + k)"
-    items = "transform(h.m, (x, j) -> " + _finding("h.i", "x", "j", "pre[j] + h.g[j]") + ")"
-    per_hit = let(exclusive_prefix_sums(d, "p_"), "pre", items)
+    """Finding structs for all rules that matched (one shared lambda): gap
+    and match lengths give exact offsets; neighbouring pieces give context."""
+    start, end = "pre[j] + gl[j]", "pre[j] + gl[j] + ml[j]"
+    left, right = _sides("j", "size(h.m)", start, end, "lp", "d", "rp", "rl",
+                         ("h.g[j]", "gl[j]"), ("h.g[j + 1]", "gl[j + 1]"))
+    body = "transform(h.m, (x, j) -> " + _finding("h.i", "x", "j", start, left, right) + ")"
+    body = let("sequence(0, size(h.m) - 1)", "_ix", body)
+    body = let(exclusive_prefix_sums("d", "p_"), "pre", body)
+    body = let("zip_with(ml, slice(gl, 2, size(h.m)), (a, b) -> a + b)", "rl", body)
+    body = let("zip_with(h.m, slice(h.g, 2, size(h.m)), (a, b) -> concat(a, b))", "rp", body)
+    body = let("zip_with(slice(h.g, 1, size(h.m)), h.m, (a, b) -> concat(a, b))", "lp", body)
+    body = let("zip_with(slice(gl, 1, size(h.m)), ml, (a, b) -> a + b)", "d", body)
+    body = let("transform(h.m, w -> length(w))", "ml", body)
+    body = let("transform(h.g, q -> length(q))", "gl", body)
     return (f"flatten(transform(filter(array({', '.join(hits)}), hh -> hh.g IS NOT NULL), "
-            f"h -> {per_hit}))")
+            f"h -> {body}))")
 
 
 def _line_findings_sql(line_rules) -> str:
@@ -94,11 +137,21 @@ def _line_findings_sql(line_rules) -> str:
     per_rule = []
     for idx, r in line_rules:
         v = f"l{idx}_"
-        keep = f"filter(sequence(0, size(ls) - 1), {v}j -> NOT contains(lower(ls[{v}j]), {sql_str(r.line_word)}))"
-        per_rule.append(f"transform({keep}, ({v}n, {v}k) -> " + _finding(
-            idx, f"ls[{v}n]", f"{v}k", f"st[{v}n]") + ")")
-    starts = exclusive_prefix_sums("transform(ls, lw -> length(lw) + 1)", "ln_")
-    return let("split(_t, '\n', -1)", "ls", let(starts, "st", f"flatten(array({', '.join(per_rule)}))"))
+        j = f"{v}n"
+        keep = f"filter(_ix, {v}j -> NOT contains(lower(ls[{v}j]), {sql_str(r.line_word)}))"
+        start = f"st[{j}]"
+        left, right = _sides(j, "size(ls)", start, f"{start} + ll[{j}]", "lpc", "lpl", "rpc", "lpl",
+                             ("''", "0"), ("''", "0"))
+        per_rule.append(f"transform({keep}, ({j}, {v}k) -> "
+                        + _finding(idx, f"ls[{j}]", f"{v}k", start, left, right) + ")")
+    body = f"flatten(array({', '.join(per_rule)}))"
+    body = let("sequence(0, size(ls) - 1)", "_ix", body)
+    body = let("transform(ls, lw -> concat(chr(10), lw))", "rpc", body)
+    body = let("transform(ls, lw -> concat(lw, chr(10)))", "lpc", body)
+    body = let(exclusive_prefix_sums("lpl", "ln_"), "st", body)
+    body = let("transform(ll, n -> n + 1)", "lpl", body)
+    body = let("transform(ls, lw -> length(lw))", "ll", body)
+    return let("split(_t, '\\n', -1)", "ls", body)
 
 
 def match_columns_sql(rules: list[Rule], profile: str, extra: str | None = None):
@@ -199,7 +252,7 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
         F.get(sevs, idx).alias("severity"), F.col("f.match_idx").alias("match_idx"),
         F.col("f.start").alias("start"), F.col("f.end").alias("end"),
         F.substring("f.match", 1, MATCH_CAP).alias("match"),
-        F.trim(F.regexp_replace("f.ctx", WS_RUN, " ")).alias("context"),
+        F.trim(F.regexp_replace(F.concat("f.lctx", "f.match", "f.rctx"), WS_RUN, " ")).alias("context"),
         "is_javascript", *carry)
     return out.withColumn(
         "finding_hash", F.md5(F.concat(F.col("url"), F.col("pattern"), F.col("match"))))
