@@ -47,19 +47,20 @@ SCAN_ORDER = ["src_id", "part", "rule_idx", "match_idx"]
 
 def report_rows(findings: DataFrame) -> DataFrame:
     """Findings in rank order high, medium, low (unknown ranks as medium),
-    stable in scan order; severity shown in capitals."""
-    return (findings.select(severity_rank().alias("_rank"), *SCAN_ORDER, "url", "pattern",
+    stable in scan order; severity shown in capitals. The order is a
+    distributed sort on (rank, scan order) — the key columns are returned,
+    no row numbering through a single partition."""
+    return (findings.select(severity_rank().alias("rank"), *SCAN_ORDER, "url", "pattern",
                             F.upper("severity").alias("severity"), "match", "context")
-            .withColumn("report_pos", F.row_number().over(Window.orderBy("_rank", *SCAN_ORDER)))
-            .select("report_pos", "url", "pattern", "severity", "match", "context"))
+            .orderBy("rank", *SCAN_ORDER))
 
 
 def findings_by_scan(findings: DataFrame, scan_id: int) -> DataFrame:
-    """One scan's findings, severity text descending, then scan order."""
+    """One scan's findings, severity text descending, then scan order
+    (distributed sort; the key columns are returned)."""
     f = findings.filter(F.col("scan_id") == scan_id)
-    return (f.withColumn("pos", F.row_number().over(
-                Window.orderBy(F.desc("severity"), *SCAN_ORDER)))
-            .select("pos", "url", "pattern", "category", "match", "context", "severity"))
+    return (f.select(*SCAN_ORDER, "url", "pattern", "category", "match", "context", "severity")
+            .orderBy(F.desc("severity"), *SCAN_ORDER))
 
 
 def scan_history(scans: DataFrame, limit: int = 50) -> DataFrame:

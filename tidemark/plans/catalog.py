@@ -588,8 +588,8 @@ def q_report_summary(spark, sf_dir):
 
 
 @register("report_rows", with_raw(
-    "SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 1 END, "
-    "src_id, part, rule_idx, match_idx) AS report_pos, url, pattern, upper(severity) AS severity, match, context "
+    "SELECT CAST(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 1 END AS INTEGER) AS rank, "
+    "src_id, part, rule_idx, match_idx, url, pattern, upper(severity) AS severity, match, context "
     "FROM raw WHERE scan_id = 0"))
 def q_report_rows(spark, sf_dir):
     """Current scan's findings in rank order high, medium, low (unknown =
@@ -598,8 +598,8 @@ def q_report_rows(spark, sf_dir):
 
 
 @register("findings_by_scan", with_store(
-    "SELECT row_number() OVER (ORDER BY severity DESC, src_id, part, rule_idx, match_idx) AS pos, url, pattern, "
-    "category, match, context, severity FROM stored WHERE scan_id = 1"))
+    "SELECT src_id, part, rule_idx, match_idx, url, pattern, category, match, context, severity "
+    "FROM stored WHERE scan_id = 1"))
 def q_findings_by_scan(spark, sf_dir):
     """One scan's stored findings: severity as text descending, then time
     (scan order)."""

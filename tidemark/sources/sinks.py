@@ -76,26 +76,31 @@ def html_row(findings: DataFrame) -> Column:
 
 def write_html(findings: DataFrame, path: str) -> str:
     """Report: summary counts, then one row per finding in rank order
-    (high, medium, low; unknown = medium), as a text file."""
+    (high, medium, low; unknown = medium), then the closing tags.
+
+    The lines are range-sorted and written without collapsing to one task:
+    the part files, read in name order, are the report."""
     from tidemark.operators.reports import report_summary, severity_rank
-    s = report_summary(findings).select(F.concat(
+    order = [c for c in ("src_id", "part", "rule_idx", "match_idx") if c in findings.columns]
+    types = dict(findings.dtypes)
+
+    def nulls():
+        return F.struct(*[F.lit(None).cast(types[c]).alias(c) for c in order])
+    head = report_summary(findings).select(F.concat(
         F.lit("<html><head><meta charset=\"utf-8\"><title>Scan report</title></head><body>"
               "<h1>Scan report</h1><p>Total: "), F.col("total").cast("string"),
         F.lit(" High: "), F.col("high").cast("string"), F.lit(" Medium: "), F.col("medium").cast("string"),
         F.lit(" Low: "), F.col("low").cast("string"),
         F.lit("</p><table><tr><th>Severity</th><th>Pattern</th><th>Category</th><th>URL</th>"
               "<th>Match</th><th>Context</th></tr>")).alias("line"), F.lit(0).alias("_k0"),
-        F.lit(0).alias("_rank"), F.lit(0).cast("long").alias("_o"))
+        F.lit(0).alias("_rank"), nulls().alias("_o"))
     rows = findings.select(html_row(findings).alias("line"), F.lit(1).alias("_k0"),
-                           severity_rank().alias("_rank"), F.col("_order").cast("long").alias("_o")) \
-        if "_order" in findings.columns else findings.select(
-            html_row(findings).alias("line"), F.lit(1).alias("_k0"), severity_rank().alias("_rank"),
-            F.monotonically_increasing_id().alias("_o"))
+                           severity_rank().alias("_rank"), F.struct(*order).alias("_o"))
     tail = findings.sparkSession.range(1).select(F.lit("</table></body></html>").alias("line"),
                                                  F.lit(2).alias("_k0"), F.lit(0).alias("_rank"),
-                                                 F.lit(0).cast("long").alias("_o"))
-    (s.unionByName(rows).unionByName(tail).orderBy("_k0", "_rank", "_o")
-     .select("line").coalesce(1).write.mode("overwrite").text(path))
+                                                 nulls().alias("_o"))
+    (head.unionByName(rows).unionByName(tail).orderBy("_k0", "_rank", "_o")
+     .select("line").write.mode("overwrite").text(path))
     return path
 
 
