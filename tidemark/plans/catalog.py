@@ -298,7 +298,7 @@ def q_rule_remove(spark, sf_dir):
 
 
 @register("rule_count",
-          f"SELECT rt.kit, count(*) AS n_rules, sum(coalesce(c.n, 0)) AS n_findings "
+          f"SELECT rt.kit, count(*) AS n_rules, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS n_findings "
           f"FROM {_rules_values_sql()} LEFT JOIN (SELECT pattern, count(*) AS n FROM ({PAGE_FINDINGS_SQL}) "
           f"GROUP BY pattern) c ON c.pattern = rt.name GROUP BY rt.kit")
 def q_rule_count(spark, sf_dir):
@@ -581,8 +581,9 @@ def q_category_counts(spark, sf_dir):
 
 
 @register("report_summary", with_raw(
-    "SELECT count(*) AS total, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, "
-    "count_if(severity = 'low') AS low FROM raw WHERE scan_id = 0"))
+    "SELECT count(*) AS total, CAST(count_if(severity = 'high') AS BIGINT) AS high, "
+    "CAST(count_if(severity = 'medium') AS BIGINT) AS medium, "
+    "CAST(count_if(severity = 'low') AS BIGINT) AS low FROM raw WHERE scan_id = 0"))
 def q_report_summary(spark, sf_dir):
     return RP.report_summary(raw_findings(spark, sf_dir).filter("scan_id = 0"))
 
@@ -1027,8 +1028,9 @@ def q_stream_dedupe(spark, sf_dir):
     f", p AS (SELECT scan_id, count(*) AS pages FROM (SELECT unnest({membership_sql('page_id')}) AS scan_id "
     f"FROM ({LIVE_PAGES_SQL})) GROUP BY scan_id), f AS (SELECT scan_id, count(*) AS findings FROM raw GROUP BY scan_id) "
     "SELECT p.scan_id, p.pages, coalesce(f.findings, 0) AS findings, "
-    "sum(p.pages) OVER (ORDER BY p.scan_id) AS pages_total, "
-    "sum(coalesce(f.findings, 0)) OVER (ORDER BY p.scan_id) AS findings_total FROM p LEFT JOIN f ON p.scan_id = f.scan_id"))
+    "CAST(sum(p.pages) OVER (ORDER BY p.scan_id) AS BIGINT) AS pages_total, "
+    "CAST(sum(coalesce(f.findings, 0)) OVER (ORDER BY p.scan_id) AS BIGINT) AS findings_total "
+    "FROM p LEFT JOIN f ON p.scan_id = f.scan_id"))
 def q_stream_status(spark, sf_dir):
     """Pages visited and findings per micro-batch, with running totals."""
     return SS.running_status(spark, stream_run(spark, sf_dir)["status"])

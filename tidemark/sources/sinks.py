@@ -132,7 +132,8 @@ def roundtrip_tables(spark: SparkSession, sf_dir: str, df: DataFrame, name: str)
     base = scratch_path(spark, "store")
     paths = write_tables({name: df}, base)
     back = spark.read.parquet(paths[name])
-    return back.select(*df.columns)
+    # partition columns come back with inferred types; restore the written ones
+    return back.select(*[F.col(c).cast(t).alias(c) for c, t in df.dtypes])
 
 
 def write_statistics(totals: dict[str, DataFrame], categories: DataFrame, severities: DataFrame,
