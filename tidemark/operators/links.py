@@ -36,20 +36,37 @@ def _rx(r: str) -> str:
     return sql_str(r)
 
 
+def _shape_sql(html_col: str, rx: str, group: int, kind: str) -> str:
+    return (f"transform(regexp_extract_all({html_col}, {_rx(rx)}, {group}), "
+            f"(h, i) -> named_struct('kind', {_rx(kind)}, 'ord', i, 'href', h))")
+
+
+def _anchor_sql(html_col: str) -> str:
+    tags = f"regexp_extract_all({html_col}, {_rx(ANCHOR_RX)}, 1)"
+    hrefs = f"regexp_extract_all({html_col}, {_rx(ANCHOR_RX)}, 2)"
+    return (f"transform(arrays_zip({tags}, {hrefs}), (z, i) -> named_struct('kind', lower(z['0']), "
+            f"'ord', i, 'href', z['1']))")
+
+
+def _explode(pages: DataFrame, arr_sql: str) -> DataFrame:
+    ex = pages.select("page_id", "url", F.explode(F.expr(arr_sql)).alias("l"))
+    return ex.select("page_id", "url", "l.kind", "l.ord", "l.href")
+
+
+def _script_sql(html_col: str) -> str:
+    skip = " OR ".join(f"startswith(l.href, {_rx(p)})" for p in SKIP_PREFIXES)
+    parts = [_shape_sql(html_col, "(?i)" + rx, 1, f"script{i + 1}") for i, rx in enumerate(SCRIPT_RX)]
+    return f"filter(concat({', '.join(parts)}), l -> NOT ({skip}))"
+
+
 def extract(pages: DataFrame, rx: str, group: int, kind: str, html_col: str = "html") -> DataFrame:
     """(page_id, url, kind, ord, href): every match of ``rx`` in page order."""
-    arr = F.expr(f"regexp_extract_all({html_col}, {_rx(rx)}, {group})")
-    return pages.select("page_id", "url", F.lit(kind).alias("kind"),
-                        F.posexplode(arr).alias("ord", "href"))
+    return _explode(pages, _shape_sql(html_col, rx, group, kind))
 
 
 def anchors(pages: DataFrame, html_col: str = "html", with_link: bool = True) -> DataFrame:
     """href of ``a`` tags (and ``link`` tags in the broad profile)."""
-    tags = F.expr(f"regexp_extract_all({html_col}, {_rx(ANCHOR_RX)}, 1)")
-    hrefs = F.expr(f"regexp_extract_all({html_col}, {_rx(ANCHOR_RX)}, 2)")
-    ex = pages.select("page_id", "url", F.posexplode(F.arrays_zip(tags.alias("t"), hrefs.alias("h"))))
-    out = ex.select("page_id", "url", F.lower("col.t").alias("kind"), F.col("pos").alias("ord"),
-                    F.col("col.h").alias("href"))
+    out = _explode(pages, _anchor_sql(html_col))
     return out if with_link else out.filter(F.col("kind") == "a")
 
 
@@ -59,15 +76,15 @@ def forms(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def script_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The six script shapes; data:, javascript: and # links skipped."""
-    out = None
-    for i, rx in enumerate(SCRIPT_RX):
-        e = extract(pages, "(?i)" + rx, 1, f"script{i + 1}", html_col)
-        out = e if out is None else out.unionByName(e)
-    keep = None
-    for p in SKIP_PREFIXES:
-        c = ~F.col("href").startswith(p)
-        keep = c if keep is None else keep & c
-    return out.filter(keep)
+    return _explode(pages, _script_sql(html_col))
+
+
+def all_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Anchors, forms and script shapes of each page in one pass over the
+    html (one projection of match arrays, one explode)."""
+    arr = (f"concat({_anchor_sql(html_col)}, {_shape_sql(html_col, FORM_RX, 1, 'form')}, "
+           f"{_script_sql(html_col)})")
+    return _explode(pages, arr)
 
 
 # --- resolution (Spark SQL text) --------------------------------------------

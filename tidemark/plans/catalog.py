@@ -530,8 +530,9 @@ def q_page_log(spark, sf_dir):
 def q_findings_with_scan(spark, sf_dir):
     """Stored findings joined to their scan (the declared foreign key).
     The scans table has one row per scan: a broadcast side."""
+    from tidemark.sources.tables import broadcast_if_small
     sc = scans_table(spark, sf_dir).select("scan_id", "base_url", "start_time")
-    return (stored_findings(spark, sf_dir).join(F.broadcast(sc), "scan_id")
+    return (stored_findings(spark, sf_dir).join(broadcast_if_small(sc), "scan_id")
             .select("finding_hash", "scan_id", "base_url", "start_time", "pattern", "severity"))
 
 
@@ -683,8 +684,7 @@ def q_links_script(spark, sf_dir):
 
 
 def all_links(spark, sf_dir):
-    p = aug(spark, sf_dir)
-    return L.anchors(p).unionByName(L.forms(p)).unionByName(L.script_links(p))
+    return L.all_links(aug(spark, sf_dir))
 
 
 ALL_LINKS_SQL = f"({ANCHOR_SQL}) UNION ALL ({FORM_SQL}) UNION ALL ({SCRIPT_SQL})"

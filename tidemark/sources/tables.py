@@ -79,3 +79,9 @@ def header_text(headers: Column, profile: str = "broad") -> Column:
         return F.when(F.size(lines) > 0,
                       F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
     return F.array_join(lines, "\n")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint only after counting the rows; a larger side is left to
+    the planner (shuffle join, AQE may still switch a small one)."""
+    return F.broadcast(df) if df.count() <= max_rows else df
