@@ -65,8 +65,9 @@ def _memo(fn):
 
 # --- inputs ------------------------------------------------------------------
 
-PAGES_SRC_SQL = ("SELECT page_id AS src_id, url AS page_url, substring(html, 1, 10485760) AS t "
-                 "FROM pages")
+PAGES_SRC_SQL = "SELECT page_id AS src_id, url AS page_url, html AS t FROM pages"
+STRICT_PAGES_SRC_SQL = ("SELECT page_id AS src_id, url AS page_url, substring(html, 1, 10485760) AS t "
+                        "FROM pages")
 LIVE_PAGES_SQL = "SELECT * FROM pages WHERE html IS NOT NULL AND length(html) > 0"
 HDR_ROWS_SQL = FX.header_rows_sql_union()
 HFIRST_SQL = (f"SELECT page_id, name, arg_min(value, seq) AS value FROM ({HDR_ROWS_SQL}) "
@@ -159,7 +160,7 @@ def q_scan_documents(spark, sf_dir):
     return scan(docs(spark, sf_dir), ALL, "broad", text_col="text", id_col="doc_id")
 
 
-STRICT_BODY_SQL = O.scan_sql(PAGES_SRC_SQL, ALL_STRICT, "strict")
+STRICT_BODY_SQL = O.scan_sql(STRICT_PAGES_SRC_SQL, ALL_STRICT, "strict")
 STRICT_HDR_SQL = O.scan_sql(htext_src_sql("strict"), ALL_STRICT, "strict", part="headers",
                             url_suffix=" (headers)")
 
@@ -279,7 +280,7 @@ def q_rule_category(spark, sf_dir):
 SELECTED = select_rules(["api-keys", "financial", "cloud", "financial"], "strict")
 
 
-@register("rule_selection", O.scan_sql(PAGES_SRC_SQL, SELECTED, "strict"))
+@register("rule_selection", O.scan_sql(STRICT_PAGES_SRC_SQL, SELECTED, "strict"))
 def q_rule_selection(spark, sf_dir):
     """Strict kits chosen by name (a repeated kit adds nothing) over pages."""
     return scan(spread(read_pages(spark, sf_dir, "strict")), SELECTED, "strict")
@@ -367,7 +368,7 @@ def q_missing_headers(spark, sf_dir):
 # --- 2.1 sources -------------------------------------------------------------
 
 @register("pages_source",
-          f"SELECT page_id, url, substring(html, 1, 10485760) AS body, {FX.status_expr_sql()} AS status_code, "
+          f"SELECT page_id, url, html AS body, {FX.status_expr_sql()} AS status_code, "
           f"0 AS depth, false AS from_js FROM ({LIVE_PAGES_SQL})")
 def q_pages_source(spark, sf_dir):
     """Stored pages → Page schema (body cut at 10 MiB; empty dropped)."""
@@ -509,7 +510,7 @@ def q_scan_summary(spark, sf_dir):
 
 
 @register("page_log",
-          f"SELECT scan_id, page_id, url, {FX.status_expr_sql()} AS status_code, md5(substring(html, 1, 10485760)) AS content_hash, "
+          f"SELECT scan_id, page_id, url, {FX.status_expr_sql()} AS status_code, md5(html) AS content_hash, "
           "(" + " OR ".join(f"contains(html, {O.q(m)})" for m in R.D.RENDER_MARKERS) + ") AS has_javascript "
           f"FROM (SELECT *, unnest({membership_sql('page_id')}) AS scan_id FROM ({LIVE_PAGES_SQL}))")
 def q_page_log(spark, sf_dir):
@@ -790,7 +791,7 @@ def q_crawl_unfetched(spark, sf_dir):
     return crawl(spark, sf_dir).filter("NOT fetched").select("url", "depth", "visit_ord")
 
 
-CRAWL_SCAN_SRC = (f"SELECT p.page_id AS src_id, p.url AS page_url, substring(p.html, 1, 10485760) AS t "
+CRAWL_SCAN_SRC = (f"SELECT p.page_id AS src_id, p.url AS page_url, p.html AS t "
                   f"FROM pages p WHERE p.url IN (SELECT url FROM ({CRAWL_SQL}) WHERE fetched)")
 
 

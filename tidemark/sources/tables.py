@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BODY_CAP = 10 << 20   # characters kept per body (strict tool: 10 MiB read cap)
+BODY_CAP = 10 << 20   # strict profile: characters kept per body (its 10 MiB read cap)
+
+
+def body_col(profile: str = "broad"):
+    """The page body: whole in the broad profile, cut at BODY_CAP in the
+    strict one (the only place the original reads a prefix)."""
+    return F.substring("html", 1, BODY_CAP) if profile == "strict" else F.col("html")
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -38,13 +44,13 @@ def read_pages(spark: SparkSession, sf_dir: str, profile: str = "broad",
     """Stored pages → Page schema.
 
     ``page_id, url, body, headers MAP<STRING,STRING>, status_code, depth,
-    from_js``; the body is cut at BODY_CAP characters; the broad profile
-    drops empty bodies (the broad tool skips a page whose text is empty).
+    from_js``; the strict profile cuts the body at BODY_CAP characters; the
+    broad profile keeps it whole and drops empty bodies (the broad tool skips a page whose text is empty).
     ``headers`` is an optional frame (page_id, headers, status_code).
     """
     pages = read_table(spark, sf_dir, "pages")
     out = pages.select(
-        "page_id", "url", F.substring("html", 1, BODY_CAP).alias("body"))
+        "page_id", "url", body_col(profile).alias("body"))
     if profile == "broad":
         out = out.filter(F.col("body").isNotNull() & (F.length("body") > 0))
     if headers is not None:
