@@ -7,7 +7,7 @@ DataFrame for the table-shaped operations (counts, divergence, removal).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,6 +239,3 @@ def remove_rules(rules_table: DataFrame, names=None) -> DataFrame:
 def strict_view(rules_table: DataFrame) -> DataFrame:
     return rules_table.filter(F.col("sev_strict").isNotNull())
 
-
-def with_profile(rules: list[Rule], profile: str) -> list[Rule]:
-    return [replace(r) for r in rules]

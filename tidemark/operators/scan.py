@@ -37,19 +37,6 @@ FINDING_COLUMNS = [
 ]
 
 
-def context_sql(text: str, start: str, end: str) -> str:
-    """Up to 100 characters either side, whitespace runs → one space, trimmed."""
-    cs = f"greatest({start} - {CONTEXT_SPAN}, 0)"
-    ce = f"least({end} + {CONTEXT_SPAN}, length({text}))"
-    return f"trim(regexp_replace(substring({text}, {cs} + 1, {ce} - {cs}), {sql_str(WS_RUN)}, ' '))"
-
-
-def context_of(text: Column, start: Column, end: Column) -> Column:
-    cs = F.greatest(start - CONTEXT_SPAN, F.lit(0))
-    ce = F.least(end + CONTEXT_SPAN, F.length(text))
-    return F.trim(F.regexp_replace(text.substr(cs + 1, ce - cs), WS_RUN, " "))
-
-
 def is_javascript(url: Column, text: Column) -> Column:
     """URL names a .js/.json resource, or 'javascript' in the first 100 chars."""
     return url.contains(".js") | F.substring(text, 1, 100).contains("javascript")
