@@ -120,18 +120,26 @@ def _findings_sql(hits: list[str]) -> str:
 
 
 def _line_findings_sql(line_rules) -> str:
-    """Missing-header rules: every line (empty ones too) lacking the word."""
+    """Missing-header rules: every line (empty ones too) lacking the word.
+
+    Offsets, context and the lowered text of each line are computed once and
+    shared by the four rules (a line lacking every word yields four findings
+    with the same offsets and context)."""
+    j = "lj"
+    start = f"st[{j}]"
+    left, right = _sides(j, "size(ls)", start, f"{start} + ll[{j}]", "lpc", "lpl", "rpc", "lpl",
+                         ("''", "0"), ("''", "0"))
+    info = (f"transform(_ix, {j} -> named_struct('start', {start}, 'low', lower(ls[{j}]), "
+            f"'lctx', {left}, 'rctx', {right}))")
     per_rule = []
     for idx, r in line_rules:
         v = f"l{idx}_"
-        j = f"{v}n"
-        keep = f"filter(_ix, {v}j -> NOT contains(lower(ls[{v}j]), {sql_str(r.line_word)}))"
-        start = f"st[{j}]"
-        left, right = _sides(j, "size(ls)", start, f"{start} + ll[{j}]", "lpc", "lpl", "rpc", "lpl",
-                             ("''", "0"), ("''", "0"))
-        per_rule.append(f"transform({keep}, ({j}, {v}k) -> "
-                        + _finding(idx, f"ls[{j}]", f"{v}k", start, left, right) + ")")
-    body = f"flatten(array({', '.join(per_rule)}))"
+        keep = f"filter(_ix, {v}j -> NOT contains(li[{v}j].low, {sql_str(r.line_word)}))"
+        per_rule.append(
+            f"transform({keep}, ({v}n, {v}k) -> named_struct('rule_idx', {idx}, 'match_idx', {v}k, "
+            f"'start', li[{v}n].start, 'end', li[{v}n].start + ll[{v}n], 'match', ls[{v}n], "
+            f"'lctx', li[{v}n].lctx, 'rctx', li[{v}n].rctx))")
+    body = let(info, "li", f"flatten(array({', '.join(per_rule)}))")
     body = let("sequence(0, size(ls) - 1)", "_ix", body)
     body = let("transform(ls, lw -> concat(chr(10), lw))", "rpc", body)
     body = let("transform(ls, lw -> concat(lw, chr(10)))", "lpc", body)
