@@ -25,9 +25,20 @@ def scan_headers(pages: DataFrame, rules: list[Rule], profile: str = "broad",
 
 
 def scan_page(pages: DataFrame, rules: list[Rule], profile: str = "broad", carry=()) -> DataFrame:
-    """Body findings then header findings of each page (one union)."""
-    body = scan(pages, rules, profile, carry=carry)
-    return body.unionByName(scan_headers(pages, rules, profile, carry))
+    """Body and header findings of each page in one pass: the two texts of
+    a page are stacked from one read (``part`` = body / headers) and
+    scanned by one plan."""
+    carry = list(carry)
+    has_h = F.col("headers").isNotNull() & (F.size("headers") > 0)
+    texts = F.array(
+        F.struct(F.lit("body").alias("p"), F.col("body").alias("t")),
+        F.when(has_h, F.struct(F.lit("headers").alias("p"),
+                               header_text(F.col("headers"), profile).alias("t"))))
+    stacked = (pages.select("page_id", "url", *carry, F.explode(texts).alias("_x"))
+               .filter(F.col("_x").isNotNull())
+               .select("page_id", "url", *carry, F.col("_x.p").alias("_part"), F.col("_x.t").alias("_text")))
+    return scan(stacked, rules, profile, text_col="_text", carry=carry, part_col="_part",
+                suffixes={"headers": HEADER_SUFFIX})
 
 
 def missing_headers(pages: DataFrame) -> DataFrame:

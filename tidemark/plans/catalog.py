@@ -444,20 +444,22 @@ PPS_SQL = (f"SELECT scan_id, count(*) AS pages_scanned FROM (SELECT unnest({memb
 
 def scan_log(spark, sf_dir):
     """Append-only scan log: a 'running' row at start, a 'complete' row
-    with totals at the end (two events per scan)."""
+    with totals at the end (two events per scan). Pages per scan and the
+    base URL come from one aggregation over one read of the pages."""
     times = FX.scans_times(spark, sf_dir)
-    pps = pages_per_scan(spark, sf_dir)
+    visits = (FX.pages_with_headers(spark, sf_dir)
+              .select(F.explode(F.expr(FX.scan_membership_sql("page_id"))).alias("scan_id"), "page_id", "url"))
+    per_scan = visits.groupBy("scan_id").agg(F.min_by("url", "page_id").alias("base_url"),
+                                             F.count(F.lit(1)).alias("pages_scanned"))
     raw = raw_findings(spark, sf_dir).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
-    base_url = (FX.pages_with_headers(spark, sf_dir)
-                .select(F.explode(F.expr(FX.scan_membership_sql("page_id"))).alias("scan_id"), "page_id", "url")
-                .groupBy("scan_id").agg(F.min_by("url", "page_id").alias("base_url")))
-    start = times.join(base_url, "scan_id").select(
+    base = times.join(per_scan, "scan_id")
+    start = base.select(
         "scan_id", F.lit(1).alias("event_no"), "base_url", "start_time",
         F.lit(None).cast("timestamp_ntz").alias("end_time"), F.lit(0).alias("pages_scanned"),
         F.lit(0).cast("long").alias("findings_count"), F.lit("running").alias("status"))
-    end = (times.join(base_url, "scan_id").join(pps, "scan_id", "left").join(raw, "scan_id", "left")
+    end = (base.join(raw, "scan_id", "left")
            .select("scan_id", F.lit(2).alias("event_no"), "base_url", "start_time", "end_time",
-                   F.coalesce(F.col("pages_scanned").cast("int"), F.lit(0)).alias("pages_scanned"),
+                   F.col("pages_scanned").cast("int").alias("pages_scanned"),
                    F.coalesce("n", F.lit(0)).cast("long").alias("findings_count"),
                    F.lit("complete").alias("status")))
     return start.unionByName(end)
