@@ -1,43 +1,59 @@
-"""``scan_text(text, kit)``: the scan as a SQL table function.
+"""``scan_text(text, kit)``: the scan callable from SQL.
 
-The function body is the same native expression the DataFrame scan uses
-(regex literals, gates, offsets, context), so a SQL user gets the JVM path:
+A SQL scalar function returning the findings of one text as an array of
+structs; its body is the same native expression the DataFrame scan uses
+(regex literals, gates, offsets, context), and ``inline`` turns the array
+into rows:
 
-    SELECT d.doc_id, f.* FROM docs d, LATERAL scan_text(d.text, 'financial') f
+    SELECT d.doc_id, f.* FROM (SELECT doc_id, scan_text(text, 'financial') AS fa FROM docs) d
+    LATERAL VIEW OUTER inline(d.fa) f WHERE f.rule_idx IS NOT NULL
+
+(``OUTER`` + the null filter: a plain ``inline`` makes the optimizer push
+``size(array) > 0`` into the scan, evaluating every regex twice.)
+
+A scalar function is expanded in place, so the plan is one projection and a
+Generate over the input partitions. (A SQL *table* function called with
+LATERAL is decorrelated by Spark into distinct-texts → join back, which
+shuffles every text; that form is not used.)
 
 ``kit`` is a kit key (``api_keys`` … ``cloud``) or ``all``; rules of other
-kits are not evaluated (their match arrays are gated off).
+kits are gated off and not evaluated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tidemark.functions.arrays import sql_str
+from tidemark.functions.arrays import let, sql_str
 from tidemark.functions.rules import Rule, select_rules
 from tidemark.operators.scan import (MATCH_CAP, WS_RUN, findings_array_sql, match_columns_sql,
                                      meta_arrays_sql)
 
-RETURNS = ("rule_idx INT, kit STRING, pattern STRING, category STRING, severity STRING, "
-           "match_idx INT, start INT, `end` INT, match STRING, context STRING")
+FIELDS = ("rule_idx INT, kit STRING, pattern STRING, category STRING, severity STRING, "
+          "match_idx INT, start INT, `end` INT, match STRING, context STRING")
 
 
 def scan_text_sql(rules: list[Rule], profile: str = "broad", name: str = "scan_text") -> str:
     def kit_ok(r: Rule) -> str:
         return f"_kit = 'all' OR _kit = {sql_str(r.kit)}"
-    mcols = ", ".join(f"{sql} AS {n}" for n, sql in match_columns_sql(rules, profile, kit_ok))
+    mcols = match_columns_sql(rules, profile, kit_ok)
+    slot = {int(n[2:]): k for k, (n, _) in enumerate(mcols)}
+    found = findings_array_sql(rules, profile, mcol=lambda i: f"_ms[{slot[i]}]")
+    if mcols:
+        found = let("array(" + ", ".join(sql for _, sql in mcols) + ")", "_ms", found)
+    found = let("lower(_t)", "_lt", found)
     meta = meta_arrays_sql(rules)
-    nonempty = " AND length(t) > 0" if profile == "broad" else ""
-    inner = (f"SELECT _t, _kit{', ' + mcols if mcols else ''} FROM "
-             f"(SELECT t AS _t, lower(t) AS _lt, kit AS _kit WHERE t IS NOT NULL{nonempty})")
-    found = findings_array_sql(rules, profile)
-    return (
-        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING, kit STRING) RETURNS TABLE ({RETURNS}) RETURN "
-        f"SELECT f.rule_idx, get({meta['kit']}, f.rule_idx) AS kit, get({meta['pattern']}, f.rule_idx) AS pattern, "
-        f"get({meta['category']}, f.rule_idx) AS category, get({meta['severity']}, f.rule_idx) AS severity, "
-        f"f.match_idx, f.start, f.`end`, substring(f.match, 1, {MATCH_CAP}) AS match, "
-        f"trim(regexp_replace(concat(f.lctx, f.match, f.rctx), {sql_str(WS_RUN)}, ' ')) AS context FROM (SELECT _kit, explode_outer({found}) AS f FROM ({inner})) "
-        f"WHERE f IS NOT NULL AND (_kit = 'all' OR get({meta['kit']}, f.rule_idx) = _kit)")
+    shaped = (f"filter(transform({found}, f -> named_struct('rule_idx', f.rule_idx, "
+              f"'kit', get({meta['kit']}, f.rule_idx), 'pattern', get({meta['pattern']}, f.rule_idx), "
+              f"'category', get({meta['category']}, f.rule_idx), 'severity', get({meta['severity']}, f.rule_idx), "
+              f"'match_idx', f.match_idx, 'start', f.start, 'end', f.`end`, "
+              f"'match', substring(f.match, 1, {MATCH_CAP}), "
+              f"'context', trim(regexp_replace(concat(f.lctx, f.match, f.rctx), {sql_str(WS_RUN)}, ' ')))), "
+              f"g -> _kit = 'all' OR g.kit = _kit)")
+    empty = "_t IS NULL" + (" OR length(_t) = 0" if profile == "broad" else "")
+    body = f"CASE WHEN {empty} THEN CAST(array() AS ARRAY<STRUCT<{FIELDS}>>) ELSE {shaped} END"
+    return (f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(_t STRING, _kit STRING) "
+            f"RETURNS ARRAY<STRUCT<{FIELDS}>> RETURN {body}")
 
 
 def register_scan_text(spark: SparkSession, rules: list[Rule] | None = None, profile: str = "broad",

@@ -163,13 +163,14 @@ def match_columns_sql(rules: list[Rule], profile: str, extra: str | None = None)
     return out
 
 
-def findings_array_sql(rules: list[Rule], profile: str) -> str:
-    """Array of finding structs for one text, given the ``_m{i}`` columns."""
+def findings_array_sql(rules: list[Rule], profile: str, mcol=lambda i: f"_m{i}") -> str:
+    """Array of finding structs for one text, given the match arrays
+    (``mcol(i)``: the ``_m{i}`` columns by default)."""
     regex_rules = [(i, r) for i, r in enumerate(rules) if r.line_word is None]
     line_rules = [(i, r) for i, r in enumerate(rules) if r.line_word is not None]
     parts = []
     if regex_rules:
-        parts.append(_findings_sql([_hit_sql(i, f"_m{i}", r.java(profile)) for i, r in regex_rules]))
+        parts.append(_findings_sql([_hit_sql(i, mcol(i), r.java(profile)) for i, r in regex_rules]))
     if line_rules:
         parts.append(_line_findings_sql(line_rules))
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"

@@ -1057,9 +1057,11 @@ TEXT_COLS = ["src_id", "pattern", "category", "severity", "match_idx", "start",
 @register("scan_text", f"SELECT {', '.join(c if c != 'end' else chr(34) + 'end' + chr(34) for c in TEXT_COLS)} "
                        f"FROM ({O.scan_sql(DOCS_SRC_SQL, select_rules(['financial']), 'broad')})")
 def q_scan_text(spark, sf_dir):
-    """The scan called from SQL: LATERAL scan_text(text, 'financial')."""
+    """The scan called from SQL: scan_text(text, 'financial') per row, then
+    LATERAL VIEW inline over the array."""
     fn = register_scan_text(spark)
     view = f"tm_docs_{abs(hash(sf_dir)) % 10**8}"
     docs(spark, sf_dir).createOrReplaceTempView(view)
     return spark.sql(f"SELECT d.doc_id AS src_id, f.pattern, f.category, f.severity, f.match_idx, f.start, "
-                     f"f.`end`, f.match, f.context FROM {view} d, LATERAL {fn}(d.text, 'financial') f")
+                     f"f.`end`, f.match, f.context FROM (SELECT doc_id, {fn}(text, 'financial') AS fa "
+                     f"FROM {view}) d LATERAL VIEW OUTER inline(d.fa) f WHERE f.rule_idx IS NOT NULL")
