@@ -452,17 +452,19 @@ def scan_log(spark, sf_dir):
     per_scan = visits.groupBy("scan_id").agg(F.min_by("url", "page_id").alias("base_url"),
                                              F.count(F.lit(1)).alias("pages_scanned"))
     raw = raw_findings(spark, sf_dir).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
-    base = times.join(per_scan, "scan_id")
-    start = base.select(
-        "scan_id", F.lit(1).alias("event_no"), "base_url", "start_time",
-        F.lit(None).cast("timestamp_ntz").alias("end_time"), F.lit(0).alias("pages_scanned"),
-        F.lit(0).cast("long").alias("findings_count"), F.lit("running").alias("status"))
-    end = (base.join(raw, "scan_id", "left")
-           .select("scan_id", F.lit(2).alias("event_no"), "base_url", "start_time", "end_time",
-                   F.col("pages_scanned").cast("int").alias("pages_scanned"),
-                   F.coalesce("n", F.lit(0)).cast("long").alias("findings_count"),
-                   F.lit("complete").alias("status")))
-    return start.unionByName(end)
+    base = times.join(per_scan, "scan_id").join(raw, "scan_id", "left")
+    # both events of a scan come from one row of ``base`` (one read, no union of re-reads)
+    events = F.array(
+        F.struct(F.lit(1).alias("event_no"), F.lit(None).cast("timestamp_ntz").alias("end_time"),
+                 F.lit(0).alias("pages_scanned"), F.lit(0).cast("long").alias("findings_count"),
+                 F.lit("running").alias("status")),
+        F.struct(F.lit(2).alias("event_no"), F.col("end_time"),
+                 F.col("pages_scanned").cast("int").alias("pages_scanned"),
+                 F.coalesce("n", F.lit(0)).cast("long").alias("findings_count"),
+                 F.lit("complete").alias("status")))
+    return base.select("scan_id", "base_url", "start_time", F.explode(events).alias("e")).select(
+        "scan_id", "e.event_no", "base_url", "start_time", "e.end_time", "e.pages_scanned",
+        "e.findings_count", "e.status")
 
 
 BASEURL_SQL = (f"SELECT scan_id, arg_min(url, page_id) AS base_url FROM (SELECT unnest({membership_sql('page_id')}) "
