@@ -33,12 +33,17 @@ def local_session(cpus: int | str = 8, app: str = "tidemark",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set a scratch one only when
-    none is configured (local runs and tests). On a cluster the shared folder
-    named by that setting is used as it is."""
-    cur = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder: the one already set on the context,
+    else ``spark.checkpoint.dir`` from the session or Spark conf. Only when
+    none is configured (local runs and tests) is a scratch folder set. On a
+    cluster the shared folder named by that setting is used as it is."""
+    sc = spark.sparkContext
+    cur = sc.getCheckpointDir()
+    if not cur:
+        cur = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not cur:
         cur = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
-    spark.sparkContext.setCheckpointDir(cur)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(cur)
     return cur
