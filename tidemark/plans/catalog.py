@@ -1004,7 +1004,8 @@ def stream_run(spark, sf_dir):
         pages = FX.pages_with_headers(spark, sf_dir)
         visits = pages.withColumn("scan_id", F.explode(F.expr(FX.scan_membership_sql("page_id"))))
         base = SK.scratch_path(spark, "stream")
-        SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"))
+        SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"),
+                       ordered=False)
         # all files available at start go in one trigger (planning the
         # 149-rule plan costs seconds per micro-batch at this size)
         _STREAM_RUNS[key] = SS.stream_scan(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"),

@@ -32,10 +32,14 @@ VISIT_SCHEMA = T.StructType([
 ])
 
 
-def stage_files(visits: DataFrame, folder: str, split_col: str = "scan_id") -> list:
+def stage_files(visits: DataFrame, folder: str, split_col: str = "scan_id", ordered: bool = True) -> list:
     """Write ``visits`` as one parquet file per value of ``split_col``, in
     ascending order (later files get later modification times, which is
-    the order the file source reads them in)."""
+    the order the file source reads them in). ``ordered=False`` writes all
+    visits in one job, for runs that take every file in one trigger."""
+    if not ordered:
+        visits.write.mode("append").parquet(folder)
+        return []
     keys = sorted(r[0] for r in visits.select(split_col).distinct().collect())  # a few keys
     for k in keys:
         visits.filter(F.col(split_col) == k).coalesce(1).write.mode("append").parquet(folder)
