@@ -90,7 +90,12 @@ def _sides(j: str, n: str, start: str, end: str, lp: str, lpl: str, rp: str, rpl
             f"ELSE substring(_t, {cs} + 1, {start} - {cs}) END")
     right = (f"CASE WHEN rw.n >= {C} THEN substring(rw.s, 1, {C}) WHEN {j} + {K} >= {n} - 1 THEN rw.s "
              f"ELSE substring(_t, {end} + 1, {C}) END")
-    return let(lw, "lw", left), let(rw, "rw", right)
+    # the adjacent gap alone usually holds the whole span: no fold then
+    fl_s, fl_n = first_l
+    fr_s, fr_n = first_r
+    left = f"CASE WHEN {fl_n} >= {C} THEN substring({fl_s}, -{C}) ELSE {let(lw, 'lw', left)} END"
+    right = f"CASE WHEN {fr_n} >= {C} THEN substring({fr_s}, 1, {C}) ELSE {let(rw, 'rw', right)} END"
+    return left, right
 
 
 def _hit_sql(idx: int, mcol: str, java_rx: str) -> str:
