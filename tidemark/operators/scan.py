@@ -134,6 +134,12 @@ def _line_findings_sql(line_rules) -> str:
     start = f"st[{j}]"
     left, right = _sides(j, "size(ls)", start, f"{start} + ll[{j}]", "lpc", "lpl", "rpc", "lpl",
                          ("''", "0"), ("''", "0"))
+    # the neighbouring line alone usually holds the whole span
+    C = CONTEXT_SPAN
+    left = (f"CASE WHEN get(lpl, {j} - 1) >= {C} THEN substring(get(lpc, {j} - 1), -{C}) "
+            f"ELSE {left} END")
+    right = (f"CASE WHEN get(lpl, {j} + 1) >= {C} THEN substring(get(rpc, {j} + 1), 1, {C}) "
+             f"ELSE {right} END")
     info = (f"transform(_ix, {j} -> named_struct('start', {start}, 'low', lower(ls[{j}]), "
             f"'lctx', {left}, 'rctx', {right}))")
     per_rule = []
