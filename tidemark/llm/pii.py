@@ -1,0 +1,201 @@
+"""PII: surrogate generation, in DataFrame and SQL functions only.
+
+Entities are found by pattern: e-mail addresses, credentials, IBANs, phone
+numbers, IPv4 addresses, social security numbers, card numbers, and persons (a
+title or a known given name before a capitalised one). Each entity gets a
+surrogate drawn from a keyed hash of its kind and normal form: the same entity
+has the same surrogate everywhere (coreference), spelled like each occurrence
+(letter case, separators). Kinds stay consistent: digits for digits, letters
+for letters, valid octets and private ranges for addresses, valid check digits
+where the original had one, names of the same gender and script; a surname is
+the same after a title as after a given name. Distinct entities never share a
+surrogate, and no surrogate is itself an entity of the corpus: collisions are
+searched over all entities, and the losers are drawn again until none is left.
+
+Plan: a narrow pass finds the documents with entities and writes them alone;
+the distinct entities are aggregated (a hot one folds before the shuffle) and
+their surrogates checked by grouping; occurrences join the surrogates on a
+salted key, so that an entity in a third of all documents spreads over tasks;
+documents without entities are never shuffled. Nothing reaches the driver but
+the count of collisions.
+
+Edge cases: a null text stays null, an empty one empty, both with 0 entities;
+repeated rows are replaced alike, one by one; null ids stay; long texts are
+scanned whole; an empty table stays empty; all other columns are carried
+unchanged whatever their names (the input is held in one struct meanwhile).
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .store import written
+
+#: salts of the join of occurrences with surrogates
+SALTS = 8
+
+# Titles by gender, given names and syllables by script.
+TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Sra", "Госпожа"),
+          "n": ("Dr", "Prof")}
+GIVEN = {
+    ("m", "latin"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Paul", "Peter", "Hans", "Karl", "Pierre", "Jean", "José", "Carlos"),
+    ("f", "latin"): ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Sarah", "Anna", "Laura", "Greta", "Heidi", "Marie", "Claire", "María", "Carmen"),
+    ("m", "cyrillic"): ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай", "Павел", "Андрей"),
+    ("f", "cyrillic"): ("Анна", "Мария", "Ольга", "Елена", "Наталья", "Ирина", "Татьяна", "Светлана"),
+}
+SYLLABLES = {"latin": ("ba", "den", "fi", "gor", "hal", "jo", "ken", "lor", "min", "nar", "pel", "rud", "sen", "tor", "val", "wes"),
+             "cyrillic": ("ба", "ден", "фи", "гор", "ха", "йо", "кен", "лор", "мин", "нар", "пел", "руд", "сен", "тор", "вал", "зес")}
+
+_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_NAMES = "|".join(sorted({n for ns in GIVEN.values() for n in ns}))
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_NAME = r"\p{Lu}[\p{L}'-]*\p{L}"
+
+#: kind -> pattern; an earlier kind wins where several begin
+PATTERNS = {
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": _BEFORE + r"[0-9a-fA-F]{32,}" + _AFTER
+    + r"""|(?<=(?i:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}"?)[A-Za-z0-9_/+-]{8,}""",
+    "iban": _BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
+    "phone": r"(?:(?<![\p{L}\p{N}+])\+?[0-9]{1,3}[ .-]?)?(?<!\p{N})\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\p{N})"
+    + r"|(?<![\p{L}\p{N}+])(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}+])\+[0-9]{8,15}(?!\p{N})",
+    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\p{N})",
+    "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
+    "card": r"(?<![\p{L}\p{N}])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![\p{L}\p{N}])".replace("([ -])", "(?:[ -])").replace(r"\1", "[ -]"),
+    "person": _BEFORE + rf"(?:(?:{_TITLE})\.? (?:{_NAME} )?{_NAME}|(?:{_NAMES}) {_NAME})" + _AFTER,
+}
+ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _kind(match: str) -> str:
+    """SQL: which pattern the match is of. Look-arounds see only the match, so it must fit from end to end."""
+    strict = {"secret": r"[0-9a-fA-F]{32,}"}
+    cases = " ".join(f"when {match} rlike {_lit('^(?:' + strict.get(k, p) + ')$')} then '{k}'" for k, p in PATTERNS.items())
+    return f"case {cases} else 'secret' end"
+
+
+def _array(values: tuple[str, ...]) -> str:
+    return "array(" + ", ".join(map(_lit, values)) + ")"
+
+
+def _parts(match: str, kind: str) -> str:
+    """SQL: the match as an array of (kind, norm, shown); kind null: kept as it is. A person is taken apart into
+    title, given name and surname."""
+    norm = (f"case when {kind} in ('phone', 'ssn', 'card') then regexp_replace({match}, '[^0-9]', '') "
+            f"when {kind} = 'iban' then upper(replace({match}, ' ', '')) when {kind} in ('email', 'secret') then lower({match}) else {match} end")
+    female, male = (_array(TITLES[g]) for g in ("f", "m"))
+    given = {g: _array(tuple(n for (h, _), ns in GIVEN.items() if h == g for n in ns)) for g in "mf"}
+    gender = (f"case when array_contains({female}, rtrim('.', w[0])) or array_contains({given['f']}, w[0]) or (size(w) = 3 and array_contains({given['f']}, w[1])) then 'f' "
+              f"when array_contains({male}, rtrim('.', w[0])) or array_contains({given['m']}, w[0]) or (size(w) = 3 and array_contains({given['m']}, w[1])) then 'm' else 'n' end")
+    titled = f"array_contains({_array(tuple(t for ts in TITLES.values() for t in ts))}, rtrim('.', w[0]))"
+    script = "case when x rlike '\\\\p{IsCyrillic}' then 'cyrillic' else 'latin' end"
+    role = f"case when i = size(w) - 1 then 'surname' else 'given_' || {gender} end || '_' || {script}"
+    person = (f"flatten(transform(array(split({match}, ' ')), w -> transform(w, (x, i) -> "
+              f"case when i = 0 and {titled} then named_struct('kind', cast(null as string), 'norm', cast(null as string), 'shown', x) "
+              f"else named_struct('kind', {role}, 'norm', lower(x), 'shown', x) end)))")
+    return f"case when {kind} = 'person' then {person} else array(named_struct('kind', {kind}, 'norm', {norm}, 'shown', {match})) end"
+
+
+def _digits_in(digits: str, shown: str) -> str:
+    """SQL: ``shown`` with its digits replaced, in order, by ``digits``."""
+    return (f"array_join(transform(split({shown}, ''), (c, i) -> case when c between '0' and '9' "
+            f"then substr({digits}, length(regexp_replace(substr({shown}, 1, i + 1), '[^0-9]', '')), 1) else c end), '')")
+
+
+def _shown(kind: str, new: str, shown: str) -> str:
+    """SQL: the surrogate as the occurrence spells it."""
+    return f"""case when {kind} is null then {shown}
+        when {kind} in ('phone', 'ssn', 'card') then {_digits_in(new, shown)}
+        when {kind} = 'iban' then array_join(transform(split({shown}, ''), (c, i) -> case when c = ' ' then c
+            else substr({new}, length(replace(substr({shown}, 1, i + 1), ' ', '')), 1) end), '')
+        when {shown} = upper({shown}) and {shown} != lower({shown}) then upper({new})
+        when {kind} in ('email', 'secret') then array_join(transform(split({shown}, ''), (c, i) -> case when c != lower(c)
+            then upper(substr({new}, i + 1, 1)) else substr({new}, i + 1, 1) end), '')
+        when {kind} like 'given%' or {kind} like 'surname%' then initcap({new}) else {new} end"""
+
+
+def _luhn(digits: str) -> str:
+    """SQL: sum of the digits, every second one from the last doubled, digit sums of two-digit results."""
+    return (f"aggregate(transform(split(reverse({digits}), ''), (c, i) -> case when i % 2 = 0 then cast(c as int) "
+            f"else cast((2 * cast(c as int)) div 10 + (2 * cast(c as int)) % 10 as int) end), 0, (a, x) -> a + x)")
+
+
+#: SQL: byte number i of the keyed stream
+_AT = "cast(conv(substr(stream, (2 * ({})) % 256 + 1, 2), 16, 10) as int)"
+
+
+def _syllables(n: str) -> str:
+    pick = lambda s: f"get({_array(SYLLABLES[s])}, {_AT.format('i + 8')} % 16)"
+    return (f"array_join(transform(sequence(1, {n}), i -> case when kind like '%cyrillic' then {pick('cyrillic')} "
+            f"else {pick('latin')} end), '')")
+
+
+def draw(rows: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, attempt) with ``new``, the surrogate in normal form."""
+    seed = F.concat_ws("|", F.lit(key), "kind", "norm", F.col("attempt").cast("string"))
+    at = _AT.format("i")
+    shape = f"""array_join(transform(split(norm, ''), (c, i) -> case when i < first or i >= last then c
+        when c between '0' and '9' then cast(case when i = first and kind = 'phone' then 2 + {at} % 8 else {at} % 10 end as string)
+        when c between 'a' and 'z' then substr('abcdefghijklmnopqrstuvwxyz', {at} % (case when hexed then 6 else 26 end) + 1, 1)
+        when c between 'A' and 'Z' then substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {at} % 26 + 1, 1) else c end), '')"""
+    octets = (f"array_join(transform(split(norm, '[.]'), (o, i) -> case when i < private then o when i = 0 then cast(11 + {at} % 112 as string) "
+              f"else cast(1 + {at} % 254 as string) end), '.')")
+    check = f"cast((10 - {_luhn('concat(left(shape, length(shape) - 1), 0)')} % 10) % 10 as string)"
+    pools = " ".join(f"when kind = 'given_{g}_{s}' then lower(get({_array(v)}, {_AT.format('0')} % {len(v)}))" for (g, s), v in GIVEN.items())
+    ending = "case when kind = 'given_f_latin' then 'a' when kind = 'given_f_cyrillic' then 'а' else '' end"
+    return (rows.withColumn("stream", F.concat(*(F.sha2(F.concat_ws("|", seed, F.lit(str(i))), 256) for i in range(4))))
+            # shape: digits for digits and letters for letters, between the places first and last
+            .withColumn("first", F.expr("case when kind = 'phone' then greatest(length(norm) - 10, 0) when kind = 'card' then 1 when kind = 'iban' then 2 else 0 end"))
+            .withColumn("last", F.expr("case when kind = 'email' then length(norm) - length(substring_index(norm, '.', -1)) else length(norm) end"))
+            .withColumn("hexed", F.expr("kind = 'secret' and norm rlike '^[0-9a-f]+$'"))
+            .withColumn("shape", F.expr(shape))
+            .withColumn("private", F.expr("case when norm like '10.%' or norm like '127.%' then 1 when norm like '192.168.%' "
+                                          "or norm rlike '^172[.](1[6-9]|2[0-9]|3[01])[.]' then 2 else 0 end"))
+            .withColumn("new", F.expr(f"""case when kind = 'ip' then {octets}
+                when kind like 'given%' then concat(case {pools} else {_syllables('2')} end,
+                    case when attempt > 0 then concat({_syllables('attempt')}, {ending}) else '' end)
+                when kind like 'surname%' then {_syllables('3 + attempt')}
+                when kind = 'card' then case when {_luhn('norm')} % 10 = 0 then concat(left(shape, length(shape) - 1), {check}) else shape end
+                else shape end"""))
+            .drop("stream", "first", "last", "hexed", "shape", "private"))
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """entities (kind, norm), distinct -> (kind, norm, new): keyed, distinct and no entity themselves."""
+    real = entities.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real"))
+    drawn = written(draw(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
+    while True:
+        winner = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "norm")).alias("best"))
+        judged = (drawn.join(winner, ["kind", "new"]).join(real, ["kind", "new"], "left")
+                  .withColumn("again", F.col("real").isNotNull() | (F.struct("attempt", "norm") != F.col("best"))))
+        if judged.where("again").isEmpty():
+            return drawn.select("kind", "norm", "new")
+        anew = draw(judged.where("again").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), key)
+        drawn = written(judged.where("not again").select(*anew.columns).unionByName(anew), "surrogates")
+
+
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """All columns of docs, the text replaced, and ``n_entities`` appended."""
+    text = F.col("text")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    found = rows.withColumn("matches", F.expr(f"regexp_extract_all(text, {_lit(ANY)}, 0)"))
+    clean = found.where(F.coalesce(F.size("matches"), F.lit(0)) <= 0).select("row", text.alias("text"), F.lit(0).cast("long").alias("n_entities"))
+    hits = written(found.where(F.size("matches") > 0).withColumn("rid", F.monotonically_increasing_id()), "pii")
+    kinds = hits.select("rid", F.posexplode("matches").alias("pos", "match")).withColumn("kind", F.expr(_kind("match")))
+    parts = kinds.select("rid", "pos", F.posexplode(F.expr(_parts("match", "kind"))).alias("j", "part")).select("rid", "pos", "j", "part.*")
+    entities = parts.where("kind is not null").select("kind", "norm").distinct()
+    new = surrogates(entities, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shown = (parts.withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS)).cast("int"))
+             .join(new, ["kind", "norm", "salt"], "left").withColumn("shown", F.expr(_shown("kind", "new", "shown"))))
+    per_match = shown.groupBy("rid", "pos").agg(F.array_sort(F.collect_list(F.struct("j", "shown"))).alias("p"))
+    per_row = (per_match.withColumn("shown", F.array_join(F.col("p.shown"), " "))
+               .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("news")))
+    rebuilt = (hits.join(per_row, "rid").withColumn("news", F.col("news.shown"))
+               .withColumn("text", F.expr(f"array_join(transform(split(text, {_lit(ANY)}, -1), (g, i) -> concat(g, coalesce(get(news, i), ''))), '')"))
+               .select("row", "text", F.size("matches").cast("long").alias("n_entities")))
+    out = clean.unionByName(rebuilt)
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns), "n_entities")

@@ -5,10 +5,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, quality, toxicity
+from . import decontaminate, licenses, packing, pii, quality, toxicity
 
 #: the tokenizer's file of op1
 TOKENIZER = "byte_bpe_50k.json"
+#: the secret that op10's surrogates are drawn with; a deployment passes its own
+PII_KEY = "tidemark"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +56,9 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, PII_KEY)
