@@ -27,10 +27,22 @@ TOKENIZER.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab 'sé 　 \t\n\r1,.😀日\x85\x1c")) | st.characters(exclude_categories=["Cs"]), max_size=40))
-def test_stretches_encode_as_whole_texts(text):
-    got = packing.encode([text.encode()], PATH)[0].tolist()
-    assert got == TOKENIZER.encode(text, add_special_tokens=False).ids + [0]
+@given(st.text(alphabet=st.sampled_from(list("ab 'sé 　 \t\n\r1,.😀日\x85\x1c")) | st.characters(exclude_categories=["Cs"]), max_size=40))
+def test_both_engines_agree(text):
+    assert packing.encoder(PATH)([text])[0] == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_engines_agree_on_documents_and_extremes():
+    import pyarrow.parquet as pq
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts += [" " * 50_000, "a" + "\n" * 3_000 + "b", "x" * 100_000, "<|endoftext|> a<|endoftext|>", "1" * 5_000]
+    assert packing.encoder(PATH)(texts) == [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_file_without_ranks_takes_its_own_engine():
+    other = P.path("word_bpe_49k.json")
+    assert packing.byte_ranks(other) is None
+    assert packing.encoder(other)(["some words Here"]) == [Tokenizer.from_file(other).encode("some words Here", add_special_tokens=False).ids]
 
 
 def one_by_one(lengths, capacity):
@@ -63,11 +75,7 @@ def test_plan_is_best_fit_decreasing():
 
 def test_pack_whole_table(spark):
     rows = awkward() + [(300 + i, "copy of one text") for i in range(500)]
-    packing.SALT_ROWS, kept = 100, packing.SALT_ROWS
-    try:
-        out = packing.pack(frame(spark, rows), PATH, 256).collect()
-    finally:
-        packing.SALT_ROWS = kept
+    out = packing.pack(frame(spark, rows), PATH, 256).collect()
     want = Counter()
     for i, t in rows:
         ids = np.array(plain_ids(t), dtype="<u4")
