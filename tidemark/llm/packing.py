@@ -26,6 +26,7 @@ other than id and text are not read; an empty table packs into nothing.
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import zlib
@@ -42,8 +43,6 @@ from .store import written
 
 CAPACITY = 2048
 END_ID = 0
-#: pieces of one length that one window group numbers, on average
-SALT_ROWS = 50_000
 #: white space characters in a row beyond which the faster engine is not used
 MAX_SPACES = 1_000
 
@@ -193,7 +192,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 def numbered(found: DataFrame, total: int) -> DataFrame:
     """Adds ``rank``: 0, 1, 2, ... among the pieces of each length."""
-    salts = 1 + total // SALT_ROWS
+    salts = 1 + math.isqrt(total)  # as many pieces of one length in a group as groups, at most
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
