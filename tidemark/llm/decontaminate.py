@@ -27,6 +27,7 @@ other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,22 @@ def blocks(level: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, n
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
 
 
+def verified(column: pa.Array, index: Index, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(row, item, shared shingles) of the texts that contain an item of the block."""
+    names, off = shingles_of(column)
+    doc, item = index.candidates(names, off)
+    bounds = np.flatnonzero(np.diff(doc, prepend=-1))
+    for lo, hi in zip(bounds, [*bounds[1:], len(doc)]):
+        d = int(doc[lo])
+        whole = np.unique(names[off[d]: off[d + 1]])
+        for i in item[lo:hi]:
+            own = index.sets[i]
+            place = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
+            n = int((whole[place] == own).sum())
+            if n >= threshold * len(own):
+                yield d, int(i), n
+
+
 def search(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
     """docs (doc_id, text): verified pairs with the items of one block."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -124,20 +141,9 @@ def search(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for part in tx.slices(batches):
-            names, off = shingles_of(part.column(1))
-            doc, item = index.candidates(names, off)
-            rows = []
             ids = part.column(0)
-            bounds = np.flatnonzero(np.diff(doc, prepend=-1))
-            for lo, hi in zip(bounds, [*bounds[1:], len(doc)]):
-                d = int(doc[lo])
-                whole = np.unique(names[off[d]: off[d + 1]])
-                for i in item[lo:hi]:
-                    own = index.sets[i]
-                    place = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
-                    n = int((whole[place] == own).sum())
-                    if n >= threshold * len(own):
-                        rows.append((ids[d].as_py(), index.ids[i], len(own), n, n / len(own)))
+            rows = [(ids[d].as_py(), index.ids[i], len(index.sets[i]), n, n / len(index.sets[i]))
+                    for d, i, n in verified(part.column(1), index, threshold)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
@@ -146,6 +152,21 @@ def search(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
+def reject(docs: DataFrame, index: Index, threshold: float, text_col: str) -> DataFrame:
+    """The rows of docs, all columns, that contain no item of the block."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for part in tx.slices(batches, text_col):
+            keep = np.ones(part.num_rows, dtype=bool)
+            text = part.column(part.schema.get_field_index(text_col))
+            keep[[d for d, _, _ in verified(text, index, threshold)]] = False
+            yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in tx.slices(batches):
         names, off = shingles_of(part.column(1))
@@ -154,21 +175,27 @@ def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["item_id", "names"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
-                 text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Pairs (doc_id, item_id) whose document contains the item."""
-    sets = (items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).dropDuplicates()
+def indexes(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """The items' index, block by block."""
+    sets = (items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).dropDuplicates()
             .mapInArrow(_item_sets, "item_id long, names array<long>").where(F.size("names") > 0))
     total = sets.agg(F.sum(F.size("names"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_SHINGLES))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
     for block in range(n):
         rows = sets.where(F.pmod(F.xxhash64("item_id", "names"), F.lit(n)) == block).collect()  # one block of items
-        index = Index([r.item_id for r in rows], [np.array(r.names, dtype=np.int64).view(tx.U64) for r in rows])
-        pairs = search(texts, index, threshold)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+        yield Index([r.item_id for r in rows], [np.array(r.names, dtype=np.int64).view(tx.U64) for r in rows])
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
+                 text_col: str = "text", **names: str) -> DataFrame:
+    """Pairs (doc_id, item_id) whose document contains the item."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return reduce(DataFrame.unionByName, (search(texts, index, threshold) for index in indexes(items, **names)))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", **names: str) -> DataFrame:
+    """The rows of docs, all columns, that contain no item."""
+    return reduce(lambda kept, index: reject(kept, index, threshold, text_col), indexes(items, **names), docs)
 
 
 #: words as in shingles_of, and the distinct shingles of one row, for DuckDB

@@ -91,7 +91,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = [set_id(names[i:j]) if j > i else None for i, j in zip(off[:-1], off[1:])]
         yield pa.RecordBatch.from_arrays(
             [part.column(0).cast(pa.int64()), pa.array(ids, type=pa.binary()),
-             pa.array([next(bands) if s else None for s in some], type=pa.list_(pa.int64()))], names=["doc_id", "sid", "bands"])
+             pa.array([next(bands) if s else None for s in some], type=pa.list_(pa.int64())), part.column(2)], names=["doc_id", "sid", "bands", "print"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +182,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(held)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links) for each document."""
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, print, sid) of each row, and (sid, root, class_id, n_links) of each copy class."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(_signatures, "doc_id long, sid binary, bands array<long>"), "signatures")
+    signed = written(texts.select("doc_id", "text", F.xxhash64("text").alias("print"))
+                     .mapInArrow(_signatures, "doc_id long, sid binary, bands array<long>, print long"), "signatures")
     classes = (signed.where("sid is not null").groupBy("sid")
                .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     classes = written(classes, "classes")
@@ -216,7 +217,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_class = (classes.select("sid", "least", "copies").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
                  .withColumn("root", F.coalesce("root", "sid")).join(links, "sid", "left"))
     heads = per_class.groupBy("root").agg(F.min("least").alias("class_id"))
-    answer = per_class.join(heads, "root").select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return (signed.select("doc_id", "sid").join(answer, "sid", "left")
+    answer = per_class.join(heads, "root").select("sid", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "print", "sid"), answer
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links) for each document."""
+    signed, answer = _classes(docs, id_col, text_col)
+    return (signed.join(answer, "sid", "left")
             .select("doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, one of each group of near duplicates: that of the least id (null last),
+    then of the least text hash. Rows without shingles all stay."""
+    signed, answer = _classes(docs, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")
+    grouped = signed.join(answer.select("sid", "root"), "sid")
+    kept = grouped.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kid"), F.col("first.print").alias("kprint"))
+    none = signed.where("sid is null").select(F.col("doc_id").alias("kid"), F.col("print").alias("kprint")).distinct()
+    # a kept row that repeats is in the table several times; only those go through a second shuffle
+    times = signed.where("sid is not null").groupBy(F.col("doc_id").alias("kid"), F.col("print").alias("kprint")).agg((F.count("*") > 1).alias("repeats"))
+    k, t = kept.alias("k"), times.alias("t")
+    keys = (k.join(t, F.col("k.kid").eqNullSafe(F.col("t.kid")) & (F.col("k.kprint") == F.col("t.kprint"))).select("k.kid", "k.kprint", "t.repeats")
+            .unionByName(none.withColumn("repeats", F.lit(False))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("did"), F.xxhash64(text_col).alias("dprint"))
+    found = rows.join(keys, F.col("did").eqNullSafe(F.col("kid")) & (F.col("dprint") == F.col("kprint")))
+    once = found.where("repeats").groupBy("kid", "kprint").agg(F.first("row").alias("row"))
+    return found.where("not repeats").select("row.*").unionByName(once.select("row.*"))

@@ -32,6 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as tx
 from .store import written
@@ -213,6 +214,7 @@ def featured(rows: DataFrame, learned: Lexicon) -> DataFrame:
     """rows (text, others) with the text replaced by the feature columns."""
     insults, address = fixed(INSULTS), fixed(SECOND_PERSON)
     others = [f for f in rows.schema.fields if f.name != "text"]
+    schema = StructType([*others, *(StructField(n, DoubleType()) for n in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches):
@@ -221,8 +223,7 @@ def featured(rows: DataFrame, learned: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(c.astype(np.float64)) for c in made)],
                                              names=[*(f.name for f in others), *FEATURES])
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in others] + [f"{n} double" for n in FEATURES]
-    return rows.select("text", *(f.name for f in others)).mapInArrow(run, ", ".join(fields))
+    return rows.select("text", *(f.name for f in others)).mapInArrow(run, schema)
 
 
 class Model:
@@ -237,19 +238,25 @@ class Model:
         shaped = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
         return self.trees.transform(shaped).withColumn("raw", vector_to_array("probability")[1])
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        rows = featured(docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id")), self.learned)
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows (text, others) with the text replaced by ``score``, among other columns."""
+        rows = featured(rows, self.learned)
         if self.trees is None:
-            scored = rows.withColumn("score", F.lit(self.mean))
-        elif self.isotonic is None:
-            scored = self.raw(rows).withColumnRenamed("raw", "score")
-        else:
-            scored = self.isotonic.transform(self.raw(rows))
+            return rows.withColumn("score", F.lit(self.mean))
+        return self.raw(rows).withColumnRenamed("raw", "score") if self.isotonic is None else self.isotonic.transform(self.raw(rows))
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        scored = self.scored(docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id")))
         # a null id has no remainder: it is not held out
         held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
         return scored.select("doc_id", held.alias("held_out"), F.col("score").cast("double").alias("score"),
                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
+    def accepted(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of docs, all columns, that are not predicted toxic."""
+        rows = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+        return self.scored(rows).where("score < 0.5").select("row.*")
+
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     rows = written(labelled(docs, labels, id_col, text_col, label_col), "labelled")
