@@ -9,6 +9,7 @@ from ..session import ensure_checkpoint_dir
 
 #: Input bytes that one reduce partition takes, for the partition counts below.
 PARTITION_BYTES = 16 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -24,10 +25,10 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     writer = df.write
     if by:
         writer = writer.partitionBy(by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")  # what was shuffled for the table isn't needed beside it
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """The planner's size of df: file sizes for tables."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
