@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lm, near, packing, pii, quality, toxicity
+from . import decontaminate, licenses, lm, near, packing, pii, quality, substring, suffix, toxicity
 
 #: the tokenizer's file of op1
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_substring_dedup"] = substring.SQL
+
+
 @query
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.katz_scores(table(spark, sf_dir, "documents"))
@@ -58,6 +66,11 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
