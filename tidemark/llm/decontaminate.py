@@ -200,7 +200,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
 
 #: words as in shingles_of, and the distinct shingles of one row, for DuckDB
 _SQL_SHINGLES = r"""
-    select {id}, unnest(list_distinct(list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i + 4], ' ')))) as s
+    select {id}, unnest(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))) as s
     from (select {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from {table}) where len(w) >= 5"""
 SQL = f"""
