@@ -106,7 +106,10 @@ def test_kept_texts_and_empty_table(spark):
 @pytest.mark.parametrize("kind", ["words", "bytes"])
 def test_equal_windows_choose_alike(kind):
     """Every window is in one run, and windows of equal content have equal keys wherever they stand."""
-    texts = [t for _, t in planted(4)] + ["", "a b"]
+    texts = [t for _, t in planted(4)] + ["", "a b"] + ["no. " + "a b " * n + "yes" for n in (30, 47)] + ["a b b " * 40, "q " + "a b b " * 30]
+    import pyarrow.parquet as pq
+    if kind == "words":
+        texts += pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
     if kind == "words":
         values, off = substring.word_units(pa.array(texts))
         chooser = anchors.WordAnchors(20, 3)

@@ -32,7 +32,7 @@ def runs_of(place: np.ndarray, key: np.ndarray, starts: np.ndarray, doc: np.ndar
         none = np.empty(0, dtype=np.int64)
         return Runs(none, none, none, none.view(tx.U64), none.view(tx.U64))
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(starts)))
     start = starts[first]
