@@ -12,7 +12,8 @@ the same after a title as after a given name. Distinct entities never share a
 surrogate, and no surrogate is itself an entity of the corpus: collisions are
 searched over all entities, and the losers are drawn again until none is left.
 
-Plan: a narrow pass finds the documents with entities and writes them alone;
+Plan: a narrow pass finds the documents that may hold entities by a few marks,
+searches those for all kinds, and writes them alone;
 the distinct entities are aggregated (a hot one folds before the shuffle) and
 their surrogates checked by grouping; occurrences join the surrogates on a
 salted key, so that an entity in a third of all documents spreads over tasks;
@@ -48,22 +49,28 @@ SYLLABLES = {"latin": ("ba", "den", "fi", "gor", "hal", "jo", "ken", "lor", "min
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _NAMES = "|".join(sorted({n for ns in GIVEN.values() for n in ns}))
+_CAPITALS = "".join(sorted({n[0] for ns in (*TITLES.values(), *GIVEN.values()) for n in ns}))
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _NAME = r"\p{Lu}[\p{L}'-]*\p{L}"
 
-#: kind -> pattern; an earlier kind wins where several begin
+#: kind -> pattern; an earlier kind wins where several begin. Each begins with a cheap test of one character.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": _BEFORE + r"[0-9a-fA-F]{32,}" + _AFTER
-    + r"""|(?<=(?i:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}"?)[A-Za-z0-9_/+-]{8,}""",
-    "iban": _BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
-    "phone": r"(?:(?<![\p{L}\p{N}+])\+?[0-9]{1,3}[ .-]?)?(?<!\p{N})\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\p{N})"
-    + r"|(?<![\p{L}\p{N}+])(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}+])\+[0-9]{8,15}(?!\p{N})",
-    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\p{N})",
-    "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![\p{L}\p{N}])".replace("([ -])", "(?:[ -])").replace(r"\1", "[ -]"),
-    "person": _BEFORE + rf"(?:(?:{_TITLE})\.? (?:{_NAME} )?{_NAME}|(?:{_NAMES}) {_NAME})" + _AFTER,
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?=[0-9a-fA-F])" + _BEFORE + r"[0-9a-fA-F]{32,}+" + _AFTER
+    + r"""|(?<=[=: "])(?<=(?i:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}"?)[A-Za-z0-9_/+-]{8,}""",
+    "iban": r"(?=[A-Z])" + _BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
+    "phone": r"(?=[0-9+(])(?:(?:(?<![\p{L}\p{N}+])\+?[0-9]{1,3}[ .-]?)?(?<!\p{N})\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\p{N})"
+    + r"|(?<![\p{L}\p{N}+])(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}+])\+[0-9]{8,15}(?!\p{N}))",
+    "ip": r"(?=[0-9])(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\p{N})",
+    "ssn": r"(?=[0-9])(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
+    "card": r"(?=[0-9])(?<![\p{L}\p{N}])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![\p{L}\p{N}])",
+    "person": rf"(?=[{_CAPITALS}])" + _BEFORE + rf"(?:(?:{_TITLE})\.? (?:{_NAME} )?{_NAME}|(?:{_NAMES}) {_NAME})" + _AFTER,
 }
+_PERSON_MARK = "|".join(
+    rf"(?=[{capitals}])(?:{'|'.join(n for ns in (*TITLES.values(), *GIVEN.values()) for n in ns if (n[0] < chr(0x80)) == latin)})\.? \p{{Lu}}"
+    for latin, capitals in ((True, "A-Z"), (False, "А-Я")))
+#: any text with an entity holds one of these; cheap to look for, so that most texts are not searched for all kinds
+MARKS = rf"[0-9@:=]|{_PERSON_MARK}|[a-fA-F]{{32}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -180,11 +187,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns of docs, the text replaced, and ``n_entities`` appended."""
-    text = F.col("text")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    found = rows.withColumn("matches", F.expr(f"regexp_extract_all(text, {_lit(ANY)}, 0)"))
-    clean = found.where(F.coalesce(F.size("matches"), F.lit(0)) <= 0).select("row", text.alias("text"), F.lit(0).cast("long").alias("n_entities"))
-    hits = written(found.where(F.size("matches") > 0).withColumn("rid", F.monotonically_increasing_id()), "pii")
+    marked = F.coalesce(F.expr(f"text rlike {_lit(MARKS)}"), F.lit(False))
+    clean = rows.where(~marked).select("row", "text", F.lit(0).cast("long").alias("n_entities"))
+    hits = written(rows.where(marked).withColumn("matches", F.expr(f"regexp_extract_all(text, {_lit(ANY)}, 0)"))
+                   .withColumn("rid", F.monotonically_increasing_id()), "pii")
     kinds = hits.select("rid", F.posexplode("matches").alias("pos", "match")).withColumn("kind", F.expr(_kind("match")))
     parts = kinds.select("rid", "pos", F.posexplode(F.expr(_parts("match", "kind"))).alias("j", "part")).select("rid", "pos", "j", "part.*")
     entities = parts.where("kind is not null").select("kind", "norm").distinct()
@@ -194,8 +201,9 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     per_match = shown.groupBy("rid", "pos").agg(F.array_sort(F.collect_list(F.struct("j", "shown"))).alias("p"))
     per_row = (per_match.withColumn("shown", F.array_join(F.col("p.shown"), " "))
                .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("news")))
-    rebuilt = (hits.join(per_row, "rid").withColumn("news", F.col("news.shown"))
-               .withColumn("text", F.expr(f"array_join(transform(split(text, {_lit(ANY)}, -1), (g, i) -> concat(g, coalesce(get(news, i), ''))), '')"))
+    rebuilt = (hits.join(per_row, "rid", "left").withColumn("news", F.col("news.shown"))
+               .withColumn("text", F.expr(f"""case when size(matches) = 0 then text else array_join(transform(
+                   split(text, {_lit(ANY)}, -1), (g, i) -> concat(g, coalesce(get(news, i), ''))), '') end"""))
                .select("row", "text", F.size("matches").cast("long").alias("n_entities")))
     out = clean.unionByName(rebuilt)
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns), "n_entities")
