@@ -9,6 +9,7 @@ from ..session import ensure_checkpoint_dir
 
 #: Input bytes that one reduce partition takes, for the partition counts below.
 PARTITION_BYTES = 16 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -17,18 +18,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, arrow_bytes: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives
-    lost executors, and has a size that the planner knows."""
+    lost executors, and has a size that the planner knows. ``arrow_bytes``
+    bounds the batches that its Python stages get, for rows of large arrays."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     if by:
         writer = writer.partitionBy(by)
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")  # what was shuffled for the table isn't needed beside it
+    conf = {_CLEAN: "true"}  # what was shuffled for the table isn't needed beside it
+    if arrow_bytes:
+        conf[_ARROW] = arrow_bytes
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         writer.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
