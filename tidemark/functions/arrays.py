@@ -7,8 +7,8 @@ API costs a gateway round trip per node (tens of seconds per plan).
 
 from __future__ import annotations
 
-# Block size of the chunked fold in ``exclusive_prefix_sums``.
-BLOCK = 32
+# Block size of ``exclusive_prefix_sums``.
+BLOCK = 64
 
 
 def sql_str(s: str) -> str:
@@ -26,21 +26,40 @@ def let(value: str, var: str, body: str) -> str:
     return f"element_at(transform(array({value}), {var} -> {body}), 1)"
 
 
-def exclusive_prefix_sums(d: str, v: str) -> str:
-    """``[0, d0, d0+d1, ...]`` (same length as ``d``) for an int array.
+def exclusive_prefix_sums(d: str, v: str, levels: int = 3) -> str:
+    """``[0, d0, d0+d1, ...]`` (same length as ``d``) for a non-empty int array.
 
-    Spark has no scan function; a fold that appends to one result array
-    copies it at every step (quadratic). This fold appends to a short
-    current block (≤ BLOCK) and moves full blocks to a list of blocks, so
-    each element costs one lambda call and O(BLOCK) copying, plus
-    O((n/BLOCK)²) block references over the whole array.
+    Spark has no scan function, and a fold that carries an array copies it at
+    every step. Here the array is cut into blocks of BLOCK; the sums before
+    the blocks are the same problem on an array BLOCK times shorter, and
+    within a block each sum is a fold with a number. ``levels`` blocks of
+    blocks make the cost linear for up to BLOCK ** levels elements.
     ``v`` prefixes the lambda variable names.
     """
-    B = BLOCK
-    zero = ("named_struct('s', 0, 'cur', CAST(array() AS ARRAY<INT>), "
-            "'done', CAST(array() AS ARRAY<ARRAY<INT>>))")
-    step = (f"({v}c, {v}x) -> CASE WHEN size({v}c.cur) >= {B} "
-            f"THEN named_struct('s', {v}c.s + {v}x, 'cur', array({v}c.s), 'done', array_append({v}c.done, {v}c.cur)) "
-            f"ELSE named_struct('s', {v}c.s + {v}x, 'cur', array_append({v}c.cur, {v}c.s), 'done', {v}c.done) END")
-    finish = f"{v}f -> flatten(array_append({v}f.done, {v}f.cur))"
-    return f"aggregate({d}, {zero}, {step}, {finish})"
+    if levels == 0:
+        return f"transform({d}, ({v}x, {v}i) -> aggregate(slice({d}, 1, {v}i), 0, ({v}a, {v}y) -> {v}a + {v}y))"
+    blocks = f"transform(sequence(0, (size({v}d) - 1) div {BLOCK}), {v}k -> slice({v}d, CAST({v}k * {BLOCK} + 1 AS INT), {BLOCK}))"
+    sums = f"transform({v}b, {v}l -> aggregate({v}l, 0, ({v}a, {v}y) -> {v}a + {v}y))"
+    inside = (f"flatten(transform({v}b, ({v}l, {v}k) -> transform({v}l, ({v}x, {v}i) -> "
+              f"aggregate(slice({v}l, 1, {v}i), get({v}p, {v}k), ({v}a, {v}y) -> {v}a + {v}y))))")
+    before = exclusive_prefix_sums(f"{v}s", f"{v}{levels}", levels - 1)
+    return let(d, f"{v}d", let(blocks, f"{v}b", let(sums, f"{v}s", let(before, f"{v}p", inside))))
+
+
+#: characters of a piece of ``pieces``
+PIECE = 512
+
+
+def pieces(text: str) -> str:
+    """``text`` as an array of pieces of PIECE characters, in one walk. UTF-8
+    strings are indexed by walking from their start; pieces make any cut cost
+    as much as it takes and no more."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)"
+
+
+def cut(array: str, start: str, n: str) -> str:
+    """``n`` characters from the 0-based ``start`` of a text held as ``pieces``."""
+    first = f"(({start}) div {PIECE})"
+    count = f"((({start}) + ({n}) - 1) div {PIECE} - {first} + 1)"
+    return (f"CASE WHEN ({n}) <= 0 THEN '' ELSE substring(array_join(slice({array}, CAST({first} + 1 AS INT), CAST({count} AS INT)), ''), "
+            f"CAST(({start}) % {PIECE} + 1 AS INT), CAST({n} AS INT)) END")

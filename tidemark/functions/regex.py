@@ -16,6 +16,8 @@ means the end of the text, so it becomes ``\\z`` in Java.
 
 from __future__ import annotations
 
+import re
+
 _W = "[A-Za-z0-9_]"
 JAVA_WORD_BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
@@ -23,6 +25,9 @@ JAVA_WORD_BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 _WORD_CHARS = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 
 
+_GROUP = re.compile(r"\(\?(?:<[=!]|P?<\w+>|[=!>:]|[a-zA-Z-]*[:)])")
+
+
 def _tokens(rx: str):
     """Flat tokens (kind, text): class, esc, open, close, alt, quant, lit."""
     out, i, n = [], 0, len(rx)
@@ -42,18 +47,10 @@ def _tokens(rx: str):
             out.append(("class", rx[i:j + 1]))
             i = j + 1
         elif c == "(":
-            j = i + 1
-            if rx.startswith("?", j):
-                k = j + 1
-                while k < n and rx[k] not in ":)":
-                    k += 1
-                if k < n and rx[k] == ")":       # inline flags such as (?i)
-                    out.append(("flags", rx[i:k + 1]))
-                    i = k + 1
-                    continue
-                j = k + 1
-            out.append(("open", rx[i:j]))
-            i = j
+            special = _GROUP.match(rx, i)
+            text = special.group() if special else "("
+            out.append(("flags" if text.endswith(")") else "open", text))   # inline flags such as (?i)
+            i += len(text)
         elif c == ")":
             out.append(("close", c))
             i += 1
@@ -210,6 +207,7 @@ def _rewrite(rx: str, boundary: str | None, dollar: str | None) -> str:
 
 def java_regex(rx: str, profile: str = "broad") -> str:
     """Rule text → pattern for Spark's ``regexp_*`` functions."""
+    rx = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", rx).replace("(?P<", "(?<")  # named groups
     if profile == "broad":
         # the broad tool forces IGNORECASE | MULTILINE on every rule
         return "(?dim)" + java_boundaries(rx)
@@ -233,19 +231,29 @@ def re2_class(chars: str) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
 
 
+#: texts on which a rule that can match nothing at all shows it
+_PROBES = ("", "a", "0", " a_0.\n-A")
+
+
 def validate_java(spark, rx: str) -> str | None:
     """Compile ``rx`` with the JVM's regex engine; the error text or None.
 
     A bad pattern otherwise fails the task that first meets it, so rules are
-    checked on the driver before any plan is built.
+    checked on the driver before any plan is built. A pattern that matches
+    the empty string is refused too: its findings would hold no text.
     """
     jvm = spark.sparkContext._jvm
     try:
-        jvm.java.util.regex.Pattern.compile(rx)
-        return None
+        pattern = jvm.java.util.regex.Pattern.compile(rx)
     except Exception as exc:  # py4j wraps PatternSyntaxException
         msg = str(exc)
         for line in msg.splitlines():
             if "PatternSyntaxException" in line or "IllegalArgument" in line:
                 return line.strip()
         return msg.strip().splitlines()[0] if msg.strip() else "invalid regex"
+    for probe in _PROBES:
+        found = pattern.matcher(probe)
+        while found.find():
+            if found.start() == found.end():
+                return "the rule matches the empty string"
+    return None

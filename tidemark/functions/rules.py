@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import rules_data as D
+from tidemark.functions.linear import LINEAR
 from tidemark.functions.regex import java_regex, validate_java
 
 PROFILES = ("broad", "strict")
 KIT_TITLES = dict(D.KITS)
 KIT_KEYS = [k for k, _ in D.KITS]
 LINE_WORDS = dict(D.MISSING_HEADER_RULES)
-# A catalogue larger than this is not a rule set but data; it would not fit
-# the literal-expression plan and is refused.
-MAX_RULES = 2000
+
+
+_PUBLISHED = {name: rx for _, name, rx, *_ in D.RULES}
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,15 @@ class Rule:
     gates: tuple = field(default=())
     line_word: str | None = None  # set for the missing-header rules
 
+    @property
+    def skips(self) -> bool:
+        """The Java form also takes stretches without a match; those leave group 1 empty."""
+        return self.name in LINEAR and self.regex == _PUBLISHED.get(self.name)
+
     def java(self, profile: str) -> str:
+        if self.skips:
+            main, skip = (java_regex(x, profile) for x in LINEAR[self.name])
+            return f"({main})|(?:{skip})"
         return java_regex(self.regex, profile)
 
 
@@ -155,26 +164,21 @@ def rules_to_df(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 
 def load_rules(df: DataFrame, profile: str = "broad") -> list[Rule]:
-    """Rules held in a table (name, regex[, category, severity]) → list.
+    """Rules held in a table (name, regex[, kit, category, severity]) → list.
 
-    The table is a rule set, bounded by MAX_RULES; it is checked before the
-    rows come to the driver.
+    A rule set is the caller's own input, like a query text: its rows become
+    literals of the plan, so they come to the driver. Rows are taken in name
+    order; a name that repeats is given by its last row.
     """
-    n = df.count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} rules exceed the limit of {MAX_RULES}")
-    cols = set(df.columns)
-    out = []
-    for row in df.collect():
+    out: dict[str, Rule] = {}
+    for row in df.orderBy("name", "regex").collect():
         d = row.asDict()
         name, rx = d.get("name"), d.get("regex")
         if not name or not rx:
             raise ValueError("a rule needs a name and a regex")
-        cat = d.get("category") if "category" in cols and d.get("category") else category_of(name)
-        sev = d.get("severity") if "severity" in cols and d.get("severity") else (
-            broad_severity(name) if profile == "broad" else "medium")
-        out.append(Rule(d.get("kit") or "custom", name, rx, cat, sev, ()))
-    return out
+        out[name] = Rule(d.get("kit") or "custom", name, rx, d.get("category") or category_of(name),
+                         d.get("severity") or (broad_severity(name) if profile == "broad" else "medium"), ())
+    return list(out.values())
 
 
 def add_rules(rules: list[Rule], custom: list[Rule]) -> list[Rule]:
@@ -204,10 +208,10 @@ def validate_rules(spark: SparkSession, rules: list[Rule], profile: str = "broad
     """Split rules into (usable, rejected); rejected = [(name, message)]."""
     ok, bad = [], []
     for r in rules:
-        if r.line_word is not None:
+        if r.line_word is not None or r.regex == _PUBLISHED.get(r.name):
             ok.append(r)
             continue
-        err = validate_java(spark, r.java(profile))
+        err = validate_java(spark, java_regex(r.regex, profile))
         if err is None:
             ok.append(r)
         else:
@@ -234,8 +238,3 @@ def remove_rules(rules_table: DataFrame, names=None) -> DataFrame:
     if names is None:
         return rules_table.limit(0)
     return rules_table.filter(~F.col("name").isin(list(names)))
-
-
-def strict_view(rules_table: DataFrame) -> DataFrame:
-    return rules_table.filter(F.col("sev_strict").isNotNull())
-

@@ -17,17 +17,16 @@ LATERAL is decorrelated by Spark into distinct-texts → join back, which
 shuffles every text; that form is not used.)
 
 ``kit`` is a kit key (``api_keys`` … ``cloud``) or ``all``; rules of other
-kits are gated off and not evaluated.
+kits, the line rules included, are gated off and not evaluated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tidemark.functions.arrays import let, sql_str
+from tidemark.functions.arrays import let, pieces, sql_str
 from tidemark.functions.rules import Rule, select_rules
-from tidemark.operators.scan import (MATCH_CAP, WS_RUN, findings_array_sql, match_columns_sql,
-                                     meta_arrays_sql)
+from tidemark.operators.scan import context_sql, match_columns_sql, match_sql, meta_arrays_sql, positions_sql
 
 FIELDS = ("rule_idx INT, kit STRING, pattern STRING, category STRING, severity STRING, "
           "match_idx INT, start INT, `end` INT, match STRING, context STRING")
@@ -37,19 +36,19 @@ def scan_text_sql(rules: list[Rule], profile: str = "broad", name: str = "scan_t
     def kit_ok(r: Rule) -> str:
         return f"_kit = 'all' OR _kit = {sql_str(r.kit)}"
     mcols = match_columns_sql(rules, profile, kit_ok)
-    slot = {int(n[2:]): k for k, (n, _) in enumerate(mcols)}
-    found = findings_array_sql(rules, profile, mcol=lambda i: f"_ms[{slot[i]}]")
+    slot = {name: k for k, (name, _) in enumerate(mcols)}
+    found = positions_sql(rules, profile, column=lambda name: f"_ms[{slot[name]}]",
+                          line_gate=lambda lines: " OR ".join({f"({kit_ok(r)})" for _, r in lines}))
     if mcols:
         found = let("array(" + ", ".join(sql for _, sql in mcols) + ")", "_ms", found)
     found = let("lower(_t)", "_lt", found)
     meta = meta_arrays_sql(rules)
-    shaped = (f"filter(transform({found}, f -> named_struct('rule_idx', f.rule_idx, "
+    shaped = (f"transform({found}, f -> named_struct('rule_idx', f.rule_idx, "
               f"'kit', get({meta['kit']}, f.rule_idx), 'pattern', get({meta['pattern']}, f.rule_idx), "
               f"'category', get({meta['category']}, f.rule_idx), 'severity', get({meta['severity']}, f.rule_idx), "
-              f"'match_idx', f.match_idx, 'start', f.start, 'end', f.`end`, "
-              f"'match', substring(f.match, 1, {MATCH_CAP}), "
-              f"'context', trim(regexp_replace(concat(f.lctx, f.match, f.rctx), {sql_str(WS_RUN)}, ' ')))), "
-              f"g -> _kit = 'all' OR g.kit = _kit)")
+              f"'match_idx', f.match_idx, 'start', f.start, 'end', f.start + f.len, "
+              f"'match', {match_sql('f.start', 'f.len')}, 'context', {context_sql('f.start', 'f.len')}))")
+    shaped = let("length(_t)", "_n", let(pieces("_t"), "_c", shaped))
     empty = "_t IS NULL" + (" OR length(_t) = 0" if profile == "broad" else "")
     body = f"CASE WHEN {empty} THEN CAST(array() AS ARRAY<STRUCT<{FIELDS}>>) ELSE {shaped} END"
     return (f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(_t STRING, _kit STRING) "

@@ -5,12 +5,16 @@ Plan shape (per input partition, no shuffle):
 1. one projection holds, per rule, the gated match array
    ``when(lower(text) holds a literal, regexp_extract_all(text, rx, 0))``;
    the regex is a literal, so each task compiles it once;
-2. a second projection turns each non-empty match array into finding
-   structs: gap lengths from ``split(text, rx, -1)`` (run only on rows
-   where the rule matched) give exact start offsets, and context is cut
-   from the text around each match;
-3. the per-rule arrays are concatenated and exploded; the text column is
-   not carried past the explode.
+2. a second projection turns each non-empty match array into positions: gap
+   lengths from ``split(text, rx, -1)`` (run only where the rule matched)
+   and match lengths give exact offsets; no match text is held there;
+3. the positions of all rules are concatenated and exploded; match and
+   context are then cut from the text, held as an array of short pieces, by
+   generated code that costs what it cuts, wherever the match stands.
+
+Every step is linear in the text. Rules that a backtracking engine would
+retry from every start of a long line have an equivalent form that is not
+(``functions.linear``); what its skipping alternative took is dropped in 2.
 
 Rule metadata (name, kit, category, severity) enters as literal arrays
 indexed by the rule number, so no join is needed.
@@ -21,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import exclusive_prefix_sums, let, sql_str
+from tidemark.functions.arrays import cut, exclusive_prefix_sums, let, pieces, sql_str
 from tidemark.functions.regex import java_class
-from tidemark.functions.rules import Rule
+from tidemark.functions.rules import Rule, validate_rules
 from tidemark.functions.rules_data import CONTEXT_WHITESPACE
 
 MATCH_CAP = 200       # match text kept per finding
@@ -48,142 +52,84 @@ def _gate_sql(rule: Rule) -> str | None:
     return " OR ".join(f"contains(_lt, {sql_str(g)})" for g in rule.gates)
 
 
-# pieces looked at either side of a match when cutting its context
-CONTEXT_PIECES = 16
-
-
-def _finding(idx, match: str, j: str, start: str, left: str, right: str) -> str:
-    """Finding struct inside the lambda: offsets, the whole match and the
-    context either side. Truncation and whitespace folding run after the
-    explode, as generated code."""
-    return (f"named_struct('rule_idx', {idx}, 'match_idx', {j}, 'start', {start}, "
-            f"'end', {start} + length({match}), 'match', {match}, 'lctx', {left}, 'rctx', {right})")
-
-
-def _window(first_s: str, first_n: str, idx: str, piece: str, plen: str, prepend: bool) -> str:
-    """Grow a context window from its first piece by whole neighbouring
-    pieces until it holds CONTEXT_SPAN characters; lengths are carried, so
-    no string is measured or walked from the start of the text."""
-    grow = f"concat({piece}, a.s)" if prepend else f"concat(a.s, {piece})"
-    return (f"aggregate({idx}, named_struct('s', {first_s}, 'n', {first_n}), "
-            f"(a, k) -> CASE WHEN a.n >= {CONTEXT_SPAN} THEN a ELSE named_struct('s', {grow}, "
-            f"'n', a.n + {plen}) END)")
-
-
-def _sides(j: str, n: str, start: str, end: str, lp: str, lpl: str, rp: str, rpl: str,
-           first_l: tuple, first_r: tuple) -> tuple:
-    """(left, right) context of piece ``j`` of ``n``.
-
-    Left starts from ``first_l`` and prepends pieces ``lp[k]`` (k < j);
-    right starts from ``first_r`` and appends ``rp[k]`` (k > j). Where the
-    bounded look-around reaches neither the text edge nor CONTEXT_SPAN
-    characters, the exact substring of the text is taken instead (rare:
-    many tiny pieces in a row). UTF-8 strings are indexed by walking from
-    their start, so cutting from the whole text for every match would cost
-    O(text) per match."""
-    K, C = CONTEXT_PIECES, CONTEXT_SPAN
-    lo = f"greatest(0, {j} - {K})"
-    lw = _window(*first_l, f"reverse(slice(_ix, {lo} + 1, {j} - {lo}))", f"{lp}[k]", f"{lpl}[k]", True)
-    rw = _window(*first_r, f"slice(_ix, {j} + 2, {K})", f"{rp}[k]", f"{rpl}[k]", False)
-    cs = f"greatest({start} - {C}, 0)"
-    left = (f"CASE WHEN lw.n >= {C} THEN substring(lw.s, -{C}) WHEN {lo} = 0 THEN lw.s "
-            f"ELSE substring(_t, {cs} + 1, {start} - {cs}) END")
-    right = (f"CASE WHEN rw.n >= {C} THEN substring(rw.s, 1, {C}) WHEN {j} + {K} >= {n} - 1 THEN rw.s "
-             f"ELSE substring(_t, {end} + 1, {C}) END")
-    # the adjacent gap alone usually holds the whole span: no fold then
-    fl_s, fl_n = first_l
-    fr_s, fr_n = first_r
-    left = f"CASE WHEN {fl_n} >= {C} THEN substring({fl_s}, -{C}) ELSE {let(lw, 'lw', left)} END"
-    right = f"CASE WHEN {fr_n} >= {C} THEN substring({fr_s}, 1, {C}) ELSE {let(rw, 'rw', right)} END"
-    return left, right
-
-
-def _hit_sql(idx: int, mcol: str, java_rx: str) -> str:
+def _hit_sql(idx: int, mcol: str, vcol: str | None, java_rx: str) -> str:
     """One rule's matches plus the gaps between them (the split runs only
-    on a hit)."""
-    return (f"named_struct('i', {idx}, 'm', {mcol}, "
+    on a hit); ``v`` tells matches from skipped stretches."""
+    return (f"named_struct('i', {idx}, 'm', {mcol}, 'v', {vcol or 'CAST(NULL AS ARRAY<STRING>)'}, "
             f"'g', CASE WHEN size({mcol}) > 0 THEN split(_t, {sql_str(java_rx)}, -1) END)")
 
 
-def _findings_sql(hits: list[str]) -> str:
-    """Finding structs for all rules that matched (one shared lambda): gap
-    and match lengths give exact offsets; neighbouring pieces give context."""
-    start, end = "pre[j] + gl[j]", "pre[j] + gl[j] + ml[j]"
-    left, right = _sides("j", "size(h.m)", start, end, "lp", "d", "rp", "rl",
-                         ("h.g[j]", "gl[j]"), ("h.g[j + 1]", "gl[j + 1]"))
-    body = "transform(h.m, (x, j) -> " + _finding("h.i", "x", "j", start, left, right) + ")"
-    body = let("sequence(0, size(h.m) - 1)", "_ix", body)
+def _positions_sql(hits: list[str]) -> str:
+    """Position structs for all rules that matched (one shared lambda)."""
+    body = ("transform(filter(transform(ml, (n, j) -> named_struct('start', get(pre, j) + get(gl, j), 'len', n, "
+            "'ok', h.v IS NULL OR get(h.v, j) != '')), x -> x.ok), "
+            "(x, k) -> named_struct('rule_idx', h.i, 'match_idx', k, 'start', x.start, 'len', x.len))")
     body = let(exclusive_prefix_sums("d", "p_"), "pre", body)
-    body = let("zip_with(ml, slice(gl, 2, size(h.m)), (a, b) -> a + b)", "rl", body)
-    body = let("zip_with(h.m, slice(h.g, 2, size(h.m)), (a, b) -> concat(a, b))", "rp", body)
-    body = let("zip_with(slice(h.g, 1, size(h.m)), h.m, (a, b) -> concat(a, b))", "lp", body)
-    body = let("zip_with(slice(gl, 1, size(h.m)), ml, (a, b) -> a + b)", "d", body)
+    body = let("zip_with(slice(gl, 1, size(ml)), ml, (a, b) -> coalesce(a, 0) + b)", "d", body)
     body = let("transform(h.m, w -> length(w))", "ml", body)
     body = let("transform(h.g, q -> length(q))", "gl", body)
     return (f"flatten(transform(filter(array({', '.join(hits)}), hh -> hh.g IS NOT NULL), "
             f"h -> {body}))")
 
 
-def _line_findings_sql(line_rules) -> str:
-    """Missing-header rules: every line (empty ones too) lacking the word.
-
-    Offsets, context and the lowered text of each line are computed once and
-    shared by the four rules (a line lacking every word yields four findings
-    with the same offsets and context)."""
-    j = "lj"
-    start = f"st[{j}]"
-    left, right = _sides(j, "size(ls)", start, f"{start} + ll[{j}]", "lpc", "lpl", "rpc", "lpl",
-                         ("''", "0"), ("''", "0"))
-    # the neighbouring line alone usually holds the whole span
-    C = CONTEXT_SPAN
-    left = (f"CASE WHEN get(lpl, {j} - 1) >= {C} THEN substring(get(lpc, {j} - 1), -{C}) "
-            f"ELSE {left} END")
-    right = (f"CASE WHEN get(lpl, {j} + 1) >= {C} THEN substring(get(rpc, {j} + 1), 1, {C}) "
-             f"ELSE {right} END")
-    info = (f"transform(_ix, {j} -> named_struct('start', {start}, 'low', lower(ls[{j}]), "
-            f"'lctx', {left}, 'rctx', {right}))")
+def _line_positions_sql(line_rules) -> str:
+    """Missing-header rules: every line (empty ones too) lacking the word."""
     per_rule = []
     for idx, r in line_rules:
         v = f"l{idx}_"
-        keep = f"filter(_ix, {v}j -> NOT contains(li[{v}j].low, {sql_str(r.line_word)}))"
-        per_rule.append(
-            f"transform({keep}, ({v}n, {v}k) -> named_struct('rule_idx', {idx}, 'match_idx', {v}k, "
-            f"'start', li[{v}n].start, 'end', li[{v}n].start + ll[{v}n], 'match', ls[{v}n], "
-            f"'lctx', li[{v}n].lctx, 'rctx', li[{v}n].rctx))")
+        keep = f"filter(li, {v}x -> NOT contains({v}x.low, {sql_str(r.line_word)}))"
+        per_rule.append(f"transform({keep}, ({v}x, {v}k) -> named_struct('rule_idx', {idx}, 'match_idx', {v}k, "
+                        f"'start', {v}x.start, 'len', {v}x.len))")
+    info = "transform(ls, (lx, lj) -> named_struct('start', get(st, lj), 'len', get(ll, lj), 'low', lower(lx)))"
     body = let(info, "li", f"flatten(array({', '.join(per_rule)}))")
-    body = let("sequence(0, size(ls) - 1)", "_ix", body)
-    body = let("transform(ls, lw -> concat(chr(10), lw))", "rpc", body)
-    body = let("transform(ls, lw -> concat(lw, chr(10)))", "lpc", body)
-    body = let(exclusive_prefix_sums("lpl", "ln_"), "st", body)
-    body = let("transform(ll, n -> n + 1)", "lpl", body)
+    body = let(exclusive_prefix_sums("transform(ll, n -> n + 1)", "ln_"), "st", body)
     body = let("transform(ls, lw -> length(lw))", "ll", body)
     return let("split(_t, '\\n', -1)", "ls", body)
 
 
+def match_sql(start: str, length: str, array: str = "_c") -> str:
+    return cut(array, start, f"least({length}, {MATCH_CAP})")
+
+
+def context_sql(start: str, length: str, array: str = "_c", total: str = "_n") -> str:
+    """The match with CONTEXT_SPAN characters either side, white space folded."""
+    low = f"greatest({start} - {CONTEXT_SPAN}, 0)"
+    high = f"least({start} + {length} + {CONTEXT_SPAN}, {total})"
+    return f"trim(regexp_replace({cut(array, low, f'{high} - {low}')}, {sql_str(WS_RUN)}, ' '))"
+
+
 def match_columns_sql(rules: list[Rule], profile: str, extra: str | None = None):
     """(column name, SQL) of each regex rule's gated match array over
-    ``_t``/``_lt``; ``extra(rule)`` may add a condition per rule."""
+    ``_t``/``_lt``, and for rules that skip, of the array that is empty where
+    they did (``_v``); ``extra(rule)`` may add a condition per rule."""
     out = []
     for i, r in enumerate(rules):
         if r.line_word is not None:
             continue
-        m = f"regexp_extract_all(_t, {sql_str(r.java(profile))}, 0)"
         conds = [c for c in (_gate_sql(r), extra(r) if extra else None) if c]
         cond = " AND ".join(f"({c})" for c in conds)
-        out.append((f"_m{i}", f"CASE WHEN {cond} THEN {m} END" if cond else m))
+        for name, group in ((f"_m{i}", 0), (f"_v{i}", 1)) if r.skips else ((f"_m{i}", 0),):
+            m = f"regexp_extract_all(_t, {sql_str(r.java(profile))}, {group})"
+            out.append((name, f"CASE WHEN {cond} THEN {m} END" if cond else m))
     return out
 
 
-def findings_array_sql(rules: list[Rule], profile: str, mcol=lambda i: f"_m{i}") -> str:
-    """Array of finding structs for one text, given the match arrays
-    (``mcol(i)``: the ``_m{i}`` columns by default)."""
+def positions_sql(rules: list[Rule], profile: str, column=lambda name: name, line_gate=None) -> str:
+    """Array of position structs for one text, given the match arrays
+    (``column(name)``: the columns of ``match_columns_sql`` by default).
+    ``line_gate(rules)``: SQL condition under which the line rules run."""
     regex_rules = [(i, r) for i, r in enumerate(rules) if r.line_word is None]
     line_rules = [(i, r) for i, r in enumerate(rules) if r.line_word is not None]
     parts = []
     if regex_rules:
-        parts.append(_findings_sql([_hit_sql(i, mcol(i), r.java(profile)) for i, r in regex_rules]))
+        parts.append(_positions_sql([_hit_sql(i, column(f"_m{i}"), column(f"_v{i}") if r.skips else None, r.java(profile))
+                                     for i, r in regex_rules]))
     if line_rules:
-        parts.append(_line_findings_sql(line_rules))
+        lines = _line_positions_sql(line_rules)
+        if line_gate:
+            none = "CAST(array() AS ARRAY<STRUCT<rule_idx INT, match_idx INT, start INT, len INT>>)"
+            lines = f"CASE WHEN {line_gate(line_rules)} THEN {lines} ELSE {none} END"
+        parts.append(lines)
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
@@ -210,6 +156,9 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
     """
     if not rules:
         raise ValueError("no rules to scan with")
+    _, rejected = validate_rules(df.sparkSession, rules, profile)
+    if rejected:
+        raise ValueError(f"rules that cannot run: {rejected}")
     carry = list(carry) + ([part_col] if part_col and part_col not in carry else [])
     t = F.col("_t")
     base = df.select(F.col(id_col).alias("src_id"), F.col(url_col).alias("page_url"),
@@ -226,17 +175,17 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
     keep = ["src_id", "page_url", "_t", *carry]
     step1 = base.select(*keep, *mcols)
 
-    # 2. finding structs per rule; split only where the rule matched
-    found = F.expr(findings_array_sql(rules, profile))
+    # 2. positions per rule; split only where the rule matched
     step2 = step1.select("src_id", "page_url", *carry,
                          is_javascript(F.col("page_url"), t).alias("is_javascript"),
-                         found.alias("_f"))
+                         F.expr(pieces("_t")).alias("_c"), F.length(t).alias("_n"),
+                         F.expr(positions_sql(rules, profile)).alias("_f"))
 
-    # 3. explode and attach rule metadata from literal arrays. A plain
+    # 3. explode, cut, and attach rule metadata from literal arrays. A plain
     # explode makes the optimizer add ``size(array) > 0`` below it, which
     # re-evaluates every rule a second time; explode_outer + a null filter
     # on the (small) struct avoids that.
-    ex = step2.select("src_id", "page_url", *carry, "is_javascript",
+    ex = step2.select("src_id", "page_url", *carry, "is_javascript", "_c", "_n",
                       F.explode_outer("_f").alias("f")).filter(F.col("f").isNotNull())
     meta = meta_arrays_sql(rules)
     names, kits = F.expr(meta["pattern"]), F.expr(meta["kit"])
@@ -257,9 +206,9 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
         idx.alias("rule_idx"), F.get(kits, idx).alias("kit"),
         F.get(names, idx).alias("pattern"), F.get(cats, idx).alias("category"),
         F.get(sevs, idx).alias("severity"), F.col("f.match_idx").alias("match_idx"),
-        F.col("f.start").alias("start"), F.col("f.end").alias("end"),
-        F.substring("f.match", 1, MATCH_CAP).alias("match"),
-        F.trim(F.regexp_replace(F.concat("f.lctx", "f.match", "f.rctx"), WS_RUN, " ")).alias("context"),
+        F.col("f.start").alias("start"), (F.col("f.start") + F.col("f.len")).alias("end"),
+        F.expr(match_sql("f.start", "f.len")).alias("match"),
+        F.expr(context_sql("f.start", "f.len")).alias("context"),
         "is_javascript", *carry)
     return out.withColumn(
         "finding_hash", F.md5(F.concat(F.col("url"), F.col("pattern"), F.col("match"))))
