@@ -226,11 +226,9 @@ def rejected_df(spark: SparkSession, bad) -> DataFrame:
 
 
 def count_rules(rules_table: DataFrame) -> DataFrame:
-    """Loaded rules per kit, plus a ``total`` row."""
-    per = rules_table.groupBy("kit").agg(F.count(F.lit(1)).alias("n_rules"))
-    tot = rules_table.agg(F.count(F.lit(1)).alias("n_rules")).select(
-        F.lit("total").alias("kit"), "n_rules")
-    return per.unionByName(tot)
+    """Rules of a table (kit, n findings) per kit, plus a ``total`` row."""
+    return (rules_table.rollup("kit").agg(F.count(F.lit(1)).alias("n_rules"), F.sum(F.coalesce("n", F.lit(0))).alias("n_findings"))
+            .select(F.coalesce("kit", F.lit("total")).alias("kit"), "n_rules", "n_findings"))
 
 
 def remove_rules(rules_table: DataFrame, names=None) -> DataFrame:

@@ -35,13 +35,23 @@ def apply_rendered(pages: DataFrame, rendered: DataFrame) -> DataFrame:
 def append_state(body: Column, global_vars: Column, local_store: Column,
                  session_store: Column) -> Column:
     """Rendered body + the client state blocks that are set and not empty
-    (``null`` / ``{}`` count as empty), strict form: each block on its own
-    line after the body."""
-    def block(label, v):
+    (``null`` / ``{}`` count as empty), strict form: an empty line and the
+    value, without labels."""
+    def block(v):
         keep = v.isNotNull() & (v != "") & (v != "null") & (v != "{}")
-        return F.when(keep, F.concat(F.lit(f"\n<!-- {label} -->\n"), v))
-    return F.concat_ws("", body, block("GLOBAL_VARS", global_vars),
-                       block("LOCAL_STORAGE", local_store), block("SESSION_STORAGE", session_store))
+        return F.when(keep, F.concat(F.lit("\n\n"), v))
+    return F.concat_ws("", body, *(block(v) for v in (global_vars, local_store, session_store)))
+
+
+def append_extracted(body: Column, global_vars: Column, local_store: Column, session_store: Column,
+                     scripts: Column) -> Column:
+    """Broad form: a marker, then labelled values and the inline scripts
+    (an array of already labelled texts), one a line; nothing without any."""
+    def block(label, v, empty):
+        return F.when(v.isNotNull() & ~v.isin(*empty), F.concat(F.lit(f"{label}: "), v))
+    lines = F.concat_ws("\n", block("GLOBAL_VARS", global_vars, [""]), block("LOCAL_STORAGE", local_store, ["", "{}"]),
+                        block("SESSION_STORAGE", session_store, ["", "{}"]), scripts)
+    return F.concat_ws("", body, F.when(lines != "", F.concat(F.lit("\n<!-- EXTRACTED JS CONTENT -->\n"), lines)))
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:

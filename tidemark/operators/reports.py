@@ -77,11 +77,14 @@ def status_counts(pages: DataFrame) -> DataFrame:
 
 def progress(visits: DataFrame, order_col: str, max_pages: int) -> DataFrame:
     """int(100 × visited / max_pages) after each visit, visits capped at
-    max_pages (the crawl stops there). The visit order is one sequence, so
-    the cap is applied by a top-k before numbering."""
+    max_pages (the crawl stops there), and 100 at the end. The visit order is
+    one sequence, so the cap is applied by a top-k before numbering."""
     first = visits.orderBy(order_col).limit(max_pages)
     n = F.row_number().over(Window.orderBy(order_col))
-    return first.select(order_col, F.least(F.lit(100), F.floor(n * 100 / max_pages)).cast("int").alias("percent"))
+    rows = first.select(order_col, F.least(F.lit(100), F.floor(n * 100 / max_pages)).cast("int").alias("percent"))
+    end = visits.sparkSession.range(1).select(F.lit(None).cast(visits.schema[order_col].dataType).alias(order_col),
+                                              F.lit(100).alias("percent"))
+    return rows.unionByName(end)
 
 
 def union_findings(*dfs: DataFrame) -> DataFrame:

@@ -66,8 +66,6 @@ def _memo(fn):
 # --- inputs ------------------------------------------------------------------
 
 PAGES_SRC_SQL = "SELECT page_id AS src_id, url AS page_url, html AS t FROM pages"
-STRICT_PAGES_SRC_SQL = ("SELECT page_id AS src_id, url AS page_url, substring(html, 1, 10485760) AS t "
-                        "FROM pages")
 LIVE_PAGES_SQL = "SELECT * FROM pages WHERE html IS NOT NULL AND length(html) > 0"
 HDR_ROWS_SQL = FX.header_rows_sql_union()
 HFIRST_SQL = (f"SELECT page_id, name, arg_min(value, seq) AS value FROM ({HDR_ROWS_SQL}) "
@@ -160,7 +158,7 @@ def q_scan_documents(spark, sf_dir):
     return scan(docs(spark, sf_dir), ALL, "broad", text_col="text", id_col="doc_id")
 
 
-STRICT_BODY_SQL = O.scan_sql(STRICT_PAGES_SRC_SQL, ALL_STRICT, "strict")
+STRICT_BODY_SQL = O.scan_sql(PAGES_SRC_SQL, ALL_STRICT, "strict")
 STRICT_HDR_SQL = O.scan_sql(htext_src_sql("strict"), ALL_STRICT, "strict", part="headers",
                             url_suffix=" (headers)")
 
@@ -256,16 +254,21 @@ def q_severity_divergence(spark, sf_dir):
             .select("name", "sev_broad", "sev_strict", F.coalesce("n", F.lit(0)).alias("n_findings")))
 
 
-CUSTOM = [R.custom_rule("Internal Host", r"[a-z]+\.example\.(?:com|net|org)"),
-          R.custom_rule("Email Address", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b")]
+CUSTOM = [R.custom_rule("Email Address", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+          R.custom_rule("Internal Host", r"[a-z]+\.example\.(?:com|net|org)")]
 WITH_CUSTOM = R.add_rules(select_rules(["sensitive"]), CUSTOM)
 
 
 @register("custom_rules", O.scan_sql(PAGES_SRC_SQL, WITH_CUSTOM, "broad"))
 def q_custom_rules(spark, sf_dir):
-    """User rules appended to a kit: a new name gets category Custom; a
-    known name keeps its kit's category and replaces the built-in rule."""
-    return scan(spread(read_pages(spark, sf_dir)), WITH_CUSTOM, "broad")
+    """User rules kept in a table, written and read back, appended to a kit:
+    a new name gets category Custom; a known name keeps its kit's category
+    and replaces the built-in rule."""
+    from tidemark.sources.sinks import scratch_path
+    path = scratch_path(spark, "custom-rules")
+    spark.createDataFrame([(r.name, r.regex) for r in CUSTOM], "name string, regex string").write.parquet(path)
+    rules = R.add_rules(select_rules(["sensitive"]), R.load_rules(spark.read.parquet(path)))
+    return scan(spread(read_pages(spark, sf_dir)), rules, "broad")
 
 
 @register("rule_category",
@@ -280,7 +283,7 @@ def q_rule_category(spark, sf_dir):
 SELECTED = select_rules(["api-keys", "financial", "cloud", "financial"], "strict")
 
 
-@register("rule_selection", O.scan_sql(STRICT_PAGES_SRC_SQL, SELECTED, "strict"))
+@register("rule_selection", O.scan_sql(PAGES_SRC_SQL, SELECTED, "strict"))
 def q_rule_selection(spark, sf_dir):
     """Strict kits chosen by name (a repeated kit adds nothing) over pages."""
     return scan(spread(read_pages(spark, sf_dir, "strict")), SELECTED, "strict")
@@ -299,16 +302,14 @@ def q_rule_remove(spark, sf_dir):
 
 
 @register("rule_count",
-          f"SELECT rt.kit, count(*) AS n_rules, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS n_findings "
+          f"SELECT coalesce(rt.kit, 'total') AS kit, count(*) AS n_rules, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS n_findings "
           f"FROM {_rules_values_sql()} LEFT JOIN (SELECT pattern, count(*) AS n FROM ({PAGE_FINDINGS_SQL}) "
-          f"GROUP BY pattern) c ON c.pattern = rt.name GROUP BY rt.kit")
+          f"GROUP BY pattern) c ON c.pattern = rt.name GROUP BY ROLLUP (rt.kit)")
 def q_rule_count(spark, sf_dir):
-    """Loaded rules per kit, with the findings they produced on pages."""
+    """Loaded rules per kit and in total, with the findings they produced on pages."""
     rt = R.rules_df(spark)
     counts = page_findings(spark, sf_dir).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    j = F.broadcast(rt).join(counts, rt.name == counts.pattern, "left")
-    return j.groupBy("kit").agg(F.count(F.lit(1)).alias("n_rules"),
-                                F.sum(F.coalesce("n", F.lit(0))).alias("n_findings"))
+    return R.count_rules(F.broadcast(rt).join(counts, rt.name == counts.pattern, "left"))
 
 
 @register("rules_table",
@@ -371,7 +372,7 @@ def q_missing_headers(spark, sf_dir):
           f"SELECT page_id, url, html AS body, {FX.status_expr_sql()} AS status_code, "
           f"0 AS depth, false AS from_js FROM ({LIVE_PAGES_SQL})")
 def q_pages_source(spark, sf_dir):
-    """Stored pages → Page schema (body cut at 10 MiB; empty dropped)."""
+    """Stored pages → Page schema (empty bodies dropped)."""
     return pages_h(spark, sf_dir).drop("headers")
 
 
@@ -442,24 +443,28 @@ PPS_SQL = (f"SELECT scan_id, count(*) AS pages_scanned FROM (SELECT unnest({memb
            f"AS scan_id FROM ({LIVE_PAGES_SQL})) GROUP BY scan_id")
 
 
-def scan_log(spark, sf_dir):
-    """Append-only scan log: a 'running' row at start, a 'complete' row
-    with totals at the end (two events per scan). Pages per scan and the
-    base URL come from one aggregation over one read of the pages."""
-    times = FX.scans_times(spark, sf_dir)
+def scan_starts(spark, sf_dir):
+    """The 'running' row of each scan: times and pages only, no rule runs.
+    Pages per scan and the base URL come from one read of the pages."""
     visits = (FX.pages_with_headers(spark, sf_dir)
               .select(F.explode(F.expr(FX.scan_membership_sql("page_id"))).alias("scan_id"), "page_id", "url"))
     per_scan = visits.groupBy("scan_id").agg(F.min_by("url", "page_id").alias("base_url"),
-                                             F.count(F.lit(1)).alias("pages_scanned"))
+                                             F.count(F.lit(1)).alias("n_pages"))
+    return FX.scans_times(spark, sf_dir).join(per_scan, "scan_id")
+
+
+def scan_log(spark, sf_dir):
+    """Append-only scan log: a 'running' row at start, a 'complete' row
+    with totals at the end (two events per scan)."""
     raw = raw_findings(spark, sf_dir).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
-    base = times.join(per_scan, "scan_id").join(raw, "scan_id", "left")
+    base = scan_starts(spark, sf_dir).join(raw, "scan_id", "left")
     # both events of a scan come from one row of ``base`` (one read, no union of re-reads)
     events = F.array(
         F.struct(F.lit(1).alias("event_no"), F.lit(None).cast("timestamp_ntz").alias("end_time"),
                  F.lit(0).alias("pages_scanned"), F.lit(0).cast("long").alias("findings_count"),
                  F.lit("running").alias("status")),
         F.struct(F.lit(2).alias("event_no"), F.col("end_time"),
-                 F.col("pages_scanned").cast("int").alias("pages_scanned"),
+                 F.col("n_pages").cast("int").alias("pages_scanned"),
                  F.coalesce("n", F.lit(0)).cast("long").alias("findings_count"),
                  F.lit("complete").alias("status")))
     return base.select("scan_id", "base_url", "start_time", F.explode(events).alias("e")).select(
@@ -485,7 +490,7 @@ def scans_table(spark, sf_dir):
                         f"t.start_time, 'running' AS status FROM t JOIN b ON t.scan_id = b.scan_id")
 def q_scan_start(spark, sf_dir):
     """The 'running' row each scan writes when it starts."""
-    return scan_log(spark, sf_dir).filter("event_no = 1").select("scan_id", "base_url", "start_time", "status")
+    return scan_starts(spark, sf_dir).select("scan_id", "base_url", "start_time", F.lit("running").alias("status"))
 
 
 @register("scan_end", SCANS_SQL)
@@ -533,11 +538,9 @@ def q_page_log(spark, sf_dir):
           "SELECT s.finding_hash, s.scan_id, b.base_url, t.start_time, s.pattern, s.severity "
           "FROM stored s JOIN t ON s.scan_id = t.scan_id JOIN b ON b.scan_id = s.scan_id")
 def q_findings_with_scan(spark, sf_dir):
-    """Stored findings joined to their scan (the declared foreign key).
-    The scans table has one row per scan: a broadcast side."""
-    from tidemark.sources.tables import broadcast_if_small
-    sc = scans_table(spark, sf_dir).select("scan_id", "base_url", "start_time")
-    return (stored_findings(spark, sf_dir).join(broadcast_if_small(sc), "scan_id")
+    """Stored findings joined to their scan (the declared foreign key)."""
+    sc = scan_starts(spark, sf_dir).select("scan_id", "base_url", "start_time")
+    return (stored_findings(spark, sf_dir).join(sc, "scan_id")
             .select("finding_hash", "scan_id", "base_url", "start_time", "pattern", "severity"))
 
 
@@ -545,7 +548,7 @@ def q_findings_with_scan(spark, sf_dir):
 
 @register("total_scans", f"WITH t AS ({FX.SCANS_TIMES_SQL}) SELECT count(*) AS total_scans FROM t")
 def q_total_scans(spark, sf_dir):
-    return RP.total(scans_table(spark, sf_dir), "total_scans")
+    return RP.total(scan_starts(spark, sf_dir), "total_scans")
 
 
 @register("total_findings", with_store("SELECT count(*) AS total_findings FROM stored"))
@@ -632,10 +635,12 @@ def q_status_counts(spark, sf_dir):
 
 @register("progress_percent",
           f"SELECT page_id, CAST(least(100, floor(100.0 * row_number() OVER (ORDER BY page_id) / 100)) AS INTEGER) AS percent "
-          f"FROM ({LIVE_PAGES_SQL}) WHERE page_id % {FX.N_SCANS} = 0 QUALIFY row_number() OVER (ORDER BY page_id) <= 100")
+          f"FROM ({LIVE_PAGES_SQL}) WHERE list_contains({membership_sql('page_id')}, 0) QUALIFY row_number() OVER (ORDER BY page_id) <= 100 "
+          f"UNION ALL SELECT NULL, 100")
 def q_progress_percent(spark, sf_dir):
-    """int(100 × visited / max_pages) after each page of scan 0 (cap 100)."""
-    p = FX.pages_with_headers(spark, sf_dir).filter(F.col("page_id") % FX.N_SCANS == 0)
+    """int(100 × visited / max_pages) after each page of scan 0 (cap 100),
+    then 100 once the scan has ended (no page)."""
+    p = FX.pages_with_headers(spark, sf_dir).filter(F.array_contains(F.expr(FX.scan_membership_sql("page_id")), F.lit(0)))
     return RP.progress(p, "page_id", 100)
 
 
@@ -827,16 +832,16 @@ def q_rendered_override(spark, sf_dir):
 _G, _LS, _SS = FX.client_state_sql()
 
 
-def _state_block_sql(label, v):
+def _state_block_sql(v):
     return (f"CASE WHEN {v} IS NOT NULL AND {v} NOT IN ('', 'null', '{{}}') "
-            f"THEN concat(chr(10), '<!-- {label} -->', chr(10), {v}) ELSE '' END")
+            f"THEN concat(chr(10), chr(10), {v}) ELSE '' END")
+
+
+_BLOCKS_SQL = ", ".join(_state_block_sql(v) for v in (_G, _LS, _SS))
 
 
 @register("client_state_append",
-          f"SELECT page_id, md5(concat(html, {_state_block_sql('GLOBAL_VARS', _G)}, {_state_block_sql('LOCAL_STORAGE', _LS)}, "
-          f"{_state_block_sql('SESSION_STORAGE', _SS)})) AS body_md5, concat({_state_block_sql('GLOBAL_VARS', _G)}, "
-          f"{_state_block_sql('LOCAL_STORAGE', _LS)}, {_state_block_sql('SESSION_STORAGE', _SS)}) AS appended "
-          f"FROM ({LIVE_PAGES_SQL})")
+          f"SELECT page_id, md5(concat(html, {_BLOCKS_SQL})) AS body_md5, concat({_BLOCKS_SQL}) AS appended FROM ({LIVE_PAGES_SQL})")
 def q_client_state_append(spark, sf_dir):
     """Non-empty client state appended to the rendered body."""
     p = read_table(spark, sf_dir, "pages").filter(F.col("html").isNotNull() & (F.length("html") > 0))
@@ -873,13 +878,14 @@ def q_rule_validation(spark, sf_dir):
     return scan(spread(read_pages(spark, sf_dir)), ok, "broad")
 
 
-@register("scan_errors")
+@register("scan_errors", f"SELECT 'Broken Rule' AS pattern, 'rejected' AS error UNION ALL "
+                         f"SELECT '(pages scanned)', CAST(count(*) AS VARCHAR) FROM ({LIVE_PAGES_SQL})")
 def q_scan_errors(spark, sf_dir):
-    """Rejected rules with the compiler message, beside the pages scanned."""
+    """The rules set aside by validation, beside the pages scanned."""
     ok, bad = R.validate_rules(spark, BAD_RULES)
     rej = R.rejected_df(spark, bad)
     n = read_pages(spark, sf_dir).agg(F.count(F.lit(1)).alias("pages_scanned"))
-    return rej.join(F.broadcast(n), how="cross") if False else rej.unionByName(
+    return rej.select("pattern", F.lit("rejected").alias("error")).unionByName(
         n.select(F.lit("(pages scanned)").alias("pattern"), F.col("pages_scanned").cast("string").alias("error")))
 
 

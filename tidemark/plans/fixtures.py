@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import body_col, read_table
+from tidemark.sources.tables import read_table
 
 # (name, seq, value, modulus, residues of page_id that carry it)
 HEADER_ROWS = [
@@ -95,7 +95,7 @@ def status_expr_sql(id_col: str = "page_id") -> str:
 def pages_with_headers(spark: SparkSession, sf_dir: str, profile: str = "broad") -> DataFrame:
     """Stored pages in Page schema with derived headers and status."""
     pages = read_table(spark, sf_dir, "pages")
-    out = pages.select("page_id", "url", body_col(profile).alias("body"),
+    out = pages.select("page_id", "url", F.col("html").alias("body"),
                        headers_map_expr().alias("headers"),
                        F.expr(status_expr_sql()).alias("status_code"),
                        F.lit(0).alias("depth"), F.lit(False).alias("from_js"))

@@ -34,13 +34,15 @@ def local_session(cpus: int | str = 8, app: str = "tidemark",
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder: the one already set on the context,
-    else ``spark.checkpoint.dir`` from the session or Spark conf. Only when
-    none is configured (local runs and tests) is a scratch folder set. On a
-    cluster the shared folder named by that setting is used as it is."""
+    else ``spark.checkpoint.dir`` from the session or Spark conf. Only a local
+    master (tests, single machine) gets a scratch folder when none is set; on
+    a cluster that setting must name the folder all machines share."""
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if not cur:
         cur = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not cur and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not cur:
         cur = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)

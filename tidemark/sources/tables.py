@@ -8,58 +8,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BODY_CAP = 10 << 20   # strict profile: characters kept per body (its 10 MiB read cap)
-
-
-def body_col(profile: str = "broad"):
-    """The page body: whole in the broad profile, cut at BODY_CAP in the
-    strict one (the only place the original reads a prefix)."""
-    return F.substring("html", 1, BODY_CAP) if profile == "strict" else F.col("html")
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a scan enough tasks.
+#: Bytes per core below which an input is spread over the cores.
+SPREAD_BYTES = 4 << 20
 
-    A large input already has one task per file split and is left alone (no
-    shuffle). A small one (here one row group per table) would run on a
-    single core; it is spread round-robin over the default parallelism.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scan a task for every core.
+
+    A file of one row group is one task whatever the split size. Where the
+    planner's size of ``df`` is less than a few megabytes a core, moving it
+    costs less than idle cores do; a larger input keeps its file splits and
+    is not moved.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def read_pages(spark: SparkSession, sf_dir: str, profile: str = "broad",
-               headers: DataFrame | None = None) -> DataFrame:
+def read_pages(spark: SparkSession, sf_dir: str, profile: str = "broad") -> DataFrame:
     """Stored pages → Page schema.
 
     ``page_id, url, body, headers MAP<STRING,STRING>, status_code, depth,
-    from_js``; the strict profile cuts the body at BODY_CAP characters; the
-    broad profile keeps it whole and drops empty bodies (the broad tool skips a page whose text is empty).
-    ``headers`` is an optional frame (page_id, headers, status_code).
+    from_js``. Bodies are whole in both profiles; the broad one drops empty
+    bodies (the broad tool skips a page whose text is empty).
     """
     pages = read_table(spark, sf_dir, "pages")
-    out = pages.select(
-        "page_id", "url", body_col(profile).alias("body"))
+    out = pages.select("page_id", "url", F.col("html").alias("body"))
     if profile == "broad":
         out = out.filter(F.col("body").isNotNull() & (F.length("body") > 0))
-    if headers is not None:
-        out = out.join(headers, "page_id", "left")
-    else:
-        out = out.select("*", F.lit(None).cast("map<string,string>").alias("headers"),
-                         F.lit(200).alias("status_code"))
-    return out.select("page_id", "url", "body", "headers", "status_code",
-                      F.lit(0).alias("depth"), F.lit(False).alias("from_js"))
+    return out.select("page_id", "url", "body", F.lit(None).cast("map<string,string>").alias("headers"),
+                      F.lit(200).alias("status_code"), F.lit(0).alias("depth"), F.lit(False).alias("from_js"))
 
 
 def first_headers(header_rows: DataFrame) -> DataFrame:
@@ -85,9 +71,3 @@ def header_text(headers: Column, profile: str = "broad") -> Column:
         return F.when(F.size(lines) > 0,
                       F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
     return F.array_join(lines, "\n")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after counting the rows; a larger side is left to
-    the planner (shuffle join, AQE may still switch a small one)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
