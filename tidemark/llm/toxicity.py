@@ -164,7 +164,7 @@ def mask_sums(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, label, fold) of the learning rows."""
+    """(lid, text, label, fold) of the learning rows; lid only orders them."""
     part = F.crc32(F.col("lid").cast("string")) % 5
     rows = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
             .select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("label"))
@@ -172,14 +172,14 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
             .where(part != 0).orderBy(F.xxhash64("lid"), "lid").limit(MAX_LABELLED)
             .withColumn("fold", part.cast("int")))
     return (docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text"))
-            .join(F.broadcast(rows), "lid").select("text", "label", "fold"))
+            .join(F.broadcast(rows), "lid").select("lid", "text", "label", "fold"))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Entries found in clearly more of the toxic rows than of the others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, limit=8 * tx.SLICE_BYTES):
+        for part in tx.slices(batches, limit=2 * tx.SLICE_BYTES):
             buf, off = tx.flat(part.column(0))
             _, _, at, names, beginnings = entries(buf, off)
             own = tx.owner(at)
@@ -268,9 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     mean = sum(n for (c, _), n in classes.items() if c) / total if total else 0.0
     if not all(teaching):
         return Model(Lexicon(np.empty(0, dtype=tx.U64), np.empty(0)), mean, None, None)
-    learned = learn_lexicon(rows.where("fold != 4"))
-    # few rows: the tree rounds are cheapest on one partition per 2,000 of them
-    table = written(featured(rows, learned).repartition(max(1, math.ceil(total / 2_000))), "toxicity-features")
+    learned = learn_lexicon(rows.where("fold != 4").select("text", "label", "fold"))
+    # few rows: the tree rounds are cheapest on one partition per 2,000 of them; one order, so that they learn the same again
+    table = written(featured(rows, learned).repartition(max(1, math.ceil(total / 2_000)), "lid")
+                    .sortWithinPartitions("lid", "log_words", "label"), "toxicity-features")
     shaped = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
     trees = GBTClassifier(labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=1, minInstancesPerNode=3).fit(shaped.where("fold != 4"))
     model = Model(learned, mean, trees, None)
