@@ -103,10 +103,11 @@ def resolved(rows: DataFrame, first_stays: bool) -> DataFrame:
     inside = W.partitionBy("key", "whole").orderBy("flags", "id", "place")
     every = W.partitionBy("key")
     here = F.struct("id", "place")
-    judged = (rows.withColumn("rank", F.row_number().over(inside)).withColumn("first", F.first(here).over(inside))
+    # the window by key alone comes first: its shuffle serves the finer ones too
+    judged = (rows.withColumn("marked", F.max((F.col("flags") >= MARKER).cast("int")).over(every))
+              .withColumn("rank", F.row_number().over(inside)).withColumn("first", F.first(here).over(inside))
               .withColumn("n", F.sum("n").over(W.partitionBy("key", "whole")))
-              .withColumn("wholes", F.sum(((F.col("rank") == 1) & real).cast("int")).over(every))
-              .withColumn("marked", F.max((F.col("flags") >= MARKER).cast("int")).over(every)))
+              .withColumn("wholes", F.sum(((F.col("rank") == 1) & real).cast("int")).over(every)))
     told = F.col("flags") == TOLD
     later = here != F.col("first")
     covered = told | (later if first_stays else F.col("n") > 1)
