@@ -18,18 +18,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, by: str | None = None, arrow_bytes: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, arrow_bytes: str = "16m") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives
     lost executors, and has a size that the planner knows. ``arrow_bytes``
-    bounds the batches that its Python stages get, for rows of large arrays."""
+    bounds the batches that its Python stages get."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     if by:
         writer = writer.partitionBy(by)
-    conf = {_CLEAN: "true"}  # what was shuffled for the table isn't needed beside it
-    if arrow_bytes:
-        conf[_ARROW] = arrow_bytes
+    conf = {_CLEAN: "true", _ARROW: arrow_bytes}  # what was shuffled for the table isn't needed beside it
     before = {k: spark.conf.get(k) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Text bytes worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: words [^\x20\x09-\x0D]+
 WORD = np.ones(256, dtype=bool)
