@@ -19,6 +19,35 @@ def test_resolve_matches_urljoin(spark):
         assert got[(b, h)] == urljoin(b, h), (b, h, got[(b, h)], urljoin(b, h))
 
 
+PAGE = ('''<a data-href="/no" href="/yes">x</a><A HREF=/unq>u</A><a href="/it's">q</a><link rel=x href='/l?a=1&amp;b=2'>'''
+        '''<form action=""></form><a title="x href=/no2" href = "/t>t">y</a><form method=post action="/f#z"></form><a>n</a>'''
+        '''<a href="">e</a><a href=/s/>s</a><a/href="/sl"><article href="/art"><a href="&#47;n&#x41;&lt;&foo;">'''
+        '''<script>fetch("/api"); XMLHttpRequest a.b\r c.open("GET", "/xhr")</script>''')
+
+
+def test_tags_by_hand(spark):
+    df = spark.createDataFrame([(1, "http://h.x/d/p", PAGE), (2, "http://h.x/", None), (3, "http://h.x/", "")],
+                               "page_id long, url string, html string")
+    got = [(r.kind, r.ord, r.href) for r in L.tag_links(df).orderBy("ord").collect()]
+    assert got == [("a", 0, "/yes"), ("a", 1, "/unq"), ("a", 2, "/it's"), ("link", 3, "/l?a=1&b=2"), ("a", 5, "/t>t"),
+                   ("form", 6, "/f#z"), ("a", 9, "/s/"), ("a", 10, "/sl"), ("a", 11, "/nA<&foo;")]
+    scripts = {(r.kind, r.href) for r in L.script_links(df).collect()}
+    assert {("script4", "/api"), ("script6", "/xhr")} <= scripts
+    links = L.resolved_links(L.all_links(df))
+    broad = {r.dst for r in L.targets(links).collect()}
+    strict = {r.dst for r in L.targets(links, strict=True).collect()}
+    assert "http://h.x/f#z" in broad and "http://h.x/f" in strict and "http://h.x/l?a=1&b=2" not in strict
+    assert L.targets(links, root="http://other.x/").count() == 0
+
+
+def test_more_links_than_any_packing(spark):
+    n = 120_000
+    df = spark.createDataFrame([(1, "http://h.x/", "".join(f'<a href="/{i}">' for i in range(n)) + '<script>fetch("/5")</script>')],
+                               "page_id long, url string, html string")
+    kept = L.dedupe_links(L.targets(L.resolved_links(L.all_links(df))))
+    assert kept.count() == n and {(r.rank, r.ord) for r in kept.where("dst = 'http://h.x/5'").collect()} == {(0, 5)}
+
+
 def test_robots_first_rule_wins(spark):
     robots = spark.createDataFrame([("h.x", 1, True, "/en/1"), ("h.x", 2, False, "/en/")],
                                    "authority string, line_no int, allow boolean, path_prefix string")
@@ -58,3 +87,5 @@ def test_crawl_matches_queue_bfs(spark):
         got = sorted((r.url, r.depth, r.visit_ord, r.fetched)
                      for r in CR.reach(spark, st, e, ["u1"], depth, cap).collect())
         assert got == sorted(bfs(edges, stored, "u1", depth, cap)), (depth, cap)
+    whole = sorted((r.url, r.depth, r.visit_ord, r.fetched) for r in CR.reach(spark, st, e, ["u1"], 4, None).collect())
+    assert whole == sorted(bfs(edges, stored, "u1", 4, 10**9))

@@ -3,12 +3,12 @@
 The original fetches one URL at a time from a FIFO queue. Here a level of
 the breadth-first search is one join: the fetched pages of the frontier
 with the edge table, less every URL visited so far (anti join), one row per
-target keeping the smallest (parent rank, link position). The visit order
-is (depth, parent rank, link position), so a page cap is a top-k per level:
-a level never holds more rows than the pages still allowed, and ranks are
-numbered only inside that bounded set. Each level is checkpointed to the
-session's checkpoint folder, which cuts lineage and survives lost
-executors.
+target keeping the least key. A URL's key is the path of link positions that
+first reaches it, level by level, so keys order a level as the queue would and
+need no numbering between levels. A page cap is a top-k per level. Each level
+is written to the session's shared folder, which cuts lineage and survives
+lost executors; join strategies are left to the planner, which knows the
+written sizes.
 
 Reached URLs without a stored page use up the cap but yield no links, as a
 failed fetch does in the original.
@@ -16,67 +16,69 @@ failed fetch does in the original.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.session import ensure_checkpoint_dir
 
 
-def _rank(df: DataFrame, offset: int) -> DataFrame:
-    w = Window.orderBy(F.col("_k"))
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("visit_ord", F.col("rank") + offset)
+def _written(df: DataFrame) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tidemark-crawl-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds 1, 2, 3, ... in the given order: a range-partitioned sort, the
+    place inside the partition, and the counts of the partitions before."""
+    placed = _written(df.orderBy(*order).withColumn("_p", F.spark_partition_id())
+                      .withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")   # a row a partition
+    return placed.join(before, "_p").withColumn(name, F.col("_b") + F.col("_i") + 1).drop("_p", "_i", "_b")
 
 
 def reach(spark: SparkSession, stored_urls: DataFrame, edges: DataFrame, seeds: list[str],
-          max_depth: int = 3, max_pages: int = 100, robots: DataFrame | None = None) -> DataFrame:
+          max_depth: int = 3, max_pages: int | None = 100, robots: DataFrame | None = None) -> DataFrame:
     """Visited URLs in crawl order.
 
     ``stored_urls``: (url) of pages that can be fetched; ``edges``:
-    (src_url, dst_url, ord) links in document order. Returns (url, depth,
-    visit_ord, fetched). ``max_pages`` bounds the result (the cap of the
-    original); every level is cut to what the cap still allows.
+    (src_url, dst_url, ord) or (src_url, dst_url, rank, ord): links in their
+    order on the page. Returns (url, depth, visit_ord, fetched).
+    ``max_pages`` is the original's cap; None reaches all.
     """
     from tidemark.operators.links import robots_filter
 
-    if max_pages is None or max_pages <= 0:
-        raise ValueError("max_pages must be a positive page cap")
-    ensure_checkpoint_dir(spark)
-    schema = T.StructType([T.StructField("url", T.StringType()),
-                           T.StructField("_k", T.StructType([T.StructField("p", T.LongType()),
-                                                             T.StructField("o", T.LongType())]))])
-    # seeds: a short driver-side list given by the caller
-    level = spark.createDataFrame([(u, (0, i)) for i, u in enumerate(dict.fromkeys(seeds))], schema)
-    if robots is not None:
-        level = robots_filter(level, robots, url_col="url")
-    stored = stored_urls.select("url").distinct()
-    out, visited, total, depth = [], None, 0, 0
+    if max_pages is not None and max_pages <= 0:
+        raise ValueError("max_pages must be a positive page cap, or None")
+    if "rank" not in edges.columns:
+        edges = edges.withColumn("rank", F.lit(0))
+    stored = stored_urls.select("url").distinct().withColumn("fetched", F.lit(True))
+    # seeds: a short list given by the caller
+    level = spark.createDataFrame([(u, [0, i]) for i, u in enumerate(dict.fromkeys(seeds))], "url string, key array<int>")
+    out, total, depth = [], 0, 0
     while True:
-        left = max_pages - total
-        level = level.orderBy("_k").limit(left)          # top-k: bounded by the cap
-        level = _rank(level, total)
-        # the level is at most ``left`` rows: a proven bound for broadcasting
-        level = level.join(F.broadcast(level.select("url").join(stored, "url", "left_semi")
-                                       .withColumn("fetched", F.lit(True))), "url", "left")
-        level = (level.select("url", F.lit(depth).alias("depth"), "visit_ord", "rank",
-                              F.coalesce("fetched", F.lit(False)).alias("fetched"))
-                 .checkpoint(eager=True))
+        if robots is not None:
+            level = robots_filter(level, robots, url_col="url")
+        if max_pages is not None:
+            level = level.orderBy("key").limit(max_pages - total)          # top-k: the cap is the feature
+        level = _written(level.join(stored, "url", "left").select(
+            "url", "key", F.lit(depth).alias("depth"), F.coalesce("fetched", F.lit(False)).alias("fetched")))
         n = level.count()
         out.append(level)
         total += n
-        visited = level.select("url") if visited is None else visited.unionByName(level.select("url"))
-        if n == 0 or depth >= max_depth or total >= max_pages:
+        if n == 0 or depth >= max_depth or total == max_pages:
             break
-        parents = level.filter("fetched").select(F.col("url").alias("src_url"), F.col("rank").alias("p"))
-        cand = (edges.join(F.broadcast(parents), "src_url")
-                .select(F.col("dst_url").alias("url"), F.struct(F.col("p").cast("long").alias("p"),
-                                                                F.col("ord").cast("long").alias("o")).alias("_k")))
-        cand = cand.join(F.broadcast(visited), "url", "left_anti")
-        if robots is not None:
-            cand = robots_filter(cand, robots, url_col="url")
-        level = cand.groupBy("url").agg(F.min("_k").alias("_k"))
+        parents = level.filter("fetched").select(F.col("url").alias("src_url"), "key")
+        cand = edges.join(parents, "src_url").select(
+            F.col("dst_url").alias("url"), F.concat("key", F.array(F.col("rank").cast("int"), F.col("ord").cast("int"))).alias("key"))
+        for visited in out:
+            cand = cand.join(visited.select("url"), "url", "left_anti")
+        level = cand.groupBy("url").agg(F.min("key").alias("key"))
         depth += 1
     res = out[0]
     for lv in out[1:]:
         res = res.unionByName(lv)
-    return res.select("url", "depth", F.col("visit_ord").cast("long").alias("visit_ord"), "fetched")
+    return numbered(res, ["depth", "key"], "visit_ord").select("url", "depth", "visit_ord", "fetched")

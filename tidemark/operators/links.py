@@ -2,8 +2,10 @@
 rules, per-page dedupe and robots filtering — all per-row expressions or
 joins keyed by page / authority.
 
-URL parts come from the RFC 3986 split regex, so Spark and the DuckDB oracle
-parse identically; dot segments are removed by folding the path segments.
+One pass over the html yields its ``a``, ``link`` and ``form`` tags in
+document order; a tag's attributes are read one after the other, so an
+attribute's value never passes for another attribute. URL parts come from the
+RFC 3986 split regex; dot segments are removed by folding the path segments.
 """
 
 from __future__ import annotations
@@ -11,11 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import sql_str
+from tidemark.functions.arrays import let, sql_str
+from tidemark.functions.regex import java_regex
 
 # --- FIXED VALUES: link shapes -----------------------------------------------
-ANCHOR_RX = r"""(?i)<(a|link)\s[^>]*?href\s*=\s*["']([^"']*)["']"""
-FORM_RX = r"""(?i)<form\s[^>]*?action\s*=\s*["']([^"']*)["']"""
+# a tag (name, attributes); quoted values may hold ">"
+TAG_RX = r"""<(a|link|form)(?:[\s/]((?:[^>"']|"[^"]*"|'[^']*')*))?>"""
+# an attribute: name, then its value in double quotes, in single quotes, or bare
+ATTR_RX = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+ENTITY_RX = r"""&(amp|lt|gt|quot|apos|#[0-9]{1,3}|#[xX][0-9a-fA-F]{1,2});"""
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 # six URL shapes in script text (matched without case)
 SCRIPT_RX = [
     r'["\']([^"\']*?\.(?:html|php|jsp|asp|aspx))["\']',
@@ -36,42 +43,51 @@ def _rx(r: str) -> str:
     return sql_str(r)
 
 
-def _shape_sql(html_col: str, rx: str, group: int, kind: str) -> str:
-    return (f"transform(regexp_extract_all({html_col}, {_rx(rx)}, {group}), "
-            f"(h, i) -> named_struct('kind', {_rx(kind)}, 'ord', i, 'href', h))")
+#: the tag pattern for Java: runs inside a tag are taken whole, so long attributes cost no stack
+_TAG_JAVA = java_regex(TAG_RX.replace('[^>"\']|', '[^>"\']++|').replace("')*)", "')*+)"), "broad")
 
 
-def _anchor_sql(html_col: str) -> str:
-    tags = f"regexp_extract_all({html_col}, {_rx(ANCHOR_RX)}, 1)"
-    hrefs = f"regexp_extract_all({html_col}, {_rx(ANCHOR_RX)}, 2)"
-    return (f"transform(arrays_zip({tags}, {hrefs}), (z, i) -> named_struct('kind', lower(z['0']), "
-            f"'ord', i, 'href', z['1']))")
+def decoded_sql(v: str) -> str:
+    """The character references of ``v`` replaced: the five named ones, and
+    numeric ones of ASCII characters."""
+    name = "lower(get(_en, _ei))"
+    number = (f"CASE WHEN {name} LIKE '#x%' THEN CAST(conv(substr({name}, 3), 16, 10) AS INT) "
+              f"WHEN {name} LIKE '#%' THEN CAST(substr({name}, 2) AS INT) END")
+    named = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(c)}" for k, c in ENTITIES.items())
+    one = (f"CASE WHEN _ei >= size(_en) THEN '' WHEN {number} BETWEEN 1 AND 127 THEN char({number}) "
+           f"ELSE coalesce(CASE {name} {named} END, concat('&', get(_en, _ei), ';')) END")
+    whole = let(f"regexp_extract_all({v}, {sql_str(ENTITY_RX)}, 1)", "_en",
+                f"array_join(transform(split({v}, {sql_str(ENTITY_RX)}, -1), (_eg, _ei) -> concat(_eg, {one})), '')")
+    return f"CASE WHEN instr({v}, '&') = 0 THEN {v} ELSE {whole} END"
 
 
-def _explode(pages: DataFrame, arr_sql: str) -> DataFrame:
-    ex = pages.select("page_id", "url", F.explode(F.expr(arr_sql)).alias("l"))
-    return ex.select("page_id", "url", "l.kind", "l.ord", "l.href")
+def _tags_sql(html_col: str) -> str:
+    """Links of the tags, in document order: ``ord`` counts the page's a, link
+    and form tags; a tag without a value for its attribute gives none."""
+    tags = f"arrays_zip(regexp_extract_all({html_col}, {_rx(_TAG_JAVA)}, 1), regexp_extract_all({html_col}, {_rx(_TAG_JAVA)}, 2))"
+    attrs = ", ".join(f"regexp_extract_all(_tg['1'], {_rx(ATTR_RX)}, {g})" for g in (1, 2, 3, 4))
+    wanted = "CASE WHEN lower(_tg['0']) = 'form' THEN 'action' ELSE 'href' END"
+    first = f"get(filter(arrays_zip({attrs}), _at -> lower(_at['0']) = {wanted}), 0)"
+    value = let(first, "_av", let("concat(_av['1'], _av['2'], _av['3'])", "_ah", decoded_sql("_ah")))
+    return (f"filter(transform({tags}, (_tg, _ti) -> named_struct('kind', lower(_tg['0']), 'rank', 0, 'ord', _ti, "
+            f"'href', {value})), _tl -> coalesce(_tl.href, '') != '')")
 
 
 def _script_sql(html_col: str) -> str:
     skip = " OR ".join(f"startswith(l.href, {_rx(p)})" for p in SKIP_PREFIXES)
-    parts = [_shape_sql(html_col, "(?i)" + rx, 1, f"script{i + 1}") for i, rx in enumerate(SCRIPT_RX)]
-    return f"filter(concat({', '.join(parts)}), l -> NOT ({skip}))"
-
-
-def extract(pages: DataFrame, rx: str, group: int, kind: str, html_col: str = "html") -> DataFrame:
-    """(page_id, url, kind, ord, href): every match of ``rx`` in page order."""
-    return _explode(pages, _shape_sql(html_col, rx, group, kind))
+    parts = [f"transform(regexp_extract_all({html_col}, {_rx(java_regex(rx, 'broad'))}, 1), (h, i) -> "
+             f"named_struct('kind', 'script{k}', 'rank', {k}, 'ord', i, 'href', h))" for k, rx in enumerate(SCRIPT_RX, 1)]
+    return f"filter(concat({', '.join(parts)}), l -> l.href != '' AND NOT ({skip}))"
 
 
-def anchors(pages: DataFrame, html_col: str = "html", with_link: bool = True) -> DataFrame:
-    """href of ``a`` tags (and ``link`` tags in the broad profile)."""
-    out = _explode(pages, _anchor_sql(html_col))
-    return out if with_link else out.filter(F.col("kind") == "a")
+def _explode(pages: DataFrame, arr_sql: str) -> DataFrame:
+    ex = pages.select("page_id", "url", F.explode(F.expr(arr_sql)).alias("l"))
+    return ex.select("page_id", "url", "l.kind", "l.rank", "l.ord", "l.href")
 
 
-def forms(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    return extract(pages, FORM_RX, 1, "form", html_col)
+def tag_links(pages: DataFrame, kinds=("a", "link", "form"), html_col: str = "html") -> DataFrame:
+    """(page_id, url, kind, rank, ord, href) of the tags of these kinds."""
+    return _explode(pages, _tags_sql(html_col)).filter(F.col("kind").isin(*kinds))
 
 
 def script_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -80,11 +96,10 @@ def script_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def all_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Anchors, forms and script shapes of each page in one pass over the
-    html (one projection of match arrays, one explode)."""
-    arr = (f"concat({_anchor_sql(html_col)}, {_shape_sql(html_col, FORM_RX, 1, 'form')}, "
-           f"{_script_sql(html_col)})")
-    return _explode(pages, arr)
+    """The broad set: tags and script shapes of each page in one pass over
+    the html. (rank, ord) is a link's position: the tags in document order,
+    then each script shape."""
+    return _explode(pages, f"concat({_tags_sql(html_col)}, {_script_sql(html_col)})")
 
 
 # --- resolution (Spark SQL text) --------------------------------------------
@@ -155,38 +170,48 @@ def resolved_links(links: DataFrame) -> DataFrame:
     return links.withColumn("resolved", resolve("url", "href"))
 
 
-def same_host(links: DataFrame) -> DataFrame:
-    """Links whose authority equals the page's (port kept, case kept)."""
-    return links.filter(authority("resolved") == authority("url"))
+def same_host(links: DataFrame, root: str | None = None) -> DataFrame:
+    """Links whose authority equals that of the crawl's ``root`` URL, or, by
+    default, their page's (port kept, case kept)."""
+    own = authority("url") if root is None else F.expr(f"regexp_extract({_rx(root)}, {_rx(AUTH_RX)}, 1)")
+    return links.filter(authority("resolved") == own)
 
 
 def http_only(links: DataFrame) -> DataFrame:
     return links.filter(scheme("resolved").isin("http", "https"))
 
 
+def targets(links: DataFrame, root: str | None = None, strict: bool = False) -> DataFrame:
+    """Resolved links that a crawl follows, with ``dst``. Broad: same host;
+    a and link lose their fragment, forms and script links keep it. Strict:
+    a and form tags, http(s) only, same host, no fragments."""
+    if strict:
+        kept = same_host(http_only(links.filter(F.col("kind").isin("a", "form"))), root)
+        return kept.withColumn("dst", cut_fragment("resolved"))
+    return same_host(links, root).withColumn(
+        "dst", F.when(F.col("kind").isin("a", "link"), cut_fragment("resolved")).otherwise(F.col("resolved")))
+
+
 def dedupe_links(links: DataFrame) -> DataFrame:
-    """One row per (page, target), first position kept."""
-    return links.groupBy("page_id", "url", "dst").agg(F.min("gord").alias("ord"))
+    """One row per (page, target), first position (rank, ord) kept."""
+    return (links.groupBy("page_id", "url", "dst").agg(F.min(F.struct("rank", "ord")).alias("p"))
+            .select("page_id", "url", "dst", "p.rank", "p.ord"))
 
 
-def robots_filter(urls: DataFrame, robots: DataFrame, url_col: str = "dst",
-                  broadcast_rows: int = 1_000_000) -> DataFrame:
+def robots_filter(urls: DataFrame, robots: DataFrame, url_col: str = "dst") -> DataFrame:
     """Drop URLs disallowed for ``*``: rules of the URL's authority in file
     order, the first whose prefix starts the path (+ query) decides; no
     matching rule (or no robots rows) = allowed.
 
-    Rules are gathered per authority into one small array, so each URL is
-    decided in-row after one join on authority; the rule side is broadcast
-    when its row count is under ``broadcast_rows`` (checked), otherwise
-    the join shuffles and AQE splits a hot authority.
+    Rules are gathered per authority into one array (a robots file is a file
+    of one site), so each URL is decided in-row after one join on authority;
+    the planner broadcasts a small rule side and splits a hot authority.
     """
     per_auth = robots.groupBy("authority").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "allow", "path_prefix"))).alias("rules"))
-    n = robots.count()
-    side = F.broadcast(per_auth) if n <= broadcast_rows else per_auth
     pathq = F.expr(f"regexp_extract({url_col}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)")
     u = urls.withColumn("_auth", authority(url_col)).withColumn("_pq", pathq)
-    j = u.join(side, u["_auth"] == side["authority"], "left")
+    j = u.join(per_auth, u["_auth"] == per_auth["authority"], "left")
     verdict = F.expr("try_element_at(filter(rules, r -> startswith(_pq, r.path_prefix)), 1).allow")
     return (j.withColumn("_allow", F.coalesce(verdict, F.lit(True)))
             .filter("_allow").drop("_auth", "_pq", "authority", "rules", "_allow"))

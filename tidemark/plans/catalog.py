@@ -664,114 +664,91 @@ def aug(spark, sf_dir):
     return spread(FX.augmented_pages(spark, sf_dir))
 
 
-ANCHOR_SQL = (
-    f"SELECT page_id, url, lower(unnest(regexp_extract_all(html, {O.q(L.ANCHOR_RX)}, 1))) AS kind, "
-    f"CAST(unnest(range(len(regexp_extract_all(html, {O.q(L.ANCHOR_RX)}, 1)))) AS INTEGER) AS ord, "
-    f"unnest(regexp_extract_all(html, {O.q(L.ANCHOR_RX)}, 2)) AS href FROM ({AUG_SQL})")
-FORM_SQL = O.extract_duck(AUG_SQL, L.FORM_RX, 1, "form")
-SCRIPT_SQL = "SELECT * FROM (" + " UNION ALL ".join(
-    O.extract_duck(AUG_SQL, "(?i)" + rx, 1, f"script{i + 1}") for i, rx in enumerate(L.SCRIPT_RX)) + ") " \
-    "WHERE NOT (starts_with(href, 'data:') OR starts_with(href, 'javascript:') OR starts_with(href, '#'))"
-LINK_COLS = "page_id, url, kind, ord, href"
-
-
-@register("links_anchor", f"SELECT {LINK_COLS} FROM ({ANCHOR_SQL})")
+TAGS_SQL = O.tag_links_duck(AUG_SQL)
+LINKS_SQL = O.all_links_duck(AUG_SQL)
+LINK_COLS = "page_id, url, kind, rank, ord, href"
+
+
+@register("links_anchor", f"SELECT {LINK_COLS} FROM ({TAGS_SQL}) WHERE kind IN ('a', 'link')")
 def q_links_anchor(spark, sf_dir):
-    """href of a and link tags, in page order."""
-    return L.anchors(aug(spark, sf_dir))
+    """href of a and link tags, in document order."""
+    return L.tag_links(aug(spark, sf_dir), ("a", "link"))
 
 
-@register("links_form", f"SELECT {LINK_COLS} FROM ({FORM_SQL})")
+@register("links_form", f"SELECT {LINK_COLS} FROM ({TAGS_SQL}) WHERE kind = 'form'")
 def q_links_form(spark, sf_dir):
-    """action of form tags."""
-    return L.forms(aug(spark, sf_dir))
+    """action of form tags; empty ones give no link."""
+    return L.tag_links(aug(spark, sf_dir), ("form",))
 
 
-@register("links_script", f"SELECT {LINK_COLS} FROM ({SCRIPT_SQL})")
+@register("links_script", f"SELECT {LINK_COLS} FROM ({O.script_links_duck(AUG_SQL)})")
 def q_links_script(spark, sf_dir):
     """Six URL shapes in script text; data:, javascript:, # skipped."""
     return L.script_links(aug(spark, sf_dir))
 
 
-def all_links(spark, sf_dir):
-    return L.all_links(aug(spark, sf_dir))
-
-
-ALL_LINKS_SQL = f"({ANCHOR_SQL}) UNION ALL ({FORM_SQL}) UNION ALL ({SCRIPT_SQL})"
-RESOLVED_SQL = f"SELECT {LINK_COLS}, {O.resolve_duck('url', 'href')} AS resolved FROM ({ALL_LINKS_SQL})"
-AUTH_D = "regexp_extract({c}, " + O.q(L.AUTH_RX) + ", 1)"
-SCHEME_D = "lower(regexp_extract({c}, " + O.q(L.SCHEME_RX) + ", 1))"
+def resolved(spark, sf_dir):
+    return L.resolved_links(L.all_links(aug(spark, sf_dir)))
 
 
-@register("link_resolve", RESOLVED_SQL)
+@register("link_resolve", LINKS_SQL)
 def q_link_resolve(spark, sf_dir):
     """Every extracted link resolved against its page URL."""
-    return L.resolved_links(all_links(spark, sf_dir))
+    return resolved(spark, sf_dir)
 
 
-@register("link_same_host", f"SELECT * FROM ({RESOLVED_SQL}) WHERE {AUTH_D.format(c='resolved')} = {AUTH_D.format(c='url')}")
+@register("link_same_host", f"SELECT * FROM ({LINKS_SQL}) WHERE {O.AUTH.format('resolved')} = {O.AUTH.format('url')}")
 def q_link_same_host(spark, sf_dir):
     """Resolved links on the page's own authority."""
-    return L.same_host(L.resolved_links(all_links(spark, sf_dir)))
+    return L.same_host(resolved(spark, sf_dir))
 
 
-@register("link_scheme", f"SELECT * FROM ({RESOLVED_SQL}) WHERE {SCHEME_D.format(c='resolved')} IN ('http', 'https')")
+@register("link_scheme", f"SELECT * FROM ({LINKS_SQL}) WHERE {O.SCHEME.format('resolved')} IN ('http', 'https')")
 def q_link_scheme(spark, sf_dir):
     """Resolved links with an http or https scheme."""
-    return L.http_only(L.resolved_links(all_links(spark, sf_dir)))
+    return L.http_only(resolved(spark, sf_dir))
 
 
-KIND_RANK_SQL = ("CASE WHEN kind IN ('a', 'link') THEN 0 WHEN kind = 'form' THEN 1 "
-                 "ELSE 1 + CAST(substring(kind, 7) AS INTEGER) END")
-FRAG_SQL = (f"SELECT page_id, url, kind, ord, regexp_extract(resolved, '^([^#]*)', 1) AS dst, "
-            f"CAST({KIND_RANK_SQL} * 100000 + ord AS BIGINT) AS gord FROM ({RESOLVED_SQL}) "
-            f"WHERE {SCHEME_D.format(c='resolved')} IN ('http', 'https') "
-            f"AND {AUTH_D.format(c='resolved')} = {AUTH_D.format(c='url')}")
-
-
-def kept_links(spark, sf_dir):
-    """Strict rules: http(s), same host, fragment cut; a global position
-    (anchors, then forms, then script shapes)."""
-    r = L.http_only(L.same_host(L.resolved_links(all_links(spark, sf_dir))))
-    rank = F.expr(KIND_RANK_SQL.replace("substring(kind, 7)", "substring(kind, 7)"))
-    return r.select("page_id", "url", "kind", "ord", L.cut_fragment("resolved").alias("dst"),
-                    (rank * 100000 + F.col("ord")).cast("long").alias("gord"))
+@register("link_fragment", O.targets_duck(AUG_SQL))
+def q_link_fragment(spark, sf_dir):
+    """The broad set: same host; a and link lose their fragment, forms and
+    script links keep it."""
+    return L.targets(resolved(spark, sf_dir)).select("page_id", "url", "kind", "rank", "ord", "dst")
 
 
-@register("link_fragment", FRAG_SQL)
-def q_link_fragment(spark, sf_dir):
-    return kept_links(spark, sf_dir)
+@register("links_strict", O.deduped_duck(AUG_SQL, strict=True))
+def q_links_strict(spark, sf_dir):
+    """The strict set: a and form tags in document order, http(s), same
+    host, no fragments, each target once."""
+    return L.dedupe_links(L.targets(resolved(spark, sf_dir), strict=True))
 
 
-@register("link_dedupe", f"SELECT page_id, url, dst, min(gord) AS ord FROM ({FRAG_SQL}) GROUP BY page_id, url, dst")
+@register("link_dedupe", O.deduped_duck(AUG_SQL))
 def q_link_dedupe(spark, sf_dir):
-    """One row per (page, target), first position kept."""
-    return L.dedupe_links(kept_links(spark, sf_dir))
+    """One row per (page, target) of the broad set, first position kept."""
+    return L.dedupe_links(L.targets(resolved(spark, sf_dir)))
 
 
 ROBOTS_SQL = FX.robots_rows_sql()
 
 
-@register("robots_filter", (
-    f"WITH d AS (SELECT page_id, url, dst, min(gord) AS ord FROM ({FRAG_SQL}) GROUP BY page_id, url, dst), "
-    f"r AS ({ROBOTS_SQL}), "
-    f"m AS (SELECT d.page_id, d.dst, arg_min(r.allow, r.line_no) AS allow FROM d JOIN r "
-    f"ON r.authority = {AUTH_D.format(c='d.dst')} AND starts_with(regexp_extract(d.dst, "
-    f"'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), r.path_prefix) GROUP BY d.page_id, d.dst) "
-    f"SELECT d.page_id, d.url, d.dst, d.ord FROM d LEFT JOIN m ON m.page_id = d.page_id AND m.dst = d.dst "
-    f"WHERE coalesce(m.allow, true)"))
+@register("robots_filter", f"WITH d AS ({O.deduped_duck(AUG_SQL)}), rb AS ({ROBOTS_SQL}) "
+                           f"SELECT d.* FROM d WHERE {O.allowed_duck('d.dst', 'rb')}")
 def q_robots_filter(spark, sf_dir):
     """Deduped same-host links less those robots rules disallow for '*'."""
-    return L.robots_filter(L.dedupe_links(kept_links(spark, sf_dir)), FX.robots_rows(spark, sf_dir))
+    return L.robots_filter(q_link_dedupe(spark, sf_dir), FX.robots_rows(spark, sf_dir))
 
 
-CRAWL_DEPTH, CRAWL_PAGES = 3, 100
+# the crawl: from the first allowed page of the host with most pages, over the
+# links of the stored pages, with a cap that the host's pages exceed
+CRAWL_DEPTH, CRAWL_PAGES = 3, 12
 CRAWL_SQL = (
-    f"WITH RECURSIVE pg AS (SELECT url FROM pages WHERE html IS NOT NULL AND length(html) > 0), "
-    f"e AS ({FX.GRAPH_EDGES_SQL}), "
-    f"paths(url, depth, path) AS (SELECT url, 0, [0] FROM pages WHERE page_id = 0 UNION ALL "
-    f"SELECT e.dst_url, p.depth + 1, list_append(p.path, e.ord) FROM paths p JOIN e ON e.src_url = p.url "
-    f"WHERE p.depth < {CRAWL_DEPTH} AND p.url IN (SELECT url FROM pg)), "
+    f"WITH RECURSIVE pg AS ({FX.LINKED_PAGES_SQL}), rb AS ({ROBOTS_SQL}), "
+    f"seed AS (SELECT url FROM pg p WHERE {O.allowed_duck('p.url', 'rb')} ORDER BY count(*) OVER (PARTITION BY {O.AUTH.format('p.url')}) DESC, "
+    f"{O.AUTH.format('p.url')}, p.page_id LIMIT 1), "
+    f"e AS (SELECT d.url AS src, d.dst, d.rank, d.ord FROM ({O.deduped_duck('SELECT * FROM pg')}) d WHERE {O.allowed_duck('d.dst', 'rb')}), "
+    f"paths(url, depth, path) AS (SELECT url, 0, [0, 0] FROM seed UNION ALL "
+    f"SELECT e.dst, p.depth + 1, list_concat(p.path, [e.rank, e.ord]) FROM paths p JOIN e ON e.src = p.url WHERE p.depth < {CRAWL_DEPTH}), "
     f"b AS (SELECT url, min(depth) AS depth FROM paths GROUP BY url), "
     f"bp AS (SELECT p.url, p.depth, min(p.path) AS path FROM paths p JOIN b ON p.url = b.url AND p.depth = b.depth "
     f"GROUP BY p.url, p.depth), "
@@ -781,16 +758,22 @@ CRAWL_SQL = (
 
 
 def crawl(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
-    stored = pages.filter(F.col("html").isNotNull() & (F.length("html") > 0)).select("url")
-    seed = [r["url"] for r in pages.filter("page_id = 0").select("url").collect()]   # one row
-    return CR.reach(spark, stored, FX.graph_edges(spark, sf_dir), seed, CRAWL_DEPTH, CRAWL_PAGES)
+    pages = FX.linked_pages(spark, sf_dir)
+    rules = FX.robots_rows(spark, sf_dir)
+    hosts = pages.select("page_id", "url", L.authority("url").alias("host"))
+    allowed = L.robots_filter(hosts, rules, url_col="url")
+    first = (hosts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(allowed.groupBy("host").agg(
+        F.min_by("url", "page_id").alias("url")), "host").orderBy(F.desc("n"), "host").first())
+    links = L.dedupe_links(L.targets(L.resolved_links(L.all_links(spread(pages))), root=first.url))
+    edges = links.select(F.col("url").alias("src_url"), F.col("dst").alias("dst_url"), "rank", "ord")
+    return CR.reach(spark, pages.select("url"), edges, [first.url], CRAWL_DEPTH, CRAWL_PAGES, robots=rules)
 
 
 @register("crawl_order", f"SELECT url, depth, visit_ord FROM ({CRAWL_SQL}) WHERE fetched")
 def q_crawl_order(spark, sf_dir):
-    """Breadth-first from page 0: depth ≤ 3, 100 pages, each URL once at
-    its least depth, order (depth, parent order, link position)."""
+    """Breadth-first over the stored pages' links on one host, less what
+    robots rules disallow: depth ≤ 3, capped, each URL once at its least
+    depth, order (depth, parent order, link position)."""
     return crawl(spark, sf_dir).filter("fetched").select("url", "depth", "visit_ord")
 
 
@@ -800,16 +783,16 @@ def q_crawl_unfetched(spark, sf_dir):
     return crawl(spark, sf_dir).filter("NOT fetched").select("url", "depth", "visit_ord")
 
 
-CRAWL_SCAN_SRC = (f"SELECT p.page_id AS src_id, p.url AS page_url, p.html AS t "
-                  f"FROM pages p WHERE p.url IN (SELECT url FROM ({CRAWL_SQL}) WHERE fetched)")
+def _crawl_src(src):
+    return f"SELECT * FROM ({src}) WHERE page_url IN (SELECT url FROM ({CRAWL_SQL}) WHERE fetched)"
 
 
-@register("crawl_scan", O.scan_sql(CRAWL_SCAN_SRC, ALL, "broad"))
+@register("crawl_scan", f"({O.scan_sql(_crawl_src(PAGES_SRC_SQL), ALL, 'broad')}) UNION ALL "
+                        f"({O.scan_sql(_crawl_src(htext_src_sql('broad')), ALL, 'broad', part='headers', url_suffix=' (headers)')})")
 def q_crawl_scan(spark, sf_dir):
-    """Reach, then scan the bodies of the visited pages (end to end)."""
+    """Reach, then scan the bodies and headers of the visited pages (end to end)."""
     visited = crawl(spark, sf_dir).filter("fetched").select("url")
-    pages = read_pages(spark, sf_dir).join(F.broadcast(visited), "url", "left_semi")   # ≤ cap rows
-    return scan(spread(pages), ALL, "broad")
+    return H.scan_page(spread(FX.pages_with_headers(spark, sf_dir).join(visited, "url", "left_semi")), ALL, "broad")
 
 
 # --- rendering stand-ins -------------------------------------------------------

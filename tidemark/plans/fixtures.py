@@ -177,7 +177,8 @@ EXTRA_LINKS = [
     "concat('<script>fetch(\"/api/items/', {id}, '\"); var x = new XMLHttpRequest(); x.open(\"GET\", \"/xhr/', {id}, "
     "'\");</script><a href=\"javascript:void(0)\">j</a>')",
     "concat('<script>window.location.href = \"./next.html\";</script><a href=\"#top\">t</a><a href=\"Sub/Page.PHP\">p</a>')",
-    "concat('<a href=\"https://other.example.org/x/', {id}, '\">x</a><a href=\"//', {auth}, '/proto/', {id}, '#f\">s</a>')",
+    "concat('<a href=\"https://other.example.org/x/', {id}, '\">x</a><a href=\"//', {auth}, '/proto/', {id}, '#f\">s</a>"
+    "<a data-href=\"/no\" href=/bare>b</a><A title=\"x href=/in\" HREF=\"/q?a=1&amp;b=2\">e</A><form action=\"/send#part\"></form>')",
     "concat('<a href=\"?page=', {id}, '\">q</a><a href=\"../up/./a/../b.html#frag\">u</a><form action=\"\">f</form>')",
 ]
 
@@ -219,29 +220,27 @@ def robots_rows_sql() -> str:
             f"JOIN (VALUES {vals}) r(k, line_no, allow, path_prefix) ON r.k = length(a.authority) % 3")
 
 
-# link graph with cycles: page p links to pages (7p + j) mod N, j = 0..2, and
-# every fifth page to a URL that has no stored page.
-GRAPH_FANOUT = 3
+# links between stored pages: each page gets anchors to the two next pages of
+# its host, by page_id, and the last ones to the host's first (cycles)
+NEIGHBOURS_SQL = (
+    f"SELECT page_id, url, lead(url, 1, f) OVER w AS n1, lead(url, 2, f) OVER w AS n2 FROM ("
+    f"SELECT page_id, url, a, first_value(url) OVER (PARTITION BY a ORDER BY page_id) AS f FROM ("
+    f"SELECT page_id, url, regexp_extract(url, {AUTH_RX_SQL}, 1) AS a FROM pages) q0) q1 WINDOW w AS (PARTITION BY a ORDER BY page_id)")
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    n = pages.count()            # one scalar
-    src = pages.select(F.col("url").alias("src_url"), "page_id",
-                       F.explode(F.sequence(F.lit(0), F.lit(GRAPH_FANOUT - 1))).alias("ord"))
-    src = src.withColumn("dst_id", (F.col("page_id") * 7 + F.col("ord")) % n)
-    tgt = pages.select(F.col("page_id").alias("dst_id"), F.col("url").alias("dst_url"))
-    e = src.join(tgt, "dst_id").select("src_url", "dst_url", F.col("ord").cast("int").alias("ord"))
-    miss = pages.filter(F.col("page_id") % 5 == 0).select(
-        F.col("url").alias("src_url"), F.concat("url", F.lit("missing/")).alias("dst_url"),
-        F.lit(GRAPH_FANOUT).alias("ord"))
-    return e.unionByName(miss)
+def linked_html_sql() -> str:
+    return f"concat('<a href=\"', n.n1, '\">1</a><a href=\"', n.n2, '\">2</a>', {augmented_html_sql('p.page_id', 'p.html', 'p.url')})"
 
 
-GRAPH_EDGES_SQL = (
-    f"SELECT s.url AS src_url, t.url AS dst_url, CAST(r.j AS INTEGER) AS ord FROM pages s "
-    f"CROSS JOIN range({GRAPH_FANOUT}) r(j) JOIN pages t ON t.page_id = (s.page_id * 7 + r.j) % (SELECT count(*) FROM pages) "
-    f"UNION ALL SELECT url, url || 'missing/', {GRAPH_FANOUT} FROM pages WHERE page_id % 5 = 0")
+LINKED_PAGES_SQL = (f"SELECT p.page_id, p.url, {linked_html_sql()} AS html FROM pages p JOIN ({NEIGHBOURS_SQL}) n ON n.page_id = p.page_id "
+                    f"WHERE p.html IS NOT NULL AND length(p.html) > 0")
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages whose html also links to other stored pages of the host."""
+    view = "tm_pages"
+    read_table(spark, sf_dir, "pages").createOrReplaceTempView(view)
+    return spark.sql(LINKED_PAGES_SQL.replace("FROM pages", f"FROM {view}"))
 
 
 # --- rendered bodies and client state (stand-ins for a browser render) --------

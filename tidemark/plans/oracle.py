@@ -1,9 +1,10 @@
 """DuckDB SQL for the oracle check.
 
-The SQL is written against the same parquet tables, in RE2 syntax, as an
-independent statement of each query's meaning: a rule × text cross product,
-``regexp_extract_all`` / ``string_split_regex``, window sums for offsets.
-It is not derived from any Spark plan.
+The SQL is written against the same parquet tables, in RE2 syntax: a rule ×
+text cross product, ``regexp_extract_all`` / ``string_split_regex``, window
+sums for offsets; link shapes are written out here. The rules' published texts
+and the derived inputs (``fixtures``) are shared with the Spark side; plans
+and expressions are not.
 """
 
 from __future__ import annotations
@@ -99,7 +100,9 @@ def _dots_duck(segs: str) -> str:
 
 def resolve_duck(base: str, href: str) -> str:
     """DuckDB: ``href`` resolved against ``base`` (urljoin for http(s))."""
-    from tidemark.operators.links import AUTH_RX, PATH_RX, SCHEME_RX
+    SCHEME_RX = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+    AUTH_RX = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+    PATH_RX = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
     h1 = f"regexp_extract({href}, '^([^#]*)', 1)"
     hfrag = f"CASE WHEN instr({href}, '#') > 0 THEN '#' || regexp_extract({href}, '#(.*)$', 1) ELSE '' END"
     hp = f"regexp_extract({h1}, '^([^?]*)', 1)"
@@ -126,7 +129,73 @@ def resolve_duck(base: str, href: str) -> str:
         f"ELSE {origin} || {rel_path} || {hq_s} || {hfrag} END")
 
 
-def extract_duck(src: str, rx: str, group: int, kind: str) -> str:
-    arr = f"regexp_extract_all(html, {q(rx)}, {group})"
-    return (f"SELECT page_id, url, {q(kind)} AS kind, CAST(unnest(range(len({arr}))) AS INTEGER) AS ord, "
-            f"unnest({arr}) AS href FROM ({src})")
+# --- links, stated for DuckDB ---------------------------------------------------
+
+# tags and attributes in RE2; written out here, not taken from the Spark side
+TAG = r"""(?i)<(a|link|form)(?:[\s/]((?:[^>"']|"[^"]*"|'[^']*')*))?>"""
+ATTR = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+SCRIPTS = [
+    r"""["']([^"']*?\.(?:html|php|jsp|asp|aspx))["']""",
+    r"""(?:href|src|action)\s*=\s*["']([^"']+)["']""",
+    r"""(?:window\.)?location(?:\.href)?\s*=\s*["']([^"']+)["']""",
+    r"""fetch\(["']([^"']+)["']""",
+    r"""axios\.(?:get|post)\(["']([^"']+)["']""",
+    r"""XMLHttpRequest.*open\([^,]+,\s*["']([^"']+)["']""",
+]
+
+
+def tag_links_duck(src: str) -> str:
+    """(page_id, url, kind, rank, ord, href) of a, link and form tags."""
+    tag, attr = q(TAG), q(ATTR)
+    refs = "v"
+    for name, ch in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        refs = f"replace({refs}, '&{name};', {q(ch)})"
+    return (f"SELECT page_id, url, kind, 0 AS rank, ord, {refs} AS href FROM ("
+            f"SELECT page_id, url, kind, ord, coalesce(d[i], '') || coalesce(s[i], '') || coalesce(b[i], '') AS v FROM ("
+            f"SELECT *, list_position(list_transform(regexp_extract_all(att, {attr}, 1), lambda x: lower(x)), "
+            f"CASE WHEN kind = 'form' THEN 'action' ELSE 'href' END) AS i, regexp_extract_all(att, {attr}, 2) AS d, "
+            f"regexp_extract_all(att, {attr}, 3) AS s, regexp_extract_all(att, {attr}, 4) AS b FROM ("
+            f"SELECT page_id, url, lower(unnest(regexp_extract_all(html, {tag}, 1))) AS kind, unnest(regexp_extract_all(html, {tag}, 2)) AS att, "
+            f"CAST(unnest(range(len(regexp_extract_all(html, {tag}, 1)))) AS INTEGER) AS ord FROM ({src}))) WHERE i IS NOT NULL) WHERE v <> ''")
+
+
+def script_links_duck(src: str) -> str:
+    parts = []
+    for k, rx in enumerate(SCRIPTS, 1):
+        arr = f"regexp_extract_all(html, {q('(?i)' + rx)}, 1)"
+        parts.append(f"SELECT page_id, url, 'script{k}' AS kind, {k} AS rank, CAST(unnest(range(len({arr}))) AS INTEGER) AS ord, "
+                     f"unnest({arr}) AS href FROM ({src})")
+    return ("SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE href <> '' AND NOT (starts_with(href, 'data:') "
+            "OR starts_with(href, 'javascript:') OR starts_with(href, '#'))")
+
+
+def all_links_duck(src: str) -> str:
+    """Every link with ``resolved``."""
+    return (f"SELECT page_id, url, kind, rank, ord, href, {resolve_duck('url', 'href')} AS resolved "
+            f"FROM (({tag_links_duck(src)}) UNION ALL ({script_links_duck(src)}))")
+
+
+AUTH = "regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+SCHEME = "lower(regexp_extract({}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1))"
+NO_FRAGMENT = "regexp_extract({}, '^([^#]*)', 1)"
+
+
+def targets_duck(src: str, strict: bool = False) -> str:
+    """Links a crawl follows, on the page's own host."""
+    same = f"{AUTH.format('resolved')} = {AUTH.format('url')}"
+    if strict:
+        return (f"SELECT page_id, url, kind, rank, ord, {NO_FRAGMENT.format('resolved')} AS dst FROM ({all_links_duck(src)}) "
+                f"WHERE kind IN ('a', 'form') AND {SCHEME.format('resolved')} IN ('http', 'https') AND {same}")
+    return (f"SELECT page_id, url, kind, rank, ord, CASE WHEN kind IN ('a', 'link') THEN {NO_FRAGMENT.format('resolved')} "
+            f"ELSE resolved END AS dst FROM ({all_links_duck(src)}) WHERE {same}")
+
+
+def deduped_duck(src: str, strict: bool = False) -> str:
+    return (f"SELECT page_id, url, dst, rank, ord FROM ({targets_duck(src, strict)}) "
+            f"QUALIFY row_number() OVER (PARTITION BY page_id, url, dst ORDER BY rank, ord) = 1")
+
+
+def allowed_duck(url: str, rules: str) -> str:
+    """Robots verdict of a URL: the first rule, in file order, whose prefix fits."""
+    return (f"coalesce((SELECT arg_min(r.allow, r.line_no) FROM {rules} r WHERE r.authority = {AUTH.format(url)} AND starts_with("
+            f"regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), r.path_prefix)), true)")
