@@ -27,7 +27,7 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark):
     pages = FX.pages_with_headers(spark, SF)
     visits = pages.withColumn("scan_id", F.explode(F.expr(FX.scan_membership_sql("page_id"))))
     base = tempfile.mkdtemp(prefix="tm-stream-")
-    SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"))
+    SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"), range(FX.N_SCANS))
     paths = SS.stream_scan(spark, os.path.join(base, "in"), rules, os.path.join(base, "out"))
     from tidemark.operators.headers import scan_page
     batch = scan_page(pages, rules, "broad").withColumn(
@@ -38,6 +38,10 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark):
     assert batch.select(*cols).exceptAll(got).count() == 0
     n_store = spark.read.parquet(paths["store"]).count()
     assert n_store == ST.dedupe(batch).count()
+    assert spark.read.parquet(paths["store"]).select("batch").distinct().count() >= 3
+    status = SS.running_status(spark, paths["status"]).orderBy("scan_id").collect()
+    assert [r.pages_total for r in status] == [sum(x.pages for x in status[:k + 1]) for k in range(len(status))]
+    assert status[-1].findings_total == batch.count()
     # restart from the same checkpoint: nothing new is processed
     SS.stream_scan(spark, os.path.join(base, "in"), rules, os.path.join(base, "out"))
     assert spark.read.parquet(paths["store"]).count() == n_store

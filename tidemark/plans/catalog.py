@@ -741,7 +741,7 @@ def q_robots_filter(spark, sf_dir):
 
 # the crawl: from the first allowed page of the host with most pages, over the
 # links of the stored pages, with a cap that the host's pages exceed
-CRAWL_DEPTH, CRAWL_PAGES = 3, 12
+CRAWL_DEPTH, CRAWL_PAGES = 3, 40
 CRAWL_SQL = (
     f"WITH RECURSIVE pg AS ({FX.LINKED_PAGES_SQL}), rb AS ({ROBOTS_SQL}), "
     f"seed AS (SELECT url FROM pg p WHERE {O.allowed_duck('p.url', 'rb')} ORDER BY count(*) OVER (PARTITION BY {O.AUTH.format('p.url')}) DESC, "
@@ -987,19 +987,15 @@ _MEMOS.append(_STREAM_RUNS)
 
 def stream_run(spark, sf_dir):
     """Stage page visits as one file per scan in a fresh folder under the
-    checkpoint dir, then run the streaming scan once (memoized)."""
+    checkpoint dir, then run the streaming scan once, one file a micro-batch
+    (memoized): a page of two scans comes again in a later batch."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _STREAM_RUNS:
         pages = FX.pages_with_headers(spark, sf_dir)
         visits = pages.withColumn("scan_id", F.explode(F.expr(FX.scan_membership_sql("page_id"))))
         base = SK.scratch_path(spark, "stream")
-        SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"),
-                       ordered=False)
-        # all files available at start go in one trigger (planning the
-        # 149-rule plan costs seconds per micro-batch at this size)
-        _STREAM_RUNS[key] = SS.stream_scan(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"),
-                                           files_per_trigger=None,
-                                           min_partitions=spark.sparkContext.defaultParallelism)
+        SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"), range(FX.N_SCANS))
+        _STREAM_RUNS[key] = SS.stream_scan(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"))
     return _STREAM_RUNS[key]
 
 

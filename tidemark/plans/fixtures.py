@@ -220,12 +220,13 @@ def robots_rows_sql() -> str:
             f"JOIN (VALUES {vals}) r(k, line_no, allow, path_prefix) ON r.k = length(a.authority) % 3")
 
 
-# links between stored pages: each page gets anchors to the two next pages of
-# its host, by page_id, and the last ones to the host's first (cycles)
+# links between stored pages (those whose URL a crawl can reach, without a
+# fragment): each gets anchors to the two next pages of its host, by page_id,
+# and the last ones to the host's first (cycles)
 NEIGHBOURS_SQL = (
     f"SELECT page_id, url, lead(url, 1, f) OVER w AS n1, lead(url, 2, f) OVER w AS n2 FROM ("
     f"SELECT page_id, url, a, first_value(url) OVER (PARTITION BY a ORDER BY page_id) AS f FROM ("
-    f"SELECT page_id, url, regexp_extract(url, {AUTH_RX_SQL}, 1) AS a FROM pages) q0) q1 WINDOW w AS (PARTITION BY a ORDER BY page_id)")
+    f"SELECT page_id, url, regexp_extract(url, {AUTH_RX_SQL}, 1) AS a FROM pages WHERE instr(url, '#') = 0) q0) q1 WINDOW w AS (PARTITION BY a ORDER BY page_id)")
 
 
 def linked_html_sql() -> str:

@@ -5,17 +5,17 @@ micro-batch is scanned with the same plan as the batch path, its findings
 are appended to a raw sink, merged first-wins into the findings store, and
 a status row (pages, findings, running totals) is written.
 
-Exactly-once under restarts: the store and the status table are partitioned
-by batch id and each batch overwrites only its own partition, reading the
-store as it stood before that batch (``batch < id``), so a replayed batch
-rewrites the same rows. The checkpoint folder records progress.
+Exactly-once under restarts: the store (by hash prefix) and the status table
+are partitioned by batch id and each batch overwrites only its own
+partitions, reading the store as it stood before that batch (``batch < id``),
+so a replayed batch rewrites the same rows. The checkpoint folder records progress.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,39 +32,45 @@ VISIT_SCHEMA = T.StructType([
 ])
 
 
-def stage_files(visits: DataFrame, folder: str, split_col: str = "scan_id", ordered: bool = True) -> list:
-    """Write ``visits`` as one parquet file per value of ``split_col``, in
-    ascending order (later files get later modification times, which is
-    the order the file source reads them in). ``ordered=False`` writes all
-    visits in one job, for runs that take every file in one trigger."""
-    if not ordered:
-        visits.write.mode("append").parquet(folder)
-        return []
-    keys = sorted(r[0] for r in visits.select(split_col).distinct().collect())  # a few keys
+def stage_files(visits: DataFrame, folder: str, keys, split_col: str = "scan_id") -> None:
+    """Write the ``visits`` of each key as a file of its own, in the order of
+    ``keys`` (the file source reads files by modification time), so that a
+    test stream has one micro-batch a key."""
     for k in keys:
         visits.filter(F.col(split_col) == k).coalesce(1).write.mode("append").parquet(folder)
-    return keys
+
+
+#: leading hash characters that partition the store: a batch reads the partitions its hashes fall in
+PREFIX = 1
 
 
 def _merge_batch(paths: dict):
+    def append(df: DataFrame, path: str, *by: str) -> None:
+        """Write one batch's partitions; a replayed batch rewrites the same."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        raw = batch.filter(F.col("part") != "visit").withColumn("batch", F.lit(batch_id))
-        raw.drop("_pages").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("batch").parquet(paths["raw"])
-        cand = ST.first_wins(ST.to_store_rows(raw.drop("batch", "_pages")))
+        raw = batch.filter(F.col("part") != "visit")
+        append(raw.withColumn("batch", F.lit(batch_id)), paths["raw"], "batch")
+        cand = ST.first_wins(ST.to_store_rows(raw)).withColumn("prefix", F.substring("finding_hash", 1, PREFIX))
         if _exists(spark, paths["store"]):
-            prev = spark.read.parquet(paths["store"]).filter(F.col("batch") < batch_id)
-            cand = cand.join(prev.select("finding_hash"), "finding_hash", "left_anti")
-        (cand.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(paths["store"]))
-        status = (batch.groupBy("scan_id").agg(
-                      F.count_if(F.col("part") == "visit").alias("pages"),
-                      F.count_if(F.col("part") != "visit").alias("findings"))
-                  .withColumn("batch", F.lit(batch_id)))
-        status.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("batch").parquet(paths["status"])
+            prev = spark.read.parquet(paths["store"]).filter(F.col("batch") < batch_id).select("prefix", "finding_hash")
+            cand = cand.join(prev, ["prefix", "finding_hash"], "left_anti")
+        append(cand.withColumn("batch", F.lit(batch_id)), paths["store"], "prefix", "batch")
+        status = batch.groupBy("scan_id").agg(F.count_if(F.col("part") == "visit").alias("pages"),
+                                              F.count_if(F.col("part") != "visit").alias("findings"))
+        # running totals go on from the last batch's row, so no batch reads all earlier ones
+        before = (0, 0)
+        if batch_id and _exists(spark, paths["status"]):
+            last = spark.read.parquet(paths["status"]).filter(F.col("batch") == batch_id - 1)
+            before = last.agg(F.coalesce(F.max("pages_total"), F.lit(0)), F.coalesce(F.max("findings_total"), F.lit(0))).first()
+        inside = Window.partitionBy("batch").orderBy("scan_id")   # the scans of one batch
+        status = (status.withColumn("batch", F.lit(batch_id))
+                  .withColumn("pages_total", F.sum("pages").over(inside) + before[0])
+                  .withColumn("findings_total", F.sum("findings").over(inside) + before[1]))
+        append(status, paths["status"], "batch")
         batch.unpersist()
     return merge
 
@@ -77,24 +83,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def stream_scan(spark: SparkSession, source: str, rules: list[Rule], out: str,
-                profile: str = "broad", files_per_trigger: int | None = 1,
-                min_partitions: int | None = None) -> dict:
+                profile: str = "broad", files_per_trigger: int | None = 1) -> dict:
     """Run the streaming scan over the visit files in ``source`` until they
     are all processed (``availableNow``); returns the output paths.
 
     The scan is part of the streaming plan (analysed once, not per batch);
     one marker row per visited page rides along so the batch function can
-    count pages without a second read. ``min_partitions`` spreads batches
-    that arrive as a few large files (small inputs); leave it unset when
-    files are many.
+    count pages without a second read.
     """
     paths = {k: os.path.join(out, k) for k in ("raw", "store", "status", "checkpoint")}
     reader = spark.readStream.schema(VISIT_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     visits = reader.parquet(source)
-    if min_partitions:
-        visits = visits.repartition(min_partitions)
     found = scan_page(visits, rules, profile, carry=["scan_id"])
     marks = visits.select(F.col("page_id").alias("src_id"), "scan_id", F.lit("visit").alias("part"))
     both = found.unionByName(marks, allowMissingColumns=True)
@@ -105,13 +106,8 @@ def stream_scan(spark: SparkSession, source: str, rules: list[Rule], out: str,
 
 
 def running_status(spark: SparkSession, status_path: str) -> DataFrame:
-    """Status rows (per batch and scan) with running totals in arrival order."""
-    from pyspark.sql import Window
-    s = spark.read.parquet(status_path)
-    w = Window.orderBy("batch", "scan_id").rowsBetween(Window.unboundedPreceding, 0)
-    return s.select("scan_id", "pages", "findings",
-                    F.sum("pages").over(w).alias("pages_total"),
-                    F.sum("findings").over(w).alias("findings_total"))
+    """Status rows (per batch and scan) with the running totals written with them."""
+    return spark.read.parquet(status_path).select("scan_id", "pages", "findings", "pages_total", "findings_total")
 
 
 def summary(spark: SparkSession, paths: dict) -> DataFrame:
