@@ -125,6 +125,18 @@ PLANTS = [
     "concat('xox', 'b-', '1234567890-1234567890-', substr({h}, 1, 24))",
     "concat('SELECT * FROM t WHERE id=', '$', '_GET[id]')",
     "concat('aws_secret', '_access_key=', substr({h}, 1, 32), substr({h}, 1, 8))",
+    # endpoints, two texts for the kit
+    "concat_ws(chr(10), '/admin', '/api/v1/items', '/graphql', 'site.env', 'x.bak', 'dump.sql', 'err.log', 'a.tar.gz', "
+    "'index.php', '.git/config .svn/ .idea/')",
+    "concat_ws(chr(10), 'package.json webpack.config .travis.yml', 'Dockerfile k8s.yaml', '/debug /phpinfo.php', "
+    "'/server-status /.well', concat('near: .envy /adm /graph .gi package_json ', {h}))",
+    # javascript, two texts for the kit, and near misses
+    "concat_ws(chr(10), concat('var api', 'Url = ', chr(34), substr({h}, 1, 8), chr(34)), concat('let my', 'Token = ', chr(34), {h}, chr(34)), "
+    "'config = {{ key: 1 }}', 'fetch(x, {{headers: {{Authorization: t}}}})', concat('xhr.setRequestHeader(', chr(34), 'Authorization', chr(34)), "
+    "concat('localStorage.getItem(', chr(34), 'token', chr(34)), concat('sessionStorage.setItem(', chr(34), 'key', chr(34)))",
+    "concat_ws(chr(10), 'window.myToken = 1', concat('// my key: ', substr({h}, 1, 20)), concat('import x from ', chr(34), './config', chr(34)), "
+    "concat('require(', chr(34), './secret', chr(34), ')'), 'axios.get(u, {{headers: h}})', 'process.env.API_KEY', "
+    "concat('https://h.example/x?api_key=', {h}), 'fetch(x, {{headers: 1}}) config = {{ a }} // nothing here axios.get(u)')",
 ]
 
 
