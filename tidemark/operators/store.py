@@ -1,14 +1,13 @@
 """Findings store: scan tagging, first-wins dedup, append, scan log, page log.
 
-Dedup is an aggregation, not a window: ``min_by(row, order)`` per hash has a
-map-side partial step, so a hash repeated millions of times (the same match
-many times on one page) is folded before the shuffle instead of landing in
-one sorted window partition.
+Dedup keeps row number 1 per hash: Spark prunes such a window to one row per
+hash in every task before the shuffle, so a hash repeated millions of times
+(the same match many times on one page) sends one row a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER_COLS = ["scan_id", "src_id", "part", "rule_idx", "match_idx"]
@@ -23,10 +22,8 @@ def finding_hash(url: Column, pattern: Column, match: Column) -> Column:
 
 def first_wins(findings: DataFrame, key: str = "finding_hash", order=ORDER_COLS) -> DataFrame:
     """One row per ``key``: the first by ``order``."""
-    cols = [c for c in findings.columns if c != key]
-    agg = findings.groupBy(key).agg(
-        F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
-    return agg.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]).select(*findings.columns)
+    ranked = findings.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.filter("_rn = 1").drop("_rn")
 
 
 def to_store_rows(findings: DataFrame) -> DataFrame:

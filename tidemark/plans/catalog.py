@@ -931,7 +931,25 @@ def q_sink_html(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@register("statistics_html")
+def _stat_table_sql(title, src, key, cls=False):
+    cell = (f"'<td class=''severity-' || {key} || '''>' || upper({key}) || '</td>'" if cls
+            else f"'<td>' || {_esc_sql(key)} || '</td>'")
+    return (f"SELECT '<h3>{title}</h3><table>' AS line UNION ALL SELECT '</table>' UNION ALL "
+            f"SELECT '<tr>' || {cell} || '<td>' || count || '</td></tr>' FROM ({src})")
+
+
+_GROUPED = "SELECT {0}, count(*) AS count FROM {1} GROUP BY {0} ORDER BY count DESC, {0} LIMIT {2}"
+
+
+@register("statistics_html", with_store(
+    f", t AS ({FX.SCANS_TIMES_SQL}), r0 AS (SELECT * FROM raw WHERE scan_id = 0) "
+    "SELECT '<p>total_scans: <b>' || count(*) || '</b></p>' AS line FROM t UNION ALL "
+    "SELECT '<p>total_findings: <b>' || count(*) || '</b></p>' FROM stored UNION ALL "
+    + " UNION ALL ".join((
+        _stat_table_sql("Findings by Category", _GROUPED.format("category", "r0", 1000), "category"),
+        _stat_table_sql("Severity Distribution", _GROUPED.format("severity", "r0", 1000), "severity", True),
+        _stat_table_sql("Top Patterns Found", _GROUPED.format("pattern", "r0", 20), "pattern"),
+        _stat_table_sql("Historical Top Patterns", _GROUPED.format("pattern", "stored", 10), "pattern")))))
 def q_statistics_html(spark, sf_dir):
     """Statistics page: totals, categories, severities, top rules."""
     path = SK.write_statistics(
@@ -961,20 +979,23 @@ def q_sink_tables(spark, sf_dir):
     return out
 
 
-@register("format_check")
+@register("format_check", with_raw(
+    ", n AS (SELECT count(*) AS n FROM raw WHERE scan_id = 0) SELECT f.format, f.status, n.n + f.extra AS n_lines FROM n, "
+    "(VALUES ('stream', 'ok', 0), ('json', 'ok', 0), ('csv', 'ok', 0), ('html', 'ok', 2), ('xml', 'refused', NULL)) f(format, status, extra)"))
 def q_format_check(spark, sf_dir):
     """Each requested format is checked; stream/json/csv/html write the
-    findings of scan 0, anything else is refused with a message."""
+    findings of scan 0 and are counted as they read back, anything else is refused."""
     f = report_findings(spark, sf_dir)
-    rows = []
+    out = None
     for fmt in ("stream", "json", "csv", "html", "xml"):
         try:
-            SK.check_format(fmt)
-            SK.write(f, SK.scratch_path(spark, f"fmt-{fmt}"), fmt)
-            rows.append((fmt, "ok"))
-        except ValueError as exc:
-            rows.append((fmt, str(exc)))
-    return spark.createDataFrame(rows, "format string, status string")
+            path = SK.write(f, SK.scratch_path(spark, f"fmt-{fmt}"), fmt)
+            back = SK.read_csv(spark, path) if fmt == "csv" else spark.read.text(path)
+            row = back.agg(F.lit(fmt).alias("format"), F.lit("ok").alias("status"), F.count(F.lit(1)).alias("n_lines"))
+        except ValueError:
+            row = spark.range(1).select(F.lit(fmt).alias("format"), F.lit("refused").alias("status"), F.lit(None).cast("long").alias("n_lines"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # --- 2.8 streaming -------------------------------------------------------------
@@ -995,7 +1016,7 @@ def stream_run(spark, sf_dir):
         visits = pages.withColumn("scan_id", F.explode(F.expr(FX.scan_membership_sql("page_id"))))
         base = SK.scratch_path(spark, "stream")
         SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"), range(FX.N_SCANS))
-        _STREAM_RUNS[key] = SS.stream_scan(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"))
+        _STREAM_RUNS[key] = SS.stream_scan(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"), lines=True)
     return _STREAM_RUNS[key]
 
 
@@ -1009,6 +1030,13 @@ def q_stream_scan(spark, sf_dir):
     return spark.read.parquet(stream_run(spark, sf_dir)["raw"]).select(*RAW_COLS)
 
 
+@register("stream_format", with_raw("SELECT finding_hash, scan_id, url, pattern, severity, match FROM raw"))
+def q_stream_format(spark, sf_dir):
+    """The ``stream`` output format: JSON lines emitted batch by batch."""
+    lines = spark.read.json(stream_run(spark, sf_dir)["lines"])
+    return lines.select("finding_hash", "scan_id", "url", "pattern", "severity", "match")
+
+
 @register("stream_dedupe", with_store(f"SELECT {', '.join(STORE_COLS)} FROM stored"))
 def q_stream_dedupe(spark, sf_dir):
     """First finding per hash across micro-batches (store anti join)."""

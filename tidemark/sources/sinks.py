@@ -156,9 +156,7 @@ def write_statistics(totals: dict[str, DataFrame], categories: DataFrame, severi
     from pyspark.sql import Window
     parts = []
     for i, (name, df) in enumerate(totals.items()):
-        parts.append(df.select(F.concat(F.lit(f"<div class='stat-box'><span class='stat-label'>{name}:</span> "
-                                              "<span class='stat-value'>"), F.col(name).cast("string"),
-                                        F.lit("</span></div>")).alias("line"),
+        parts.append(df.select(F.concat(F.lit(f"<p>{name}: <b>"), F.col(name).cast("string"), F.lit("</b></p>")).alias("line"),
                                F.lit(i).alias("_k"), F.lit(0).alias("_o")))
     parts.append(table(categories, 10, "Findings by Category", "category", "count"))
     parts.append(table(severities.drop("rank"), 11, "Severity Distribution", "severity", "count", cls=True))

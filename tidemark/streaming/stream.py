@@ -53,7 +53,10 @@ def _merge_batch(paths: dict):
         spark = batch.sparkSession
         batch = batch.persist()
         raw = batch.filter(F.col("part") != "visit")
-        append(raw.withColumn("batch", F.lit(batch_id)), paths["raw"], "batch")
+        numbered = raw.withColumn("batch", F.lit(batch_id))
+        append(numbered, paths["raw"], "batch")
+        if "lines" in paths:   # the stream format: each batch's findings as JSON lines, as they come
+            (numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(paths["lines"]))
         cand = ST.first_wins(ST.to_store_rows(raw)).withColumn("prefix", F.substring("finding_hash", 1, PREFIX))
         if _exists(spark, paths["store"]):
             prev = spark.read.parquet(paths["store"]).filter(F.col("batch") < batch_id).select("prefix", "finding_hash")
@@ -83,15 +86,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def stream_scan(spark: SparkSession, source: str, rules: list[Rule], out: str,
-                profile: str = "broad", files_per_trigger: int | None = 1) -> dict:
+                profile: str = "broad", files_per_trigger: int | None = 1, lines: bool = False) -> dict:
     """Run the streaming scan over the visit files in ``source`` until they
     are all processed (``availableNow``); returns the output paths.
 
     The scan is part of the streaming plan (analysed once, not per batch);
     one marker row per visited page rides along so the batch function can
-    count pages without a second read.
+    count pages without a second read. ``lines`` also emits every batch's
+    findings in the ``stream`` format.
     """
-    paths = {k: os.path.join(out, k) for k in ("raw", "store", "status", "checkpoint")}
+    paths = {k: os.path.join(out, k) for k in ("raw", "store", "status", "checkpoint", *(["lines"] if lines else []))}
     reader = spark.readStream.schema(VISIT_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
