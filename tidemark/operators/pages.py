@@ -54,6 +54,15 @@ def append_extracted(body: Column, global_vars: Column, local_store: Column, ses
     return F.concat_ws("", body, F.when(lines != "", F.concat(F.lit("\n<!-- EXTRACTED JS CONTENT -->\n"), lines)))
 
 
+def inline_script_texts(body: str = "body") -> Column:
+    """Array of the inline scripts (tags without ``src``) of a page, each cut
+    to 5000 characters and labelled."""
+    rx = "'" + SCRIPT_RX.replace("\\", "\\\\") + "'"
+    src = "'" + SRC_ATTR_RX.replace("\\", "\\\\") + "'"
+    return F.expr(f"transform(filter(arrays_zip(regexp_extract_all({body}, {rx}, 1), regexp_extract_all({body}, {rx}, 2)), "
+                  f"z -> NOT z['0'] RLIKE {src} AND length(z['1']) > 0), z -> concat('INLINE_SCRIPT: ', substring(z['1'], 1, {INLINE_CAP})))")
+
+
 def inline_scripts(pages: DataFrame) -> DataFrame:
     """Inline script contents (tags without ``src``), each cut to 5000
     characters and labelled; one row per script, in page order."""

@@ -834,6 +834,41 @@ def q_client_state_append(spark, sf_dir):
     return s.select("page_id", F.md5(body).alias("body_md5"), tail.alias("appended"))
 
 
+def _extracted_sql():
+    def block(label, v, empty):
+        return f"CASE WHEN {v} IS NOT NULL AND {v} NOT IN ({empty}) THEN ['{label}: ' || {v}] ELSE [] END"
+    rx = O.q(PG.SCRIPT_RX)
+    scripts = (f"list_transform(list_filter(list_zip(regexp_extract_all(html, {rx}, 1), regexp_extract_all(html, {rx}, 2)), "
+               f"lambda z: NOT regexp_matches(z[1], {O.q(PG.SRC_ATTR_RX)}) AND length(z[2]) > 0), "
+               f"lambda z: 'INLINE_SCRIPT: ' || substring(z[2], 1, 5000))")
+    lines = (f"array_to_string(list_concat(list_concat(list_concat({block('GLOBAL_VARS', _G, repr(''))}, "
+             f"{block('LOCAL_STORAGE', _LS, repr('') + ', ' + repr('{}'))}), {block('SESSION_STORAGE', _SS, repr('') + ', ' + repr('{}'))}), {scripts}), chr(10))")
+    return (f"SELECT page_id, url, html || CASE WHEN l <> '' THEN chr(10) || '<!-- EXTRACTED JS CONTENT -->' || chr(10) || l ELSE '' END AS body "
+            f"FROM (SELECT page_id, url, html, {lines} AS l FROM ({AUG_SQL}) WHERE html IS NOT NULL AND length(html) > 0)")
+
+
+EXTRACTED_SQL = _extracted_sql()
+
+
+def extracted_pages(spark, sf_dir):
+    """Pages with the broad client-state block and inline scripts appended."""
+    p = aug(spark, sf_dir).filter(F.col("html").isNotNull() & (F.length("html") > 0))
+    body = PG.append_extracted(F.col("html"), F.expr(_G), F.expr(_LS), F.expr(_SS), PG.inline_script_texts("html"))
+    return p.select("page_id", "url", body.alias("body"))
+
+
+@register("client_state_extracted", f"SELECT page_id, md5(body) AS body_md5, CAST(length(body) AS INTEGER) AS body_len FROM ({EXTRACTED_SQL})")
+def q_client_state_extracted(spark, sf_dir):
+    """Broad form: labelled client state and inline scripts joined to the body."""
+    return extracted_pages(spark, sf_dir).select("page_id", F.md5("body").alias("body_md5"), F.length("body").alias("body_len"))
+
+
+@register("extracted_scan", O.scan_sql(f"SELECT page_id AS src_id, url AS page_url, body AS t FROM ({EXTRACTED_SQL})", ALL, "broad"))
+def q_extracted_scan(spark, sf_dir):
+    """All broad rules over the bodies with the extracted script content."""
+    return scan(extracted_pages(spark, sf_dir), ALL, "broad")
+
+
 @register("inline_scripts", (
     f"SELECT page_id, url, pos, 'INLINE_SCRIPT: ' || substring(c, 1, 5000) AS script FROM ("
     f"SELECT page_id, url, unnest(range(len(regexp_extract_all(html, {O.q(PG.SCRIPT_RX)}, 1)))) AS pos, "
