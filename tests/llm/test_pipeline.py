@@ -81,7 +81,10 @@ def test_filters_on_awkward_rows(spark):
     named = sum(1 for i, t in awkward() if not (t or "").split())
     assert kept.count() == named + len({c for (i, c, _) in groups if c is not None and any((t or "").split() for j, t in awkward() if j == c)}) \
         + sum(1 for i, t in awkward() if i is None and t)
+    dotted = docs.withColumnRenamed("lang", "a.b").withColumnRenamed("source", "row").withColumnRenamed("n_chars", "kid")
+    assert near.deduplicated(dotted).columns == dotted.columns and near.deduplicated(dotted).count() == kept.count()
     labels = spark.createDataFrame([(5, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(dotted, labels).accepted(dotted).columns == dotted.columns
     assert toxicity.fit(docs, labels).accepted(docs).columns == docs.columns
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows_of(decontaminate.decontaminated(docs, none)) == rows_of(docs)

@@ -242,7 +242,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     k, t = kept.alias("k"), times.alias("t")
     keys = (k.join(t, F.col("k.kid").eqNullSafe(F.col("t.kid")) & (F.col("k.kprint") == F.col("t.kprint"))).select("k.kid", "k.kprint", "t.repeats")
             .unionByName(none.withColumn("repeats", F.lit(False))))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("did"), F.xxhash64(text_col).alias("dprint"))
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("did"), F.xxhash64(text_col).alias("dprint"))
     found = rows.join(keys, F.col("did").eqNullSafe(F.col("kid")) & (F.col("dprint") == F.col("kprint")))
     once = found.where("repeats").groupBy("kid", "kprint").agg(F.first("row").alias("row"))
     return found.where("not repeats").select("row.*").unionByName(once.select("row.*"))

@@ -187,7 +187,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns of docs, the text replaced, and ``n_entities`` appended."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
     marked = F.coalesce(F.expr(f"text rlike {_lit(MARKS)}"), F.lit(False))
     clean = rows.where(~marked).select("row", "text", F.lit(0).cast("long").alias("n_entities"))
     hits = written(rows.where(marked).withColumn("matches", F.expr(f"regexp_extract_all(text, {_lit(ANY)}, 0)"))

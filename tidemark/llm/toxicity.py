@@ -254,7 +254,7 @@ class Model:
 
     def accepted(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The rows of docs, all columns, that are not predicted toxic."""
-        rows = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+        rows = docs.select(F.col(text_col).alias("text"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
         return self.scored(rows).where("score < 0.5").select("row.*")
 
 
