@@ -55,13 +55,18 @@ def reach(spark: SparkSession, stored_urls: DataFrame, edges: DataFrame, seeds:
         raise ValueError("max_pages must be a positive page cap, or None")
     if "rank" not in edges.columns:
         edges = edges.withColumn("rank", F.lit(0))
-    stored = stored_urls.select("url").distinct().withColumn("fetched", F.lit(True))
+    edges = edges.select("src_url", "dst_url", "rank", "ord")
+    if robots is not None:
+        edges = robots_filter(edges, robots, url_col="dst_url")
+    # written once for every level: links are not extracted, nor judged, again
+    edges = _written(edges)
+    stored = _written(stored_urls.select("url").distinct().withColumn("fetched", F.lit(True)))
     # seeds: a short list given by the caller
     level = spark.createDataFrame([(u, [0, i]) for i, u in enumerate(dict.fromkeys(seeds))], "url string, key array<int>")
+    if robots is not None:
+        level = robots_filter(level, robots, url_col="url")
     out, total, depth = [], 0, 0
     while True:
-        if robots is not None:
-            level = robots_filter(level, robots, url_col="url")
         if max_pages is not None:
             level = level.orderBy("key").limit(max_pages - total)          # top-k: the cap is the feature
         level = _written(level.join(stored, "url", "left").select(

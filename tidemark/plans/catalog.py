@@ -1038,20 +1038,22 @@ def q_format_check(spark, sf_dir):
 from tidemark.streaming import stream as SS  # noqa: E402
 
 _STREAM_RUNS: dict = {}
+STREAM_FILES = 8   # files of a scan, taken together in one micro-batch
 _MEMOS.append(_STREAM_RUNS)
 
 
 def stream_run(spark, sf_dir):
     """Stage page visits as one file per scan in a fresh folder under the
-    checkpoint dir, then run the streaming scan once, one file a micro-batch
+    checkpoint dir, then run the streaming scan once, one scan a micro-batch
     (memoized): a page of two scans comes again in a later batch."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _STREAM_RUNS:
         pages = FX.pages_with_headers(spark, sf_dir)
         visits = pages.withColumn("scan_id", F.explode(F.expr(FX.scan_membership_sql("page_id"))))
         base = SK.scratch_path(spark, "stream")
-        SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"), range(FX.N_SCANS))
-        _STREAM_RUNS[key] = SS.stream_scan(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"), lines=True)
+        SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"), range(FX.N_SCANS), files=STREAM_FILES)
+        _STREAM_RUNS[key] = SS.stream_scan(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"),
+                                           files_per_trigger=STREAM_FILES, lines=True)
     return _STREAM_RUNS[key]
 
 

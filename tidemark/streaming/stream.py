@@ -32,12 +32,12 @@ VISIT_SCHEMA = T.StructType([
 ])
 
 
-def stage_files(visits: DataFrame, folder: str, keys, split_col: str = "scan_id") -> None:
-    """Write the ``visits`` of each key as a file of its own, in the order of
+def stage_files(visits: DataFrame, folder: str, keys, split_col: str = "scan_id", files: int = 1) -> None:
+    """Write the ``visits`` of each key as ``files`` files, in the order of
     ``keys`` (the file source reads files by modification time), so that a
-    test stream has one micro-batch a key."""
+    test stream with that many files a trigger has one micro-batch a key."""
     for k in keys:
-        visits.filter(F.col(split_col) == k).coalesce(1).write.mode("append").parquet(folder)
+        visits.filter(F.col(split_col) == k).repartition(files).write.mode("append").parquet(folder)
 
 
 #: leading hash characters that partition the store: a batch reads the partitions its hashes fall in
