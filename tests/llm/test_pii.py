@@ -100,6 +100,56 @@ def test_surrogates_are_distinct_and_new(spark):
     assert not {(r.kind, r.new) for r in got} & set(rows)
 
 
+@pytest.fixture
+def bounded(monkeypatch):
+    """Fails where surrogates are drawn again without end."""
+    rounds, written = iter(range(12)), pii.written
+
+    def counted(*args):
+        assert next(rounds, None) is not None, "no end"
+        return written(*args)
+    monkeypatch.setattr(pii, "written", counted)
+
+
+def test_blank_secret_fields_stay(spark, bounded):
+    blanks = ["Password: ________", "token: --------", "secret = ////////", "api_key: +-/_+-/_+-"]
+    real = [f"Password: ________{n}" for n in range(10)]  # all values of their shape
+    out = [r.text for r in pii.replace_pii(frame(spark, list(enumerate(blanks + real))), "key").orderBy("doc_id").collect()]
+    assert out[:4] == blanks
+    assert len(set(out[4:])) == 10 and not set(out[4:]) & set(real) and all(regex.fullmatch("Password: ________[0-9][a-z]+", t) for t in out[4:])
+
+
+@pytest.mark.parametrize("kind, real", [
+    ("ip", [f"192.168.{a}.{b}" for a in range(256) for b in range(256)]),
+    ("email", [f"{a}@{b}.de" for a in "0123456789" for b in "0123456789"]),
+    ("secret", ["________"]),
+])
+def test_full_shapes_widen(spark, bounded, kind, real):
+    got = {r.norm: r.new for r in pii.surrogates(spark.createDataFrame([(kind, x) for x in real], "kind string, norm string"), "key").collect()}
+    assert set(got) == set(real) and len(set(got.values())) == len(real) and not set(got.values()) & set(real)
+    if kind == "ip":
+        assert all(ipaddress.ip_address(x).is_private for x in got.values())
+    if kind == "email":
+        assert all(regex.fullmatch(pii.PATTERNS["email"], x) for x in got.values())
+
+
+@pytest.mark.parametrize("kind, norm, shown", [
+    ("email", "bob@x.de", "Bob@x.de"), ("secret", "hunter2hunter", "Hunter2Hunter"), ("phone", "9745553436", "(974) 555-3436"), ("ssn", "123456789", "123-45-6789"),
+    ("card", "4111111111111111", "4111 1111 1111 1111"), ("iban", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"), ("ip", "10.1.2.3", "10.1.2.3"),
+    ("ip", "8.8.8.8", "8.8.8.8"),
+])
+def test_widened_surrogates_are_shown_whole(spark, kind, norm, shown):
+    rows = spark.createDataFrame([(kind, norm, n) for n in range(3, 9)], "kind string, norm string, attempt int")
+    drawn = pii.draw(rows, "key").withColumn("shown", F.lit(shown)).withColumn("out", F.expr(pii._shown("kind", "new", "shown"))).collect()
+    bare = lambda x: regex.sub("[^0-9a-z]", "", x.lower())
+    for r in drawn:
+        assert bare(r.out) == bare(r.new) and (kind == "ip" or len(r.new) == len(norm) + r.attempt - 2)
+        if kind == "ip":
+            assert ipaddress.ip_address(r.out).version == (6 if r.attempt >= 6 else 4)
+        if kind == "card":
+            assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(r.new))) % 10 == 0
+
+
 def test_native_and_columns_kept(spark):
     docs = frame(spark, rows()).withColumn("n_entities_before", F.lit(1)).withColumnRenamed("k", "matches").withColumnRenamed("bucket", "kind")
     out = pii.replace_pii(docs, "key")

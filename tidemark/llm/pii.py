@@ -11,6 +11,10 @@ where the original had one, names of the same gender and script; a surname is
 the same after a title as after a given name. Distinct entities never share a
 surrogate, and no surrogate is itself an entity of the corpus: collisions are
 searched over all entities, and the losers are drawn again until none is left.
+From attempt ``WIDER`` on each attempt draws from a larger space (a longer name,
+number or local part, another private range, at last IPv6), so that a shape
+whose values are all taken ends too. A blank after a keyword ("Password:
+________") holds no letter or digit and is no entity.
 
 Plan: a narrow pass finds the documents that may hold entities by a few marks,
 searches those for all kinds, and writes them alone;
@@ -34,6 +38,8 @@ from .store import written
 
 #: salts of the join of occurrences with surrogates
 SALTS = 8
+#: the first attempt at a surrogate that may be longer than its entity
+WIDER = 3
 
 # Titles by gender, given names and syllables by script.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Sra", "Госпожа"),
@@ -57,7 +63,7 @@ _NAME = r"\p{Lu}[\p{L}'-]*\p{L}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?=[0-9a-fA-F])" + _BEFORE + r"[0-9a-fA-F]{32,}+" + _AFTER
-    + r"""|(?<=[=: "])(?<=(?i:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}"?)[A-Za-z0-9_/+-]{8,}""",
+    + r"""|(?<=[=: "])(?<=(?i:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}"?)(?=[_/+-]*+[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}""",
     "iban": r"(?=[A-Z])" + _BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "phone": r"(?=[0-9+(])(?:(?:(?<![\p{L}\p{N}+])\+?[0-9]{1,3}[ .-]?)?(?<!\p{N})\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\p{N})"
     + r"|(?<![\p{L}\p{N}+])(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}+])\+[0-9]{8,15}(?!\p{N}))",
@@ -108,20 +114,21 @@ def _parts(match: str, kind: str) -> str:
 
 
 def _digits_in(digits: str, shown: str) -> str:
-    """SQL: ``shown`` with its digits replaced, in order, by ``digits``."""
-    return (f"array_join(transform(split({shown}, ''), (c, i) -> case when c between '0' and '9' "
-            f"then substr({digits}, length(regexp_replace(substr({shown}, 1, i + 1), '[^0-9]', '')), 1) else c end), '')")
+    """SQL: ``shown`` with its digits replaced, in order, by ``digits``; digits left over follow."""
+    return (f"concat(array_join(transform(split({shown}, ''), (c, i) -> case when c between '0' and '9' "
+            f"then substr({digits}, length(regexp_replace(substr({shown}, 1, i + 1), '[^0-9]', '')), 1) else c end), ''), "
+            f"substr({digits}, length(regexp_replace({shown}, '[^0-9]', '')) + 1))")
 
 
 def _shown(kind: str, new: str, shown: str) -> str:
     """SQL: the surrogate as the occurrence spells it."""
     return f"""case when {kind} is null then {shown}
         when {kind} in ('phone', 'ssn', 'card') then {_digits_in(new, shown)}
-        when {kind} = 'iban' then array_join(transform(split({shown}, ''), (c, i) -> case when c = ' ' then c
-            else substr({new}, length(replace(substr({shown}, 1, i + 1), ' ', '')), 1) end), '')
+        when {kind} = 'iban' then concat(array_join(transform(split({shown}, ''), (c, i) -> case when c = ' ' then c
+            else substr({new}, length(replace(substr({shown}, 1, i + 1), ' ', '')), 1) end), ''), substr({new}, length(replace({shown}, ' ', '')) + 1))
         when {shown} = upper({shown}) and {shown} != lower({shown}) then upper({new})
-        when {kind} in ('email', 'secret') then array_join(transform(split({shown}, ''), (c, i) -> case when c != lower(c)
-            then upper(substr({new}, i + 1, 1)) else substr({new}, i + 1, 1) end), '')
+        when {kind} in ('email', 'secret') then concat(array_join(transform(split({shown}, ''), (c, i) -> case when c != lower(c)
+            then upper(substr({new}, i + 1, 1)) else substr({new}, i + 1, 1) end), ''), substr({new}, length({shown}) + 1))
         when {kind} like 'given%' or {kind} like 'surname%' then initcap({new}) else {new} end"""
 
 
@@ -145,30 +152,36 @@ def draw(rows: DataFrame, key: str) -> DataFrame:
     """(kind, norm, attempt) with ``new``, the surrogate in normal form."""
     seed = F.concat_ws("|", F.lit(key), "kind", "norm", F.col("attempt").cast("string"))
     at = _AT.format("i")
-    shape = f"""array_join(transform(split(norm, ''), (c, i) -> case when i < first or i >= last then c
+    shape = f"""array_join(transform(split(wide, ''), (c, i) -> case when i < first or i >= last then c
         when c between '0' and '9' then cast(case when i = first and kind = 'phone' then 2 + {at} % 8 else {at} % 10 end as string)
         when c between 'a' and 'z' then substr('abcdefghijklmnopqrstuvwxyz', {at} % (case when hexed then 6 else 26 end) + 1, 1)
         when c between 'A' and 'Z' then substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {at} % 26 + 1, 1) else c end), '')"""
-    octets = (f"array_join(transform(split(norm, '[.]'), (o, i) -> case when i < private then o when i = 0 then cast(11 + {at} % 112 as string) "
-              f"else cast(1 + {at} % 254 as string) end), '.')")
+    octets = (f"array_join(transform(split(case when private > 0 and attempt >= {WIDER} then '10.0.0.0' else norm end, '[.]'), (o, i) -> "
+              f"case when i < (case when attempt >= {WIDER} then least(private, 1) else private end) then o "
+              f"when i = 0 then cast(11 + {at} % 112 as string) else cast(1 + {at} % 254 as string) end), '.')")
+    # unique local addresses for private ones, the documentation range for others
+    groups = ("concat_ws(':', case when private > 0 then concat('fd', substr(stream, 1, 2)) else '2001' end, "
+              "case when private > 0 then substr(stream, 3, 4) else 'db8' end, transform(sequence(0, 5), i -> substr(stream, 4 * i + 7, 4)))")
     check = f"cast((10 - {_luhn('concat(left(shape, length(shape) - 1), 0)')} % 10) % 10 as string)"
     pools = " ".join(f"when kind = 'given_{g}_{s}' then lower(get({_array(v)}, {_AT.format('0')} % {len(v)}))" for (g, s), v in GIVEN.items())
     ending = "case when kind = 'given_f_latin' then 'a' when kind = 'given_f_cyrillic' then 'а' else '' end"
     return (rows.withColumn("stream", F.concat(*(F.sha2(F.concat_ws("|", seed, F.lit(str(i))), 256) for i in range(4))))
             # shape: digits for digits and letters for letters, between the places first and last
             .withColumn("first", F.expr("case when kind = 'phone' then greatest(length(norm) - 10, 0) when kind = 'card' then 1 when kind = 'iban' then 2 else 0 end"))
-            .withColumn("last", F.expr("case when kind = 'email' then length(norm) - length(substring_index(norm, '.', -1)) else length(norm) end"))
             .withColumn("hexed", F.expr("kind = 'secret' and norm rlike '^[0-9a-f]+$'"))
+            .withColumn("more", F.expr(f"repeat(case when kind in ('email', 'secret') and not hexed then 'a' else '0' end, greatest(attempt - {WIDER - 1}, 0))"))
+            .withColumn("wide", F.expr("case when kind = 'email' then concat(more, norm) else concat(norm, more) end"))
+            .withColumn("last", F.expr("case when kind = 'email' then length(wide) - length(substring_index(wide, '.', -1)) else length(wide) end"))
             .withColumn("shape", F.expr(shape))
             .withColumn("private", F.expr("case when norm like '10.%' or norm like '127.%' then 1 when norm like '192.168.%' "
                                           "or norm rlike '^172[.](1[6-9]|2[0-9]|3[01])[.]' then 2 else 0 end"))
-            .withColumn("new", F.expr(f"""case when kind = 'ip' then {octets}
+            .withColumn("new", F.expr(f"""case when kind = 'ip' then case when attempt >= {2 * WIDER} then {groups} else {octets} end
                 when kind like 'given%' then concat(case {pools} else {_syllables('2')} end,
                     case when attempt > 0 then concat({_syllables('attempt')}, {ending}) else '' end)
                 when kind like 'surname%' then {_syllables('3 + attempt')}
                 when kind = 'card' then case when {_luhn('norm')} % 10 = 0 then concat(left(shape, length(shape) - 1), {check}) else shape end
                 else shape end"""))
-            .drop("stream", "first", "last", "hexed", "shape", "private"))
+            .drop("stream", "first", "hexed", "more", "wide", "last", "shape", "private"))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
