@@ -43,6 +43,21 @@ def run(docs):
     return Counter(tuple(r) for r in near.near_duplicates(docs).collect())
 
 
+def test_rows_of_one_id_meet_their_own_class_only(spark, monkeypatch):
+    base = [f"w{n}" for n in range(60)]
+    rows = [(None if i % 2 else 7, " ".join([*base, f"end{i}"])) for i in range(40)]  # two ids, 40 classes, one group
+    rows += [(None, rows[1][1])] * 20
+    met, representatives = [], near._representatives
+
+    def counted(*args):
+        out = representatives(*args)
+        met.append(out.count())
+        return out
+    monkeypatch.setattr(near, "_representatives", counted)
+    assert run(frame(spark, rows)) == brute(rows)
+    assert met == [len(rows)]  # 60 rows, not each row with each class of its id
+
+
 def test_awkward_rows(spark):
     rows = awkward() + [(800 + i, awkward()[4][1] + f" end{i}") for i in range(40)] + [(None, "one"), (900, "two three"), (901, "two\nthree")]
     assert run(frame(spark, rows)) == brute(rows)

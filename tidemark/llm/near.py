@@ -95,10 +95,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, sid, grp) -> (sid, grp, names) of the rows whose text has that set."""
+    """(doc_id, text, sid, grp) -> (sid, grp, names) of the rows whose text has that set, once a task."""
+    done: set[bytes] = set()
     for part in tx.slices(batches):
+        part = part.filter(pa.array([want not in done for want in part.column(2).to_pylist()], type=pa.bool_()))
         names, off = shingle_sets(part.column(1))
-        keep = [k for k, want in enumerate(part.column(2).to_pylist()) if set_id(names[off[k]: off[k + 1]]) == want]
+        keep = []
+        for k, want in enumerate(part.column(2).to_pylist()):
+            if want not in done and set_id(names[off[k]: off[k + 1]]) == want:
+                done.add(want)
+                keep.append(k)
         yield pa.RecordBatch.from_arrays(
             [part.column(2).take(pa.array(keep, type=pa.int64())), part.column(3).take(pa.array(keep, type=pa.int64())),
              pa.array([names[off[k]: off[k + 1]].view(np.int64) for k in keep], type=pa.list_(pa.int64()))], names=["sid", "grp", "names"])
@@ -182,13 +188,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(held)
 
 
+def _representatives(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text, sid, grp): the rows with a class's least id and that row's text hash; rows of one id meet
+    their own class only."""
+    printed = texts.select("doc_id", "text", F.xxhash64("text").alias("tprint"))
+    return (printed.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("tprint") == F.col("print")))
+            .select("doc_id", "text", "sid", "grp"))
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, print, sid) of each row, and (sid, root, class_id, n_links) of each copy class."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(texts.select("doc_id", "text", F.xxhash64("text").alias("print"))
                      .mapInArrow(_signatures, "doc_id long, sid binary, bands array<long>, print long"), "signatures")
     classes = (signed.where("sid is not null").groupBy("sid")
-               .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+               .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first"),
+                    F.count("*").alias("copies"), F.first("bands").alias("bands"))
+               .select("sid", F.col("first.doc_id").alias("least"), F.col("first.print").alias("print"), "copies", "bands"))
     classes = written(classes, "classes")
 
     # buckets of two classes or more: each member is tied to the least
@@ -199,9 +215,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
     # every pair within a group, block by block
     blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    members = (groups.join(classes.select("sid", "least", "copies"), "sid").join(blocks, "grp"))
-    wanted = members.select("least", "sid", "grp")
-    sets = (texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "text", "sid", "grp")
+    members = (groups.join(classes.select("sid", "least", "print", "copies"), "sid").join(blocks, "grp"))
+    sets = (_representatives(texts, members.select("least", "print", "sid", "grp"))
             .mapInArrow(_sets, "sid binary, grp binary, names array<long>")
             .groupBy("sid").agg(F.first("names").alias("names")))
     block = F.pmod(F.xxhash64("sid"), F.col("n")).cast("int")
