@@ -150,6 +150,27 @@ def test_widened_surrogates_are_shown_whole(spark, kind, norm, shown):
             assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(r.new))) % 10 == 0
 
 
+PHONES = ["+49 30 1234567", "+33 1 23 45 67 89", "+44 20 7946 0958", "+34 912 34 56 78", "+34 612 345 678", "030 12345678", "01 23 45 67 89",
+          "+44 (0)20 7946 0958", "0049 30 1234567", "030/1234567", "(020) 7946 0958", "0161 496 0000", "01.23.45.67.89", "912 34 56 78", "+49 (30) 1234567"]
+PERSONS = ["Emily Clark", "Jürgen Vogel", "Émile Zola", "Élodie Dupont", "Álvaro Ruiz", "Борис Годунов"]
+KEPT = ["on 01-02-2024 12:30", "2024-01-02 03.04.05", "1 234 567", "612 345 678", "in 030 cases", "version 01.02.03", "0.1234 5678", "Open Source", "nothing here"]
+
+
+def test_phones_of_other_countries_and_more_names(spark):
+    out = [r.text for r in pii.replace_pii(frame(spark, list(enumerate([f"x {p} y" for p in PHONES] + PERSONS + KEPT))), "key").orderBy("doc_id").collect()]
+    for old, new in zip(PHONES, out):
+        assert regex.sub(r"\d", "9", new) == regex.sub(r"\d", "9", f"x {old} y") and new != f"x {old} y"
+        assert regex.match(r"\+..|0?", old).group() == regex.match(r"\+..|0?", new[2:].lstrip("(") if old[0] != "(" else new[2:]).group()
+    digits = [regex.sub(r"\D", "", t) for t in out]
+    assert digits[PHONES.index("0049 30 1234567")] == "00" + digits[0] == "00" + digits[PHONES.index("+49 (30) 1234567")]
+    assert digits[PHONES.index("+44 (0)20 7946 0958")] == "440" + digits[2][2:]
+    assert digits[PHONES.index("01.23.45.67.89")] == digits[6]
+    n = len(PHONES)
+    for old, new in zip(PERSONS, out[n:]):
+        assert len(new.split()) == 2 and not set(old.split()) & set(new.split())
+    assert out[n + len(PERSONS):] == KEPT
+
+
 def test_native_and_columns_kept(spark):
     docs = frame(spark, rows()).withColumn("n_entities_before", F.lit(1)).withColumnRenamed("k", "matches").withColumnRenamed("bucket", "kind")
     out = pii.replace_pii(docs, "key")

@@ -2,7 +2,8 @@
 
 Entities are found by pattern: e-mail addresses, credentials, IBANs, phone
 numbers, IPv4 addresses, social security numbers, card numbers, and persons (a
-title or a known given name before a capitalised one). Each entity gets a
+title or a known given name before a capitalised one; the README says which
+telephone numbers and persons are not found). Each entity gets a
 surrogate drawn from a keyed hash of its kind and normal form: the same entity
 has the same surrogate everywhere (coreference), spelled like each occurrence
 (letter case, separators). Kinds stay consistent: digits for digits, letters
@@ -45,19 +46,67 @@ WIDER = 3
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Sra", "Госпожа"),
           "n": ("Dr", "Prof")}
 GIVEN = {
-    ("m", "latin"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Paul", "Peter", "Hans", "Karl", "Pierre", "Jean", "José", "Carlos"),
-    ("f", "latin"): ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Sarah", "Anna", "Laura", "Greta", "Heidi", "Marie", "Claire", "María", "Carmen"),
-    ("m", "cyrillic"): ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай", "Павел", "Андрей"),
-    ("f", "cyrillic"): ("Анна", "Мария", "Ольга", "Елена", "Наталья", "Ирина", "Татьяна", "Светлана"),
+    ("m", "latin"): tuple("""James John Robert Michael William David Thomas Daniel Paul Peter Hans Karl Pierre Jean José Carlos
+        Richard Joseph Charles Christopher Matthew Anthony Steven Andrew Kenneth Joshua Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob
+        Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Dennis Jerry Tyler Aaron Adam Nathan Henry
+        Douglas Zachary Kyle Noah Ethan Jeremy Keith Roger Terry Sean Gerald Carl Harold Arthur Lawrence Dylan Jesse Bryan Billy Bruce Gabriel Joe Logan Alan
+        Ralph Roy Eugene Randy Vincent Russell Louis Philip Bobby Johnny Oliver Harry Jack Simon Martin Ian Graham Colin Neil Stuart Liam Owen
+        Fritz Klaus Jürgen Wolfgang Dieter Manfred Uwe Günter Horst Bernd Werner Heinz Helmut Gerhard Stefan Andreas Matthias Markus Sebastian Florian Tobias
+        Jens Sven Lars Lukas Jonas Felix Moritz Niklas Tim Jan Ralf Rainer Heinrich Friedrich Ludwig Otto Johannes Holger Thorsten Dirk Frank
+        Michel André Philippe Jacques François Alain Bernard Patrice Christophe Nicolas Julien Laurent Frédéric Stéphane Olivier Éric Pascal Thierry Gilles
+        Antoine Guillaume Mathieu Luc Marc Henri Gérard René Claude Émile Étienne Jérôme Rémi Sébastien Hugo Théo Yves Didier Xavier Benoît Cédric Fabien
+        Antonio Manuel Francisco Juan Javier Jesús Miguel Rafael Pedro Ángel Alejandro Fernando Luis Pablo Sergio Jorge Alberto Álvaro Diego Adrián Raúl
+        Enrique Ramón Vicente Andrés Joaquín Eduardo Roberto Iván Rubén Óscar Jaime Ignacio Mario Salvador Marcos Gonzalo Felipe Tomás Emilio""".split()),
+    ("f", "latin"): tuple("""Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Anna Laura Greta Heidi Marie Claire María Carmen
+        Jessica Karen Lisa Nancy Betty Sandra Margaret Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia
+        Kathleen Amy Angela Shirley Emma Brenda Pamela Nicole Samantha Katherine Christine Helen Debra Rachel Carolyn Janet Catherine Maria Heather Diane
+        Olivia Julie Joyce Victoria Ruth Lauren Kelly Christina Joan Evelyn Judith Andrea Hannah Megan Cheryl Jacqueline Martha Madison Teresa Gloria Sara
+        Janice Ann Kathryn Abigail Sophia Frances Jean Alice Judy Isabella Julia Denise Amber Doris Marilyn Danielle Beverly Charlotte Natalie Theresa Diana
+        Lucy Jane Chloe Fiona Eleanor Harriet Lily Zoe Molly Kate Annie Ellen Anne Sophie
+        Ursula Petra Monika Renate Ingrid Sabine Birgit Gisela Helga Brigitte Claudia Susanne Karin Angelika Katharina Anja Silke Heike Kerstin Martina
+        Ute Lena Leonie Mia Johanna Franziska Jana Nadine Tanja Elke Gabriele Hildegard Erika Christa Anneliese Käthe Bärbel Lieselotte Frieda
+        Nathalie Isabelle Sylvie Catherine Martine Françoise Monique Jacqueline Valérie Céline Camille Léa Manon Chantal Véronique Hélène Élodie Aurélie
+        Amélie Juliette Élise Émilie Geneviève Margaux Inès Agnès Brigitte Corinne Dominique Florence Pauline Mathilde Lucie Océane Noémie Delphine
+        Josefa Isabel Ana Dolores Pilar Teresa Francisca Cristina Lucía Marta Elena Antonia Mercedes Rosario Raquel Paula Beatriz Silvia Irene
+        Concepción Montserrat Rocío Inés Ángela Sofía Nuria Alba Yolanda Esther Marina Lorena Margarita Verónica Alicia Susana Consuelo Inmaculada""".split()),
+    ("m", "cyrillic"): tuple("""Иван Пётр Сергей Алексей Дмитрий Николай Павел Андрей Александр Михаил Владимир Юрий Виктор Евгений Борис Олег
+        Игорь Константин Василий Григорий Максим Артём Антон Роман Денис Кирилл Никита Илья Фёдор Степан""".split()),
+    ("f", "cyrillic"): tuple("""Анна Мария Ольга Елена Наталья Ирина Татьяна Светлана Екатерина Людмила Галина Марина Юлия Анастасия Дарья
+        Валентина Нина Ксения Полина Александра Виктория Алина Софья Лариса Тамара Оксана""".split()),
 }
+# a name is drawn and read under one gender, the first that lists it, and once
+GIVEN = {k: tuple(n for i, n in enumerate(v) if n not in v[:i] and not (k[0] == "f" and n in GIVEN["m", k[1]])) for k, v in GIVEN.items()}
 SYLLABLES = {"latin": ("ba", "den", "fi", "gor", "hal", "jo", "ken", "lor", "min", "nar", "pel", "rud", "sen", "tor", "val", "wes"),
              "cyrillic": ("ба", "ден", "фи", "гор", "ха", "йо", "кен", "лор", "мин", "нар", "пел", "руд", "сен", "тор", "вал", "зес")}
 
+
+
+def _script(c: str) -> str:
+    return "ascii" if c < "\x80" else "cyrillic" if c >= "\u0400" else "other"
+
+
+def _any_of(words: set[str]) -> str:
+    """A pattern of the words that shares their beginnings, so that a long list costs a few comparisons a place."""
+    heads: dict[str, set[str]] = {}
+    for w in words - {""}:
+        heads.setdefault(w[0], set()).add(w[1:])
+    some = "|".join(h + _any_of(tails) for h, tails in sorted(heads.items()))
+    return f"(?:{some})" + ("?" if "" in words else "") if some else ""
+
+
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-_NAMES = "|".join(sorted({n for ns in GIVEN.values() for n in ns}))
+_NAMES = _any_of({n for ns in GIVEN.values() for n in ns})
 _CAPITALS = "".join(sorted({n[0] for ns in (*TITLES.values(), *GIVEN.values()) for n in ns}))
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _NAME = r"\p{Lu}[\p{L}'-]*\p{L}"
+# telephone numbers: after + or 00 the lengths of the corpus' countries, else 8 to 15 digits; groups of a national number after its 0
+_SEP, _TRUNK = r"[ \u00a0./-]?", r"(?:[ \u00a0]?\(0\))?"
+_ABROAD = (rf"(?<![\p{{L}}\p{{N}}+])(?:\+|(?<!\p{{N}}[.,:/-])00(?=[1-9][0-9]{{0,2}}[ \u00a0.-]))(?:3[34]{_TRUNK}(?:{_SEP}[0-9]){{9}}|1(?:{_SEP}[0-9]){{10}}"
+           rf"|44{_TRUNK}(?:{_SEP}[0-9]){{9,10}}|[1-9][0-9]{{0,2}}[ \u00a0]?\([0-9]{{1,5}}\)(?:{_SEP}[0-9]){{5,10}}|[1-9](?:{_SEP}[0-9]){{7,14}})(?!\p{{N}})")
+_HOME = (r"(?<![\p{L}\p{N}+])(?<!\p{N}[.,:/-])(?<!\p{L}-)(?![0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?![\p{L}\p{N}]))"
+         r"(?:0[1-9](?:(?:[ \u00a0][0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})|[6-9][0-9]{2}(?:[ \u00a0][0-9]{2}){3}"
+         r"|(?:0[1-9][0-9]{1,3}|\(0[1-9][0-9]{1,3}\))(?: ?[/-] ?|[ \u00a0])"
+         r"(?:[0-9]{5,9}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{2,4}|[0-9]{3,4}[ -][0-9]{3,5}|[0-9]{2,3}(?:[ -][0-9]{2}){2,3}))(?!\p{N})")
 
 #: kind -> pattern; an earlier kind wins where several begin. Each begins with a cheap test of one character.
 PATTERNS = {
@@ -66,15 +115,15 @@ PATTERNS = {
     + r"""|(?<=[=: "])(?<=(?i:token|secret|password|passwd|api_key|apikey) {0,2}[=:] {0,2}"?)(?=[_/+-]*+[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}""",
     "iban": r"(?=[A-Z])" + _BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "phone": r"(?=[0-9+(])(?:(?:(?<![\p{L}\p{N}+])\+?[0-9]{1,3}[ .-]?)?(?<!\p{N})\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\p{N})"
-    + r"|(?<![\p{L}\p{N}+])(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}+])\+[0-9]{8,15}(?!\p{N}))",
+    + rf"|{_ABROAD}" + r"|(?<![\p{L}\p{N}+])(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}+])\+[0-9]{8,15}(?!\p{N})" + rf"|{_HOME})",
     "ip": r"(?=[0-9])(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\p{N})",
     "ssn": r"(?=[0-9])(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
     "card": r"(?=[0-9])(?<![\p{L}\p{N}])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![\p{L}\p{N}])",
-    "person": rf"(?=[{_CAPITALS}])" + _BEFORE + rf"(?:(?:{_TITLE})\.? (?:{_NAME} )?{_NAME}|(?:{_NAMES}) {_NAME})" + _AFTER,
+    "person": rf"(?=[{_CAPITALS}])" + _BEFORE + rf"(?:(?:{_TITLE})\.? (?:{_NAME} )?{_NAME}|{_NAMES} {_NAME})" + _AFTER,
 }
-_PERSON_MARK = "|".join(
-    rf"(?=[{capitals}])(?:{'|'.join(n for ns in (*TITLES.values(), *GIVEN.values()) for n in ns if (n[0] < chr(0x80)) == latin)})\.? \p{{Lu}}"
-    for latin, capitals in ((True, "A-Z"), (False, "А-Я")))
+_STARTS = {n for ns in (*TITLES.values(), *GIVEN.values()) for n in ns}
+_PERSON_MARK = "|".join(rf"(?=[{capitals}]){_any_of({n for n in _STARTS if _script(n[0]) == g})}\.? \p{{Lu}}"
+                        for g, capitals in (("ascii", "A-Z"), ("cyrillic", "А-Я"), ("other", "À-Þ")))
 #: any text with an entity holds one of these; cheap to look for, so that most texts are not searched for all kinds
 MARKS = rf"[0-9@:=]|{_PERSON_MARK}|[a-fA-F]{{32}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -98,7 +147,10 @@ def _array(values: tuple[str, ...]) -> str:
 def _parts(match: str, kind: str) -> str:
     """SQL: the match as an array of (kind, norm, shown); kind null: kept as it is. A person is taken apart into
     title, given name and surname."""
-    norm = (f"case when {kind} in ('phone', 'ssn', 'card') then regexp_replace({match}, '[^0-9]', '') "
+    digits = f"regexp_replace(replace({match}, '(0)', ''), '[^0-9]', '')"
+    phone = (f"case when {match} like '+%' then concat('+', {digits}) when {digits} like '00%' then concat('+', substr({digits}, 3)) "
+             f"when length({digits}) > 10 and {digits} not like '0%' then concat('+', {digits}) else {digits} end")
+    norm = (f"case when {kind} = 'phone' then {phone} when {kind} in ('ssn', 'card') then regexp_replace({match}, '[^0-9]', '') "
             f"when {kind} = 'iban' then upper(replace({match}, ' ', '')) when {kind} in ('email', 'secret') then lower({match}) else {match} end")
     female, male = (_array(TITLES[g]) for g in ("f", "m"))
     given = {g: _array(tuple(n for (h, _), ns in GIVEN.items() if h == g for n in ns)) for g in "mf"}
@@ -122,8 +174,10 @@ def _digits_in(digits: str, shown: str) -> str:
 
 def _shown(kind: str, new: str, shown: str) -> str:
     """SQL: the surrogate as the occurrence spells it."""
+    phone = f"concat(case when {new} like '+%' and {shown} like '00%' then '00' else '' end, replace({new}, '+', ''))"
     return f"""case when {kind} is null then {shown}
-        when {kind} in ('phone', 'ssn', 'card') then {_digits_in(new, shown)}
+        when {kind} = 'phone' then replace({_digits_in(phone, f"replace({shown}, '(0)', '(°)')")}, '(°)', '(0)')
+        when {kind} in ('ssn', 'card') then {_digits_in(new, shown)}
         when {kind} = 'iban' then concat(array_join(transform(split({shown}, ''), (c, i) -> case when c = ' ' then c
             else substr({new}, length(replace(substr({shown}, 1, i + 1), ' ', '')), 1) end), ''), substr({new}, length(replace({shown}, ' ', '')) + 1))
         when {shown} = upper({shown}) and {shown} != lower({shown}) then upper({new})
@@ -167,7 +221,8 @@ def draw(rows: DataFrame, key: str) -> DataFrame:
     ending = "case when kind = 'given_f_latin' then 'a' when kind = 'given_f_cyrillic' then 'а' else '' end"
     return (rows.withColumn("stream", F.concat(*(F.sha2(F.concat_ws("|", seed, F.lit(str(i))), 256) for i in range(4))))
             # shape: digits for digits and letters for letters, between the places first and last
-            .withColumn("first", F.expr("case when kind = 'phone' then greatest(length(norm) - 10, 0) when kind = 'card' then 1 when kind = 'iban' then 2 else 0 end"))
+            .withColumn("first", F.expr("""case when kind = 'phone' then case when norm rlike '^[+][17]' then 2
+                when norm rlike '^[+](2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])' then 3 when norm like '+%' then 4 when norm like '0%' then 1 else 0 end when kind = 'card' then 1 when kind = 'iban' then 2 else 0 end"""))
             .withColumn("hexed", F.expr("kind = 'secret' and norm rlike '^[0-9a-f]+$'"))
             .withColumn("more", F.expr(f"repeat(case when kind in ('email', 'secret') and not hexed then 'a' else '0' end, greatest(attempt - {WIDER - 1}, 0))"))
             .withColumn("wide", F.expr("case when kind = 'email' then concat(more, norm) else concat(norm, more) end"))
