@@ -1,13 +1,14 @@
-"""Suffix-array dedup by bucket-pointer refinement.
+"""Removal of repeated bytes by anchored windows.
 
-Every text is its UTF-8 bytes. The suffixes at sampled places (the anchors of
+Bucket-pointer refinement is not built: there are no q-gram buckets, and no
+rounds that look up bucket identifiers at later offsets. Every text is its
+UTF-8 bytes. Places are sampled by content (the anchors of
 ``anchors.ByteAnchors``: of the first ``SPREAD`` places of a window, the one
-whose q-gram hashes least) are put into buckets by their q-gram; buckets are
-refined by the identifier of the bytes at the later offsets that every window
-of the anchor holds, and again by that of all the bytes its windows reach, the
-identifiers being fingerprints that any task computes alike. Suffixes that
-stay together have all their windows in common; buckets that a refinement
-splits are refined once more, window by window (``repeats``). A byte is
+whose q-gram hashes least) and grouped by the fingerprint of the bytes that
+every window of the anchor holds, then by that of all the bytes its windows
+reach, the fingerprints being such that any task computes them alike. Places
+that stay together have all their windows in common; groups that part are
+compared once more, window by window (``repeats``). A byte is
 removed if a 400-byte string over it, judged on the input, starts anywhere
 else too; matches stay inside documents, overlaps count.
 
