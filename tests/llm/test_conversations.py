@@ -105,10 +105,11 @@ def awkward(seed):
     rows += [(500, t, ("user", "assistant")[t % 2], f"turn {t}.") for t in range(60)]  # a long one
     rows += [(501, 0, "user", "again.")] * 40 + [(None, t % 4, "user", "lost.") for t in range(9)] + [(502, None, None, None)] * 3
     rows += [(503, t, "assistant", "long " * 30_000 + f"{t}.") for t in range(3)]
+    rows += [(600 + i, i, "user", "alone.") for i in range(60)]  # some are dropped whole
     return rows + rows[:30]
 
 
-@pytest.mark.parametrize("block", [C.BLOCK, 7, 1])
+@pytest.mark.parametrize("block", [C.BLOCK, 3])
 def test_matches_brute_force(spark, block):
     rows = awkward(1)
     got = {r[0]: tuple(r)[1:] for r in C.repair(table(spark, rows), block).collect()}
