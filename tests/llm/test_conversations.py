@@ -122,7 +122,7 @@ def test_inserts_where_deletes_are_dear(monkeypatch):
     monkeypatch.setattr(C, "DELETE", 30)
     monkeypatch.setattr(C.Automaton, "_steps", {})
     a = C.Automaton(C.ACCEPT)
-    for signature, audit, cost in (("u", "KI", 5), ("s", "IR", 6), ("ua", "KK", 0), ("uu", "KR", 1), ("suau", "KKKKI", 5), ("d", "D", 30), ("", "", 0)):
+    for signature, audit, cost in (("u", "KI", 5), ("s", "IR", 6), ("ua", "KK", 0), ("uu", "KR", 1), ("suau", "RRRR", 4), ("suauauau", "KKKKKKKKI", 5), ("d", "D", 30), ("", "", 0)):
         a.read(signature)
         assert (a.audit(0)[0], a.cost(0)) == (audit, cost)
 

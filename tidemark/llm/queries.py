@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, licenses, lm, near, packing, pii, quality, substring, suffix, toxicity
+from . import classifier, conversations, decontaminate, licenses, lm, near, packing, pii, quality, spelling, substring, suffix, toxicity
 
 #: the tokenizer's file of op1
 TOKENIZER = "byte_bpe_50k.json"
@@ -87,6 +87,16 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(docs, PII_KEY)
 
 
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
