@@ -24,9 +24,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tidemark.functions.arrays import let, pieces, sql_str
+from tidemark.functions.arrays import let, sql_str
 from tidemark.functions.rules import Rule, select_rules
-from tidemark.operators.scan import context_sql, match_columns_sql, match_sql, meta_arrays_sql, positions_sql
+from tidemark.operators.scan import (context_sql, held_sql, match_columns_sql, match_sql, meta_arrays_sql, positions_sql,
+                                     total_sql)
 
 FIELDS = ("rule_idx INT, kit STRING, pattern STRING, category STRING, severity STRING, "
           "match_idx INT, start INT, `end` INT, match STRING, context STRING")
@@ -47,8 +48,8 @@ def scan_text_sql(rules: list[Rule], profile: str = "broad", name: str = "scan_t
               f"'kit', get({meta['kit']}, f.rule_idx), 'pattern', get({meta['pattern']}, f.rule_idx), "
               f"'category', get({meta['category']}, f.rule_idx), 'severity', get({meta['severity']}, f.rule_idx), "
               f"'match_idx', f.match_idx, 'start', f.start, 'end', f.start + f.len, "
-              f"'match', {match_sql('f.start', 'f.len')}, 'context', {context_sql('f.start', 'f.len')}))")
-    shaped = let("length(_t)", "_n", let(pieces("_t"), "_c", shaped))
+              f"'match', {match_sql('f.start', 'f.len', profile)}, 'context', {context_sql('f.start', 'f.len', profile)}))")
+    shaped = let(total_sql(profile), "_n", let(held_sql(profile), "_c", shaped))
     empty = "_t IS NULL" + (" OR length(_t) = 0" if profile == "broad" else "")
     body = f"CASE WHEN {empty} THEN CAST(array() AS ARRAY<STRUCT<{FIELDS}>>) ELSE {shaped} END"
     return (f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(_t STRING, _kit STRING) "

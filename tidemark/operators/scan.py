@@ -18,6 +18,11 @@ retry from every start of a long line have an equivalent form that is not
 
 Rule metadata (name, kit, category, severity) enters as literal arrays
 indexed by the rule number, so no join is needed.
+
+The broad profile counts characters. The strict one counts bytes of UTF-8, as
+its tool does: gaps and matches are measured by their bytes, the text is held as
+binary, of which a cut costs what it takes wherever it stands, and a character
+that a cut leaves in parts shows as one U+FFFD for each of its bytes.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import cut, exclusive_prefix_sums, let, pieces, sql_str
 from tidemark.functions.regex import java_class
 from tidemark.functions.rules import Rule, validate_rules
-from tidemark.functions.rules_data import CONTEXT_WHITESPACE
+from tidemark.functions.rules_data import CONTEXT_WHITESPACE, STRICT_WHITESPACE
 
-MATCH_CAP = 200       # match text kept per finding
-CONTEXT_SPAN = 100    # characters either side of a match
-WS_RUN = java_class(CONTEXT_WHITESPACE) + "+"
+MATCH_CAP = 200       # characters (strict: bytes) of a match kept per finding
+CONTEXT_SPAN = 100    # and either side of it
+WS_RUN = {"broad": java_class(CONTEXT_WHITESPACE) + "+", "strict": java_class(STRICT_WHITESPACE) + "+"}
+SIZE = {"broad": "length", "strict": "octet_length"}
 
 FINDING_COLUMNS = [
     "src_id", "url", "page_url", "part", "rule_idx", "kit", "pattern", "category",
@@ -59,20 +65,20 @@ def _hit_sql(idx: int, mcol: str, vcol: str | None, java_rx: str) -> str:
             f"'g', CASE WHEN size({mcol}) > 0 THEN split(_t, {sql_str(java_rx)}, -1) END)")
 
 
-def _positions_sql(hits: list[str]) -> str:
+def _positions_sql(hits: list[str], size: str) -> str:
     """Position structs for all rules that matched (one shared lambda)."""
     body = ("transform(filter(transform(ml, (n, j) -> named_struct('start', get(pre, j) + get(gl, j), 'len', n, "
             "'ok', h.v IS NULL OR get(h.v, j) != '')), x -> x.ok), "
             "(x, k) -> named_struct('rule_idx', h.i, 'match_idx', k, 'start', x.start, 'len', x.len))")
     body = let(exclusive_prefix_sums("d", "p_"), "pre", body)
     body = let("zip_with(slice(gl, 1, size(ml)), ml, (a, b) -> coalesce(a, 0) + b)", "d", body)
-    body = let("transform(h.m, w -> length(w))", "ml", body)
-    body = let("transform(h.g, q -> length(q))", "gl", body)
+    body = let(f"transform(h.m, w -> {size}(w))", "ml", body)
+    body = let(f"transform(h.g, q -> {size}(q))", "gl", body)
     return (f"flatten(transform(filter(array({', '.join(hits)}), hh -> hh.g IS NOT NULL), "
             f"h -> {body}))")
 
 
-def _line_positions_sql(line_rules) -> str:
+def _line_positions_sql(line_rules, size: str) -> str:
     """Missing-header rules: every line (empty ones too) lacking the word."""
     per_rule = []
     for idx, r in line_rules:
@@ -83,19 +89,42 @@ def _line_positions_sql(line_rules) -> str:
     info = "transform(ls, (lx, lj) -> named_struct('start', get(st, lj), 'len', get(ll, lj), 'low', lower(lx)))"
     body = let(info, "li", f"flatten(array({', '.join(per_rule)}))")
     body = let(exclusive_prefix_sums("transform(ll, n -> n + 1)", "ln_"), "st", body)
-    body = let("transform(ls, lw -> length(lw))", "ll", body)
+    body = let(f"transform(ls, lw -> {size}(lw))", "ll", body)
     return let("split(_t, '\\n', -1)", "ls", body)
 
 
-def match_sql(start: str, length: str, array: str = "_c") -> str:
-    return cut(array, start, f"least({length}, {MATCH_CAP})")
+def held_sql(profile: str) -> str:
+    """The text as cuts are made from it."""
+    return "CAST(_t AS BINARY)" if profile == "strict" else pieces("_t")
+
+
+def total_sql(profile: str) -> str:
+    return f"{SIZE[profile]}(_t)"
+
+
+def byte_cut(held: str, start: str, n: str) -> str:
+    """``n`` bytes from the 0-based ``start``, as text. Bytes of a character
+    whose rest is cut off become a U+FFFD each: of a head with bytes after it
+    ``make_valid_utf8`` makes only one."""
+    part = f"substring({held}, CAST({start} + 1 AS INT), CAST({n} AS INT))"
+    tail = f"hex(substring({part}, -3, 3))"
+    more = f"CASE WHEN {tail} RLIKE 'F.[89AB].[89AB].$' THEN 2 WHEN {tail} RLIKE '[EF].[89AB].$' THEN 1 ELSE 0 END"
+    return f"concat(make_valid_utf8(CAST({part} AS STRING)), repeat('\uFFFD', {more}))"
+
+
+def _cut(held: str, start: str, n: str, profile: str) -> str:
+    return (byte_cut if profile == "strict" else cut)(held, start, n)
+
+
+def match_sql(start: str, length: str, profile: str = "broad", held: str = "_c") -> str:
+    return _cut(held, start, f"least({length}, {MATCH_CAP})", profile)
 
 
-def context_sql(start: str, length: str, array: str = "_c", total: str = "_n") -> str:
-    """The match with CONTEXT_SPAN characters either side, white space folded."""
+def context_sql(start: str, length: str, profile: str = "broad", held: str = "_c", total: str = "_n") -> str:
+    """The match with CONTEXT_SPAN either side, white space folded."""
     low = f"greatest({start} - {CONTEXT_SPAN}, 0)"
     high = f"least({start} + {length} + {CONTEXT_SPAN}, {total})"
-    return f"trim(regexp_replace({cut(array, low, f'{high} - {low}')}, {sql_str(WS_RUN)}, ' '))"
+    return f"trim(regexp_replace({_cut(held, low, f'({high} - {low})', profile)}, {sql_str(WS_RUN[profile])}, ' '))"
 
 
 def match_columns_sql(rules: list[Rule], profile: str, extra: str | None = None):
@@ -123,9 +152,9 @@ def positions_sql(rules: list[Rule], profile: str, column=lambda name: name, lin
     parts = []
     if regex_rules:
         parts.append(_positions_sql([_hit_sql(i, column(f"_m{i}"), column(f"_v{i}") if r.skips else None, r.java(profile))
-                                     for i, r in regex_rules]))
+                                     for i, r in regex_rules], SIZE[profile]))
     if line_rules:
-        lines = _line_positions_sql(line_rules)
+        lines = _line_positions_sql(line_rules, SIZE[profile])
         if line_gate:
             none = "CAST(array() AS ARRAY<STRUCT<rule_idx INT, match_idx INT, start INT, len INT>>)"
             lines = f"CASE WHEN {line_gate(line_rules)} THEN {lines} ELSE {none} END"
@@ -149,7 +178,7 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
 
     Output columns: ``FINDING_COLUMNS`` plus ``carry``. ``url`` is the source
     URL (``page_url`` + ``url_suffix``); ``start``/``end`` are 0-based
-    character offsets into the scanned text. With ``part_col`` the part
+    offsets into the scanned text, of characters (strict: of UTF-8 bytes). With ``part_col`` the part
     comes from that column and the URL suffix from ``suffixes[part]``, so
     several texts of a page (body, headers) go through one plan.
     The broad profile skips empty texts, as the broad tool does.
@@ -178,7 +207,7 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
     # 2. positions per rule; split only where the rule matched
     step2 = step1.select("src_id", "page_url", *carry,
                          is_javascript(F.col("page_url"), t).alias("is_javascript"),
-                         F.expr(pieces("_t")).alias("_c"), F.length(t).alias("_n"),
+                         F.expr(held_sql(profile)).alias("_c"), F.expr(total_sql(profile)).alias("_n"),
                          F.expr(positions_sql(rules, profile)).alias("_f"))
 
     # 3. explode, cut, and attach rule metadata from literal arrays. A plain
@@ -207,8 +236,8 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
         F.get(names, idx).alias("pattern"), F.get(cats, idx).alias("category"),
         F.get(sevs, idx).alias("severity"), F.col("f.match_idx").alias("match_idx"),
         F.col("f.start").alias("start"), (F.col("f.start") + F.col("f.len")).alias("end"),
-        F.expr(match_sql("f.start", "f.len")).alias("match"),
-        F.expr(context_sql("f.start", "f.len")).alias("context"),
+        F.expr(match_sql("f.start", "f.len", profile)).alias("match"),
+        F.expr(context_sql("f.start", "f.len", profile)).alias("context"),
         "is_javascript", *carry)
     return out.withColumn(
         "finding_hash", F.md5(F.concat(F.col("url"), F.col("pattern"), F.col("match"))))

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from tidemark.functions.regex import re2_class, re2_regex
 from tidemark.functions.rules import Rule
-from tidemark.functions.rules_data import CONTEXT_WHITESPACE
+from tidemark.functions.rules_data import CONTEXT_WHITESPACE, STRICT_WHITESPACE
 
-WS_RUN_RE2 = re2_class(CONTEXT_WHITESPACE) + "+"
+WS_RUN_RE2 = {"broad": re2_class(CONTEXT_WHITESPACE) + "+", "strict": re2_class(STRICT_WHITESPACE) + "+"}
 
 
 def q(s: str | None) -> str:
@@ -23,12 +23,35 @@ def q(s: str | None) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _most_chars(chars: str, side: str, n: int) -> str:
+    """How many characters from one side of ``chars`` take at most ``n`` bytes."""
+    return f"list_max(list_filter(range(length({chars}) + 1), lambda k: strlen({side}({chars}, k)) <= {n}))"
+
+
+def _edge(chars: str, side: str, n: int, more: str) -> str:
+    """At most ``n`` bytes from one side of ``chars``; ``more``: characters there
+    are in all. Bytes left of a character that does not fit are U+FFFD."""
+    k = _most_chars(chars, side, n)
+    left = f"repeat(chr(65533), CASE WHEN {k} < {more} THEN CAST({n} - strlen({side}({chars}, {k})) AS INTEGER) ELSE 0 END)"
+    whole = f"{side}({chars}, {k})"
+    return f"{left} || {whole}" if side == "right" else f"{whole} || {left}"
+
+
+def _strict_cuts() -> tuple[str, str]:
+    """Match and context of the strict profile, by characters and their bytes."""
+    match = _edge("left(m, 200)", "left", 200, "length(m)")
+    before = _edge("substring(t, greatest(cstart - 100, 0) + 1, least(cstart, 100))", "right", 100, "cstart")
+    after = _edge("substring(t, cstart + length(m) + 1, 100)", "left", 100, "length(t) - cstart - length(m)")
+    return match, f"{before} || m || {after}"
+
+
 def scan_sql(src_sql: str, rules: list[Rule], profile: str = "broad", *,
              part: str = "body", url_suffix: str = "", carry: list[str] = ()) -> str:
     """Findings of ``rules`` over ``src_sql`` (columns src_id, page_url, t, carry).
 
     Columns match ``tidemark.operators.scan.FINDING_COLUMNS`` + carry.
     """
+    size = "strlen" if profile == "strict" else "length"   # bytes or characters
     carry = list(carry)
     cc = "".join(f", {c}" for c in carry)
     regex_rules = [(i, r) for i, r in enumerate(rules) if r.line_word is None]
@@ -51,10 +74,13 @@ def scan_sql(src_sql: str, rules: list[Rule], profile: str = "broad", *,
         parts.append(
             "pos AS (SELECT *, coalesce(sum(length(gs[match_idx + 1]) + length(m)) OVER ("
             "PARTITION BY src_id, rule_idx ORDER BY match_idx "
-            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(gs[match_idx + 1]) AS start "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(gs[match_idx + 1]) AS cstart, "
+            f"coalesce(sum({size}(gs[match_idx + 1]) + {size}(m)) OVER ("
+            "PARTITION BY src_id, rule_idx ORDER BY match_idx "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + {size}(gs[match_idx + 1]) AS start "
             "FROM per)")
         unions.append("SELECT src_id, page_url, t, rule_idx, kit, pattern, category, severity" + cc +
-                      ", match_idx, start, m FROM pos")
+                      ", match_idx, cstart, start, m FROM pos")
     if line_rules:
         vals = ",\n".join(
             f"({i}, {q(r.kit)}, {q(r.name)}, {q(r.category)}, {q(r.severity)}, {q(r.line_word)})"
@@ -65,25 +91,30 @@ def scan_sql(src_sql: str, rules: list[Rule], profile: str = "broad", *,
             "unnest(range(len(string_split(t, chr(10))))) AS line_no FROM src)")
         parts.append(
             "lpos AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY src_id "
+            "ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cstart, "
+            f"coalesce(sum({size}(line) + 1) OVER (PARTITION BY src_id "
             "ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lines)")
         parts.append(
             "lhits AS (SELECT l.*, r.rule_idx, r.kit, r.pattern, r.category, r.severity, "
             "row_number() OVER (PARTITION BY l.src_id, r.rule_idx ORDER BY l.line_no) - 1 AS match_idx "
             "FROM lpos l CROSS JOIN lr r WHERE NOT contains(lower(l.line), r.word))")
         unions.append("SELECT src_id, page_url, t, rule_idx, kit, pattern, category, severity" + cc +
-                      ", match_idx, start, line AS m FROM lhits")
+                      ", match_idx, cstart, start, line AS m FROM lhits")
     parts.append("allm AS (" + " UNION ALL ".join(unions) + ")")
     url = f"page_url || {q(url_suffix)}" if url_suffix else "page_url"
+    if profile == "strict":
+        match, context = _strict_cuts()
+    else:
+        match = "substring(m, 1, 200)"
+        context = "substring(t, greatest(start - 100, 0) + 1, least(start + length(m) + 100, length(t)) - greatest(start - 100, 0))"
     body = (
         "WITH " + ",\n".join(parts) + "\n"
         f"SELECT src_id, {url} AS url, page_url, {q(part)} AS part, CAST(rule_idx AS INTEGER) AS rule_idx, "
         "kit, pattern, category, severity, CAST(match_idx AS INTEGER) AS match_idx, "
-        "CAST(start AS INTEGER) AS start, CAST(start + length(m) AS INTEGER) AS \"end\", "
-        "substring(m, 1, 200) AS match, "
-        f"trim(regexp_replace(substring(t, greatest(start - 100, 0) + 1, "
-        f"least(start + length(m) + 100, length(t)) - greatest(start - 100, 0)), {q(WS_RUN_RE2)}, ' ', 'g'), ' ') AS context, "
+        f"CAST(start AS INTEGER) AS start, CAST(start + {size}(m) AS INTEGER) AS \"end\", {match} AS match, "
+        f"trim(regexp_replace({context}, {q(WS_RUN_RE2[profile])}, ' ', 'g'), ' ') AS context, "
         "(contains(page_url, '.js') OR contains(substring(t, 1, 100), 'javascript')) AS is_javascript, "
-        f"md5({url} || pattern || substring(m, 1, 200)) AS finding_hash" + cc + " FROM allm"
+        f"md5({url} || pattern || {match}) AS finding_hash" + cc + " FROM allm"
     )
     return body
 
@@ -131,9 +162,16 @@ def resolve_duck(base: str, href: str) -> str:
 
 # --- links, stated for DuckDB ---------------------------------------------------
 
-# tags and attributes in RE2; written out here, not taken from the Spark side
-TAG = r"""(?i)<(a|link|form)(?:[\s/]((?:[^>"']|"[^"]*"|'[^']*')*))?>"""
+# in two steps, unlike the Spark side: first what is no markup, or no start tag, is
+# taken out, then all start tags are read, of any name
+QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+NO_TAG = "(?is)" + "|".join((
+    r"<!--(?:-?>|.*?(?:--!?>|\z))",
+    *(rf"<{e}(?:[\s/]{QUOTED})?>.*?(?:</{e}[\s/>]|\z)" for e in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")),
+    r"<[!?/][^>]*>"))
+TAG = rf"""(?is)<([a-z][^\s/>"']*)((?:[\s/]{QUOTED})?)>"""
 ATTR = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("eacute", "é"), ("nbsp", "\xa0"), ("#224", "à"), ("#x2F", "/"), ("amp", "&"))
 SCRIPTS = [
     r"""["']([^"']*?\.(?:html|php|jsp|asp|aspx))["']""",
     r"""(?:href|src|action)\s*=\s*["']([^"']+)["']""",
@@ -148,15 +186,18 @@ def tag_links_duck(src: str) -> str:
     """(page_id, url, kind, rank, ord, href) of a, link and form tags."""
     tag, attr = q(TAG), q(ATTR)
     refs = "v"
-    for name, ch in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+    for name, ch in REFERENCES:
         refs = f"replace({refs}, '&{name};', {q(ch)})"
+    tags = (f"list_filter(list_zip(list_transform(regexp_extract_all(h, {tag}, 1), lambda x: lower(x)), regexp_extract_all(h, {tag}, 2)), "
+            f"lambda z: z[1] IN ('a', 'link', 'form'))")
     return (f"SELECT page_id, url, kind, 0 AS rank, ord, {refs} AS href FROM ("
             f"SELECT page_id, url, kind, ord, coalesce(d[i], '') || coalesce(s[i], '') || coalesce(b[i], '') AS v FROM ("
             f"SELECT *, list_position(list_transform(regexp_extract_all(att, {attr}, 1), lambda x: lower(x)), "
             f"CASE WHEN kind = 'form' THEN 'action' ELSE 'href' END) AS i, regexp_extract_all(att, {attr}, 2) AS d, "
             f"regexp_extract_all(att, {attr}, 3) AS s, regexp_extract_all(att, {attr}, 4) AS b FROM ("
-            f"SELECT page_id, url, lower(unnest(regexp_extract_all(html, {tag}, 1))) AS kind, unnest(regexp_extract_all(html, {tag}, 2)) AS att, "
-            f"CAST(unnest(range(len(regexp_extract_all(html, {tag}, 1)))) AS INTEGER) AS ord FROM ({src}))) WHERE i IS NOT NULL) WHERE v <> ''")
+            f"SELECT page_id, url, tags[n][1] AS kind, tags[n][2] AS att, CAST(n - 1 AS INTEGER) AS ord FROM ("
+            f"SELECT page_id, url, tags, unnest(range(1, len(tags) + 1)) AS n FROM (SELECT page_id, url, {tags} AS tags FROM ("
+            f"SELECT page_id, url, regexp_replace(html, {q(NO_TAG)}, ' ', 'g') AS h FROM ({src})))))) WHERE i IS NOT NULL) WHERE v <> ''")
 
 
 def script_links_duck(src: str) -> str:
