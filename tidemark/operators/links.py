@@ -2,14 +2,21 @@
 rules, per-page dedupe and robots filtering — all per-row expressions or
 joins keyed by page / authority.
 
-One pass over the html yields its ``a``, ``link`` and ``form`` tags in
-document order; a tag's attributes are read one after the other, so an
-attribute's value never passes for another attribute. URL parts come from the
-RFC 3986 split regex; dot segments are removed by folding the path segments.
+One pass over the html reads it token by token, as a browser's tokenizer
+would: comments, declarations, end tags, every start tag with its quoted
+values, and elements whose content is no markup (script, style, textarea, ...)
+are each consumed whole, so what looks like a tag inside them is none. Of the
+``a``, ``link`` and ``form`` tags the attributes are read one after the other,
+so an attribute's value never passes for another attribute. The token pattern is
+possessive throughout: a position is passed once, and no run costs stack.
+URL parts come from the RFC 3986 split regex; dot segments are removed by
+folding the path segments.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +24,23 @@ from tidemark.functions.arrays import let, sql_str
 from tidemark.functions.regex import java_regex
 
 # --- FIXED VALUES: link shapes -----------------------------------------------
-# a tag (name, attributes); quoted values may hold ">"
-TAG_RX = r"""<(a|link|form)(?:[\s/]((?:[^>"']|"[^"]*"|'[^']*')*))?>"""
+# elements whose content is text, up to their end tag or the end of the page
+TEXT_ELEMENTS = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
+# what follows a tag's name: values in quotes may hold ">", bare ones run to white space
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)?+)*+"""
+# a token; group 1: an a, link or form tag without its brackets
+TOKEN_RX = "|".join((
+    r"<!--(?:-?>|(?:[^-]++|-(?!-!?>))*+(?:--!?>|\z))",
+    rf"<((?:a|link|form)(?=[\s/>]){_REST})>",
+    rf"<({'|'.join(TEXT_ELEMENTS)})(?=[\s/>]){_REST}(?:>(?:[^<]++|<(?!/\2[\s/>]))*+|\z)",
+    rf"<plaintext(?=[\s/>]){_REST}>.*+",
+    rf"</?[a-z][^\s/>]*+{_REST}(?:>|\z)",
+    r"<[!?/][^>]*+(?:>|\z)",
+))
 # an attribute: name, then its value in double quotes, in single quotes, or bare
-ATTR_RX = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
-ENTITY_RX = r"""&(amp|lt|gt|quot|apos|#[0-9]{1,3}|#[xX][0-9a-fA-F]{1,2});"""
-ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+ATTR_RX = r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?"""
+# a character reference; without a semicolon it is plain text here
+ENTITY_RX = r"&([A-Za-z][A-Za-z0-9]*|#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7});"
 # six URL shapes in script text (matched without case)
 SCRIPT_RX = [
     r'["\']([^"\']*?\.(?:html|php|jsp|asp|aspx))["\']',
@@ -43,19 +61,27 @@ def _rx(r: str) -> str:
     return sql_str(r)
 
 
-#: the tag pattern for Java: runs inside a tag are taken whole, so long attributes cost no stack
-_TAG_JAVA = java_regex(TAG_RX.replace('[^>"\']|', '[^>"\']++|').replace("')*)", "')*+)"), "broad")
+_TOKEN_JAVA = "(?is)" + TOKEN_RX
+#: the named references that HTML defines, by name
+_NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+#: numbers 128 to 159 mean Windows-1252 characters where that has one
+_WINDOWS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
 
 
 def decoded_sql(v: str) -> str:
-    """The character references of ``v`` replaced: the five named ones, and
-    numeric ones of ASCII characters."""
-    name = "lower(get(_en, _ei))"
-    number = (f"CASE WHEN {name} LIKE '#x%' THEN CAST(conv(substr({name}, 3), 16, 10) AS INT) "
-              f"WHEN {name} LIKE '#%' THEN CAST(substr({name}, 2) AS INT) END")
-    named = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(c)}" for k, c in ENTITIES.items())
-    one = (f"CASE WHEN _ei >= size(_en) THEN '' WHEN {number} BETWEEN 1 AND 127 THEN char({number}) "
-           f"ELSE coalesce(CASE {name} {named} END, concat('&', get(_en, _ei), ';')) END")
+    """The character references of ``v`` replaced: every named one of HTML, and
+    numeric ones; numbers that are no character give U+FFFD, unknown names stay."""
+    name = "get(_en, _ei)"
+    number = (f"CAST(CASE WHEN lower({name}) LIKE '#x%' THEN conv(substr({name}, 3), 16, 10) "
+              f"WHEN {name} LIKE '#%' THEN substr({name}, 2) END AS BIGINT)")
+    point = f"decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32')"
+    char = (f"CASE WHEN {number} BETWEEN 128 AND 159 THEN substr({sql_str(_WINDOWS)}, CAST({number} - 127 AS INT), 1) "
+            f"WHEN {number} = 0 OR {number} BETWEEN 55296 AND 57343 OR {number} > 1114111 THEN '\uFFFD' ELSE {point} END")
+    # one literal, looked up in only where a reference was found
+    table = f"map_from_arrays(array({', '.join(map(sql_str, _NAMED))}), array({', '.join(map(sql_str, _NAMED.values()))}))"
+    named = f"try_element_at({table}, {name})"
+    one = (f"CASE WHEN _ei >= size(_en) THEN '' WHEN startswith({name}, '#') THEN {char} "
+           f"ELSE coalesce({named}, concat('&', {name}, ';')) END")
     whole = let(f"regexp_extract_all({v}, {sql_str(ENTITY_RX)}, 1)", "_en",
                 f"array_join(transform(split({v}, {sql_str(ENTITY_RX)}, -1), (_eg, _ei) -> concat(_eg, {one})), '')")
     return f"CASE WHEN instr({v}, '&') = 0 THEN {v} ELSE {whole} END"
@@ -64,13 +90,14 @@ def decoded_sql(v: str) -> str:
 def _tags_sql(html_col: str) -> str:
     """Links of the tags, in document order: ``ord`` counts the page's a, link
     and form tags; a tag without a value for its attribute gives none."""
-    tags = f"arrays_zip(regexp_extract_all({html_col}, {_rx(_TAG_JAVA)}, 1), regexp_extract_all({html_col}, {_rx(_TAG_JAVA)}, 2))"
-    attrs = ", ".join(f"regexp_extract_all(_tg['1'], {_rx(ATTR_RX)}, {g})" for g in (1, 2, 3, 4))
-    wanted = "CASE WHEN lower(_tg['0']) = 'form' THEN 'action' ELSE 'href' END"
+    tags = f"filter(regexp_extract_all({html_col}, {_rx(_TOKEN_JAVA)}, 1), _tx -> _tx != '')"
+    kind = "lower(regexp_extract(_tg, '^[A-Za-z]+', 0))"
+    attrs = ", ".join(f"regexp_extract_all(substr(_tg, length(_tk) + 1), {_rx(ATTR_RX)}, {g})" for g in (1, 2, 3, 4))
+    wanted = "CASE WHEN _tk = 'form' THEN 'action' ELSE 'href' END"
     first = f"get(filter(arrays_zip({attrs}), _at -> lower(_at['0']) = {wanted}), 0)"
     value = let(first, "_av", let("concat(_av['1'], _av['2'], _av['3'])", "_ah", decoded_sql("_ah")))
-    return (f"filter(transform({tags}, (_tg, _ti) -> named_struct('kind', lower(_tg['0']), 'rank', 0, 'ord', _ti, "
-            f"'href', {value})), _tl -> coalesce(_tl.href, '') != '')")
+    link = let(kind, "_tk", f"named_struct('kind', _tk, 'rank', 0, 'ord', _ti, 'href', {value})")
+    return f"filter(transform({tags}, (_tg, _ti) -> {link}), _tl -> coalesce(_tl.href, '') != '')"
 
 
 def _script_sql(html_col: str) -> str:

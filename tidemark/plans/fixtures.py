@@ -177,6 +177,13 @@ SCANS_TIMES_SQL = (f"SELECT CAST(event_id % {N_SCANS} AS BIGINT) AS scan_id, min
                    f"max(ts) AS end_time FROM events GROUP BY 1")
 
 
+def visited_sql(id_col: str = "src_id", scan_col: str = "scan_id") -> str:
+    """Second at which a scan sees a page: scans are an hour apart, and from the
+    third on every 13th page comes three hours late. Same text in both engines."""
+    return (f"CAST(1700000000 + {scan_col} * 3600 + {id_col} % 600 - CASE WHEN {id_col} % 13 = 0 AND {scan_col} >= 2 "
+            f"THEN 10800 ELSE 0 END AS BIGINT)")
+
+
 # --- links beyond the stored anchors ------------------------------------------
 # Appended to the html by page_id % 6: form, link, fetch, XHR, axios and
 # location shapes; absolute, scheme-relative, query-only, dot-segment,
@@ -195,11 +202,25 @@ EXTRA_LINKS = [
 ]
 
 
+# What looks like a link in comments, scripts and other text, by page_id % 7,
+# and links right behind it; the last one's comment has no end.
+HIDDEN_LINKS = [
+    "'<!-- <a href=\"/hidden/comment\"> --><a href=\"/after/comment\">c</a>'",
+    "concat('<script>var s = \"<a href=', chr(39), '/hidden/script', chr(39), '>\"; // <!-- </script><a href=\"/after/script\">s</a>')",
+    "'<style>/* <a href=\"/hidden/style\"> */</style><textarea><form action=\"/hidden/area\"></textarea><title><a href=\"/hidden/title\"></title>'",
+    "concat('<div title=', chr(39), '<a href=\"/hidden/value\">', chr(39), ' data-x=a=b>t</div><a href=\"/d&eacute;j&#224;/&#x2F;&nbsp;&none;&AMP\">r</a>')",
+    "'<SCRIPT type=\"a>b\"><a href=\"/hidden/upper\"></Script ><!--><a href=\"/after/empty\">e</a><!-- x --!><a href=\"/after/bang\">b</a>'",
+    "'<!DOCTYPE x \"<a href=/hidden/type\"><?php <a href=/hidden/php ?></p <a href=/hidden/end><a href=/after/end>l</a><!-- <a href=\"/hidden/open\">'",
+]
+
+
 def augmented_html_sql(id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> str:
     ids = f"CAST({id_col} AS STRING)"
     auth = f"regexp_extract({url_col}, {AUTH_RX_SQL}, 1)"
     whens = " ".join(f"WHEN {i} THEN {e.format(id=ids, auth=auth)}" for i, e in enumerate(EXTRA_LINKS))
-    return f"concat({html_col}, CASE {id_col} % {len(EXTRA_LINKS)} {whens} END)"
+    hidden = " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(HIDDEN_LINKS))
+    return (f"concat({html_col}, CASE {id_col} % {len(EXTRA_LINKS)} {whens} END, "
+            f"CASE {id_col} % {len(HIDDEN_LINKS) + 1} {hidden} ELSE '' END)")
 
 
 def augmented_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
