@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,11 @@ def read_pages(spark: SparkSession, sf_dir: str, profile: str = "broad") -> Data
     from_js``. Bodies are whole in both profiles; the broad one drops empty
     bodies (the broad tool skips a page whose text is empty).
     """
-    pages = read_table(spark, sf_dir, "pages")
+    return page_columns(read_table(spark, sf_dir, "pages"), profile)
+
+
+def page_columns(pages: DataFrame, profile: str = "broad") -> DataFrame:
+    """(page_id, url, html) → Page schema."""
     out = pages.select("page_id", "url", F.col("html").alias("body"))
     if profile == "broad":
         out = out.filter(F.col("body").isNotNull() & (F.length("body") > 0))
@@ -71,3 +76,27 @@ def header_text(headers: Column, profile: str = "broad") -> Column:
         return F.when(F.size(lines) > 0,
                       F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
     return F.array_join(lines, "\n")
+
+
+# --- bucketed folders ----------------------------------------------------------
+
+def write_buckets(df: DataFrame, key: str, buckets: int, folder: str, dealt: bool = False) -> None:
+    """Write a folder of Parquet files bucketed by ``key``. ``dealt``: df is
+    partitioned by the same buckets already (a join of bucketed tables is)."""
+    name = f"tm_write_{uuid.uuid4().hex}"
+    rows = df if dealt else df.repartition(buckets, key)
+    rows.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")   # the files stay
+
+
+def bucket_table(spark: SparkSession, path: str, columns: str, key: str, buckets: int, folders=None) -> DataFrame:
+    """A bucketed table over ``path``, or over those of its ``folder=`` parts
+    that are named: joins on ``key`` with one of as many buckets need no shuffle."""
+    name = f"tm_read_{uuid.uuid4().hex}"
+    parts = "" if folders is None else "PARTITIONED BY (folder)"
+    columns = columns if folders is None else f"{columns}, folder STRING"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {parts} CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS "
+              f"LOCATION '{path}'")
+    if folders:
+        spark.sql(f"ALTER TABLE {name} ADD " + " ".join(f"PARTITION (folder='{f}')" for f in folders))
+    return spark.table(name)
