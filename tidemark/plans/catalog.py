@@ -18,10 +18,11 @@ from tidemark.functions.rules import select_rules
 from tidemark.operators import headers as H
 from tidemark.operators import reports as RP
 from tidemark.operators import store as ST
+from tidemark.operators.findings_store import FindingsStore
 from tidemark.operators.scan import scan
 from tidemark.plans import fixtures as FX
 from tidemark.plans import oracle as O
-from tidemark.sources.tables import read_pages, read_table, spread
+from tidemark.sources.tables import bucket_table, page_columns, read_pages, read_table, spread, write_buckets
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -170,6 +171,13 @@ def q_scan_strict(spark, sf_dir):
     return H.scan_page(pages_h(spark, sf_dir, "strict"), ALL_STRICT, "strict")
 
 
+@register("scan_strict_documents", O.scan_sql(DOCS_SRC_SQL, ALL_STRICT, "strict"))
+def q_scan_strict_documents(spark, sf_dir):
+    """Strict profile over every document, whose texts are mostly not ASCII:
+    offsets, match and context count bytes."""
+    return scan(docs(spark, sf_dir), ALL_STRICT, "strict", text_col="text", id_col="doc_id")
+
+
 def _kit_query(kit):
     rules = select_rules([kit])
 
@@ -433,6 +441,41 @@ def q_findings_append(spark, sf_dir):
     return ST.append(store, raw.filter(F.col("scan_id") == 3)).select(*STORE_COLS)
 
 
+def _written_store(spark, sf_dir):
+    """The store after scan 0, then scans 1 and 2 begun from one version and
+    committed in the other order, then scan 3."""
+    from tidemark.sources.sinks import scratch_path
+    raw = raw_findings(spark, sf_dir)
+    scan_no = lambda k: raw.filter(F.col("scan_id") == k)
+    store = FindingsStore(spark, scratch_path(spark, "store"))
+    store.append(scan_no(0))
+    first, second = store.begin(scan_no(1)), store.begin(scan_no(2))
+    second.commit()
+    first.commit()
+    store.append(scan_no(3))
+    return store
+
+
+_COMMITTED_SQL = STORED_SQL.replace("ORDER BY scan_id,", "ORDER BY CASE scan_id WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE scan_id END,")
+
+
+@register("findings_append_concurrent", f"WITH raw AS ({RAW_SQL}), stored AS ({_COMMITTED_SQL}) SELECT {', '.join(STORE_COLS)} FROM stored")
+def q_findings_append_concurrent(spark, sf_dir):
+    """Two appends from one version of the store leave each hash once: of a
+    hash that both have, who committed first has it."""
+    return _written_store(spark, sf_dir).read().select(*STORE_COLS)
+
+
+@register("store_statistics", f"WITH raw AS ({RAW_SQL}), stored AS ({_COMMITTED_SQL}) SELECT pattern, category, severity, count(*) AS count "
+                              f"FROM stored WHERE finding_hash NOT LIKE '0%' GROUP BY pattern, category, severity")
+def q_store_statistics(spark, sf_dir):
+    """Counts kept up by every append and by a withdrawal (hashes that begin
+    with 0), read from the deltas alone."""
+    store = _written_store(spark, sf_dir)
+    store.withdraw(store.read().filter("finding_hash LIKE '0%'").select("finding_hash"))
+    return store.statistics(["pattern", "category", "severity"])
+
+
 def pages_per_scan(spark, sf_dir):
     p = FX.pages_with_headers(spark, sf_dir)
     m = p.select(F.explode(F.expr(FX.scan_membership_sql("page_id"))).alias("scan_id"))
@@ -800,15 +843,23 @@ def q_crawl_scan(spark, sf_dir):
 from tidemark.operators import pages as PG  # noqa: E402
 
 
+#: buckets of the page tables that are laid out by url
+URL_BUCKETS = 16
+
+
 @register("rendered_override",
           f"SELECT page_id, (r IS NOT NULL) AS from_js, CAST(length(coalesce(r, html)) AS INTEGER) AS body_len, "
           f"md5(coalesce(r, html)) AS body_md5 FROM (SELECT page_id, html, {FX.rendered_sql()} AS r FROM ({LIVE_PAGES_SQL}))")
 def q_rendered_override(spark, sf_dir):
-    """A rendered body replaces the raw one and sets from_js."""
-    pages = read_pages(spark, sf_dir)
+    """A rendered body replaces the raw one and sets from_js. Both tables are
+    laid out by url when they are taken in, so the join moves no body."""
     raw = read_table(spark, sf_dir, "pages")
     rendered = raw.select("url", F.expr(FX.rendered_sql()).alias("html")).filter("html IS NOT NULL")
-    out = PG.apply_rendered(pages, rendered)
+    base = SK.scratch_path(spark, "by-url")
+    write_buckets(raw.select("page_id", "url", "html"), "url", URL_BUCKETS, os.path.join(base, "pages"))
+    write_buckets(rendered, "url", URL_BUCKETS, os.path.join(base, "rendered"))
+    pages = bucket_table(spark, os.path.join(base, "pages"), "page_id BIGINT, url STRING, html STRING", "url", URL_BUCKETS)
+    out = PG.apply_rendered(page_columns(pages), bucket_table(spark, os.path.join(base, "rendered"), "url STRING, html STRING", "url", URL_BUCKETS))
     return out.select("page_id", "from_js", F.length("body").alias("body_len"), F.md5("body").alias("body_md5"))
 
 
@@ -1042,19 +1093,31 @@ STREAM_FILES = 8   # files of a scan, taken together in one micro-batch
 _MEMOS.append(_STREAM_RUNS)
 
 
-def stream_run(spark, sf_dir):
-    """Stage page visits as one file per scan in a fresh folder under the
-    checkpoint dir, then run the streaming scan once, one scan a micro-batch
-    (memoized): a page of two scans comes again in a later batch."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if key not in _STREAM_RUNS:
-        pages = FX.pages_with_headers(spark, sf_dir)
-        visits = pages.withColumn("scan_id", F.explode(F.expr(FX.scan_membership_sql("page_id"))))
-        base = SK.scratch_path(spark, "stream")
-        SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"), range(FX.N_SCANS), files=STREAM_FILES)
-        _STREAM_RUNS[key] = SS.stream_scan(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"),
-                                           files_per_trigger=STREAM_FILES, lines=True)
-    return _STREAM_RUNS[key]
+def _stream_part(name, fn):
+    """Run one of the stream's queries once per session and folder."""
+    def wrapped(spark, sf_dir):
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _STREAM_RUNS:
+            _STREAM_RUNS[key] = fn(spark, sf_dir)
+        return _STREAM_RUNS[key]
+    return wrapped
+
+
+def _scan_run(spark, sf_dir):
+    """Stage page visits as files per scan in a fresh folder under the
+    checkpoint dir, then run the streaming scan, one scan a micro-batch: a page
+    of two scans comes again in a later batch."""
+    pages = FX.pages_with_headers(spark, sf_dir)
+    visits = pages.withColumn("scan_id", F.explode(F.expr(FX.scan_membership_sql("page_id"))))
+    base = SK.scratch_path(spark, "stream")
+    SS.stage_files(visits.select(*[f.name for f in SS.VISIT_SCHEMA.fields]), os.path.join(base, "in"), range(FX.N_SCANS), files=STREAM_FILES)
+    return SS.scan_stream(spark, os.path.join(base, "in"), ALL, os.path.join(base, "out"), files_per_trigger=STREAM_FILES)
+
+
+stream_run = _stream_part("scan", _scan_run)
+stream_store = _stream_part("store", lambda spark, sf_dir: SS.store_stream(spark, stream_run(spark, sf_dir), STREAM_FILES))
+stream_lines = _stream_part("lines", lambda spark, sf_dir: SS.lines_stream(spark, stream_run(spark, sf_dir)))
+stream_totals = _stream_part("status", lambda spark, sf_dir: SS.status_stream(spark, stream_run(spark, sf_dir), 2 * STREAM_FILES))
 
 
 RAW_COLS = ["finding_hash", "scan_id", "src_id", "url", "part", "pattern", "match_idx", "start", "match", "context"]
@@ -1070,14 +1133,49 @@ def q_stream_scan(spark, sf_dir):
 @register("stream_format", with_raw("SELECT finding_hash, scan_id, url, pattern, severity, match FROM raw"))
 def q_stream_format(spark, sf_dir):
     """The ``stream`` output format: JSON lines emitted batch by batch."""
-    lines = spark.read.json(stream_run(spark, sf_dir)["lines"])
+    lines = spark.read.json(stream_lines(spark, sf_dir))
     return lines.select("finding_hash", "scan_id", "url", "pattern", "severity", "match")
 
 
 @register("stream_dedupe", with_store(f"SELECT {', '.join(STORE_COLS)} FROM stored"))
 def q_stream_dedupe(spark, sf_dir):
-    """First finding per hash across micro-batches (store anti join)."""
-    return spark.read.parquet(stream_run(spark, sf_dir)["store"]).select(*STORE_COLS)
+    """First finding per hash across micro-batches (each an append to the store)."""
+    return stream_store(spark, sf_dir).read().select(*STORE_COLS)
+
+
+DELAY = 1800   # seconds that a hash is remembered for, and that an event may be late
+
+
+def _bounded_dedupe_sql():
+    """The streaming dedupe written out batch by batch (one scan each): w: the
+    watermark in force, behind the latest event before the batch; events are
+    late against the one before; m: what is remembered after a batch."""
+    parts = [f"f AS (SELECT DISTINCT finding_hash, scan_id, {FX.visited_sql()} AS visited FROM raw)", "w0 AS (SELECT 0 AS w)", "late0 AS (SELECT 0 AS w)"]
+    for b in range(FX.N_SCANS):
+        if b:
+            parts += [f"w{b} AS (SELECT greatest(coalesce(max(visited), 0) - {DELAY}, 0) AS w FROM f WHERE scan_id < {b})",
+                      f"late{b} AS (SELECT w FROM w{b - 1})"]
+        seen = f" AND finding_hash NOT IN (SELECT finding_hash FROM m{b - 1})" if b else ""
+        parts.append(f"k{b} AS (SELECT * FROM f WHERE scan_id = {b} AND visited > (SELECT w FROM late{b}){seen})")
+        held = f"SELECT * FROM k{b}" + (f" UNION ALL SELECT * FROM m{b - 1}" if b else "")
+        parts.append(f"m{b} AS (SELECT * FROM ({held}) WHERE visited + {DELAY} > (SELECT w FROM w{b}))")
+    return with_raw(", " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM k{b}" for b in range(FX.N_SCANS)))
+
+
+def _seen_files(spark, sf_dir):
+    base = SK.scratch_path(spark, "seen")
+    seen = raw_findings(spark, sf_dir).select("finding_hash", "scan_id", F.expr(FX.visited_sql()).alias("visited"))
+    SS.stage_files(seen, os.path.join(base, "in"), range(FX.N_SCANS), files=STREAM_FILES)
+    return base
+
+
+@register("stream_dedupe_bounded", _bounded_dedupe_sql())
+def q_stream_dedupe_bounded(spark, sf_dir):
+    """Dedupe with state that expires: a hash seen again within half an hour is
+    dropped, later it counts anew; events behind the watermark are dropped."""
+    base = _seen_files(spark, sf_dir)
+    SS.dedupe_stream(spark, os.path.join(base, "in"), base, f"{DELAY} seconds", STREAM_FILES)
+    return spark.read.parquet(os.path.join(base, "seen")).select("finding_hash", "scan_id", "visited")
 
 
 @register("stream_status", with_raw(
@@ -1088,8 +1186,8 @@ def q_stream_dedupe(spark, sf_dir):
     "CAST(sum(coalesce(f.findings, 0)) OVER (ORDER BY p.scan_id) AS BIGINT) AS findings_total "
     "FROM p LEFT JOIN f ON p.scan_id = f.scan_id"))
 def q_stream_status(spark, sf_dir):
-    """Pages visited and findings per micro-batch, with running totals."""
-    return SS.running_status(spark, stream_run(spark, sf_dir)["status"])
+    """Pages visited and findings per scan, kept as a streaming aggregate, with running totals."""
+    return SS.running_status(spark, stream_totals(spark, sf_dir))
 
 
 @register("stream_summary", with_store(
@@ -1097,6 +1195,8 @@ def q_stream_status(spark, sf_dir):
     "(SELECT count(*) FROM raw) AS findings_raw, (SELECT count(*) FROM stored) AS findings_stored"))
 def q_stream_summary(spark, sf_dir):
     """Summary only (no finding rows) once the stream has ended."""
+    stream_store(spark, sf_dir)
+    stream_totals(spark, sf_dir)
     return SS.summary(spark, stream_run(spark, sf_dir))
 
 

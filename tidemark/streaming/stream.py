@@ -1,14 +1,18 @@
-"""The scan as a Structured Streaming job.
-
-Page visits arrive as parquet files (one scan per file here); every
-micro-batch is scanned with the same plan as the batch path, its findings
-are appended to a raw sink, merged first-wins into the findings store, and
-a status row (pages, findings, running totals) is written.
-
-Exactly-once under restarts: the store (by hash prefix) and the status table
-are partitioned by batch id and each batch overwrites only its own
-partitions, reading the store as it stood before that batch (``batch < id``),
-so a replayed batch rewrites the same rows. The checkpoint folder records progress.
+"""The scan as Structured Streaming jobs, one query a sink.
+
+``scan_stream`` scans page visits as they arrive with the same plan as the
+batch path and writes findings to a file sink, whose log makes every
+micro-batch count once whatever is restarted. The other queries read that
+sink as a stream of their own, each with its checkpoint, so that a slow or
+failed one holds up no other and the rules run once:
+
+* ``store_stream`` appends unseen findings to the findings store;
+* ``status_stream`` keeps pages and findings per scan as a streaming aggregate
+  (``complete`` output: each trigger publishes all totals as a new version, and
+  a reader takes the latest whole one while the query runs on);
+* ``dedupe_stream`` drops repeats with state that expires: a hash is
+  remembered until the watermark passes its event time by the delay;
+* ``lines_stream`` emits findings as JSON lines.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.rules import Rule
-from tidemark.operators import store as ST
+from tidemark.operators.findings_store import FindingsStore
 from tidemark.operators.headers import scan_page
 
 VISIT_SCHEMA = T.StructType([
@@ -30,6 +35,8 @@ VISIT_SCHEMA = T.StructType([
     T.StructField("status_code", T.IntegerType()), T.StructField("depth", T.IntegerType()),
     T.StructField("from_js", T.BooleanType()), T.StructField("scan_id", T.LongType()),
 ])
+#: what ``dedupe_stream`` reads: a finding's identity, its scan, and the second it was seen at
+SEEN_SCHEMA = "finding_hash string, scan_id long, visited long"
 
 
 def stage_files(visits: DataFrame, folder: str, keys, split_col: str = "scan_id", files: int = 1) -> None:
@@ -40,85 +47,130 @@ def stage_files(visits: DataFrame, folder: str, keys, split_col: str = "scan_id"
         visits.filter(F.col(split_col) == k).repartition(files).write.mode("append").parquet(folder)
 
 
-#: leading hash characters that partition the store: a batch reads the partitions its hashes fall in
-PREFIX = 1
+def _read(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
+
+
+def _checkpointed(paths: dict, name: str) -> str:
+    return os.path.join(paths["checkpoints"], name)
+
 
+def layout(out: str) -> dict:
+    return {k: os.path.join(out, k) for k in ("raw", "store", "status", "lines", "checkpoints")}
 
-def _merge_batch(paths: dict):
-    def append(df: DataFrame, path: str, *by: str) -> None:
-        """Write one batch's partitions; a replayed batch rewrites the same."""
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+def scan_stream(spark: SparkSession, source: str, rules: list[Rule], out: str,
+                profile: str = "broad", files_per_trigger: int | None = 1) -> dict:
+    """Scan the visit files in ``source`` until they are all processed
+    (``availableNow``); returns the layout of ``out``, with the findings'
+    schema and the source for the queries that follow."""
+    paths = layout(out)
+    found = scan_page(_read(spark, source, VISIT_SCHEMA, files_per_trigger), rules, profile, carry=["scan_id"])
+    q = (found.writeStream.format("parquet").option("path", paths["raw"])
+         .option("checkpointLocation", _checkpointed(paths, "raw")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return paths | {"schema": found.schema, "source": source}
+
+
+# --- the findings store -------------------------------------------------------
+
+def store_stream(spark: SparkSession, paths: dict, files_per_trigger: int | None = None) -> FindingsStore:
+    """Append the findings of the raw sink to the store, first one a hash. The
+    store knows each stream's last batch, so a replayed one adds nothing."""
+    store = FindingsStore(spark, paths["store"])
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        raw = batch.filter(F.col("part") != "visit")
-        numbered = raw.withColumn("batch", F.lit(batch_id))
-        append(numbered, paths["raw"], "batch")
-        if "lines" in paths:   # the stream format: each batch's findings as JSON lines, as they come
-            (numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(paths["lines"]))
-        cand = ST.first_wins(ST.to_store_rows(raw)).withColumn("prefix", F.substring("finding_hash", 1, PREFIX))
-        if _exists(spark, paths["store"]):
-            prev = spark.read.parquet(paths["store"]).filter(F.col("batch") < batch_id).select("prefix", "finding_hash")
-            cand = cand.join(prev, ["prefix", "finding_hash"], "left_anti")
-        append(cand.withColumn("batch", F.lit(batch_id)), paths["store"], "prefix", "batch")
-        status = batch.groupBy("scan_id").agg(F.count_if(F.col("part") == "visit").alias("pages"),
-                                              F.count_if(F.col("part") != "visit").alias("findings"))
-        # running totals go on from the last batch's row, so no batch reads all earlier ones
-        before = (0, 0)
-        if batch_id and _exists(spark, paths["status"]):
-            last = spark.read.parquet(paths["status"]).filter(F.col("batch") == batch_id - 1)
-            before = last.agg(F.coalesce(F.max("pages_total"), F.lit(0)), F.coalesce(F.max("findings_total"), F.lit(0))).first()
-        inside = Window.partitionBy("batch").orderBy("scan_id")   # the scans of one batch
-        status = (status.withColumn("batch", F.lit(batch_id))
-                  .withColumn("pages_total", F.sum("pages").over(inside) + before[0])
-                  .withColumn("findings_total", F.sum("findings").over(inside) + before[1]))
-        append(status, paths["status"], "batch")
-        batch.unpersist()
-    return merge
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
+        FindingsStore(batch.sparkSession, paths["store"]).append(batch, stream=paths["raw"], batch=batch_id)
+
+    q = (_read(spark, paths["raw"], paths["schema"], files_per_trigger).writeStream.foreachBatch(merge)
+         .option("checkpointLocation", _checkpointed(paths, "store")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return store
+
+
+# --- status -------------------------------------------------------------------
+
+def _publish(path: str):
+    def publish(totals: DataFrame, batch_id: int) -> None:
+        totals.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(os.path.join(path, f"v{batch_id:012d}"))
+    return publish
+
+
+def start_status(spark: SparkSession, paths: dict, files_per_trigger: int | None = None, **trigger) -> StreamingQuery:
+    """Start the status query: pages and findings per scan, counted in the
+    state store, published whole at every trigger."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    visits = _read(spark, paths["source"], VISIT_SCHEMA, files_per_trigger).select("scan_id", one.alias("pages"), none.alias("findings"))
+    found = _read(spark, paths["raw"], paths["schema"], files_per_trigger).select("scan_id", none.alias("pages"), one.alias("findings"))
+    totals = visits.unionByName(found).groupBy("scan_id").agg(F.sum("pages").alias("pages"), F.sum("findings").alias("findings"))
+    return (totals.writeStream.outputMode("complete").foreachBatch(_publish(paths["status"]))
+            .option("checkpointLocation", _checkpointed(paths, "status")).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def status_stream(spark: SparkSession, paths: dict, files_per_trigger: int | None = None) -> str:
+    start_status(spark, paths, files_per_trigger).awaitTermination()
+    return paths["status"]
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder that a job has finished writing."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def running_status(spark: SparkSession, status_path: str) -> DataFrame | None:
+    """The latest totals that the status query has published, scan by scan with
+    totals so far; None before the first."""
+    versions = _children(spark, status_path)
+    if not versions:
+        return None
+    latest = spark.read.parquet(os.path.join(status_path, versions[-1]))
+    upto = Window.orderBy("scan_id")   # a row a scan
+    return latest.select("scan_id", "pages", "findings", F.sum("pages").over(upto).alias("pages_total"),
+                         F.sum("findings").over(upto).alias("findings_total"))
+
+
+# --- dedupe with state that expires ---------------------------------------------
+
+def deduped(seen: DataFrame, delay: str) -> DataFrame:
+    """First of each hash; a repeat within ``delay`` of it is dropped, and so is
+    what comes later than the watermark, ``delay`` behind the latest event."""
+    timed = seen.withColumn("ts", F.timestamp_seconds("visited")).withWatermark("ts", delay)
+    return timed.dropDuplicatesWithinWatermark(["finding_hash"]).drop("ts")
+
+
+def dedupe_stream(spark: SparkSession, source: str, out: str, delay: str, files_per_trigger: int | None = None) -> list[int]:
+    """Dedupe the findings files of ``source`` into ``out``; returns the number
+    of hashes remembered after each micro-batch."""
+    q = (deduped(_read(spark, source, SEEN_SCHEMA, files_per_trigger), delay).writeStream.format("parquet")
+         .option("path", os.path.join(out, "seen")).option("checkpointLocation", os.path.join(out, "checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
 
 
-def stream_scan(spark: SparkSession, source: str, rules: list[Rule], out: str,
-                profile: str = "broad", files_per_trigger: int | None = 1, lines: bool = False) -> dict:
-    """Run the streaming scan over the visit files in ``source`` until they
-    are all processed (``availableNow``); returns the output paths.
+# --- lines and summary ------------------------------------------------------------
 
-    The scan is part of the streaming plan (analysed once, not per batch);
-    one marker row per visited page rides along so the batch function can
-    count pages without a second read. ``lines`` also emits every batch's
-    findings in the ``stream`` format.
-    """
-    paths = {k: os.path.join(out, k) for k in ("raw", "store", "status", "checkpoint", *(["lines"] if lines else []))}
-    reader = spark.readStream.schema(VISIT_SCHEMA)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    visits = reader.parquet(source)
-    found = scan_page(visits, rules, profile, carry=["scan_id"])
-    marks = visits.select(F.col("page_id").alias("src_id"), "scan_id", F.lit("visit").alias("part"))
-    both = found.unionByName(marks, allowMissingColumns=True)
-    q = (both.writeStream.foreachBatch(_merge_batch(paths))
-         .option("checkpointLocation", paths["checkpoint"]).trigger(availableNow=True).start())
+def lines_stream(spark: SparkSession, paths: dict) -> str:
+    """The ``stream`` output format: findings as JSON lines, as they come."""
+    q = (_read(spark, paths["raw"], paths["schema"]).writeStream.format("json").option("path", paths["lines"])
+         .option("checkpointLocation", _checkpointed(paths, "lines")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return paths
-
-
-def running_status(spark: SparkSession, status_path: str) -> DataFrame:
-    """Status rows (per batch and scan) with the running totals written with them."""
-    return spark.read.parquet(status_path).select("scan_id", "pages", "findings", "pages_total", "findings_total")
+    return paths["lines"]
 
 
 def summary(spark: SparkSession, paths: dict) -> DataFrame:
-    """Summary only: totals over the sinks once the stream has ended (two
-    one-row aggregates put side by side)."""
-    st = spark.read.parquet(paths["status"]).agg(
-        F.sum("pages").alias("pages_total"), F.sum("findings").alias("findings_raw"))
-    stored = spark.read.parquet(paths["store"]).agg(F.count(F.lit(1)).alias("findings_stored"))
+    """Summary only: totals of the latest status and of the store (two one-row
+    aggregates put side by side)."""
+    status = running_status(spark, paths["status"]).agg(F.sum("pages").alias("pages_total"), F.sum("findings").alias("findings_raw"))
+    stored = FindingsStore(spark, paths["store"]).read().agg(F.count(F.lit(1)).alias("findings_stored"))
     key = F.lit(1).alias("_one")
-    return st.select(key, "*").join(stored.select(key, "*"), "_one").drop("_one")
+    return status.select(key, "*").join(stored.select(key, "*"), "_one").drop("_one")
