@@ -1,7 +1,7 @@
 import random
 import re
 import time
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
@@ -129,6 +129,28 @@ def test_robots_first_rule_wins(spark):
     assert got == {"http://h.x/en/12", "http://h.x/fr/", "http://o.x/en/2"}
 
 
+def test_long_robots_files(spark):
+    """Bisection against the first rule that fits, and time that does not follow the rules."""
+    rng = random.Random(3)
+    path = lambda: "/" + "".join(rng.choice("ab/é?") for _ in range(rng.randrange(0, 9)))
+
+    def verdicts(rules, urls):
+        df = spark.createDataFrame([("h.x", n, allow, p) for n, (allow, p) in enumerate(rules)], "authority string, line_no int, allow boolean, path_prefix string")
+        began = time.time()
+        got = Counter(r.dst for r in L.robots_filter(urls, df).collect())
+        return got, time.time() - began
+
+    paths = [path() for _ in range(3000)]
+    urls = spark.createDataFrame([(f"http://h.x{p}#f",) for p in paths] + [("http://other.x/a",)], "dst string").repartition(4).cache()
+    took = {}
+    for n in (5, 300, 300, 10_000):
+        rules = [(rng.random() < 0.4, path() if n < 10_000 else f"{path()}{rng.randrange(10 ** 6)}" if rng.random() < 0.9 else path()) for _ in range(n)]
+        got, took[n] = verdicts(rules, urls)
+        want = Counter(f"http://h.x{p}#f" for p in paths if next((a for a, x in rules if p.startswith(x)), True))
+        assert got == want + Counter(["http://other.x/a"])
+    assert took[10_000] < 3 * took[300] + 3
+
+
 def bfs(edges, stored, seed, max_depth, max_pages):
     """The original's queue loop."""
     out, visited, q = [], set(), deque([(seed, 0)])
@@ -161,3 +183,24 @@ def test_crawl_matches_queue_bfs(spark):
         assert got == sorted(bfs(edges, stored, "u1", depth, cap)), (depth, cap)
     whole = sorted((r.url, r.depth, r.visit_ord, r.fetched) for r in CR.reach(spark, st, e, ["u1"], 4, None).collect())
     assert whole == sorted(bfs(edges, stored, "u1", 4, 10**9))
+
+
+def test_a_level_has_the_same_joins_at_any_depth(spark):
+    """A chain of pages: depth 10 plans as many joins for a level as depth 2."""
+    edges = spark.createDataFrame([(f"u{i}", f"u{i + 1}", 0) for i in range(12)] + [(f"u{i}", "u0", 1) for i in range(12)],
+                                  "src_url string, dst_url string, ord int")
+    stored = spark.createDataFrame([(f"u{i}",) for i in range(13)], "url string")
+    plans, kept = [], CR.next_level
+
+    def seen(e, level, visited):
+        out = kept(e, level, visited)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    CR.next_level = seen
+    try:
+        got = [(r.url, r.depth, r.visit_ord) for r in CR.reach(spark, stored, edges, ["u0"], 10, None).orderBy("visit_ord").collect()]
+    finally:
+        CR.next_level = kept
+    assert got == [(f"u{i}", i, i + 1) for i in range(11)]
+    assert len(plans) == 10 and {p.count("Join ") for p in plans} == {2}

@@ -225,20 +225,42 @@ def dedupe_links(links: DataFrame) -> DataFrame:
             .select("page_id", "url", "dst", "p.rank", "p.ord"))
 
 
+#: rules of an authority up to which they are tried one after the other
+FEW_RULES = 16
+
+
+def _rule_found_sql(key: str) -> str:
+    """Place of ``key`` among the sorted prefixes (or where it would be), by bisection."""
+    middle = "CAST((b.lo + b.hi) div 2 AS INT)"
+    step = (f"CASE WHEN b.lo >= b.hi THEN b WHEN get(_rules, {middle}).prefix < {key} "
+            f"THEN named_struct('lo', {middle} + 1, 'hi', b.hi) ELSE named_struct('lo', b.lo, 'hi', {middle}) END")
+    steps = "sequence(1, CAST(ceil(log2(size(_rules) + 1)) AS INT) + 1)"
+    return f"aggregate({steps}, named_struct('lo', 0, 'hi', size(_rules)), (b, s) -> {step}, b -> b.lo)"
+
+
 def robots_filter(urls: DataFrame, robots: DataFrame, url_col: str = "dst") -> DataFrame:
     """Drop URLs disallowed for ``*``: rules of the URL's authority in file
     order, the first whose prefix starts the path (+ query) decides; no
     matching rule (or no robots rows) = allowed.
 
-    Rules are gathered per authority into one array (a robots file is a file
-    of one site), so each URL is decided in-row after one join on authority;
-    the planner broadcasts a small rule side and splits a hot authority.
+    Rules are gathered per authority (a robots file is a file of one site),
+    sorted by prefix, each prefix with its first line, so each URL is decided
+    in-row after one join on authority; the planner broadcasts a small rule side
+    and splits a hot authority. In a long file the URL's beginnings, of the
+    lengths that prefixes have, are looked up by bisection: the time grows with
+    the lengths and the logarithm of the rules, not with the rules.
     """
-    per_auth = robots.groupBy("authority").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "allow", "path_prefix"))).alias("rules"))
+    first = robots.groupBy("authority", "path_prefix").agg(F.min(F.struct("line_no", "allow")).alias("_first"))
+    per_auth = first.groupBy(F.col("authority").alias("_rule_auth")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("path_prefix").alias("prefix"), "_first.line_no", "_first.allow"))).alias("_rules"),
+        F.collect_set(F.length("path_prefix")).alias("_lengths"))
     pathq = F.expr(f"regexp_extract({url_col}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)")
     u = urls.withColumn("_auth", authority(url_col)).withColumn("_pq", pathq)
-    j = u.join(per_auth, u["_auth"] == per_auth["authority"], "left")
-    verdict = F.expr("try_element_at(filter(rules, r -> startswith(_pq, r.path_prefix)), 1).allow")
+    j = u.join(per_auth, u["_auth"] == per_auth["_rule_auth"], "left")
+    line = "named_struct('line_no', r.line_no, 'allow', r.allow)"
+    each = f"array_min(transform(filter(_rules, r -> startswith(_pq, r.prefix)), r -> {line}))"
+    at = let("left(_pq, l)", "_key", let(f"get(_rules, {_rule_found_sql('_key')})", "r", f"CASE WHEN r.prefix = _key THEN {line} END"))
+    looked_up = f"array_min(transform(filter(_lengths, l -> l <= length(_pq)), l -> {at}))"   # nulls, prefixes that are no rule, don't count
+    verdict = F.expr(f"(CASE WHEN size(_rules) <= {FEW_RULES} THEN {each} ELSE {looked_up} END).allow")
     return (j.withColumn("_allow", F.coalesce(verdict, F.lit(True)))
-            .filter("_allow").drop("_auth", "_pq", "authority", "rules", "_allow"))
+            .filter("_allow").drop("_auth", "_pq", "_rule_auth", "_rules", "_lengths", "_allow"))

@@ -782,6 +782,19 @@ def q_robots_filter(spark, sf_dir):
     return L.robots_filter(q_link_dedupe(spark, sf_dir), FX.robots_rows(spark, sf_dir))
 
 
+_memo_links = _memo(q_link_dedupe)
+
+
+@register("robots_filter_many", f"WITH d AS ({O.deduped_duck(AUG_SQL)}), rb AS ({FX.many_rules_sql('d')}) "
+                                f"SELECT d.* FROM d WHERE {O.allowed_duck('d.dst', 'rb')}")
+def q_robots_filter_many(spark, sf_dir):
+    """Deduped links under robots files of as many rules as their host has links."""
+    links = _memo_links(spark, sf_dir)
+    view = "tm_rule_links"
+    links.createOrReplaceTempView(view)
+    return L.robots_filter(links, spark.sql(FX.many_rules_sql(view)))
+
+
 # the crawl: from the first allowed page of the host with most pages, over the
 # links of the stored pages, with a cap that the host's pages exceed
 CRAWL_DEPTH, CRAWL_PAGES = 3, 40

@@ -253,6 +253,16 @@ def robots_rows_sql() -> str:
             f"JOIN (VALUES {vals}) r(k, line_no, allow, path_prefix) ON r.k = length(a.authority) % 3")
 
 
+def many_rules_sql(links: str) -> str:
+    """Long robots files, from links (page_id, ord, rank, dst): each link gives its
+    host a rule, for the beginning of its path. Same text in both engines."""
+    n = "(page_id * 31 + rank * 7 + ord)"
+    path = "regexp_extract(dst, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)"
+    return (f"SELECT regexp_extract(dst, {AUTH_RX_SQL}, 1) AS authority, CAST(row_number() OVER (PARTITION BY "
+            f"regexp_extract(dst, {AUTH_RX_SQL}, 1) ORDER BY {n} % 1009, page_id, rank, ord) AS INTEGER) AS line_no, "
+            f"{n} % 3 = 0 AS allow, substr({path}, 1, CAST(2 + {n} % 14 AS INTEGER)) AS path_prefix FROM {links}")
+
+
 # links between stored pages (those whose URL a crawl can reach, without a
 # fragment): each gets anchors to the two next pages of its host, by page_id,
 # and the last ones to the host's first (cycles)
