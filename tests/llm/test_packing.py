@@ -18,12 +18,21 @@ PATH = P.path("byte_bpe_50k.json")
 
 def plain_ids(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
+
+
+def test_special_strings_are_tokens():
+    assert packing.encoder(PATH)(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n ", "a", " b", "é"]), max_size=12))
+def test_engines_agree_around_special_strings(parts):
+    text = "".join(parts)
+    assert packing.encoder(PATH)([text])[0] == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)

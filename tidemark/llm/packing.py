@@ -15,11 +15,12 @@ size depends on the number of distinct lengths, not on the documents.
 On the cluster: one narrow pass tokenises whole texts into piece rows (written
 to the shared folder), one aggregation makes the histogram, and one window
 numbers the pieces of each length. A length that many documents share (groups
-of copies) is salted: pieces are numbered inside (length, salt) and the salts'
-offsets come from their counts. Every task then looks up its pieces' steps.
+of copies, or one row repeated) is salted by the row's number: pieces are
+numbered inside (length, salt) and the salts' offsets come from their counts. Every task then looks up its pieces' steps.
 
 Edge cases: a null or empty text is one piece holding only the end id; a text
-longer than the capacity is cut into full pieces with the shorter one first;
+longer than the capacity is cut into full pieces with the shorter one first; a
+special token's string in a text is that token, as the tokenizer reads it;
 repeated rows are packed as often as they occur; a null id is kept; columns
 other than id and text are not read; an empty table packs into nothing.
 """
@@ -59,7 +60,8 @@ def byte_ranks(path: str) -> tuple[dict[bytes, int], str] | None:
     model, pre = spec["model"], spec["pre_tokenizer"] or {}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     if (spec["normalizer"], pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) != (None, "ByteLevel", False, True) or any(
-            model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+            model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or any(
+            t[side] for t in spec["added_tokens"] for side in ("lstrip", "rstrip", "single_word")):
         return None
     # the byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for U+0100 on
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -69,27 +71,44 @@ def byte_ranks(path: str) -> tuple[dict[bytes, int], str] | None:
     return {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}, BYTE_LEVEL
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that the file takes for tokens of their own, longest first."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    return {t["content"]: t["id"] for t in sorted(added, key=lambda t: -len(t["content"]))}
+
+
 #: the split pattern of byte-level pre-tokenizers (a fixed value)
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Texts to ids, special tokens' strings being ordinary text. The rank-based
-    engine takes a quarter of the time; texts with very long white space, on
-    which its pattern engine fails, and other files take the file's own one."""
+    """Texts to the ids that the file's own engine gives, special tokens' strings
+    being those tokens. The rank-based engine takes a quarter of the time: a text
+    is cut at special strings, and what is between them goes through it. Texts
+    with very long white space, on which its pattern engine fails, and other
+    files take the file's own one."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
         ranks = byte_ranks(path)
         if ranks:
             import tiktoken
             fast = tiktoken.Encoding("file", pat_str=ranks[1], mergeable_ranks=ranks[0], special_tokens={})
+            special = added_tokens(path)
+            cuts = re.compile("|".join(f"({re.escape(s)})" for s in special)) if special else None
+
+        def between(text: str) -> list[int]:
+            out, at = [], 0
+            for m in cuts.finditer(text):
+                out += [*fast.encode_ordinary(text[at:m.start()]), special[m.group()]]
+                at = m.end()
+            return out + fast.encode_ordinary(text[at:])
 
         def run(texts: list[str]) -> list[list[int]]:
-            return [fast.encode_ordinary(t) if ranks and not _long_space.search(t)
-                    else own.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts]
+            return [own.encode_batch_fast([t], add_special_tokens=False)[0].ids if not ranks or _long_space.search(t)
+                    else between(t) if cuts and cuts.search(t) else fast.encode_ordinary(t) for t in texts]
 
         _encoders[path] = run
     return _encoders[path]
@@ -191,20 +210,20 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def numbered(found: DataFrame, total: int) -> DataFrame:
-    """Adds ``rank``: 0, 1, 2, ... among the pieces of each length."""
+    """Adds ``rank``: 0, 1, 2, ... among the pieces of each length; ``row`` numbers the rows, with gaps."""
     salts = 1 + math.isqrt(total)  # as many pieces of one length in a group as groups, at most
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = found.withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = W.partitionBy("length", "salt").orderBy("row")
     return (salted.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["length", "salt"])
             .withColumn("rank", F.col("before") + F.col("r")).drop("salt", "r", "before"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, **names: str) -> DataFrame:
     """Each piece's row with its ``sequence_id`` and ``offset``."""
-    found = written(pieces(docs, tokenizer, capacity, **names), "pieces")
+    found = written(pieces(docs, tokenizer, capacity, **names).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     steps = sorted(plan(histogram, capacity))
     table = np.array(steps, dtype=np.int64).reshape(-1, 5)
