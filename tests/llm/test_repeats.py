@@ -129,6 +129,37 @@ def test_equal_windows_choose_alike(kind):
     assert all(len(w) == 1 for w in wholes.values())
 
 
+@pytest.mark.parametrize("own", [None, 7], ids=["null ids", "one id"])
+def test_many_texts_of_one_id(spark, own):
+    """20,000 documents share an id, passages of theirs repeat: each is its own document."""
+    rng = random.Random(9)
+    vocab = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in ("n", "rs", "lt")]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passages = [say(24) for _ in range(300)]
+    texts = []
+    for _ in range(20_000):
+        w = say(rng.randrange(3, 30))
+        if rng.random() < 0.3:
+            w[len(w) // 2:0] = rng.choice(passages)
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(own, t) for t in texts], "doc_id long, text string").repartition(6)
+    prints = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    # brute force: documents are ordered by their text's hash
+    ranked = sorted(set(texts), key=lambda t: prints[t])
+    as_rows = [(n, t) for n, t in enumerate(ranked)]
+    copies = Counter(texts)
+    want = Counter()
+    for (n, _, gone, sha), c in brute_words(as_rows, 20).items():
+        want[len(ranked[n].split()), gone, sha] += c * copies[ranked[n]]
+    got = Counter((r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeated_words(df).collect())
+    assert got == want
+    got = Counter(tuple(r)[1:] for r in suffix.remove_repeated_bytes(df, 60).collect())
+    want = Counter()
+    for k, c in brute_bytes([(n, t) for n, t in enumerate(texts)], 60).items():
+        want[k[1:]] += c
+    assert got == want
+
+
 def test_folding_keeps_the_answer(spark, monkeypatch):
     """A key with many wholes is spread, marked, and still resolved."""
     folder = repeats.Folder()
@@ -136,7 +167,7 @@ def test_folding_keeps_the_answer(spark, monkeypatch):
     n = 5000
     key = np.where(rng.random(n) < 0.5, 7, rng.integers(0, 50, n) + 100).astype(np.uint64)
     whole = rng.integers(0, 900, n).astype(np.uint64)
-    list(folder.add(key, whole, rng.integers(0, 40, n), rng.integers(0, 9, n), np.ones(n, dtype=np.int64)))
+    list(folder.add(key, whole, rng.integers(0, 40, n), rng.integers(0, 3, n), rng.integers(0, 9, n), np.ones(n, dtype=np.int64)))
     out = folder.flush().to_pydict()
     flags = Counter(out["flags"])
     assert flags[repeats.MARKER] == 1 and flags[repeats.SPREAD_FLAG] > 64 and sum(out["n"]) == n

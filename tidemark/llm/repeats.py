@@ -21,7 +21,9 @@ Spark's own spilling windows, and nothing reaches the driver.
 
 Identity: a null id counts as the least one. Rows that repeat an id and its text
 are one document at one place; rows with one id and different texts are
-ordered by a hash of the text.
+different documents, ordered by a hash of the text. A document is known by its
+id and 87 bits of two hashes of its text (``print``, and the upper bits of
+``place``), so any number of rows may share an id.
 """
 from __future__ import annotations
 
@@ -42,16 +44,16 @@ from .store import written
 FOLD = 500_000
 #: different wholes of one key among them from which the key is spread
 SPREAD = 64
-#: bits of a place that hold a window's start; the rest identifies the text
+#: bits of a place that hold a window's start; the rest holds a second hash of the text
 START_BITS = 40
 _LOW = (1 << START_BITS) - 1
 TOLD, MARKER, SPREAD_FLAG = 1, 2, 4
 
-ROWS = "key long, whole long, id long, place long, count int, n long, flags int"
+ROWS = "key long, whole long, id long, print long, place long, count int, n long, flags int"
 
 
 class Folder:
-    """Collects rows (key, whole, id, place, count) and folds equal (key, whole)."""
+    """Collects rows (key, whole, id, print, place, count) and folds equal (key, whole)."""
 
     def __init__(self) -> None:
         self.held: list[tuple[np.ndarray, ...]] = []
@@ -68,17 +70,17 @@ class Folder:
             yield self.flush()
 
     def flush(self) -> pa.RecordBatch:
-        key, whole, ids, place, count = (np.concatenate(c) for c in zip(*self.held))
+        key, whole, ids, prints, place, count = (np.concatenate(c) for c in zip(*self.held))
         self.held, self.size = [], 0
-        order = np.lexsort((place, ids, whole, key))
-        key, whole, ids, place, count = (c[order] for c in (key, whole, ids, place, count))
+        order = np.lexsort((place, prints, ids, whole, key))
+        key, whole, ids, prints, place, count = (c[order] for c in (key, whole, ids, prints, place, count))
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(key)))
         own = np.repeat(first, n)  # the first of each row's group
         # others at another place than the first are repeats of it; the same place again is the same window
-        told = (~new) & ((ids != ids[own]) | (place != place[own]))
+        told = (~new) & ((ids != ids[own]) | (prints != prints[own]) | (place != place[own]))
         flags = np.where(told, TOLD, 0)
         sent = new | told
         many = np.zeros(len(key), dtype=np.int64)
@@ -89,20 +91,20 @@ class Folder:
         spread = new & np.isin(key, hot)
         flags[spread] = SPREAD_FLAG
         key = np.where(spread, tx.mix(key ^ tx.mix(whole)), key)
-        key = np.where(told, tx.mix(ids.astype(tx.U64) ^ tx.mix(place.astype(tx.U64) + tx.U64(1))), key)  # goes anywhere
+        key = np.where(told, tx.mix(ids.astype(tx.U64) ^ tx.mix(prints.astype(tx.U64) + tx.mix(place.astype(tx.U64) + tx.U64(1)))), key)  # goes anywhere
         zeros = np.zeros(len(hot), dtype=np.int64)
         columns = [np.append(key[sent], hot).view(np.int64), np.append(whole[sent], hot).view(np.int64), np.append(ids[sent], zeros),
-                   np.append(place[sent], zeros), np.append(count[sent], zeros).astype(np.int32), np.append(many[sent], zeros),
+                   np.append(prints[sent], zeros), np.append(place[sent], zeros), np.append(count[sent], zeros).astype(np.int32), np.append(many[sent], zeros),
                    np.append(flags[sent], zeros + MARKER).astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in ROWS.split(", ")])
 
 
 def resolved(rows: DataFrame, first_stays: bool) -> DataFrame:
-    """Folded rows -> (id, place, count, covered, mixed): rows whose windows are repeats, and rows to look into."""
+    """Folded rows -> (id, print, place, count, covered, mixed): rows whose windows are repeats, and rows to look into."""
     real = F.col("flags") != MARKER
-    inside = W.partitionBy("key", "whole").orderBy("flags", "id", "place")
+    inside = W.partitionBy("key", "whole").orderBy("flags", "id", "print", "place")
     every = W.partitionBy("key")
-    here = F.struct("id", "place")
+    here = F.struct("id", "print", "place")
     # the window by key alone comes first: its shuffle serves the finer ones too
     judged = (rows.withColumn("marked", F.max((F.col("flags") >= MARKER).cast("int")).over(every))
               .withColumn("rank", F.row_number().over(inside)).withColumn("first", F.first(here).over(inside))
@@ -112,21 +114,22 @@ def resolved(rows: DataFrame, first_stays: bool) -> DataFrame:
     later = here != F.col("first")
     covered = told | (later if first_stays else F.col("n") > 1)
     mixed = ~told & ~later & ((F.col("wholes") > 1) | (F.col("marked") == 1))
-    return (judged.where(real).select("id", "place", "count", covered.alias("covered"), mixed.alias("mixed"))
+    return (judged.where(real).select("id", "print", "place", "count", covered.alias("covered"), mixed.alias("mixed"))
             .where("covered or mixed"))
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, id, print, text): id without nulls, print the text's part of a place."""
+    """(doc_id, id, print, tag, text): id without nulls, print and tag two hashes of the text, tag a place's part."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
-                       F.xxhash64(text_col).bitwiseAND(F.lit((1 << 63 - START_BITS) - 1)).alias("print"), F.col(text_col).alias("text"))
+                       F.xxhash64(text_col).alias("print"), F.hash(text_col).bitwiseAND(F.lit((1 << 63 - START_BITS) - 1)).cast("long").alias("tag"),
+                       F.col(text_col).alias("text"))
 
 
 def with_rows(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Each text's row with the starts and counts of its rows (null: none)."""
-    lists = (rows.select("id", F.shiftright("place", START_BITS).alias("print"), F.col("place").bitwiseAND(F.lit(_LOW)).alias("start"), "count")
-             .groupBy("id", "print").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts")))
-    return texts.join(lists, ["id", "print"], "left")
+    lists = (rows.select("id", "print", F.shiftright("place", START_BITS).alias("tag"), F.col("place").bitwiseAND(F.lit(_LOW)).alias("start"), "count")
+             .groupBy("id", "print", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts")))
+    return texts.join(lists, ["id", "print", "tag"], "left")
 
 
 def listed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +140,7 @@ def listed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def repeated(docs: DataFrame, units: Callable, chooser: object, first_stays: bool, id_col: str, text_col: str) -> DataFrame:
-    """Each document (doc_id, id, print, text) with ``starts`` and ``counts`` of its covered windows.
+    """Each document (doc_id, text) with ``starts`` and ``counts`` of its covered windows.
 
     units: Arrow texts -> (flat unit values, offsets). first_stays: the first occurrence, by id and place, is no repeat.
     """
@@ -146,32 +149,32 @@ def repeated(docs: DataFrame, units: Callable, chooser: object, first_stays: boo
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder()
         for part in tx.slices(batches):
-            values, off = units(part.column(2))
-            ids, prints = part.column(0).to_numpy(), part.column(1).to_numpy()
+            values, off = units(part.column(3))
+            ids, prints, tags = (part.column(i).to_numpy() for i in range(3))
             r: Runs = chooser.runs(values, off)[0]
-            place = (prints[r.doc] << START_BITS) | (r.start - off[r.doc])
-            yield from folder.add(r.key, r.whole, ids[r.doc], place, r.count)
+            place = (tags[r.doc] << START_BITS) | (r.start - off[r.doc])
+            yield from folder.add(r.key, r.whole, ids[r.doc], prints[r.doc], place, r.count)
         yield from folder.rest()
 
-    runs = written(resolved(texts.select("id", "print", "text").mapInArrow(ask, ROWS), first_stays), "runs")
+    runs = written(resolved(texts.select("id", "print", "tag", "text").mapInArrow(ask, ROWS), first_stays), "runs")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder()
         for part in tx.slices(batches):
-            values, off = units(part.column(2))
-            ids, prints = part.column(0).to_numpy(), part.column(1).to_numpy()
+            values, off = units(part.column(3))
+            ids, prints, tags = (part.column(i).to_numpy() for i in range(3))
             doc, start, count = listed(part)
             first = np.cumsum(count) - count
             doc = np.repeat(doc, count)
             start = np.repeat(start - first, count) + np.arange(int(count.sum()))
             flat = start + off[doc]
             names, others = (tx.Prints(values, seed).of(flat, flat + chooser.length) for seed in (0, 1))
-            yield from folder.add(names, others, ids[doc], (prints[doc] << START_BITS) | start, np.ones(len(doc), dtype=np.int64))
+            yield from folder.add(names, others, ids[doc], prints[doc], (tags[doc] << START_BITS) | start, np.ones(len(doc), dtype=np.int64))
         yield from folder.rest()
 
-    marked = with_rows(texts.select("id", "print", "text"), runs.where("mixed")).where("starts is not null")
-    windows = written(resolved(marked.select("id", "print", "text", "starts", "counts").mapInArrow(look, ROWS), first_stays).where("covered"), "windows")
-    covered = runs.where("covered").select("id", "place", "count").unionByName(windows.select("id", "place", "count"))
+    marked = with_rows(texts.select("id", "print", "tag", "text"), runs.where("mixed")).where("starts is not null")
+    windows = written(resolved(marked.select("id", "print", "tag", "text", "starts", "counts").mapInArrow(look, ROWS), first_stays).where("covered"), "windows")
+    covered = runs.where("covered").select("id", "print", "place", "count").unionByName(windows.select("id", "print", "place", "count"))
     return with_rows(texts, covered).select("doc_id", "text", "starts", "counts")
 
 
