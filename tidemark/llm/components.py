@@ -2,9 +2,11 @@
 
 Alternating large and small stars: in each round every node sends its
 neighbours to the least node it knows, until the edges are stars. Minima are
-aggregated before the shuffle and joined back, so a node with very many
-neighbours is never gathered; each round's edges are written to the shared
-folder, which also cuts the lineage. Only two numbers a round reach the driver.
+aggregated before the shuffle and joined back. A node with more than
+``1 / HOT`` of all edges is one of at most ``HOT``: the minima of those are sent
+to the tasks, so no task gathers a centre's edges. Each half round is written
+to the shared folder, which also cuts the lineage. Only two numbers a round
+reach the driver.
 """
 from __future__ import annotations
 
@@ -13,11 +15,19 @@ from pyspark.sql import functions as F
 
 from .store import written
 
+#: nodes that may be hot at once, and the least edges of such a node
+HOT, HOT_EDGES = 1000, 100
 
-def _star(pairs: DataFrame, small: bool) -> DataFrame:
-    """pairs (u, v): v goes to the least of u's neighbourhood. Large star: for each v > u; small star: for v < u, and u itself."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    sent = pairs.join(least, "u")
+
+def _star(pairs: DataFrame, total: int, small: bool) -> DataFrame:
+    """pairs (u, v), at most ``total``: v goes to the least of u's neighbourhood. Large star: for each v > u; small star: for v < u, and u itself."""
+    found = pairs.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("m"), "n")
+    least = written(found, "minima")
+    # n > total / HOT holds for fewer than HOT nodes
+    hot = least.where(F.col("n") > max(HOT_EDGES, total // HOT)).select("u", F.col("m").alias("hot"))
+    seen = pairs.join(F.broadcast(hot), "u", "left")
+    sent = (seen.where("hot is not null").select("u", "v", F.col("hot").alias("m"))
+            .unionByName(seen.where("hot is null").select("u", "v").join(least.select("u", "m"), "u")))
     if small:
         out = sent.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
@@ -35,6 +45,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         before = tuple(sums)
         mirrored = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = written(_star(_star(mirrored, small=False), small=True), name)
+        large = written(_star(mirrored, 2 * sums[0], small=False), name)
+        now = written(_star(large, sums[0], small=True), name)
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
