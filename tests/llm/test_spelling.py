@@ -125,9 +125,18 @@ def test_near_words_always_meet(made):
     rows = [r for b in run([batch]) for r in b.to_pylist()]
     pivot, prefix = defaultdict(set), defaultdict(set)
     for r in rows:
-        (pivot if r["pivot"] else prefix)[r["gram"], r["place"], r["length"]].add(r["word"])
-    met = {frozenset((a, b)) for k in pivot for a in pivot[k] for b in prefix.get(k, ()) if a != b}
+        (pivot if r["pivot"] else prefix)[r["key"]].add((r["word"], r["letters"]))
+    met = {frozenset((a, b)) for k in pivot for a, x in pivot[k] for b, y in prefix.get(k, ()) if a != b and ((x ^ y) & (2 ** 64 - 1)).bit_count() <= 2}
     assert all(frozenset((a, b)) in met for a in words for b in words if one_edit(a, b))
-    for w in words:
-        mine = {r["place"] for r in rows if r["word"] == w and r["pivot"] and r["length"] == len(w)}
-        assert len(mine) == 2 and max(mine) - min(mine) >= 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 9)), min_size=3, max_size=7))
+def test_pivots_are_the_lightest_without_overlap(made):
+    places = np.cumsum([g for g, _ in made[:3]] + [1 + g for g, _ in made[3:]]) + np.arange(len(made))
+    grams = [(int(p), w) for p, (_, w) in zip(places, made)]
+    pairs = [(grams[i][1] + grams[j][1], i, j) for i in range(len(grams)) for j in range(i) if grams[i][0] - grams[j][0] >= S.GRAM]
+    if pairs:
+        chosen = S.pivots(grams)
+        assert len(chosen) == 2 and grams[chosen[1]][0] - grams[chosen[0]][0] >= S.GRAM
+        assert sum(grams[k][1] for k in chosen) == min(pairs)[0]

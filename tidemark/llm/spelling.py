@@ -7,10 +7,15 @@ rarity in the vocabulary. A word's prefix is its three rarest bigrams (and any
 equal to the third); its pivots are the two prefix bigrams without overlap whose
 lists are shortest together, chosen by dynamic programming. Of two near words,
 the one whose prefix ends earlier in the order has a pivot in the other's
-prefix, moved by no place if the lengths agree and by none or one towards the
-longer word else. So pivots, written once for each length and place they may be
-met at, are joined with the prefixes by equality, in both directions at once,
-and the candidates are verified by their edit distance.
+prefix, untouched. The edit is then on one side of it: up to the pivot's end, or
+from its beginning on, the words agree, which also fixes the place at which it
+is met for each length that the other word may have. (Where few letters agree so,
+one half of the rest is asked to agree too: the edit is in the other.) So
+pivots, written once for each side and length, are joined with the prefix grams
+by equality of what agrees, place and length, in both directions at once.
+Candidates whose letters
+differ in more than two (as 64-bit sets) are passed over, the others verified by
+their edit distance.
 
 Plan: one narrow pass counts words (folded in each task, then by Spark's partial
 aggregation, so a word in a third of all rows sends one row a fold). The
@@ -34,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +55,11 @@ DAMAGE = 97
 #: edits that one link allows, code points of a gram
 EDITS, GRAM = 1, 2
 PREFIX, PIVOTS = GRAM * EDITS + 1, EDITS + 1
+#: letters that agree up to which half of the rest is asked to
+FEW = 4
 #: distinct words that a task folds before it sends them
 FOLD = 200_000
-#: bytes of a run that is hashed along with the others
+#: bytes of a run that is hashed along with the others, and letters of a word whose parts are
 SHORT = 64
 
 _ASCII = np.zeros(256, dtype=bool)
@@ -156,9 +164,57 @@ def pivots(grams: list[tuple[int, int]]) -> list[int]:
     return list(best[-1][PIVOTS][1])
 
 
+def _letter_set(word: str) -> int:
+    """64 bits, one for each letter (some share one): an edit changes two at most."""
+    bits = 0
+    for c in set(word):
+        bits |= 1 << (ord(c) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+class _Sides:
+    """Keys by which the word ``a`` that a pivot is taken from meets ``b``. The edit is after the pivot, and all up to
+    the pivot's end agrees, or before it, and all from its beginning on does. What agrees is the key; where it has
+    few letters, half of the rest agrees besides, the half that the edit isn't in. Keys only propose: what meets is
+    verified."""
+
+    def __init__(self, word: str) -> None:
+        self.word = word
+        self.prints: tx.Prints | None = None
+
+    def _part(self, start: int, end: int, size: int) -> str:
+        if size <= SHORT:
+            return self.word[start:end]
+        if self.prints is None:  # a long word's parts are named in constant time
+            self.prints = tx.Prints(np.frombuffer(self.word.encode("utf-32-le"), dtype=np.uint32))
+        return str(self.prints.of(np.array([start]), np.array([end]))[0])
+
+    def keys(self, place: int, b: int, lengths: tuple[int, ...]) -> Iterator[int]:
+        """For a gram of this word: b is the length of the word to be met, lengths are those that a may have."""
+        word, size = self.word, len(self.word)
+        n, k = place + GRAM, size - place  # letters up to the gram's end, and from its beginning on
+        if n > FEW:
+            yield _key(f"{b}<{self._part(0, n, b)}")
+        if k > FEW:
+            yield _key(f"{b}>{self._part(place, size, b)}")
+        for a in lengths:
+            if n <= FEW:
+                half = (a - n) // 2
+                yield _key(f"{b},{a}<1{word[:n + half]}")
+                yield _key(f"{b},{a}<2{word[:n]}<{word[size - (a - n - half):]}")
+            if k <= FEW:
+                half = (a - k) // 2
+                yield _key(f"{b},{a}>1{word[:half]}>{word[place:]}")
+                yield _key(f"{b},{a}>2{word[size - (a - half):]}")
+
+
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def _indexed(weights: dict[str, int]):
-    """Rows of the gram index: ``pivot`` rows for each (length, place) at which a near word may hold the gram, and prefix rows."""
-    schema = "gram string, place int, length int, pivot boolean, word string, n long"
+    """Rows of the gram index: ``pivot`` rows for each side and length at which a near word may hold the gram, and prefix rows."""
+    schema = "key long, pivot boolean, word string, n long, letters long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,12 +224,12 @@ def _indexed(weights: dict[str, int]):
                 grams = [word[i:i + GRAM] for i in range(size - GRAM + 1)]
                 ranked = sorted((weights[g], g) for g in grams)
                 last = ranked[min(PREFIX, len(ranked)) - 1]
-                prefix = [(i, g) for i, g in enumerate(grams) if (weights[g], g) <= last]
-                out += [(g, i, size, False, word, n) for i, g in prefix]
-                for k in pivots([(i, weights[g]) for i, g in prefix]):
-                    i, g = prefix[k]
-                    out += [(g, i + moved, size + longer, True, word, n)
-                            for longer, moves in ((0, (0,)), (1, (0, 1)), (-1, (0, -1))) for moved in moves]
+                prefix = [(i, weights[g]) for i, g in enumerate(grams) if (weights[g], g) <= last]
+                chosen = [prefix[k][0] for k in pivots(prefix)]
+                sides, held = _Sides(word), _letter_set(word)
+                lengths = tuple(a for a in (size - 1, size, size + 1) if a >= LEAST_LENGTH)
+                out += [(key, False, word, n, held) for key in {k for i, _ in prefix for k in sides.keys(i, size, lengths)}]
+                out += [(key, True, word, n, held) for key in {k for i in chosen for b in lengths for k in sides.keys(i, b, (size,))}]
                 if len(out) > 100_000:
                     yield packed(out)
                     out = []
@@ -181,8 +237,8 @@ def _indexed(weights: dict[str, int]):
                 yield packed(out)
 
     def packed(out: list) -> pa.RecordBatch:
-        types = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["gram", "place", "length", "pivot", "word", "n"])
+        types = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["key", "pivot", "word", "n", "letters"])
 
     return run, schema
 
@@ -194,9 +250,10 @@ def near_words(words: DataFrame) -> DataFrame:
     weights = {r.gram: r.n for r in grams.groupBy("gram").agg(F.count("*").alias("n")).collect()}
     run, schema = _indexed(weights)
     index = written(words.select("word", "n").mapInArrow(run, schema), "grams")
-    left = index.where("pivot").select("gram", "place", "length", F.col("word").alias("a"), F.col("n").alias("n_a"))
-    right = index.where("not pivot").select("gram", "place", "length", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    close = left.join(right, ["gram", "place", "length"]).where("a != b").where(F.levenshtein("a", "b", EDITS) == EDITS)
+    left = index.where("pivot").select("key", F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("letters").alias("l_a"))
+    right = index.where("not pivot").select("key", F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("letters").alias("l_b"))
+    alike = F.bit_count(F.col("l_a").bitwiseXOR(F.col("l_b"))) <= 2 * EDITS
+    close = left.join(right, "key").where(alike).where("a != b").where(F.levenshtein("a", "b", EDITS) == EDITS)
     swap = F.col("a") > F.col("b")
     ordered = close.select(*(F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z)
                              for x, y, z in (("b", "a", "a"), ("n_b", "n_a", "n_a"), ("a", "b", "b"), ("n_a", "n_b", "n_b"))))
