@@ -26,8 +26,8 @@ from pyspark.sql import SparkSession
 
 from tidemark.functions.arrays import let, sql_str
 from tidemark.functions.rules import Rule, select_rules
-from tidemark.operators.scan import (context_sql, held_sql, match_columns_sql, match_sql, meta_arrays_sql, positions_sql,
-                                     total_sql)
+from tidemark.operators.scan import (around_sql, folded_sql, held_sql, match_columns_sql, match_sql, meta_arrays_sql,
+                                     positions_sql, total_sql)
 
 FIELDS = ("rule_idx INT, kit STRING, pattern STRING, category STRING, severity STRING, "
           "match_idx INT, start INT, `end` INT, match STRING, context STRING")
@@ -44,11 +44,12 @@ def scan_text_sql(rules: list[Rule], profile: str = "broad", name: str = "scan_t
         found = let("array(" + ", ".join(sql for _, sql in mcols) + ")", "_ms", found)
     found = let("lower(_t)", "_lt", found)
     meta = meta_arrays_sql(rules)
+    context = let(around_sql("f.start", "f.len", profile), "_x", folded_sql("_x", profile))
     shaped = (f"transform({found}, f -> named_struct('rule_idx', f.rule_idx, "
               f"'kit', get({meta['kit']}, f.rule_idx), 'pattern', get({meta['pattern']}, f.rule_idx), "
               f"'category', get({meta['category']}, f.rule_idx), 'severity', get({meta['severity']}, f.rule_idx), "
               f"'match_idx', f.match_idx, 'start', f.start, 'end', f.start + f.len, "
-              f"'match', {match_sql('f.start', 'f.len', profile)}, 'context', {context_sql('f.start', 'f.len', profile)}))")
+              f"'match', {match_sql('f.start', 'f.len', profile)}, 'context', {context}))")
     shaped = let(total_sql(profile), "_n", let(held_sql(profile), "_c", shaped))
     empty = "_t IS NULL" + (" OR length(_t) = 0" if profile == "broad" else "")
     body = f"CASE WHEN {empty} THEN CAST(array() AS ARRAY<STRUCT<{FIELDS}>>) ELSE {shaped} END"

@@ -37,7 +37,18 @@ from tidemark.functions.rules_data import CONTEXT_WHITESPACE, STRICT_WHITESPACE
 
 MATCH_CAP = 200       # characters (strict: bytes) of a match kept per finding
 CONTEXT_SPAN = 100    # and either side of it
-WS_RUN = {"broad": java_class(CONTEXT_WHITESPACE) + "+", "strict": java_class(STRICT_WHITESPACE) + "+"}
+
+
+def _white_run(chars: str) -> str:
+    """One or more of the characters; most texts hold no wide ones, so one look at
+    their range spares the list."""
+    narrow, wide = "".join(c for c in chars if c < "\u0100"), "".join(c for c in chars if c >= "\u0100")
+    return rf"(?:{java_class(narrow)}|(?=[\x{{{ord(min(wide)):x}}}-\x{{{ord(max(wide)):x}}}]){java_class(wide)})++"
+
+
+WS_RUN = {"broad": _white_run(CONTEXT_WHITESPACE), "strict": _white_run(STRICT_WHITESPACE)}
+# what a context without line ends must hold to need folding: two spaces, or white space (or near it) that is none
+WS_ODD = r"[\x00-\x1f\x85\xa0\x{1680}-\x{3000}]|  "
 SIZE = {"broad": "length", "strict": "octet_length"}
 
 FINDING_COLUMNS = [
@@ -120,11 +131,18 @@ def match_sql(start: str, length: str, profile: str = "broad", held: str = "_c")
     return _cut(held, start, f"least({length}, {MATCH_CAP})", profile)
 
 
-def context_sql(start: str, length: str, profile: str = "broad", held: str = "_c", total: str = "_n") -> str:
-    """The match with CONTEXT_SPAN either side, white space folded."""
+def around_sql(start: str, length: str, profile: str = "broad", held: str = "_c", total: str = "_n") -> str:
+    """The match with CONTEXT_SPAN either side."""
     low = f"greatest({start} - {CONTEXT_SPAN}, 0)"
     high = f"least({start} + {length} + {CONTEXT_SPAN}, {total})"
-    return f"trim(regexp_replace({_cut(held, low, f'({high} - {low})', profile)}, {sql_str(WS_RUN[profile])}, ' '))"
+    return _cut(held, low, f"({high} - {low})", profile)
+
+
+def folded_sql(text: str, profile: str = "broad") -> str:
+    """White space folded to single spaces and trimmed. Line ends are replaced
+    by a plain search; the pattern runs only where more is to do."""
+    flat = f"replace({text}, '\\n', ' ')"
+    return f"trim(CASE WHEN {flat} RLIKE {sql_str(WS_ODD)} THEN regexp_replace({text}, {sql_str(WS_RUN[profile])}, ' ') ELSE {flat} END)"
 
 
 def match_columns_sql(rules: list[Rule], profile: str, extra: str | None = None):
@@ -237,7 +255,8 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
         F.get(sevs, idx).alias("severity"), F.col("f.match_idx").alias("match_idx"),
         F.col("f.start").alias("start"), (F.col("f.start") + F.col("f.len")).alias("end"),
         F.expr(match_sql("f.start", "f.len", profile)).alias("match"),
-        F.expr(context_sql("f.start", "f.len", profile)).alias("context"),
+        F.expr(around_sql("f.start", "f.len", profile)).alias("context"),
         "is_javascript", *carry)
-    return out.withColumn(
+    # in a projection of its own: what is cut once is folded
+    return out.withColumn("context", F.expr(folded_sql("context", profile))).withColumn(
         "finding_hash", F.md5(F.concat(F.col("url"), F.col("pattern"), F.col("match"))))

@@ -820,9 +820,11 @@ def crawl(spark, sf_dir):
     allowed = L.robots_filter(hosts, rules, url_col="url")
     first = (hosts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(allowed.groupBy("host").agg(
         F.min_by("url", "page_id").alias("url")), "host").orderBy(F.desc("n"), "host").first())
-    links = L.dedupe_links(L.targets(L.resolved_links(L.all_links(spread(pages))), root=first.url))
+    # a crawl keeps to its root's host: no other page can be fetched, so no other page's links are read
+    own = spread(pages.filter(L.authority("url") == F.lit(first.host)))
+    links = L.dedupe_links(L.targets(L.resolved_links(L.all_links(own)), root=first.url))
     edges = links.select(F.col("url").alias("src_url"), F.col("dst").alias("dst_url"), "rank", "ord")
-    return CR.reach(spark, pages.select("url"), edges, [first.url], CRAWL_DEPTH, CRAWL_PAGES, robots=rules)
+    return CR.reach(spark, own.select("url"), edges, [first.url], CRAWL_DEPTH, CRAWL_PAGES, robots=rules)
 
 
 @register("crawl_order", f"SELECT url, depth, visit_ord FROM ({CRAWL_SQL}) WHERE fetched")
