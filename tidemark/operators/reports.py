@@ -34,9 +34,9 @@ def category_counts(findings: DataFrame) -> DataFrame:
     return c.orderBy(F.desc("count"), F.asc("category"))
 
 
-def report_summary(findings: DataFrame) -> DataFrame:
-    """One row: total, high, medium, low (zero when absent)."""
-    return findings.agg(F.count(F.lit(1)).alias("total"),
+def report_summary(findings: DataFrame, by: str | None = None) -> DataFrame:
+    """One row (or one for each value of ``by``): total, high, medium, low (zero when absent)."""
+    return findings.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("total"),
                         F.count_if(F.col("severity") == "high").alias("high"),
                         F.count_if(F.col("severity") == "medium").alias("medium"),
                         F.count_if(F.col("severity") == "low").alias("low"))

@@ -260,3 +260,13 @@ def scan(df: DataFrame, rules: list[Rule], profile: str = "broad", *,
     # in a projection of its own: what is cut once is folded
     return out.withColumn("context", F.expr(folded_sql("context", profile))).withColumn(
         "finding_hash", F.md5(F.concat(F.col("url"), F.col("pattern"), F.col("match"))))
+
+
+def failed(df: DataFrame, rejected: list[tuple[str, str]], id_col: str = "page_id", text_col: str = "body") -> DataFrame:
+    """(id, pattern, error): a row for each text that a rejected rule (name,
+    message) would have been run over. The rules are the caller's own short
+    list, so they enter as a literal array."""
+    rules = F.array(*[F.struct(F.lit(n).alias("pattern"), F.lit(m).alias("error")) for n, m in rejected]).cast(
+        "array<struct<pattern:string,error:string>>")
+    texts = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
+    return texts.select(id_col, F.explode(rules).alias("r")).select(id_col, "r.pattern", "r.error")

@@ -19,7 +19,7 @@ from tidemark.operators import headers as H
 from tidemark.operators import reports as RP
 from tidemark.operators import store as ST
 from tidemark.operators.findings_store import FindingsStore
-from tidemark.operators.scan import scan
+from tidemark.operators.scan import failed, scan
 from tidemark.plans import fixtures as FX
 from tidemark.plans import oracle as O
 from tidemark.sources.tables import bucket_table, page_columns, read_pages, read_table, spread, write_buckets
@@ -962,15 +962,22 @@ def q_rule_validation(spark, sf_dir):
     return scan(spread(read_pages(spark, sf_dir)), ok, "broad")
 
 
-@register("scan_errors", f"SELECT 'Broken Rule' AS pattern, 'rejected' AS error UNION ALL "
-                         f"SELECT '(pages scanned)', CAST(count(*) AS VARCHAR) FROM ({LIVE_PAGES_SQL})")
+# user rules made from a table's names: every fourth is sound, the others are
+# an unclosed group, a rule that matches nothing at all, and an unclosed class
+USER_RULES_SQL = ("SELECT n_name AS name, CASE n_nationkey % 4 WHEN 0 THEN concat('(', lower(n_name)) WHEN 1 THEN concat('(?:', lower(n_name), ')?') "
+                  "WHEN 2 THEN concat(lower(n_name), '[') ELSE concat('the [a-z]+', CAST(n_nationkey % 7 AS STRING), '?') END AS regex FROM {}")
+
+
+@register("scan_errors", f"SELECT page_id, n_name AS pattern, CASE n_nationkey % 4 WHEN 1 THEN 'matches the empty string' ELSE 'does not compile' END "
+                         f"AS error FROM ({LIVE_PAGES_SQL}), nation WHERE n_nationkey % 4 < 3")
 def q_scan_errors(spark, sf_dir):
-    """The rules set aside by validation, beside the pages scanned."""
-    ok, bad = R.validate_rules(spark, BAD_RULES)
-    rej = R.rejected_df(spark, bad)
-    n = read_pages(spark, sf_dir).agg(F.count(F.lit(1)).alias("pages_scanned"))
-    return rej.select("pattern", F.lit("rejected").alias("error")).unionByName(
-        n.select(F.lit("(pages scanned)").alias("pattern"), F.col("pages_scanned").cast("string").alias("error")))
+    """Rules of a user's table that validation sets aside, with every page
+    that each would have been run over."""
+    view = "tm_user_rules"
+    read_table(spark, sf_dir, "nation").createOrReplaceTempView(view)
+    _, bad = R.validate_rules(spark, R.load_rules(spark.sql(USER_RULES_SQL.format(view))))
+    kind = F.when(F.col("error").contains("empty string"), "matches the empty string").otherwise("does not compile")
+    return failed(read_pages(spark, sf_dir), bad).withColumn("error", kind)
 
 
 # --- sinks -------------------------------------------------------------------------
@@ -978,30 +985,30 @@ def q_scan_errors(spark, sf_dir):
 from tidemark.sources import sinks as SK  # noqa: E402
 
 REPORT_SQL = with_raw(
-    f", t AS ({FX.SCANS_TIMES_SQL}) SELECT strftime(t.start_time, '%Y-%m-%d %H:%M:%S') AS timestamp, r.url, r.category, "
-    "r.pattern, r.severity, r.match, r.context FROM raw r JOIN t ON r.scan_id = t.scan_id WHERE r.scan_id = 0")
+    f", t AS ({FX.SCANS_TIMES_SQL}) SELECT r.scan_id, strftime(t.start_time, '%Y-%m-%d %H:%M:%S') AS timestamp, r.url, r.category, "
+    "r.pattern, r.severity, r.match, r.context FROM raw r JOIN t ON r.scan_id = t.scan_id")
 
 
-def report_findings(spark, sf_dir):
-    """Scan 0's findings with the scan's start as their timestamp text."""
+def report_findings(spark, sf_dir, scan_id=None):
+    """The findings of all scans, or of one, with the scan's start as their timestamp text."""
     t = FX.scans_times(spark, sf_dir).select("scan_id", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
-    return raw_findings(spark, sf_dir).filter("scan_id = 0").join(F.broadcast(t), "scan_id")
+    found = raw_findings(spark, sf_dir)
+    return (found if scan_id is None else found.filter(F.col("scan_id") == scan_id)).join(t, "scan_id")
 
 
 @register("sink_csv", REPORT_SQL)
 def q_sink_csv(spark, sf_dir):
-    """The seven CSV fields written with a header and read back."""
-    path = SK.write_csv(report_findings(spark, sf_dir), SK.scratch_path(spark, "csv"))
-    return SK.read_csv(spark, path).select(*SK.CSV_FIELDS)
+    """A report a scan: the seven CSV fields written with a header and read back."""
+    path = SK.write_csv(report_findings(spark, sf_dir), SK.scratch_path(spark, "csv"), by="scan_id")
+    return SK.read_csv(spark, path).select(F.col("scan_id").cast("long").alias("scan_id"), *SK.CSV_FIELDS)
 
 
-@register("sink_json", with_raw("SELECT finding_hash, url, pattern, category, severity, match, context, "
-                                "CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS \"end\", is_javascript "
-                                "FROM raw WHERE scan_id = 0"))
+@register("sink_json", with_raw("SELECT scan_id, finding_hash, url, pattern, category, severity, match, context, "
+                                "CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS \"end\", is_javascript FROM raw"))
 def q_sink_json(spark, sf_dir):
-    """Findings as JSON lines, read back."""
-    f = raw_findings(spark, sf_dir).filter("scan_id = 0").select(
-        "finding_hash", "url", "pattern", "category", "severity", "match", "context", "start", "end", "is_javascript")
+    """Findings of all scans as JSON lines, read back."""
+    f = raw_findings(spark, sf_dir).select(
+        "scan_id", "finding_hash", "url", "pattern", "category", "severity", "match", "context", "start", "end", "is_javascript")
     path = SK.write_json(f, SK.scratch_path(spark, "json"))
     return spark.read.json(path).select(*f.columns)
 
@@ -1012,24 +1019,24 @@ def _esc_sql(x):
 
 
 HTML_ROWS_SQL = with_raw(
-    "SELECT '<tr class=\"severity-' || " + _esc_sql("coalesce(severity, 'medium')") + " || '\"><td>' || "
+    "SELECT scan_id, '<tr class=\"severity-' || " + _esc_sql("coalesce(severity, 'medium')") + " || '\"><td>' || "
     + _esc_sql("upper(coalesce(severity, 'medium'))") + " || '</td><td>' || " + _esc_sql("pattern")
     + " || '</td><td>' || " + _esc_sql("coalesce(category, '')") + " || '</td><td>' || "
     + _esc_sql("substring(url, 1, 100)") + " || '</td><td><code>' || " + _esc_sql("substring(match, 1, 100)")
     + " || '</code></td><td>' || " + _esc_sql("substring(context, 1, 200)") + " || '</td></tr>' AS line "
-    "FROM raw WHERE scan_id = 0 UNION ALL SELECT '<html><head><meta charset=\"utf-8\"><title>Scan report</title></head>"
+    "FROM raw UNION ALL SELECT scan_id, '<html><head><meta charset=\"utf-8\"><title>Scan report</title></head>"
     "<body><h1>Scan report</h1><p>Total: ' || count(*) || ' High: ' || count_if(severity = 'high') || ' Medium: ' || "
     "count_if(severity = 'medium') || ' Low: ' || count_if(severity = 'low') || '</p><table><tr><th>Severity</th>"
-    "<th>Pattern</th><th>Category</th><th>URL</th><th>Match</th><th>Context</th></tr>' FROM raw WHERE scan_id = 0 "
-    "UNION ALL SELECT '</table></body></html>'")
+    "<th>Pattern</th><th>Category</th><th>URL</th><th>Match</th><th>Context</th></tr>' FROM raw GROUP BY scan_id "
+    "UNION ALL SELECT DISTINCT scan_id, '</table></body></html>' FROM raw")
 
 
 @register("sink_html", HTML_ROWS_SQL)
 def q_sink_html(spark, sf_dir):
-    """HTML report (summary, escaped rows in rank order) written as text
-    and read back line by line."""
-    path = SK.write_html(raw_findings(spark, sf_dir).filter("scan_id = 0"), SK.scratch_path(spark, "html"))
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    """An HTML report a scan (summary, escaped rows in rank order) written as
+    text and read back line by line."""
+    path = SK.write_html(raw_findings(spark, sf_dir), SK.scratch_path(spark, "html"), by="scan_id")
+    return spark.read.text(path).select(F.col("scan_id").cast("long").alias("scan_id"), F.col("value").alias("line"))
 
 
 def _stat_table_sql(title, src, key, cls=False):
@@ -1081,16 +1088,16 @@ def q_sink_tables(spark, sf_dir):
 
 
 @register("format_check", with_raw(
-    ", n AS (SELECT count(*) AS n FROM raw WHERE scan_id = 0) SELECT f.format, f.status, n.n + f.extra AS n_lines FROM n, "
+    ", n AS (SELECT count(*) AS n, count(DISTINCT scan_id) AS scans FROM raw) SELECT f.format, f.status, n.n + f.extra * n.scans AS n_lines FROM n, "
     "(VALUES ('stream', 'ok', 0), ('json', 'ok', 0), ('csv', 'ok', 0), ('html', 'ok', 2), ('xml', 'refused', NULL)) f(format, status, extra)"))
 def q_format_check(spark, sf_dir):
     """Each requested format is checked; stream/json/csv/html write the
-    findings of scan 0 and are counted as they read back, anything else is refused."""
+    findings of all scans and are counted as they read back, anything else is refused."""
     f = report_findings(spark, sf_dir)
     out = None
     for fmt in ("stream", "json", "csv", "html", "xml"):
         try:
-            path = SK.write(f, SK.scratch_path(spark, f"fmt-{fmt}"), fmt)
+            path = SK.write(f, SK.scratch_path(spark, f"fmt-{fmt}"), fmt, by="scan_id")
             back = SK.read_csv(spark, path) if fmt == "csv" else spark.read.text(path)
             row = back.agg(F.lit(fmt).alias("format"), F.lit("ok").alias("status"), F.count(F.lit(1)).alias("n_lines"))
         except ValueError:

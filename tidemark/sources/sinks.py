@@ -32,10 +32,16 @@ def check_format(fmt: str) -> str:
     return fmt
 
 
-def write_csv(findings: DataFrame, path: str) -> str:
-    """The seven report fields with a header line."""
+def _parts(df: DataFrame, by: str | None):
+    """A writer into one folder, or into one for each value of ``by``."""
+    writer = df.write.mode("overwrite")
+    return writer.partitionBy(by) if by else writer
+
+
+def write_csv(findings: DataFrame, path: str, by: str | None = None) -> str:
+    """The seven report fields with a header line; ``by`` (scan_id): a report a scan."""
     # the writer trims values by default; a match may start or end with spaces
-    (findings.select(*CSV_FIELDS).write.mode("overwrite")
+    (_parts(findings.select(*CSV_FIELDS, *([by] if by else [])), by)
      .option("header", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
@@ -74,9 +80,10 @@ def html_row(findings: DataFrame) -> Column:
         F.lit("</td></tr>"))
 
 
-def write_html(findings: DataFrame, path: str) -> str:
+def write_html(findings: DataFrame, path: str, by: str | None = None) -> str:
     """Report: summary counts, then one row per finding in rank order
-    (high, medium, low; unknown = medium), then the closing tags.
+    (high, medium, low; unknown = medium), then the closing tags; ``by``
+    (scan_id): a report for each scan, in a folder of its own.
 
     The lines are range-sorted and written without collapsing to one task:
     the part files, read in name order, are the report."""
@@ -86,7 +93,9 @@ def write_html(findings: DataFrame, path: str) -> str:
 
     def nulls():
         return F.struct(*[F.lit(None).cast(types[c]).alias(c) for c in order])
-    head = report_summary(findings).select(F.concat(
+    keys = [by] if by else []
+    summaries = report_summary(findings, by)
+    head = summaries.select(*keys, F.concat(
         F.lit("<html><head><meta charset=\"utf-8\"><title>Scan report</title></head><body>"
               "<h1>Scan report</h1><p>Total: "), F.col("total").cast("string"),
         F.lit(" High: "), F.col("high").cast("string"), F.lit(" Medium: "), F.col("medium").cast("string"),
@@ -94,13 +103,12 @@ def write_html(findings: DataFrame, path: str) -> str:
         F.lit("</p><table><tr><th>Severity</th><th>Pattern</th><th>Category</th><th>URL</th>"
               "<th>Match</th><th>Context</th></tr>")).alias("line"), F.lit(0).alias("_k0"),
         F.lit(0).alias("_rank"), nulls().alias("_o"))
-    rows = findings.select(html_row(findings).alias("line"), F.lit(1).alias("_k0"),
+    rows = findings.select(*keys, html_row(findings).alias("line"), F.lit(1).alias("_k0"),
                            severity_rank().alias("_rank"), F.struct(*order).alias("_o"))
-    tail = findings.sparkSession.range(1).select(F.lit("</table></body></html>").alias("line"),
-                                                 F.lit(2).alias("_k0"), F.lit(0).alias("_rank"),
-                                                 nulls().alias("_o"))
-    (head.unionByName(rows).unionByName(tail).orderBy("_k0", "_rank", "_o")
-     .select("line").write.mode("overwrite").text(path))
+    tail = summaries.select(*keys, F.lit("</table></body></html>").alias("line"), F.lit(2).alias("_k0"),
+                            F.lit(0).alias("_rank"), nulls().alias("_o"))
+    lines = head.unionByName(rows).unionByName(tail).orderBy(*keys, "_k0", "_rank", "_o")
+    _parts(lines.select("line", *keys), by).text(path)
     return path
 
 
@@ -117,13 +125,13 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
     return out
 
 
-def write(findings: DataFrame, path: str, fmt: str) -> str:
+def write(findings: DataFrame, path: str, fmt: str, by: str | None = None) -> str:
     check_format(fmt)
     if fmt == "csv":
-        return write_csv(findings, path)
+        return write_csv(findings, path, by)
     if fmt in ("json", "stream"):
         return write_json(findings, path)
-    return write_html(findings, path)
+    return write_html(findings, path, by)
 
 
 def roundtrip_tables(spark: SparkSession, sf_dir: str, df: DataFrame, name: str) -> DataFrame:
