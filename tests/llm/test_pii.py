@@ -175,6 +175,10 @@ def test_native_and_columns_kept(spark):
     docs = frame(spark, rows()).withColumn("n_entities_before", F.lit(1)).withColumnRenamed("k", "matches").withColumnRenamed("bucket", "kind")
     out = pii.replace_pii(docs, "key")
     assert out.columns == [*docs.columns, "n_entities"]
+    clash = docs.withColumn("n_entities", F.lit("mine"))
+    out = pii.replace_pii(clash, "k")
+    assert out.columns == [*clash.columns, "n_entities_"] and {r.n_entities for r in out.select("n_entities").distinct().collect()} == {"mine"}
+    assert pii.replace_pii(clash, "k", count=None).columns == clash.columns
     assert not any(w in out._jdf.queryExecution().toString() for w in ("Python", "Arrow", "Pandas"))
     keep = [c for c in docs.columns if c != "text"]
     assert sorted(map(str, out.select(*keep).collect())) == sorted(map(str, docs.select(*keep).collect()))

@@ -253,8 +253,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         drawn = written(judged.where("not again").select(*anew.columns).unionByName(anew), "surrogates")
 
 
-def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """All columns of docs, the text replaced, and ``n_entities`` appended."""
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count: str | None = "n_entities") -> DataFrame:
+    """All columns of docs, the text replaced, and the number of entities appended as ``count`` (None: not), with
+    underscores behind it if docs has a column of that name."""
+    while count in docs.columns:
+        count += "_"
     rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
     marked = F.coalesce(F.expr(f"text rlike {_lit(MARKS)}"), F.lit(False))
     clean = rows.where(~marked).select("row", "text", F.lit(0).cast("long").alias("n_entities"))
@@ -274,4 +277,5 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
                    split(text, {_lit(ANY)}, -1), (g, i) -> concat(g, coalesce(get(news, i), ''))), '') end"""))
                .select("row", "text", F.size("matches").cast("long").alias("n_entities")))
     out = clean.unionByName(rebuilt)
-    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns), "n_entities")
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns),
+                      *([F.col("n_entities").alias(count)] if count else []))
