@@ -87,6 +87,20 @@ def test_bytes_match_brute_force(spark, rows):
     assert sum(k[2] * n for k, n in got.items()) > 1000
 
 
+@pytest.mark.parametrize("rows", [awkward(), planted(1)], ids=["awkward", "planted"])
+def test_refinement_matches_brute_force(spark, rows):
+    got = Counter(tuple(r) for r in suffix.remove_repeated_bytes(frame(spark, rows), 100, method="refinement").collect())
+    assert got == brute_bytes(rows, 100)
+    none = frame(spark, rows).where(F.lit(False))
+    assert suffix.remove_repeated_bytes(none, method="refinement").count() == 0
+
+
+def test_both_methods_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    a, b = (Counter(tuple(r) for r in suffix.remove_repeated_bytes(docs, method=m).collect()) for m in ("anchors", "refinement"))
+    assert a == b and sum(k[2] * n for k, n in a.items()) > 100_000
+
+
 def test_bytes_of_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = Counter(tuple(r) for r in suffix.remove_repeated_bytes(frame(spark, rows)).collect())

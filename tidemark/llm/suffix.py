@@ -1,16 +1,18 @@
-"""Removal of repeated bytes by anchored windows.
-
-Bucket-pointer refinement is not built: there are no q-gram buckets, and no
-rounds that look up bucket identifiers at later offsets. Every text is its
-UTF-8 bytes. Places are sampled by content (the anchors of
-``anchors.ByteAnchors``: of the first ``SPREAD`` places of a window, the one
-whose q-gram hashes least) and grouped by the fingerprint of the bytes that
-every window of the anchor holds, then by that of all the bytes its windows
-reach, the fingerprints being such that any task computes them alike. Places
-that stay together have all their windows in common; groups that part are
-compared once more, window by window (``repeats``). A byte is
-removed if a 400-byte string over it, judged on the input, starts anywhere
-else too; matches stay inside documents, overlaps count.
+"""Removal of repeated bytes.
+
+Every text is its UTF-8 bytes. A byte is removed if a 400-byte string over it,
+judged on the input, starts anywhere else too; matches stay inside documents,
+overlaps count. Two ways find the strings, with the same result:
+
+* ``refinement`` (``refine``): bucket-pointer refinement over all positions.
+* ``anchors``, the query's: places are sampled by content (of the first
+  ``SPREAD`` places of a window, the one whose q-gram hashes least) and grouped by
+  the fingerprint of the bytes that every window of the anchor holds, then by that
+  of all the bytes its windows reach. Places that stay together have all their
+  windows in common; groups that part are compared once more, window by window
+  (``repeats``). It is no bucket-pointer refinement, and stands in for it because
+  a row for each byte is beyond the disk that the query may take; the README has
+  the figures of both.
 
 Edge cases: null and empty texts have no bytes; texts shorter than the window
 keep all; runs of one byte repeat themselves at every place; rows that repeat
@@ -26,10 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import text as tx
 from .anchors import ByteAnchors
+from .refine import repeated_starts
 from .repeats import coverage, listed, repeated
+from .store import written
 
 WINDOW = 400
 #: places of a window among which its anchor is chosen
@@ -39,7 +44,7 @@ GRAM = 32
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                          with_text: bool = False) -> DataFrame:
+                          with_text: bool = False, method: str = "anchors") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, the kept bytes as ``kept``."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,5 +63,11 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, id_col: str = "
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     names = [f.split()[0] for f in schema.split(", ")]
+    if method == "refinement":
+        texts = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+                        .withColumn("row", F.monotonically_increasing_id()), "texts")
+        starts = (repeated_starts(texts, window, min(GRAM, window)).groupBy("row").agg(F.collect_list(F.col("at").cast("long")).alias("starts"))
+                  .withColumn("counts", F.transform("starts", lambda _: F.lit(1))))
+        return texts.join(starts, "row", "left").select("doc_id", "text", "starts", "counts").mapInArrow(finish, schema)
     chooser = ByteAnchors(window, min(SPREAD, max(1, window // 4)), min(GRAM, max(1, window // 4)))
     return repeated(docs, tx.flat, chooser, False, id_col, text_col).mapInArrow(finish, schema)
