@@ -54,13 +54,17 @@ class Version:
     gone: tuple[str, ...] = ()
     deltas: tuple[str, ...] = ()
     batches: dict[str, int] = field(default_factory=dict)
+    buckets: int = 0   # of all its folders; 0: no commit yet
 
 
 class FindingsStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        """``buckets``: of a store that is made new, as many as make one of them a
+        task's share of an append; a store that exists keeps its own."""
+        self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.buckets = self.version().buckets or buckets
 
     # --- the log ---
 
@@ -230,13 +234,15 @@ class Pending:
             number = base.number + 1
             data = store._write(self.mine.withColumn("born", F.lit(number).cast("long")), "data", dealt=True)
             written = store._rows(self.columns, [data])
-            entry = replace(base, number=number, columns=self.columns, data=(*base.data, data), deltas=(*base.deltas, store._delta(written, 1)),
+            entry = replace(base, number=number, columns=self.columns, buckets=store.buckets, data=(*base.data, data), deltas=(*base.deltas, store._delta(written, 1)),
                             batches=base.batches | ({self.stream: self.batch} if self.stream is not None else {}))
             if store.put(entry):
                 return number
             later = store.version()
             if self._is_in(later):
                 return later.number
+            if later.buckets != store.buckets:
+                raise AnalysisException(f"the store has been made with {later.buckets} buckets, the findings lie in {store.buckets}")
             if later.gone == base.gone and set(base.data) <= set(later.data):   # only what was added since can hold more of them
                 self.mine = self.unseen(written.drop("born"), store._visible(later, [f for f in later.data if f not in base.data]))
             else:

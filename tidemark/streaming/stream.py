@@ -42,7 +42,8 @@ SEEN_SCHEMA = "finding_hash string, scan_id long, visited long"
 def stage_files(visits: DataFrame, folder: str, keys, split_col: str = "scan_id", files: int = 1) -> None:
     """Write the ``visits`` of each key as ``files`` files, in the order of
     ``keys`` (the file source reads files by modification time), so that a
-    test stream with that many files a trigger has one micro-batch a key."""
+    test stream with that many files a trigger has one micro-batch a key. Rows
+    are dealt in turn, which sorts them in every task: large ``visits`` come spread."""
     for k in keys:
         visits.filter(F.col(split_col) == k).repartition(files).write.mode("append").parquet(folder)
 
@@ -63,12 +64,16 @@ def layout(out: str) -> dict:
 
 
 def scan_stream(spark: SparkSession, source: str, rules: list[Rule], out: str,
-                profile: str = "broad", files_per_trigger: int | None = 1) -> dict:
+                profile: str = "broad", files_per_trigger: int | None = 1, tasks: int | None = None) -> dict:
     """Scan the visit files in ``source`` until they are all processed
     (``availableNow``); returns the layout of ``out``, with the findings'
-    schema and the source for the queries that follow."""
+    schema and the source for the queries that follow. ``tasks``: of a
+    micro-batch, whose small files Spark would put together by their stored size."""
     paths = layout(out)
-    found = scan_page(_read(spark, source, VISIT_SCHEMA, files_per_trigger), rules, profile, carry=["scan_id"])
+    visits = _read(spark, source, VISIT_SCHEMA, files_per_trigger)
+    if tasks:
+        visits = visits.repartition(tasks, F.xxhash64("scan_id", "page_id", "url", "body"))
+    found = scan_page(visits, rules, profile, carry=["scan_id"])
     q = (found.writeStream.format("parquet").option("path", paths["raw"])
          .option("checkpointLocation", _checkpointed(paths, "raw")).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -77,18 +82,16 @@ def scan_stream(spark: SparkSession, source: str, rules: list[Rule], out: str,
 
 # --- the findings store -------------------------------------------------------
 
-def store_stream(spark: SparkSession, paths: dict, files_per_trigger: int | None = None) -> FindingsStore:
+def store_stream(spark: SparkSession, paths: dict, files_per_trigger: int | None = None, buckets: int = 16) -> FindingsStore:
     """Append the findings of the raw sink to the store, first one a hash. The
     store knows each stream's last batch, so a replayed one adds nothing."""
-    store = FindingsStore(spark, paths["store"])
-
     def merge(batch: DataFrame, batch_id: int) -> None:
-        FindingsStore(batch.sparkSession, paths["store"]).append(batch, stream=paths["raw"], batch=batch_id)
+        FindingsStore(batch.sparkSession, paths["store"], buckets).append(batch, stream=paths["raw"], batch=batch_id)
 
     q = (_read(spark, paths["raw"], paths["schema"], files_per_trigger).writeStream.foreachBatch(merge)
          .option("checkpointLocation", _checkpointed(paths, "store")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return store
+    return FindingsStore(spark, paths["store"], buckets)
 
 
 # --- status -------------------------------------------------------------------
