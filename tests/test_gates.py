@@ -10,6 +10,7 @@ from tidemark.functions import regex as RX
 from tidemark.functions import rules as R
 from tidemark.functions.linear import LEADS, SHAPE_OF, SHAPES
 from tidemark.functions.rules_data import RULES
+from tidemark.functions.sql_function import register_scan_text
 from tidemark.operators.scan import scan
 from tidemark.plans import catalog
 
@@ -106,3 +107,15 @@ def test_contexts_fold_as_before(spark):
     for i, t in rows:
         m = re.search("fixme\\s*", t, re.A)
         assert got[i] == (m.group(), " ".join(t[max(0, m.start() - 100):m.end() + 100].split())), i
+
+
+def test_scan_from_sql_finds_the_same(spark):
+    rules = R.catalogue("broad")
+    register_scan_text(spark, rules, name="scan_gates")
+    df = spark.createDataFrame(texts(60, "sql"), "page_id long, body string").withColumn("url", F.lit("u"))
+    df.createOrReplaceTempView("tm_gates")
+    cols = ["src_id", "rule_idx", "match_idx", "start", "end", "match", "context"]
+    sql = spark.sql("SELECT page_id AS src_id, f.* FROM (SELECT page_id, scan_gates(body, 'all') AS fa FROM tm_gates) d LATERAL VIEW OUTER inline(d.fa) f "
+                    "WHERE f.rule_idx IS NOT NULL").select(*cols)
+    plain = scan(df, rules, "broad").select(*cols)
+    assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, plain.collect()))
