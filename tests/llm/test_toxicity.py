@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -74,3 +75,34 @@ def test_awkward_rows_and_missing_classes(spark):
     one = X.toxicity(docs, spark.createDataFrame([(5, 1, 1), (None, 1, 1), (6, 1, None), (999, 0, 0)], schema)).collect()
     assert {r.score for r in one} <= {0.0, 1.0} and len(one) == len(none)
     assert X.toxicity(docs.where(F.lit(False)), spark.createDataFrame([(5, 1, 1)], schema)).count() == 0
+
+
+def test_a_task_holds_little_beside_its_batch():
+    text = "some words that no document repeats, number %d, and a few more of them " * 40
+    batch = pa.record_batch({"text": [text % tuple(range(i, i + 40)) for i in range(1_500)], "label": pa.array([i % 2 for i in range(1_500)], pa.int32())})
+    whole = {}
+    tracemalloc.start()
+    try:
+        for part in X.entry_counts(iter([batch])):
+            for name, *n in zip(*(c.to_pylist() for c in part.columns)):
+                whole[name] = [a + b for a, b in zip(whole.get(name, (0, 0)), n)]
+            del part
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert batch.nbytes > 4 << 20 and peak < 80 << 20
+    assert max(map(tuple, whole.values())) == (750, 750)  # an entry of all rows is counted once a row, in whatever slice
+
+
+def test_texts_go_to_python_once(spark, monkeypatch):
+    docs = frame(spark, awkward())
+    sent = []
+    monkeypatch.setattr(X, "featured", lambda rows, *a, f=X.featured, **b: sent.append(rows.schema) or f(rows, *a, **b))
+    model = X.fit(docs, spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert sorted(map(str, model.accepted(docs).collect())) == sorted(map(str, docs.collect()))
+    assert [f.name for f in sent[-1]] == ["text", "row"] and "text" not in sent[-1]["row"].dataType.names
+    alone = docs.select("text")
+    assert sorted(map(str, model.accepted(alone).collect())) == sorted(map(str, alone.collect()))
+    named = docs.withColumnRenamed("text", "a b").withColumnRenamed("lang", "text")
+    kept = model.accepted(named.withColumnRenamed("text", "x.y"), text_col="a b")
+    assert kept.columns == [c if c != "text" else "x.y" for c in named.columns] and kept.count() == docs.count()

@@ -11,7 +11,8 @@ reads all documents. Labels and metadata are never features.
 
 Plan: the sample's ids are sent to the tasks (bounded), so texts never shuffle;
 the sample's features go to a small table that the tree rounds reread; scoring
-is one narrow pass over all documents, whatever their sizes or copies.
+is one narrow pass over all documents, whatever their sizes or copies. Each row's
+text goes to Python once, and tasks work on ``SLICE_BYTES`` of it at a time.
 
 Edge cases: a null text counts as empty and gets the score of a text without
 words; labels that are null, or of unknown documents, are not used; documents
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as tx
-from .store import written
+from .store import arrow_batches, written
 
 #: labelled rows that the model learns from, at most
 MAX_LABELLED = 20_000
+#: text bytes that a task works on at once (its arrays take up to 70 times as much), and bytes of the batches that learning gets
+SLICE_BYTES, BATCH_BYTES = 1 << 18, "4m"
 #: learned words and word beginnings, at most
 MAX_LEARNED = 2_000
 #: code points of a learned word beginning
@@ -175,55 +178,59 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
             .join(F.broadcast(rows), "lid").select("lid", "text", "label", "fold"))
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Entries found in clearly more of the toxic rows than of the others."""
+def entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, label, ..) -> (name, bad, good): toxic and other rows that hold an entry, slice by slice."""
+    for part in tx.slices(batches, limit=SLICE_BYTES):
+        buf, off = tx.flat(part.column(0))
+        _, _, at, names, beginnings = entries(buf, off)
+        own = tx.owner(at)
+        label = part.column(1).to_numpy()
+        pairs = np.concatenate([names, *beginnings])
+        owners = np.tile(own, 1 + len(beginnings))
+        owners, pairs = owners[pairs != 0], pairs[pairs != 0]
+        order = np.lexsort((owners, pairs))
+        pairs, owners = pairs[order], owners[order]
+        once = np.ones(len(pairs), dtype=bool)
+        once[1:] = (pairs[1:] != pairs[:-1]) | (owners[1:] != owners[:-1])
+        pairs, toxic = pairs[once], label[owners[once]]
+        found, begin = np.unique(pairs, return_index=True)
+        if not len(found):
+            continue
+        bad = np.add.reduceat(toxic, begin)
+        every = np.diff(np.append(begin, len(pairs)))
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(bad.astype(np.int64)), pa.array((every - bad).astype(np.int64))],
+                                         names=["name", "bad", "good"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, limit=2 * tx.SLICE_BYTES):
-            buf, off = tx.flat(part.column(0))
-            _, _, at, names, beginnings = entries(buf, off)
-            own = tx.owner(at)
-            label = part.column(1).to_numpy()
-            pairs = np.concatenate([names, *beginnings])
-            owners = np.tile(own, 1 + len(beginnings))
-            owners, pairs = owners[pairs != 0], pairs[pairs != 0]
-            order = np.lexsort((owners, pairs))
-            pairs, owners = pairs[order], owners[order]
-            once = np.ones(len(pairs), dtype=bool)
-            once[1:] = (pairs[1:] != pairs[:-1]) | (owners[1:] != owners[:-1])
-            pairs, toxic = pairs[once], label[owners[once]]
-            found, begin = np.unique(pairs, return_index=True)
-            if not len(found):
-                continue
-            bad = np.add.reduceat(toxic, begin)
-            every = np.diff(np.append(begin, len(pairs)))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(bad.astype(np.int64)), pa.array((every - bad).astype(np.int64))],
-                                             names=["name", "bad", "good"])
 
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    """Entries found in clearly more of the toxic rows than of the others."""
     totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
     odds = F.log(bad / (totals.get(1, 0) + 1)) - F.log(good / (totals.get(0, 0) + 1))
-    top = (rows.mapInArrow(count, "name long, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    top = (rows.mapInArrow(entry_counts, "name long, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
            .withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / bad + 1 / good))
            .where((F.col("bad") >= 5) & (F.col("odds") >= LEARN_ODDS) & (F.col("z") >= LEARN_Z))
-           .orderBy(F.desc("z"), "name").limit(MAX_LEARNED).collect())
+           .orderBy(F.desc("z"), "name").limit(MAX_LEARNED))
+    with arrow_batches(rows.sparkSession, BATCH_BYTES):
+        top = top.collect()
     return Lexicon(np.array([r.name for r in top], dtype=np.int64).view(tx.U64), np.array([r.odds for r in top], dtype=np.float64))
 
 
-def featured(rows: DataFrame, learned: Lexicon) -> DataFrame:
-    """rows (text, others) with the text replaced by the feature columns."""
+def featured(rows: DataFrame, learned: Lexicon, keep_text: bool = False) -> DataFrame:
+    """rows (text, others) with the feature columns, in place of the text unless that is kept."""
     insults, address = fixed(INSULTS), fixed(SECOND_PERSON)
-    others = [f for f in rows.schema.fields if f.name != "text"]
-    schema = StructType([*others, *(StructField(n, DoubleType()) for n in FEATURES)])
+    fields = sorted(rows.schema.fields, key=lambda f: f.name != "text")  # the text first
+    given = fields[0 if keep_text else 1:]
+    schema = StructType([*given, *(StructField(n, DoubleType()) for n in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches):
+        for part in tx.slices(batches, limit=SLICE_BYTES):
             buf, off = tx.flat(part.column(0))
             made = features(buf, off, insults, address, learned)
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(c.astype(np.float64)) for c in made)],
-                                             names=[*(f.name for f in others), *FEATURES])
+            yield pa.RecordBatch.from_arrays([*part.columns[len(fields) - len(given):], *(pa.array(c.astype(np.float64)) for c in made)],
+                                             names=[*(f.name for f in given), *FEATURES])
 
-    return rows.select("text", *(f.name for f in others)).mapInArrow(run, schema)
+    return rows.select(*(f.name for f in fields)).mapInArrow(run, schema)
 
 
 class Model:
@@ -238,9 +245,9 @@ class Model:
         shaped = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
         return self.trees.transform(shaped).withColumn("raw", vector_to_array("probability")[1])
 
-    def scored(self, rows: DataFrame) -> DataFrame:
-        """rows (text, others) with the text replaced by ``score``, among other columns."""
-        rows = featured(rows, self.learned)
+    def scored(self, rows: DataFrame, keep_text: bool = False) -> DataFrame:
+        """rows (text, others) with ``score``, among other columns, in place of the text unless that is kept."""
+        rows = featured(rows, self.learned, keep_text)
         if self.trees is None:
             return rows.withColumn("score", F.lit(self.mean))
         return self.raw(rows).withColumnRenamed("raw", "score") if self.isotonic is None else self.isotonic.transform(self.raw(rows))
@@ -254,8 +261,10 @@ class Model:
 
     def accepted(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The rows of docs, all columns, that are not predicted toxic."""
-        rows = docs.select(F.col(text_col).alias("text"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
-        return self.scored(rows).where("score < 0.5").select("row.*")
+        others = [c for c in docs.columns if c != text_col]
+        row = F.struct(*(f"`{c}`" for c in others)) if others else F.lit(0)
+        kept = self.scored(docs.select(F.col(text_col).alias("text"), row.alias("row")), keep_text=True).where("score < 0.5")
+        return kept.select(*((F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -271,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learned = learn_lexicon(rows.where("fold != 4").select("text", "label", "fold"))
     # few rows: the tree rounds are cheapest on one partition per 2,000 of them; one order, so that they learn the same again
     table = written(featured(rows, learned).repartition(max(1, math.ceil(total / 2_000)), "lid")
-                    .sortWithinPartitions("lid", "log_words", "label"), "toxicity-features")
+                    .sortWithinPartitions("lid", "log_words", "label"), "toxicity-features", arrow_bytes=BATCH_BYTES)
     shaped = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
     trees = GBTClassifier(labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=1, minInstancesPerNode=3).fit(shaped.where("fold != 4"))
     model = Model(learned, mean, trees, None)
