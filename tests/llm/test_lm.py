@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm
+from tidemark.llm import lm, queries
 
 from .samples import awkward, frame
 
@@ -111,3 +111,86 @@ def test_discounts():
     assert lm.discounts({1: 10}).tolist()[1:3] == [0.5, 0.75]
     d = lm.discounts({1: 1000, 2: 300, 3: 140, 4: 80, 5: 52, 6: 36})
     assert all(0 < x < 1 for x in d[1:])
+
+
+class Longer:
+    """The model of any order with dictionaries: histories are the tokens before, the nearest first."""
+
+    def __init__(self, rows, order):
+        self.order = order
+        self.counts = [Counter() for _ in range(order)]
+        for i, t in rows:
+            if not held(i):
+                for g in self.grams(t):
+                    for m in range(order):
+                        self.counts[m][g[: m + 1]] += 1
+        self.total = sum(self.counts[0].values())
+        self.d = [lm.discounts(Counter(c.values())) for c in self.counts]
+        self.after = [defaultdict(list) for _ in range(order)]
+        for m, c in enumerate(self.counts):
+            for g in c:
+                self.after[m][g[1:]].append(g[0])
+        self.hist = [{h: sum(self.counts[m][w, *h] for w in ws) for h, ws in a.items()} for m, a in enumerate(self.after)]
+        self.unknown = 1 - sum(self.seen((w,)) for w in self.after[0][()]) if self.total else 1.0
+        self.weights = {}
+
+    def grams(self, t):
+        w = [0] * (self.order - 1) + tokens_of(t)
+        return [tuple(w[i - k] for k in range(self.order)) for i in range(self.order - 1, len(w))]
+
+    def seen(self, g):
+        c, d = self.counts[len(g) - 1][g], self.d[len(g) - 1]
+        return (c * d[c] if c <= lm.K else c - 0.5) / self.hist[len(g) - 1][g[1:]]
+
+    def weight(self, h):
+        if h not in self.hist[len(h)]:
+            return 1.0
+        if h not in self.weights:
+            ws = self.after[len(h)][h]
+            self.weights[h] = (1 - sum(self.seen((w, *h)) for w in ws)) / (1 - sum(self.p((w, *h[:-1])) for w in ws))
+        return self.weights[h]
+
+    def p(self, g):
+        if self.counts[len(g) - 1][g]:
+            return self.seen(g)
+        return self.weight(g[1:]) * self.p(g[:-1]) if len(g) > 1 else self.unknown
+
+    def score(self, t):
+        return sum(math.log10(self.p(g)) for g in self.grams(t))
+
+
+def longer(rows, order):
+    """The bigram model's rows with the score of the longer one."""
+    m, base = Longer(rows, order), Plain(rows)
+    return Counter((*base.row(*r)[:6], round(m.score(r[1]), 6)) for r in rows)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_order(spark, order):
+    rows = awkward(3) + [(2000 + i, "the hot pair " * (i % 40) + f"of the tail{i % 7} the pair tail{i % 5}") for i in range(300)]
+    close(got(lm.katz_scores(frame(spark, rows).repartition(7), order=order)), longer(rows, order))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_order_in_many_partitions_with_few_common_words(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "PARTITION", 400)
+    monkeypatch.setattr(lm, "COMMON", 6)
+    rows = awkward(4) + [(3000 + i, f"the pair of the tail{i % 9} and the pair of {'them ' * (i % 5)}") for i in range(200)]
+    close(got(lm.katz_scores(frame(spark, rows), order=order)), longer(rows, order))
+
+
+def test_query_scores_by_trigrams(spark, tmp_path):
+    rows = awkward(5) + [(9_000_000 + i, f"one two three two three one {'two ' * (i % 3)}") for i in range(40)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    close(got(queries.op3_lm_scoring(spark, str(tmp_path))), longer(rows, 3))
+    m = Longer(rows, 3)
+    for h in [(0, 0), ("kata", 0), ("two", "one"), ("three", "two"), ("two", "never seen"), ("never seen", "two")]:  # exactly normalised
+        assert abs(sum(m.p((w, *h)) for w in m.after[0][()]) + m.p(("not known", *h)) - 1) < 1e-9
+
+
+def test_long_histories_without_training_rows(spark):
+    only = [r for r in awkward() if held(r[0])]
+    assert [r.score for r in lm.katz_scores(frame(spark, only), order=3).collect()] == [0] * len(only)
+    assert lm.katz_scores(frame(spark, awkward()).where(F.lit(False)), order=3).count() == 0
+    with pytest.raises(ValueError):
+        lm.katz_scores(frame(spark, only), order=1)
